@@ -20,9 +20,10 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text before merges, as published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -253,36 +254,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _with_columns(docs: DataFrame, drop: list[str], add: str) -> str:
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in drop]
-    return ", ".join([*kept, add])
+def _append(docs: DataFrame, out: str, kind: pa.DataType, ddl: str, values) -> DataFrame:
+    """docs with one more column: values maps an iterator of Arrow batches to one of lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(out, pa.array(values(batch), kind))
+
+    docs = docs.drop(out)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join([*kept, f"`{out}` {ddl}"]))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with the ids of its text column as array<int>. Null and empty texts give an empty array;
     a column that is already called `out` is replaced, all others stay."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = codec(ranks_path).encode
-        for batch in batches:
-            batch[out] = list(encode(batch[text]))
-            yield batch
-
-    docs = docs.drop(out)
-    return docs.mapInPandas(run, _with_columns(docs, [], f"`{out}` array<int>"))
+    return _append(docs, out, pa.list_(pa.int32()), "array<int>", lambda batch: list(codec(ranks_path).encode(batch.column(text).to_pylist())))
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes of its id column as binary; null ids give null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = codec(ranks_path).decode
-        for batch in batches:
-            batch[out] = [None if x is None else decode(x) for x in batch[ids]]
-            yield batch
-
-    docs = docs.drop(out)
-    return docs.mapInPandas(run, _with_columns(docs, [], f"`{out}` binary"))
+    return _append(docs, out, pa.binary(), "binary", lambda batch: [None if x is None else codec(ranks_path).decode(x) for x in batch.column(ids).to_pylist()])
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -292,12 +284,16 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
     their names can't clash. Digests are taken where the ids are, so ids never leave the worker.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
         for batch in batches:
-            rows = [(len(ids), own.digest(ids), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode(batch["text"])]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            sizes, digests, decoded = [], [], []
+            for ids in own.encode(batch.column("text").to_pylist()):
+                sizes.append(len(ids))
+                digests.append(own.digest(ids))
+                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
