@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, packing, simhash, topk
+from . import bpe, chat, line_dedup, ngram_join, packing, simhash, substrings, topk
 from .common import table
 
 
@@ -27,13 +27,21 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op8_simhash, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_topk": topk.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op7_substrings, op8_simhash, op9_ngram_join, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_topk": topk.ORACLE, "op7_substrings": substrings.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
