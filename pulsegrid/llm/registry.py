@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, ngram_join, packing, simhash, substrings, topk
+from . import bpe, chat, html_template, line_dedup, ngram_join, packing, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op7_substrings, op8_simhash, op9_ngram_join, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op5_html, op6_toxicity, op7_substrings, op8_simhash, op9_ngram_join, op10_line_dedup)
+}
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_topk": topk.ORACLE, "op7_substrings": substrings.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
