@@ -113,7 +113,7 @@ def stress_index(beats: DataFrame, keys: Sequence[str], min_beats: int = 20, bin
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_c"), "_bin"))).where("_r = 1")
     mode = (F.col("_lo") + (F.col("_bin") + 0.5) * bin_ms) / 1000
     share, reach = 100 * F.col("_c") / F.col("_n"), (F.col("_hi") - F.col("_lo")) / 1000
-    return top.select(*keys, stats.round_even(share / (2 * mode * reach), 2).alias("si"))
+    return top.select(*keys, stats.round_even(share / (2 * mode * reach), 1).alias("si"))
 
 
 def poincare(beats: DataFrame, keys: Sequence[str], min_beats: int = 10) -> DataFrame:

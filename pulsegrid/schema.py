@@ -32,8 +32,8 @@ DAYS = (
     "work_7d_sum work_7d_nobs finish_strong_7d_count load_3d load_3d_nobs load_7d load_7d_nobs load_14d load_14d_nobs load_28d load_28d_nobs elev_loss_7d_sum"
 ).split()
 SLEEP = (
-    "Fecha polar_sleep_duration_min polar_sleep_span_min polar_deep_pct polar_rem_pct polar_efficiency_pct polar_continuity polar_continuity_class "
-    "polar_interruptions_long polar_interruptions_min polar_sleep_score polar_night_rmssd polar_night_rri polar_night_resp sleep_dur_p10 sleep_dur_p90 sleep_int_p90"
+    "Fecha polar_sleep_duration_min polar_sleep_span_min polar_deep_pct polar_rem_pct polar_efficiency_pct polar_continuity polar_continuity_index "
+    "polar_interruptions_long polar_interruptions_total polar_sleep_score polar_night_rmssd polar_night_rri polar_night_resp sleep_dur_p10 sleep_dur_p90 sleep_int_p90"
 ).split()
 
 # Gates in rising order, and the gate of no decision.
