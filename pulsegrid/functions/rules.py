@@ -36,8 +36,9 @@ def gate_rank(g) -> Column:
 
 def shift_gate(g, by) -> Column:
     """The gate `by` levels worse (or better, if negative), held at the ends; no gate stays none."""
-    to = F.greatest(F.least(gate_rank(g) + by, F.lit(2)), F.lit(0))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, GATES)), (to + 1).cast("int")), col(g))
+    rank = gate_rank(g)  # greatest() and least() pass over nulls, so no gate is kept apart
+    to = F.greatest(F.least(rank + by, F.lit(2)), F.lit(0))
+    return F.when(rank.isNotNull(), F.element_at(F.array(*map(F.lit, GATES)), (to + 1).cast("int"))).otherwise(col(g))
 
 
 def residual_tag(z, cfg: GateConfig = GateConfig()) -> Column:

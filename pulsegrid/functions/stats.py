@@ -33,8 +33,13 @@ def quantile_sorted(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, a + (b - a) * (h - low))
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x evaluated once: inside a lambda, a plain expression is evaluated again for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
 def quantile(values: Column, q: float) -> Column:
-    return quantile_sorted(sorted_values(values), q)
+    return let(sorted_values(values), lambda s: quantile_sorted(s, q))
 
 
 def median(values: Column) -> Column:
@@ -43,9 +48,9 @@ def median(values: Column) -> Column:
 
 def mad(values: Column) -> Column:
     """Median absolute deviation from the median."""
-    clean = sorted_values(values)
-    mid = quantile_sorted(clean, 0.5)
-    return quantile_sorted(F.array_sort(F.transform(clean, lambda v: F.abs(v - mid))), 0.5)
+    gaps = lambda s, mid: F.array_sort(F.transform(s, lambda v: F.abs(v - mid)))
+    of = lambda s: let(quantile_sorted(s, 0.5), lambda mid: let(gaps(s, mid), lambda d: quantile_sorted(d, 0.5)))
+    return let(sorted_values(values), of)
 
 
 def robust_sd(values: Column) -> Column:
@@ -56,13 +61,13 @@ def robust_z(x, values: Column, clip: float = 5.0) -> Column:
     """(x - median) / robust standard deviation, clipped; null where that is zero or missing."""
     scale = robust_sd(values)
     z = (col(x) - median(values)) / scale
-    return F.when(scale != 0, F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)))
+    return F.when((scale != 0) & z.isNotNull(), F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)))
 
 
 def winsorize(values: Column, low: float = 0.10, high: float = 0.90) -> Column:
     """Values held between two quantiles of themselves; nulls stay null."""
-    a, b = quantile(values, low), quantile(values, high)
-    return F.transform(values, lambda v: F.when(v.isNotNull(), F.greatest(F.least(v, b), a)))
+    hold = lambda b: F.transform(values, lambda v: F.when(v.isNotNull(), F.greatest(F.least(v, b["high"]), b["low"])))
+    return let(F.struct(quantile(values, low).alias("low"), quantile(values, high).alias("high")), hold)
 
 
 def ols(pairs: Column) -> Column:
@@ -70,7 +75,10 @@ def ols(pairs: Column) -> Column:
 
     Sums are taken around the first point, which keeps them exact for values far from zero.
     """
-    x0, y0 = pairs[0]["x"], pairs[0]["y"]
+    return let(F.struct(pairs.alias("all"), F.try_element_at(pairs, F.lit(1)).alias("first")), lambda b: _line(b["all"], b["first"]["x"], b["first"]["y"]))
+
+
+def _line(pairs: Column, x0: Column, y0: Column) -> Column:
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy", "yy")])
 
     def add(s: Column, p: Column) -> Column:

@@ -73,18 +73,18 @@ def final(core: DataFrame, sleep: DataFrame | None = None, days: DataFrame | Non
         got = rules.gate(a, r, F.col(f"_base_ln{n}"), F.col(f"_base_hr{n}"), F.col(f"_swc_ln{n}"), F.col(f"_swc_hr{n}"), "SWC_NAN/0")
         return F.when(reason.isNotNull(), none(reason)).when(F.col(f"n{n}") < least, none(F.lit(f"{name}_INSUF"))).otherwise(got)
 
-    d = d.withColumn("_g", judged(b, cfg.min_base, f"BASE{b}", F.col("lnRMSSD_used"), F.col("HR_used")))
+    d = d.withColumn("_judged", judged(b, cfg.min_base, f"BASE{b}", F.col("lnRMSSD_used"), F.col("HR_used")))
     raw = F.when(~F.col("_open"), none(F.lit(""))).when(F.col(f"n{b}") < cfg.min_base, none(F.lit(f"BASE{b}_INSUF"))).when(~usable, none(F.lit("SWC_NAN/0"))).otherwise(rules.gate(ln, hr, base, base_hr, swc, swc_hr))
     d = d.withColumn("_raw", raw).withColumn("d_ln", F.when(full, F.col("lnRMSSD_used") - base)).withColumn("d_HR", F.when(full, F.col("HR_used") - base_hr))
     s1, s2 = cfg.shadow_days
     for n, least in zip(cfg.shadow_days, cfg.min_shadow):
         d = d.withColumn(f"_s{n}", judged(n, least, f"BASE{n}", F.col("lnRMSSD_used"), F.col("HR_used")))
-    note = F.concat(F.lit("Raw="), F.col("_raw.gate"), F.lit("("), F.col("_raw.reason"), F.lit(") vs ref="), F.col("_g.gate"), F.lit("("), F.col("_g.reason"), F.lit(")"))
+    note = F.concat(F.lit("Raw="), F.col("_raw.gate"), F.lit("("), F.col("_raw.reason"), F.lit(") vs ref="), F.col("_judged.gate"), F.lit("("), F.col("_judged.reason"), F.lit(")"))
     d = d.withColumn("unstable_note", F.when(full & F.col("quality_flag") & F.col("_raw.gate").isin(*schema.GATES), note).otherwise(""))
     d = d.withColumn("_lnrr", F.when(F.col("RRbar_s") > 0, F.log("RRbar_s")))
     d = W.rolling_residual(d, KEY, "Fecha", "_lnrr", "lnRMSSD", b, cfg.min_base, F.col("_clean"), cfg.swc_mult)
     d = d.withColumn("residual_ln", F.when(F.col("_open"), F.col("residual"))).withColumn("residual_z", F.when(F.col("_open"), F.col("residual_z")))
-    d = d.withColumn("residual_tag", rules.residual_tag("residual_z", cfg)).withColumn("gate_base60", F.col("_g.gate")).withColumn("_g1", F.col(f"_s{s1}.gate")).withColumn("_g2", F.col(f"_s{s2}.gate"))
+    d = d.withColumn("residual_tag", rules.residual_tag("residual_z", cfg)).withColumn("gate_base60", F.col("_judged.gate")).withColumn("_g1", F.col(f"_s{s1}.gate")).withColumn("_g2", F.col(f"_s{s2}.gate"))
     if cfg.decision_mode == "O2_SHADOW":
         d = d.withColumn("final", F.col("gate_base60")).withColumn("delta", F.lit(0)).withColumn("path", F.lit("BASE60_ONLY")).withColumn("why", F.lit(""))
     else:
@@ -104,7 +104,7 @@ def final(core: DataFrame, sleep: DataFrame | None = None, days: DataFrame | Non
     d = _reasons(d, sleep, days, cfg)
     named = {
         "HR_today": hr, "lnRMSSD_today": ln, "n_roll3": F.col("n_roll"), "gate_raw_today": F.col("_raw.gate"), "gate_raw_reason": F.col("_raw.reason"),
-        "ln_base60": base, "HR_base60": base_hr, "n_base60": F.col(f"n{b}"), "SWC_ln": swc, "SWC_HR": swc_hr, "gate_razon_base60": F.col("_g.reason"),
+        "ln_base60": base, "HR_base60": base_hr, "n_base60": F.col(f"n{b}"), "SWC_ln": swc, "SWC_HR": swc_hr, "gate_razon_base60": F.col("_judged.reason"),
         "gate_shadow42": F.col(f"_s{s1}.gate"), "gate_razon_shadow42": F.col(f"_s{s1}.reason"), "n_base42": F.col(f"n{s1}"),
         "gate_shadow28": F.col(f"_s{s2}.gate"), "gate_razon_shadow28": F.col(f"_s{s2}.reason"), "n_base28": F.col(f"n{s2}"),
         "decision_mode": F.lit(cfg.decision_mode), "gate_final": F.col("final"), "gate_final_delta": F.col("delta"), "decision_path": F.col("path"), "override_reason": F.col("why"),

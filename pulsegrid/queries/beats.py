@@ -133,24 +133,24 @@ def w14(spark, sf_dir):
 
 
 _WINDOWS = f"""{_LAYER}, rk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY beat_idx) - 1 AS r, count(*) OVER (PARTITION BY entity) AS n FROM str WHERE strict),
-wi AS (SELECT entity, w AS window, r - w * 40 AS pos, duration_ms, beat_idx FROM rk, LATERAL (SELECT unnest(generate_series(0, ((n - 120) // 40)::BIGINT)) AS w WHERE n >= 120) x WHERE r BETWEEN w * 40 AND w * 40 + 119)"""
+wi AS (SELECT entity, w AS win, r - w * 40 AS pos, duration_ms, beat_idx FROM rk, LATERAL (SELECT unnest(generate_series(0, ((n - 120) // 40)::BIGINT)) AS w WHERE n >= 120) x WHERE r BETWEEN w * 40 AND w * 40 + 119)"""
 
 
-@query("w15_count_windows", f"WITH {_WINDOWS} SELECT entity, window, count(*) AS n, min(beat_idx) AS first, max(beat_idx) AS last FROM wi GROUP BY 1, 2")
+@query("w15_count_windows", f"WITH {_WINDOWS} SELECT entity, win, count(*) AS n, min(beat_idx) AS first, max(beat_idx) AS last FROM wi GROUP BY 1, 2")
 def w15(spark, sf_dir):
     w = D.count_windows(_layers(spark, sf_dir).where("strict"), K, _CFG)
-    return w.groupBy("entity", "window").agg(F.count("*").alias("n"), F.min("beat_idx").alias("first"), F.max("beat_idx").alias("last"))
+    return w.groupBy("entity", F.col("window").alias("win")).agg(F.count("*").alias("n"), F.min("beat_idx").alias("first"), F.max("beat_idx").alias("last"))
 
 
-@query("w16_dfa_alpha1", f"""WITH {_WINDOWS}, c AS (SELECT entity, window, pos, duration_ms - avg(duration_ms) OVER (PARTITION BY entity, window) AS c FROM wi),
-y AS (SELECT entity, window, pos, sum(c) OVER (PARTITION BY entity, window ORDER BY pos) AS y FROM c),
-s AS (SELECT y.*, s, e, CASE WHEN e = 0 THEN pos ELSE 119 - pos END AS at FROM y, generate_series(4, 16) g(s), (VALUES (0), (1)) v(e)),
-b AS (SELECT entity, window, s, e, at // s AS box, regr_syy(y, at % s) AS yy, regr_sxy(y, at % s) AS xy, regr_sxx(y, at % s) AS xx FROM s WHERE at // s < 120 // s GROUP BY ALL),
-f AS (SELECT entity, window, s, sqrt(avg(greatest((yy - xy ** 2 / xx) / s, 0))) AS f FROM b GROUP BY ALL)
-SELECT entity, window, round(regr_slope(ln(f), ln(s)), 5) AS alpha, count(*) AS n_scales FROM f WHERE f > 0 GROUP BY 1, 2""")
+@query("w16_dfa_alpha1", f"""WITH {_WINDOWS}, c AS (SELECT entity, win, pos, duration_ms - avg(duration_ms) OVER (PARTITION BY entity, win) AS c FROM wi),
+y AS (SELECT entity, win, pos, sum(c) OVER (PARTITION BY entity, win ORDER BY pos) AS y FROM c),
+s AS (SELECT y.*, s, e, CASE WHEN e = 0 THEN pos ELSE 119 - pos END AS pl FROM y, generate_series(4, 16) g(s), (VALUES (0), (1)) v(e)),
+b AS (SELECT entity, win, s, e, pl // s AS box, regr_syy(y, pl % s) AS yy, regr_sxy(y, pl % s) AS xy, regr_sxx(y, pl % s) AS xx FROM s WHERE pl // s < 120 // s GROUP BY ALL),
+f AS (SELECT entity, win, s, sqrt(avg(greatest((yy - xy ** 2 / xx) / s, 0))) AS f FROM b GROUP BY ALL)
+SELECT entity, win, round(regr_slope(ln(f), ln(s)), 5) AS alpha, count(*) AS n_scales FROM f WHERE f > 0 GROUP BY 1, 2""")
 def w16(spark, sf_dir):
     w = D.count_windows(_layers(spark, sf_dir).where("strict"), K, _CFG)
-    return rounded(D.alpha(w, K, "duration_ms", _CFG), digits=5)
+    return rounded(D.alpha(w, K, "duration_ms", _CFG).withColumnRenamed("window", "win"), digits=5)
 
 
 _S = ["entity", "session_id"]
@@ -209,14 +209,14 @@ def a22(spark, sf_dir):
 
 @query("a31_a32_rate_bins", f"""WITH {SAMPLES} SELECT entity, floor(hr / 3) * 3 AS bin, count(*) AS n, round(median(speed), 6) AS level, round(corr(hr, speed), 6) AS r, round(regr_slope(speed, hr), 6) AS slope FROM samples GROUP BY 1, 2 HAVING count(*) >= 3 AND var_pop(hr) > 0 AND var_pop(speed) > 0""")
 def a31(spark, sf_dir):
-    b = samples_of(spark, sf_dir).groupBy("entity", (F.floor(F.col("hr") / 3) * 3).cast("double").alias("bin")).agg(F.count("*").alias("n"), F.percentile("speed", 0.5).alias("level"), F.corr("hr", "speed").alias("r"), F.regr_slope("speed", "hr").alias("slope"), F.var_pop("hr").alias("_a"), F.var_pop("speed").alias("_b"))
+    b = samples_of(spark, sf_dir).groupBy("entity", (F.floor(F.col("hr") / 3) * 3).cast("double").alias("bin")).agg(F.count("*").alias("n"), F.percentile("speed", 0.5).alias("level"), F.try_divide(F.covar_pop("hr", "speed"), F.stddev_pop("hr") * F.stddev_pop("speed")).alias("r"), F.regr_slope("speed", "hr").alias("slope"), F.var_pop("hr").alias("_a"), F.var_pop("speed").alias("_b"))
     return rounded(b.where("n >= 3 AND _a > 0 AND _b > 0").drop("_a", "_b"))
 
 
 @query("w38_w39_crossings", f"""WITH {SAMPLES}, b AS (SELECT entity, floor(hr / 3) * 3 AS x, avg(speed) AS y FROM samples GROUP BY 1, 2), l AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM b WINDOW w AS (PARTITION BY entity ORDER BY x)),
-h AS (SELECT *, abs(y - 2) + abs(y2 - 2) AS score, x + (x2 - x) * (2 - y) / (y2 - y) AS at FROM l WHERE (y - 2) * (y2 - 2) <= 0 AND y <> y2),
-r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score, x) AS i, count(*) OVER (PARTITION BY entity) AS n, median(at) OVER (PARTITION BY entity) AS m FROM h)
-SELECT entity, round(at, 4) AS rate_at_target, round(m, 4) AS median_crossing, n AS n_crossings FROM r WHERE i = 1""")
+h AS (SELECT *, abs(y - 2) + abs(y2 - 2) AS score, x + (x2 - x) * (2 - y) / (y2 - y) AS pt FROM l WHERE (y - 2) * (y2 - 2) <= 0 AND y <> y2),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score, x) AS i, count(*) OVER (PARTITION BY entity) AS n, median(pt) OVER (PARTITION BY entity) AS m FROM h)
+SELECT entity, round(pt, 4) AS rate_at_target, round(m, 4) AS median_crossing, n AS n_crossings FROM r WHERE i = 1""")
 def w38(spark, sf_dir):
     b = samples_of(spark, sf_dir).groupBy("entity", (F.floor(F.col("hr") / 3) * 3).cast("double").alias("x")).agg(F.avg("speed").alias("y"))
     return rounded(D.crossing(b, K, "x", "y", 2.0), digits=4)

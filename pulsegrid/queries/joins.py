@@ -59,13 +59,13 @@ def j11(spark, sf_dir):
     return J.in_any_interval(s.withColumn("c", F.col("sec") + F.lit(0.5)), w, ["entity"], "sec", "c", "s", "e", 5.0).select("entity", "sec", "inside")
 
 
-@query("j12_asof_interpolation", f"""WITH {SAMPLES}, k AS (SELECT entity, sec, hr FROM samples WHERE z = 0), p AS (SELECT entity, sec + 0.25 AS at FROM samples WHERE z = 5),
-lo AS (SELECT p.entity, p.at, k.sec AS s0, k.hr AS h0 FROM p ASOF LEFT JOIN k ON k.entity = p.entity AND k.sec <= p.at), hi AS (SELECT p.entity, p.at, k.sec AS s1, k.hr AS h1 FROM p ASOF LEFT JOIN k ON k.entity = p.entity AND k.sec >= p.at)
-SELECT lo.entity, lo.at, round(CASE WHEN s0 = s1 THEN h0 ELSE h0 + (h1 - h0) * (lo.at - s0) / (s1 - s0) END, 6) AS hr FROM lo JOIN hi ON lo.entity = hi.entity AND lo.at = hi.at""")
+@query("j12_asof_interpolation", f"""WITH {SAMPLES}, k AS (SELECT entity, sec, hr FROM samples WHERE z = 0), p AS (SELECT entity, sec + 0.25 AS pt FROM samples WHERE z = 5),
+lo AS (SELECT p.entity, p.pt, k.sec AS s0, k.hr AS h0 FROM p ASOF LEFT JOIN k ON k.entity = p.entity AND k.sec <= p.pt), hi AS (SELECT p.entity, p.pt, k.sec AS s1, k.hr AS h1 FROM p ASOF LEFT JOIN k ON k.entity = p.entity AND k.sec >= p.pt)
+SELECT lo.entity, lo.pt AS at_s, round(CASE WHEN s0 = s1 THEN h0 ELSE h0 + (h1 - h0) * (lo.pt - s0) / (s1 - s0) END, 6) AS hr FROM lo JOIN hi ON lo.entity = hi.entity AND lo.pt = hi.pt""")
 def j12(spark, sf_dir):
     s = samples_of(spark, sf_dir)
     p = s.where("z = 5").select("entity", (F.col("sec") + F.lit(0.25)).alias("at"))
-    return rounded(J.interpolate(p, s.where("z = 0").select("entity", "sec", "hr"), ["entity"], "at", "sec", "hr"))
+    return rounded(J.interpolate(p, s.where("z = 0").select("entity", "sec", "hr"), ["entity"], "at", "sec", "hr").withColumnRenamed("at", "at_s"))
 
 
 @query("j14_o6_grid_search", f"""WITH {SAMPLES}, b AS (SELECT entity, sec AS start, sec + 40 AS stop, hr AS target FROM samples WHERE sec % 60 = 20),
