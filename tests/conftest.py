@@ -20,3 +20,6 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
