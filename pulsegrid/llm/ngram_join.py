@@ -226,8 +226,9 @@ def compare(members: DataFrame, docs: DataFrame) -> DataFrame:
             rows += [(i, n, None) for i, n in zip(names.tolist(), np.concatenate(counts).tolist()) if n]
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "other": pa.array([r[2] for r in rows], pa.int64())})
 
+    # members grow with the corpus, so they are shuffled at every size and never broadcast
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    told = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").withColumn("block", block)
+    told = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.hint("merge"), "rep").withColumn("block", block)
     told = told.dropDuplicates(["rep"]).mapInArrow(sets, "rep long, cluster long, blocks int, block int, set binary")
     cells = told.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with"))
     cells = cells.select("cluster", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "rep", "set")
