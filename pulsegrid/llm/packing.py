@@ -30,7 +30,7 @@ from .common import materialize
 CAPACITY, SALTS = 2048, 1024
 
 #: Most runs that a worker's tokenizer keeps.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
