@@ -5,7 +5,8 @@ by the path of containers above it. A token's occurrence vector says how often e
 tokens with equal vectors are an equivalence class, and the classes that at least half of a host's pages hold
 are its template, nested as their paths are. Slots are what lies between template tokens; one slot of each host
 is the main text: that of an article or main element, else the one with the most text outside links. What a
-page holds there, less menus, forms and other boilerplate inside, is its text.
+page holds there or anywhere below, less menus, forms and other boilerplate, is its text. Containers that few
+pages have are no template tokens; their text belongs to the template token they lie in.
 
 Vectors are never written out: a class is told by the XOR of hash(page, count) over its pages, by the number of
 pages and by the total, all of them sums that are made before the shuffle, so a host with a third of all pages
@@ -47,6 +48,7 @@ _TAG = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ROOT = 0
+SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked")
 
 
 class Page:
@@ -57,6 +59,8 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         #: path -> [times, characters, of which in links, boilerplate, main]
         self.paths: dict[int, list[int]] = {_ROOT: [1, 0, 0, 0, 0]}
+        #: path -> the path around it; paths come after the one around them
+        self.above: dict[int, int] = {_ROOT: _ROOT}
         self._stack: list[tuple[str, int]] = [("", _ROOT)]
         self._parts: list[str] = []
         self._links = self._linked = 0
@@ -109,6 +113,7 @@ class Page:
             above = self.paths[self._stack[-1][1]]
             path = xxhash.xxh3_64_intdigest(f"{self._stack[-1][1]} {name} {' '.join(words)}") - (1 << 63)
             own = self.paths.setdefault(path, [0, 0, 0, 0, 0])
+            self.above.setdefault(path, self._stack[-1][1])
             own[0] += 1
             own[4] |= above[4] or name in MAIN or "main" in words and name != "body"
             plain = name == "header" and above[4]  # an article's own header holds its title
@@ -116,27 +121,48 @@ class Page:
             own[3] |= above[3] or marked and not plain
             self._stack.append((name, path))
 
-    def text(self, kept: set[int] | frozenset[int]) -> str:
-        """Blocks in the kept paths or below them, without boilerplate; by the page's own slots if it has none there."""
-        found = self._in(kept)
+    def rows(self) -> list[tuple[int, ...]]:
+        """(path, times, boilerplate, main, above, chars, linked) of each path, with all free text in it or below."""
+        within = {path: [0, 0] if v[3] else [v[1], v[2]] for path, v in self.paths.items()}
+        for path in reversed(self.above):
+            if path != _ROOT:
+                for k in range(2):
+                    within[self.above[path]][k] += within[path][k]
+        return [(path, v[0], int(v[3]), int(v[4]), self.above[path], *within[path]) for path, v in self.paths.items()]
+
+    def text(self, kept: set[int] | frozenset[int], links: set[int] | frozenset[int] = frozenset()) -> str:
+        """Blocks in the kept paths or below them, without boilerplate and link lists; those of the page's own
+        articles too. By the page's own slots if there are none."""
+        found = self._in(kept | {path for path, v in self.paths.items() if v[4]}, links)
         if not found:
-            found = self._in(main_slots([(path, *v) for path, v in self.paths.items()]))
+            found = self._in(*main_slots(self.rows()))
         return "\n".join(found)
 
-    def _in(self, kept) -> list[str]:
-        return [text for path, text in self.blocks if path in kept and not self.paths[path][3]]
-
-
-def main_slots(paths: list[tuple[int, int, int, int, int, int]]) -> set[int]:
-    """Which of (path, times, chars, linked, boilerplate, main) hold the main text."""
-    free = [p for p in paths if not p[4]]
-    main = {p[0] for p in free if p[5]}
-    if any(p[2] for p in free if p[5]):
-        return main
-    if not free:
-        return set()
-    best = max(free, key=lambda p: (p[2] - 2 * p[3], -p[0]))
-    return {p[0] for p in free if p[2] and p[2] - 2 * p[3] >= 0.25 * (best[2] - 2 * best[3])} if best[2] else set()
+    def _in(self, kept, links) -> list[str]:
+        inside: dict[int, bool] = {}
+        for path, above in self.above.items():
+            inside[path] = path in kept or path not in links and inside.get(above, False)
+        return [text for path, text in self.blocks if inside[path] and not self.paths[path][3]]
+
+
+def main_slots(paths: list[tuple[int, ...]]) -> tuple[set[int], set[int]]:
+    """Which of (path, times, boilerplate, main, above, chars, linked) hold the main text, and which are lists of
+    links that do not. A path's own text is all in it less what lies in others of the paths."""
+    own = {p[0]: [p[5], p[6]] for p in paths}
+    for p in paths:
+        if p[0] != _ROOT and p[4] in own:
+            own[p[4]][0] -= p[5]
+            own[p[4]][1] -= p[6]
+    free = [p for p in paths if not p[2]]
+    main = {p[0] for p in free if p[3]}
+    if any(own[path][0] for path in main):
+        return main, set()
+    score = {p[0]: own[p[0]][0] - 2 * own[p[0]][1] for p in free}
+    best = max(score, key=lambda path: (score[path], -path), default=_ROOT)
+    if not own.get(best, [0])[0]:
+        return set(), set()
+    slots = {path for path in score if own[path][0] and score[path] >= 0.25 * score[best]}
+    return slots, {p[0] for p in free if p[5] and p[5] <= 2 * p[6]} - slots
 
 
 def host(url) -> F.Column:
@@ -144,32 +170,32 @@ def host(url) -> F.Column:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and container path: _host, path, page, times, chars, linked, boilerplate, main."""
+    """A row for each page and container path: _host, page, path, times, boilerplate, main, above, chars, linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, path, *v) for i, source in enumerate(batch.column("html")) for path, v in Page(source.as_py()).paths.items()]
+            rows = [(i, *r) for i, source in enumerate(batch.column("html")) for r in Page(source.as_py()).rows()]
             at = pa.array([r[0] for r in rows], pa.int32())
-            numbers = [pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(1, 7)]
-            yield pa.RecordBatch.from_arrays([batch.column("_host").take(at), batch.column("page_id").take(at), *numbers], ["_host", "page", "path", "times", "chars", "linked", "boilerplate", "main"])
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 8)]
+            yield pa.RecordBatch.from_arrays([batch.column("_host").take(at), batch.column("page_id").take(at), *numbers], ["_host", "page", *SLOT])
 
     return pages.select(host(F.col("url")).alias("_host"), F.col("page_id").cast("long"), "html").mapInArrow(
-        run, "_host string, page long, path long, times long, chars long, linked long, boilerplate long, main long")
+        run, f"_host string, page long, {', '.join(f'{k} long' for k in SLOT)}")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """_host and slots, the template's paths as (class, path, times, chars, linked, boilerplate, main) structs.
+    """_host and slots, the template's paths as structs of their class and SLOT.
 
     A template token lies in an equivalence class that at least half of the host's pages hold, so there are at
     most twice as many as a page has on average.
     """
     found = _tokens(pages).groupBy("_host", "path").agg(
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("boilerplate").alias("boilerplate"), F.max("main").alias("main"))
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"))
     found = materialize(found)
     held = found.where(F.col("path") == _ROOT).select("_host", F.col("support").alias("pages"))
     common = found.join(held, "_host").where("support * 2 >= pages")
-    slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), "path", "times", "chars", "linked", "boilerplate", "main")
+    slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), *SLOT)
     return common.groupBy("_host").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
 
 
@@ -184,20 +210,20 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, kept in zip(batch.column("html"), batch.column("kept")):
-                texts.append(Page(source.as_py()).text(set(kept.as_py() or ())))
+            for source, *slots in zip(*map(batch.column, ("html", "kept", "links"))):
+                texts.append(Page(source.as_py()).text(*[set(s.as_py() or ()) for s in slots]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = ("path", "times", "chars", "linked", "boilerplate", "main")
-            kept = [sorted(main_slots([tuple(s[k] for k in keys) for s in slots.as_py()])) for slots in batch.column("slots")]
-            yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(kept, pa.list_(pa.int64()))], ["_host", "kept"])
+            found = [main_slots([tuple(s[k] for k in SLOT) for s in slots.as_py()]) for slots in batch.column("slots")]
+            both = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("_host"), *both], ["_host", "kept", "links"])
 
-    chosen = materialize(templates(pages).mapInArrow(choose, "_host string, kept array<long>"))
+    chosen = materialize(templates(pages).mapInArrow(choose, "_host string, kept array<long>, links array<long>"))
     if chosen.count() <= BROADCAST_HOSTS:
         chosen = F.broadcast(chosen)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host(F.col("url")).alias("_host"))
-    return own.join(chosen, "_host", "left").select("page_id", "url", "html", "kept").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.join(chosen, "_host", "left").select("page_id", "url", "html", "kept", "links").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -194,6 +194,25 @@ def test_html_template_slot_without_article(spark):
         assert r.text == (f"long text of page {r.page_id} " * 10).strip()
 
 
+def main_texts(spark, pages):
+    rows = [(i, "http://h.example/", page) for i, page in enumerate(pages)]
+    return {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_containers_that_few_pages_have(spark):
+    slug = lambda i: "".join("abcdefghij"[int(c)] for c in str(i + 100))
+    mixed = [f"<body><article><p>intro {i}</p>" + (f"<figure class='wide'><p>seen {i}</p></figure><section id='part-{slug(i)}'><div><p>more {i}</p></div></section>" if i % 3 == 0 else "") + "</article></body>" for i in range(9)]
+    assert main_texts(spark, mixed) == {i: f"intro {i}" + (f"\nseen {i}\nmore {i}" if i % 3 == 0 else "") for i in range(9)}
+    # all text in containers of one page, beside one that all have
+    long = lambda i: f"long text of page {i} " * 10
+    named = [f"<body><div class='top'><a href='/'>x y z</a></div><div id='post-{slug(i)}'><p>{long(i)}</p></div><div class='c'>tiny {i}</div></body>" for i in range(9)]
+    for i, text in main_texts(spark, named).items():
+        assert text.split("\n")[0] == long(i).strip() and "x y z" not in text
+    # articles that lie where few pages have them
+    moved = [f"<body><main><p>lead {i}</p></main>" + (f"<div id='{slug(i)}'><article><p>body {i}</p></article></div>" if i < 2 else "") + "</body>" for i in range(9)]
+    assert main_texts(spark, moved) == {i: f"lead {i}" + (f"\nbody {i}" if i < 2 else "") for i in range(9)}
+
+
 def test_html_long_and_broken():
     assert html_template.Page("<div>" * 3000 + "x" + "<a href='" + "y" * 1000).text(set()) == "x"
     assert html_template.Page('<p title="a>b">t</p><!-- c <p>no</p> --><p>u').text(set()) == "t\nu"
