@@ -1,10 +1,12 @@
 """Main-text extraction by equivalence classes of page structure.
 
 The tokens of a page are its containers (div, nav, article, ... with their class, id and role), each told apart
-by the path of containers above it. A token's occurrence vector says how often each page of its host has it;
-tokens with equal vectors are an equivalence class, and the classes that at least half of a host's pages hold
-are its template, nested as their paths are. Slots are what lies between template tokens; one slot of each host
-is the main text: that of an article or main element, else the one with the most text outside links. What a
+by the path of containers above it, and its blocks of text, told apart by path and text. A token's occurrence
+vector says how often each page of its host has it; tokens with equal vectors are an equivalence class, and the
+classes that at least half of a host's pages hold are its template, nested as their paths are. A block of text is
+of the template if its class has a container around it, so that it is wherever that container is, or if nearly
+all pages have it. Slots are what lies between template tokens; the best ones of each host
+are the main text: those of an article or main element, else those with the most text outside links. What a
 page holds there or anywhere below, less menus, forms and other boilerplate, is its text. Containers that few
 pages have are no template tokens; their text belongs to the template token they lie in.
 
@@ -48,15 +50,17 @@ _TAG = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ROOT = 0
-SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked")
+SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked", "said")
+#: Hosts of fewer pages have no template text, as nothing tells it from theirs; NEARLY is the share that is nearly all.
+FEWEST, NEARLY = 4, (9, 10)
 
 
 class Page:
     """The blocks of a page and the containers it has, by path."""
 
     def __init__(self, source: str | None):
-        #: (path, text) in page order
-        self.blocks: list[tuple[int, str]] = []
+        #: (path, text, characters in links) in page order
+        self.blocks: list[tuple[int, str, int]] = []
         #: path -> [times, characters, of which in links, boilerplate, main]
         self.paths: dict[int, list[int]] = {_ROOT: [1, 0, 0, 0, 0]}
         #: path -> the path around it; paths come after the one around them
@@ -85,9 +89,10 @@ class Page:
         text = " ".join(entities.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
             path = self._stack[-1][1]
-            self.blocks.append((path, text))
+            linked = min(self._linked, len(text))
+            self.blocks.append((path, text, linked))
             self.paths[path][1] += len(text)
-            self.paths[path][2] += min(self._linked, len(text))
+            self.paths[path][2] += linked
         self._parts, self._linked = [], 0
 
     def _tag(self, name: str, closing: bool, attributes: str) -> None:
@@ -122,31 +127,77 @@ class Page:
             self._stack.append((name, path))
 
     def rows(self) -> list[tuple[int, ...]]:
-        """(path, times, boilerplate, main, above, chars, linked) of each path, with all free text in it or below."""
+        """SLOT of each path, with all free text in it or below, and of each free block of text (said = 1)."""
         within = {path: [0, 0] if v[3] else [v[1], v[2]] for path, v in self.paths.items()}
         for path in reversed(self.above):
             if path != _ROOT:
                 for k in range(2):
                     within[self.above[path]][k] += within[path][k]
-        return [(path, v[0], int(v[3]), int(v[4]), self.above[path], *within[path]) for path, v in self.paths.items()]
-
-    def text(self, kept: set[int] | frozenset[int], links: set[int] | frozenset[int] = frozenset()) -> str:
-        """Blocks in the kept paths or below them, without boilerplate and link lists; those of the page's own
-        articles too. By the page's own slots if there are none."""
-        found = self._in(kept | {path for path, v in self.paths.items() if v[4]}, links)
+        said: dict[int, list[int]] = {}
+        for path, text, linked in self.blocks:
+            if not self.paths[path][3]:
+                own = said.setdefault(spoken(path, text), [0, path, 0, 0])
+                for k, n in ((0, 1), (2, len(text)), (3, linked)):
+                    own[k] += n
+        containers = [(path, v[0], int(v[3]), int(v[4]), self.above[path], *within[path], 0) for path, v in self.paths.items()]
+        return containers + [(token, n, 0, 0, path, chars, linked, 1) for token, (n, path, chars, linked) in said.items()]
+
+    def text(self, kept: set[int] | frozenset[int], links: set[int] | frozenset[int] = frozenset(), template: set[int] | frozenset[int] = frozenset()) -> str:
+        """Blocks in the kept paths or below them, without boilerplate, link lists and template text; those of the
+        page's own articles too. By the page's own slots if there are none; a page that has template text only,
+        as the copies of one page have, keeps it."""
+        found = self._in(kept | {path for path, v in self.paths.items() if v[4]}, links, template)
         if not found:
-            found = self._in(*main_slots(self.rows()))
+            own = main_slots([r for r in self.rows() if not r[7]])
+            found = self._in(*own, template) or self._in(*own)
         return "\n".join(found)
 
-    def _in(self, kept, links) -> list[str]:
+    def _in(self, kept, links, template=()) -> list[str]:
         inside: dict[int, bool] = {}
         for path, above in self.above.items():
             inside[path] = path in kept or path not in links and inside.get(above, False)
-        return [text for path, text in self.blocks if inside[path] and not self.paths[path][3]]
+        free = [(path, text) for path, text, _ in self.blocks if inside[path] and not self.paths[path][3]]
+        return [text for path, text in free if not template or spoken(path, text) not in template]
+
+
+def spoken(path: int, text: str) -> int:
+    """The token of a block of text."""
+    return xxhash.xxh3_64_intdigest(f"{path} {text}") - (1 << 63)
+
+
+def template_text(tokens: list[dict], pages: int) -> list[dict]:
+    """Which of a host's template tokens are template text: blocks in the equivalence class of a container
+    around them, and those that nearly all pages have."""
+    if pages < FEWEST:
+        return []
+    containers = {t["path"]: t for t in tokens if not t["said"]}
+
+    def nested(token: dict) -> bool:
+        at = containers.get(token["above"])
+        while at is not None and at["class"] != token["class"]:
+            at = containers.get(at["above"]) if at["path"] != _ROOT else None
+        return at is not None
+
+    return [t for t in tokens if t["said"] and (t["support"] * NEARLY[1] >= pages * NEARLY[0] or nested(t))]
+
+
+def choose_slots(tokens: list[dict]) -> tuple[set[int], set[int], set[int]]:
+    """The paths of main text, link lists and template text of a host's template tokens."""
+    pages = max((t["support"] for t in tokens), default=0)
+    template = template_text(tokens, pages)
+    of = lambda t: tuple(t[k] for k in SLOT)
+    containers = {t["path"]: [*of(t)] for t in tokens if not t["said"]}
+    for t in template:  # is no text of what lies around it
+        at = t["above"]
+        while at in containers:
+            containers[at][5] -= t["chars"]
+            containers[at][6] -= t["linked"]
+            at = containers[at][4] if at != _ROOT else None
+    return *main_slots(list(containers.values())), {t["path"] for t in template}
 
 
 def main_slots(paths: list[tuple[int, ...]]) -> tuple[set[int], set[int]]:
-    """Which of (path, times, boilerplate, main, above, chars, linked) hold the main text, and which are lists of
+    """Which of the paths (SLOT) hold the main text, and which are lists of
     links that do not. A path's own text is all in it less what lies in others of the paths."""
     own = {p[0]: [p[5], p[6]] for p in paths}
     for p in paths:
@@ -170,13 +221,13 @@ def host(url) -> F.Column:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and container path: _host, page, path, times, boilerplate, main, above, chars, linked."""
+    """A row for each page and token: _host, page and SLOT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, *r) for i, source in enumerate(batch.column("html")) for r in Page(source.as_py()).rows()]
             at = pa.array([r[0] for r in rows], pa.int32())
-            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 8)]
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, len(SLOT) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column("_host").take(at), batch.column("page_id").take(at), *numbers], ["_host", "page", *SLOT])
 
     return pages.select(host(F.col("url")).alias("_host"), F.col("page_id").cast("long"), "html").mapInArrow(
@@ -184,18 +235,20 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """_host and slots, the template's paths as structs of their class and SLOT.
+    """_host and slots, the template's tokens as structs of their class, support and SLOT.
 
     A template token lies in an equivalence class that at least half of the host's pages hold, so there are at
     most twice as many as a page has on average.
     """
     found = _tokens(pages).groupBy("_host", "path").agg(
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"))
-    found = materialize(found)
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"), F.max("said").alias("said"))
+    found = materialize(found.where(F.col("support") >= F.when(F.col("said") == 1, FEWEST // 2).otherwise(1)))
     held = found.where(F.col("path") == _ROOT).select("_host", F.col("support").alias("pages"))
+    if held.count() <= BROADCAST_HOSTS:  # else tokens that are dropped next would be dealt by host
+        held = F.broadcast(held)
     common = found.join(held, "_host").where("support * 2 >= pages")
-    slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), *SLOT)
+    slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), "support", *SLOT)
     return common.groupBy("_host").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
 
 
@@ -210,7 +263,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, *slots in zip(*map(batch.column, ("html", "kept", "links"))):
+            for source, *slots in zip(*map(batch.column, ("html", "kept", "links", "template"))):
                 texts.append(Page(source.as_py()).text(*[set(s.as_py() or ()) for s in slots]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
@@ -218,12 +271,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_slots([tuple(s[k] for k in SLOT) for s in slots.as_py()]) for slots in batch.column("slots")]
-            both = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("_host"), *both], ["_host", "kept", "links"])
+            found = [choose_slots(slots.as_py()) for slots in batch.column("slots")]
+            parts = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("_host"), *parts], ["_host", "kept", "links", "template"])
 
-    chosen = materialize(templates(pages).mapInArrow(choose, "_host string, kept array<long>, links array<long>"))
+    chosen = materialize(templates(pages).mapInArrow(choose, "_host string, kept array<long>, links array<long>, template array<long>"))
     if chosen.count() <= BROADCAST_HOSTS:
         chosen = F.broadcast(chosen)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host(F.col("url")).alias("_host"))
-    return own.join(chosen, "_host", "left").select("page_id", "url", "html", "kept", "links").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.join(chosen, "_host", "left").select("page_id", "url", "html", "kept", "links", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -213,6 +213,20 @@ def test_html_containers_that_few_pages_have(spark):
     assert main_texts(spark, moved) == {i: f"lead {i}" + (f"\nbody {i}" if i < 2 else "") for i in range(9)}
 
 
+def test_html_template_text(spark):
+    # on every page, in a container that most pages have, and in one with most text; "now and then" is no template text
+    page = lambda i: (
+        f"<body><div class='zz'><p>{'the same words on all pages ' * 20}</p></div><div class='yy'><p>Share this story</p><p>story {i} with words of its own</p>"
+        + ("<section class='k'><p>Keep on reading</p></section>" if i % 4 else "") + ("<p>now and then</p>" if i % 3 == 0 else "") + "</div></body>")
+    own = lambda i: f"story {i} with words of its own" + ("\nnow and then" if i % 3 == 0 else "")
+    assert main_texts(spark, [page(i) for i in range(12)]) == {i: own(i) for i in range(12)}
+    article = [f"<body><article><p>Share this story</p><p>story {i}</p></article></body>" for i in range(6)]
+    assert main_texts(spark, article) == {i: f"story {i}" for i in range(6)}
+    # copies of one page keep their text, and two pages say nothing about a template
+    assert set(main_texts(spark, article[:1] * 6).values()) == {"Share this story\nstory 0"}
+    assert main_texts(spark, article[:2])[1] == "Share this story\nstory 1"
+
+
 def test_html_long_and_broken():
     assert html_template.Page("<div>" * 3000 + "x" + "<a href='" + "y" * 1000).text(set()) == "x"
     assert html_template.Page('<p title="a>b">t</p><!-- c <p>no</p> --><p>u').text(set()) == "t\nu"
