@@ -37,11 +37,17 @@ CONTAINERS = frozenset("html head body div section article main nav header foote
 BOILERPLATE = frozenset("head title nav footer aside form fieldset dialog button select textarea object menu noscript".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote tr td th caption hr address figcaption details summary option".split())
 MAIN = frozenset("article main".split())
-#: Words in a class, id or role that mark boilerplate.
+#: Never the text of a page, whatever they hold.
+NO_TEXT = frozenset("head title button select textarea".split())
+#: Lists and paragraphs, which are containers where they are marked.
+LISTS = frozenset("ul ol dl li dt dd blockquote address details pre".split())
+ITEMS, PARAGRAPHS = frozenset("li dt dd".split()), frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Words that mark boilerplate. A class, id or role is a mark if it has one of them and else only FILL.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer header masthead sidebar aside widget widgets cookie cookies consent notice notices alert popup modal overlay share sharing social "
     "comment comments disqus respond reply replies related recommended newsletter subscribe subscription signup login search form complementary contentinfo".split())
+FILL = frozenset("list item items box bar area section block link links button buttons text title top bottom left right wrapper container site page main post entry article inner global primary secondary".split())
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z""",
@@ -55,6 +61,15 @@ SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked", "sai
 FEWEST, NEARLY = 4, (9, 10)
 
 
+def marked(named: list[str]) -> bool:
+    """Whether one of the blank-separated names marks boilerplate: menu and comment-list do, has-sidebar does not."""
+    for token in " ".join(named).split():
+        words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in FILL for w in words):
+            return True
+    return False
+
+
 class Page:
     """The blocks of a page and the containers it has, by path."""
 
@@ -65,6 +80,8 @@ class Page:
         self.paths: dict[int, list[int]] = {_ROOT: [1, 0, 0, 0, 0]}
         #: path -> the path around it; paths come after the one around them
         self.above: dict[int, int] = {_ROOT: _ROOT}
+        #: path -> element name of those that a name or word marks as boilerplate
+        self.marks: dict[int, str] = {}
         self._stack: list[tuple[str, int]] = [("", _ROOT)]
         self._parts: list[str] = []
         self._links = self._linked = 0
@@ -78,6 +95,7 @@ class Page:
                 self._tag(name, bool(tag[2] or tag[5]), tag[4] if tag[3] else tag[7])
         self._say(source[at:])
         self._flush()
+        self._judge()
 
     def _say(self, text: str) -> None:
         if text:
@@ -102,6 +120,7 @@ class Page:
             self._parts.append(" ")
         elif name in BREAKS:
             self._flush()
+            self._soft(name, closing, attributes)
         elif name in CONTAINERS:
             self._flush()
             self._links = 0
@@ -114,17 +133,66 @@ class Page:
                 del self._stack[names.index("head") :]
             if attributes.endswith("/"):
                 return
-            words = sorted({w for m in _NAMED.finditer(attributes) for w in _WORD.findall("".join(x or "" for x in m.groups()).lower())})
-            above = self.paths[self._stack[-1][1]]
-            path = xxhash.xxh3_64_intdigest(f"{self._stack[-1][1]} {name} {' '.join(words)}") - (1 << 63)
-            own = self.paths.setdefault(path, [0, 0, 0, 0, 0])
-            self.above.setdefault(path, self._stack[-1][1])
-            own[0] += 1
-            own[4] |= above[4] or name in MAIN or "main" in words and name != "body"
-            plain = name == "header" and above[4]  # an article's own header holds its title
-            marked = name in BOILERPLATE or name == "header" or name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)
-            own[3] |= above[3] or marked and not plain
-            self._stack.append((name, path))
+            self._paragraph_ends()
+            self._open(name, attributes)
+
+    def _open(self, name: str, attributes: str) -> None:
+        named = [" ".join(x or "" for x in m.groups()) for m in _NAMED.finditer(attributes)]
+        words = sorted({w for x in named for w in _WORD.findall(x.lower())})
+        around, by_word = self._stack[-1][1], name not in ("html", "body") and marked(named)
+        path = xxhash.xxh3_64_intdigest(f"{around} {name} {' '.join(named if by_word else words)}") - (1 << 63)
+        self.above.setdefault(path, around)
+        own = self.paths.setdefault(path, [0, 0, 0, 0, 0])
+        own[0] += 1
+        by_name = name in BOILERPLATE or name == "header" and not self.paths[around][4]  # an article's own header holds its title
+        if by_name or by_word and name not in MAIN:
+            self.marks[path] = name
+        if name in MAIN:  # an article of the comments is none of the page
+            is_main = not (by_word and any(p in self.marks for _, p in self._stack))
+        else:
+            is_main = "main" in words and not by_word and name != "body"
+        own[4] |= self.paths[around][4] or is_main
+        self._stack.append((name, path))
+
+    def _paragraph_ends(self) -> None:
+        if self._stack[-1][0] in PARAGRAPHS:
+            self._stack.pop()
+
+    def _soft(self, name: str, closing: bool, attributes: str) -> None:
+        """Lists and paragraphs with a mark are containers up to their end; so are lists and items inside them."""
+        names = [n for n, _ in self._stack]
+        if closing:
+            if name in names:
+                del self._stack[len(names) - 1 - names[::-1].index(name) :]
+            return
+        self._paragraph_ends()
+        if name in ITEMS and self._stack[-1][0] in ITEMS:
+            self._stack.pop()
+        if name not in LISTS and name not in PARAGRAPHS:
+            return
+        if name in LISTS and not LISTS.isdisjoint(names) or marked([" ".join(x or "" for x in m.groups()) for m in _NAMED.finditer(attributes)]):
+            self._open(name, attributes)
+
+    def _judge(self) -> None:
+        """Set boilerplate: what is marked and all below it. Marks do not count around an article or main, nor on a
+        page without them, where they would take most of the text outside links."""
+        heavy: dict[int, int] = {}
+        never: set[int] = set()
+        for path, above in self.above.items():
+            if above in never or self.marks.get(path) in NO_TEXT:
+                never.add(path)
+            v = self.paths[path]
+            heavy[path] = 0 if path in never else max(0, v[1] - v[2])
+        if any(heavy[path] for path in heavy if self.paths[path][4]):
+            heavy = {path: n if self.paths[path][4] else 0 for path, n in heavy.items()}
+        for path in reversed(self.above):
+            if path != _ROOT:
+                heavy[self.above[path]] += heavy[path]
+        for path, above in self.above.items():
+            if path != _ROOT:
+                v, around = self.paths[path], self.paths[above]
+                most = heavy[path] * 2 > heavy[_ROOT] and not around[4]
+                v[3] = int(around[3] or path in self.marks and (path in never or not most))
 
     def rows(self) -> list[tuple[int, ...]]:
         """SLOT of each path, with all free text in it or below, and of each free block of text (said = 1)."""
@@ -242,7 +310,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     found = _tokens(pages).groupBy("_host", "path").agg(
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"), F.max("said").alias("said"))
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"), F.max("said").alias("said"))
     found = materialize(found.where(F.col("support") >= F.when(F.col("said") == 1, FEWEST // 2).otherwise(1)))
     held = found.where(F.col("path") == _ROOT).select("_host", F.col("support").alias("pages"))
     if held.count() <= BROADCAST_HOSTS:  # else tokens that are dropped next would be dealt by host

@@ -227,6 +227,20 @@ def test_html_template_text(spark):
     assert main_texts(spark, article[:2])[1] == "Share this story\nstory 1"
 
 
+def test_html_marks():
+    own = lambda html: html_template.Page(html).text(set())
+    for around in ("div class='page has-sidebar'", "div class='container no-sidebar'", "div class='site menu-open'", "form id='aspnetForm'", "div class='sidebar'"):
+        assert own(f"<body><{around}><nav><a href='/'>home</a></nav><article><p>the text</p></article></{around.split()[0]}></body>") == "the text"
+        assert own(f"<body><{around}><nav>short <a href='/'>home</a></nav><div><p>the text of this page</p></div></{around.split()[0]}></body>") == "the text of this page"
+    page = "<article><p>one<ul class='menu'><li>x<ul><li>y</ul></li><li>z</ul><p>two<p class='notice'>n<p>three<ol class=\"comment-list\"><li>c<p>d</ol><ul><li>four</ul></article>"
+    assert own(page) == "one\ntwo\nthree\nfour"
+    assert own("<main><p>text</p></main><footer>a long line of the footer, more than the text</footer>") == "text"
+    assert own("<article><p>text</p><div id='comments'><p>a comment that is longer than the text</p></div></article>") == "text"
+    assert own("<title>only a title</title><p>t") == "t"
+    assert own("<article>text<div id='comments'><article class='comment'>said</article></div><ul><li class='share'>a<ul><li>b<li>c</ul><li>d</ul></article>") == "text\nd"
+    assert own("<article class='sponsored'>text</article><div id='comments'><article class='comment'>said by a reader</article></div>") == "text"
+
+
 def test_html_long_and_broken():
     assert html_template.Page("<div>" * 3000 + "x" + "<a href='" + "y" * 1000).text(set()) == "x"
     assert html_template.Page('<p title="a>b">t</p><!-- c <p>no</p> --><p>u').text(set()) == "t\nu"
