@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line chunks that repeat are taken out of texts; n_chars follows. All documents stay."""
-    kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    kept = line_dedup.dedup_lines(docs, paired=True).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
 
 

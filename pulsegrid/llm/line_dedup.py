@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SPREAD, BASE, MODULUS = 4, 1_000_003, 2_147_483_647
+#: Where chunks are two lines at least: SPREAD counts boundaries before those that follow another are skipped.
+PAIRED_SPREAD = 2
 
 
 def lines(text: Column) -> Column:
@@ -30,18 +32,26 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunk_starts(ls: str, hs: str) -> Column:
-    """Indexes, from 1, of the lines of column ls that start a chunk; hs holds their hashes."""
+def chunk_starts(ls: str, hs: str, paired: bool = False, spread: int = SPREAD) -> Column:
+    """Indexes, from 1, of the lines of column ls that start a chunk; hs holds their hashes.
+
+    Paired: no chunk of a text of two lines or more is a single line, as a boundary right behind another or
+    before the last line is none. That looks at no line but the four around it.
+    """
     before = lambda i: F.element_at(hs, i)
     rolled = lambda i: F.pmod(F.pmod(before(i - 2) * BASE, F.lit(MODULUS)) + before(i - 1), F.lit(MODULUS))
-    ends = lambda i: F.when(i == 1, F.lit(True)).when(i == 2, F.lit(False)).otherwise(rolled(i) % SPREAD == 0)
+    ends = lambda i: F.when(i == 1, F.lit(True)).when(i == 2, F.lit(False)).otherwise(rolled(i) % spread == 0)
+    if paired:
+        # i - 1 is 2 at least where ends(i - 1) matters
+        apart = lambda i: (i == 1) | (ends(i) & (i < F.size(ls)) & ((i == 3) | ~ends(F.greatest(i - 1, F.lit(1)))))
+        return F.filter(F.sequence(F.lit(1), F.size(ls)), apart)
     return F.filter(F.sequence(F.lit(1), F.size(ls)), ends)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, paired: bool = False) -> DataFrame:
     """doc_id, _start (line, from 1), _n (lines), _hash of every chunk of two lines or more."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("_ls")).where(F.size("_ls") > 1)
-    own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs"))
+    own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs", paired, PAIRED_SPREAD if paired else SPREAD))
     # a chunk's hash is taken of its lines' hashes; the bytes are compared later
     each = own.withColumn("_end", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_ls") + 1)))
     each = each.select("doc_id", "_hs", F.explode(F.arrays_zip(F.col("_at").alias("s"), F.col("_end").alias("e"))).alias("_c"))
@@ -49,9 +59,9 @@ def chunks(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "_start", "_n", F.xxhash64(F.slice("_hs", F.col("_start"), F.col("_n"))).alias("_hash"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
     """doc_id and _gone, array of (start, n): the lines that go from each document that loses any."""
-    found = chunks(docs)
+    found = chunks(docs, paired)
     counted = found.groupBy("_hash").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_start")).alias("_first")).where("_times > 1").drop("_times")
     counted = materialize(counted)
     places = found.join(counted, "_hash").withColumn("_own", F.struct("doc_id", "_start").eqNullSafe(F.col("_first")) )
@@ -65,14 +75,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
     """docs with text less its repeated chunks, and _n_lines and _n_removed, its lines and how many went.
 
+    Paired: chunks of two lines at least (chunk_starts), which finds more; else the rule of ORACLE.
+
     Rows keep their other columns. Texts that lose nothing, null ones among them, stay as they are; one that
     loses all is empty. Rows with a null doc_id take no part and stay. Rows that share a doc_id and a text are
     one document: what it keeps, each of them keeps.
     """
-    gone = repeated_lines(docs.where("doc_id IS NOT NULL"))
+    gone = repeated_lines(docs.where("doc_id IS NOT NULL"), paired)
     wide = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     wide = wide.withColumn("_ls", lines(F.col("text")))
     within = lambda i: F.exists("_gone", lambda g: (i + 1 >= g["start"]) & (i + 1 < g["start"] + g["n"]))

@@ -415,6 +415,32 @@ def test_keep_one_and_components(spark):
 # -- 10 ------------------------------------------------------------------------------------------------------------
 
 
+def test_line_dedup_in_pairs_equals_brute_force(spark):
+    import hashlib
+
+    r = random.Random(12)
+    passage = [f"passage line {i}" for i in range(60)]
+    rows = [(d, "\n".join([f"own {d} {i}" for i in range(r.randint(0, 5))] + passage[r.randint(0, 5) : r.randint(30, 60)] + [f"end {d}"])) for d in range(12)] + [(20, "a\nb"), (21, "a\nb"), (22, "z\n" * 9)]
+    h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+    seen, want, stay = set(), {}, 0
+    for d, t in rows:
+        ls = t.split("\n")
+        x = list(map(h, ls))
+        c = [i > 1 and (x[i - 2] * line_dedup.BASE % line_dedup.MODULUS + x[i - 1]) % line_dedup.MODULUS % line_dedup.PAIRED_SPREAD == 0 for i in range(len(x))]
+        at = [i for i in range(len(x)) if i == 0 or c[i] and not c[i - 1] and i < len(x) - 1] + [len(x)]
+        kept = []
+        for a, b in zip(at, at[1:]):
+            assert b - a > 1
+            if tuple(ls[a:b]) not in seen:
+                kept += ls[a:b]
+            seen.add(tuple(ls[a:b]))
+        want[d] = "\n".join(kept)
+        stay += sum(line.startswith("passage") for line in kept) if d else 0
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(spark, rows), paired=True).collect()} == want
+    rule = sum(x.text.count("passage") for x in line_dedup.dedup_lines(docs(spark, rows)).where("doc_id > 0").collect())
+    assert stay < rule
+
+
 def test_line_dedup_edges(spark):
     block = "\n".join(f"line {i}" for i in range(30))
     df = spark.createDataFrame([(1, block, "a"), (2, "own start\n" + block + "\nown end", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f"), (None, block, "g"), (1, block, "h")], "doc_id long, text string, source string")
