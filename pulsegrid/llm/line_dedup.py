@@ -48,31 +48,37 @@ def chunk_starts(ls: str, hs: str, paired: bool = False, spread: int = SPREAD) -
     return F.filter(F.sequence(F.lit(1), F.size(ls)), ends)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """_key, which stands for doc_id and text, doc_id and _ls, the lines of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(text).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("_ls"))
+
+
 def chunks(docs: DataFrame, paired: bool = False) -> DataFrame:
-    """doc_id, _start (line, from 1), _n (lines), _hash of every chunk of two lines or more."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("_ls")).where(F.size("_ls") > 1)
+    """doc_id, _key, _start (line, from 1), _n (lines), _hash of every chunk of two lines or more."""
+    own = keyed(docs).where(F.size("_ls") > 1)
     own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs", paired, PAIRED_SPREAD if paired else SPREAD))
     # a chunk's hash is taken of its lines' hashes; the bytes are compared later
     each = own.withColumn("_end", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_ls") + 1)))
-    each = each.select("doc_id", "_hs", F.explode(F.arrays_zip(F.col("_at").alias("s"), F.col("_end").alias("e"))).alias("_c"))
-    each = each.select("doc_id", F.col("_c.s").alias("_start"), (F.col("_c.e") - F.col("_c.s")).alias("_n"), "_hs").where("_n > 1")
-    return each.select("doc_id", "_start", "_n", F.xxhash64(F.slice("_hs", F.col("_start"), F.col("_n"))).alias("_hash"))
+    each = each.select("doc_id", "_key", "_hs", F.explode(F.arrays_zip(F.col("_at").alias("s"), F.col("_end").alias("e"))).alias("_c"))
+    each = each.select("doc_id", "_key", F.col("_c.s").alias("_start"), (F.col("_c.e") - F.col("_c.s")).alias("_n"), "_hs").where("_n > 1")
+    return each.select("doc_id", "_key", "_start", "_n", F.xxhash64(F.slice("_hs", F.col("_start"), F.col("_n"))).alias("_hash"))
 
 
 def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
-    """doc_id and _gone, array of (start, n): the lines that go from each document that loses any."""
+    """doc_id, _key and _gone, array of (start, n): the lines that go from each document that loses any."""
     found = chunks(docs, paired)
-    counted = found.groupBy("_hash").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_start")).alias("_first")).where("_times > 1").drop("_times")
+    counted = found.groupBy("_hash").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_key", "_start")).alias("_first")).where("_times > 1").drop("_times")
     counted = materialize(counted)
-    places = found.join(counted, "_hash").withColumn("_own", F.struct("doc_id", "_start").eqNullSafe(F.col("_first")) )
-    marks = places.groupBy("doc_id").agg(F.collect_set(F.struct("_start", "_n", "_hash", "_own")).alias("_marks"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("_ls")).join(marks, "doc_id")
-    said = text.select("doc_id", "_ls", F.explode("_marks").alias("_m")).select(
-        "doc_id", "_m.*", F.array_join(F.slice("_ls", F.col("_m._start"), F.col("_m._n")), "\n").alias("_bytes"))
+    places = found.join(counted, "_hash").withColumn("_own", F.struct("doc_id", "_key", "_start").eqNullSafe(F.col("_first")))
+    marks = places.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("_start", "_n", "_hash", "_own")).alias("_marks"))
+    text = keyed(docs).join(marks, ["doc_id", "_key"])
+    said = text.select("doc_id", "_key", "_ls", F.explode("_marks").alias("_m")).select(
+        "doc_id", "_key", "_m.*", F.array_join(F.slice("_ls", F.col("_m._start"), F.col("_m._n")), "\n").alias("_bytes"))
     said = materialize(said)
     first = said.where("_own").select("_hash", F.col("_bytes").alias("_first_bytes"))
     again = said.where("NOT _own").join(first, "_hash").where("_bytes = _first_bytes")
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))
+    return again.groupBy("doc_id", "_key").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
@@ -82,10 +88,11 @@ def dedup_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
 
     Rows keep their other columns. Texts that lose nothing, null ones among them, stay as they are; one that
     loses all is empty. Rows with a null doc_id take no part and stay. Rows that share a doc_id and a text are
-    one document: what it keeps, each of them keeps.
+    one document: what it keeps, each of them keeps. Texts that share a doc_id only are documents of their own.
     """
     gone = repeated_lines(docs.where("doc_id IS NOT NULL"), paired)
-    wide = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    own = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    wide = own.join(gone.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_key")), "left").drop("_doc", "_key", "_text")
     wide = wide.withColumn("_ls", lines(F.col("text")))
     within = lambda i: F.exists("_gone", lambda g: (i + 1 >= g["start"]) & (i + 1 < g["start"] + g["n"]))
     kept = F.filter("_ls", lambda line, i: ~within(i))

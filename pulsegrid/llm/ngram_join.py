@@ -265,9 +265,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs less those whose group has a document with a smaller doc_id; repeated rows of one doc_id count once."""
-    keep = jaccard_join(docs).where("group_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep").dropDuplicates(["doc_id"])
+    """docs less those whose group has a document with a smaller doc_id; rows of one doc_id and text count once.
+
+    Of texts that share a doc_id, one stands under it; the others are documents of their own behind all others,
+    so each goes only if its text is near to that of a row that stays.
+    """
+    own = docs.where("doc_id IS NOT NULL").withColumn("_id", F.col("doc_id").cast("long"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = own.groupBy("_id").agg(F.min(text).alias("_least"), F.max(text).alias("_most")).where("_least <> _most")
+    several = materialize(several.select(F.col("_id").alias("_same"), "_least"))
+    if not several.isEmpty():
+        other = F.xxhash64("_id", text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
+        own = own.join(several, F.col("_id") == F.col("_same"), "left").withColumn("_id", F.when(F.col("_least") != text, other).otherwise(F.col("_id"))).drop("_same", "_least")
+    keep = jaccard_join(own.select(F.col("_id").alias("doc_id"), "text")).where("group_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
+    first = own.join(keep, F.col("_id") == F.col("_keep")).drop("_keep").dropDuplicates(["_id"]).drop("_id")
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 

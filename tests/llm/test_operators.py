@@ -412,6 +412,14 @@ def test_keep_one_and_components(spark):
     assert ngram_join.components(edges.limit(0)).count() == 0
 
 
+def test_keep_one_texts_of_one_doc_id(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, a), (4, "v w x"), (4, None)]
+    got = ngram_join.keep_one(docs(spark, rows)).collect()
+    assert sorted(str(r.text) for r in got) == sorted([a, b, c, "v w x", "None"])
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
+
+
 # -- 10 ------------------------------------------------------------------------------------------------------------
 
 
@@ -441,6 +449,13 @@ def test_line_dedup_in_pairs_equals_brute_force(spark):
     assert stay < rule
 
 
+def test_line_dedup_texts_of_one_doc_id(spark):
+    block, other = ("\n".join(f"{name} {i}" for i in range(30)) for name in ("line", "else"))
+    for paired in (False, True):
+        got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs(spark, [(1, block), (2, block), (2, other)]), paired).collect()}
+        assert (1, block) in got and (2, other) in got and (2, block) not in got and len(got) == 3
+
+
 def test_line_dedup_edges(spark):
     block = "\n".join(f"line {i}" for i in range(30))
     df = spark.createDataFrame([(1, block, "a"), (2, "own start\n" + block + "\nown end", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f"), (None, block, "g"), (1, block, "h")], "doc_id long, text string, source string")
