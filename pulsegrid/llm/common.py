@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -21,12 +20,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (local tests)."""
+    """The shared folder of the session: spark.checkpoint.dir, or a folder of the warehouse where it is not set."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like the given one that no column of df has, whatever the case of its letters."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def set_aside(docs: DataFrame, **own: Column) -> DataFrame:
+    """doc_id (long), text and the given columns, with all else that docs has in one struct, _row: whatever its
+    columns are called, none can clash with those that an operator adds. taken_back() undoes it."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[v.alias(k) for k, v in own.items()])
+
+
+def taken_back(columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of docs out of set_aside(): text as it is now, and others as they were but for those given."""
+    return [(instead[c] if c in instead else F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in columns]
 
 
 def materialize(df: DataFrame) -> DataFrame:
