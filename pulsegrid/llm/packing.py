@@ -13,6 +13,7 @@ salts before, so one very common length is spread over SALTS groups.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,18 +39,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class TokenizerIds:
     """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit bytes, with a cache of runs.
 
-    The file's byte-level splitter never joins two runs (see bpe._RUNS), so a text's ids are those of its
-    runs in order. Where the file's merges are in the order of their ids, which is all that tiktoken knows,
-    tiktoken merges in a third of the time; other files are left to tokenizers.
+    The file's added tokens are found first and have ids of their own. The file's byte-level splitter never
+    joins two runs (see bpe._RUNS), so the ids of what lies between are those of its runs in order. Where the
+    file's merges are in the order of their ids, which is all that tiktoken knows, tiktoken merges in a third of
+    the time; other files are left to tokenizers, and so are whole texts if an added token takes in blanks or
+    stands for whole words only.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            data = json.load(file)
+        model, added = data["model"], data.get("added_tokens") or []
+        self.added = {a["content"]: array("I", [a["id"]]).tobytes() for a in added}
+        apart = sorted(self.added, key=len, reverse=True)
+        self.whole = any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.between = re.compile("(" + "|".join(map(re.escape, apart)) + ")") if apart else None
         chars = _byte_chars()
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = [vocab[a + b] for a, b in merges]
-        if made == sorted(made):
+        if made == sorted(made) and not self.whole:
             import tiktoken
 
             known = {c for c in chars} | {a + b for a, b in merges}
@@ -60,17 +68,27 @@ class TokenizerIds:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self.ids = lambda runs: (found.ids for found in tokenizer.encode_batch_fast(runs, add_special_tokens=False))
         self.cache: dict[str, bytes] = {}
 
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.whole:
+            return [text]
+        if self.between is None or not self.between.search(text):
+            return _RUNS.findall(text)
+        found = self.between.split(text)
+        return [run for i, part in enumerate(found) for run in ([part] if i % 2 else _RUNS.findall(part))]
+
     def encode(self, texts) -> Iterator[bytes]:
         for group in _groups(texts):
-            runs = [_RUNS.findall(text) if text else [] for text in group]
-            new = list(set(chain.from_iterable(runs)).difference(self.cache))
+            runs = list(map(self._split, group))
+            new = list(set(chain.from_iterable(runs)).difference(self.cache, self.added))
             if len(self.cache) + len(new) > CACHE_ENTRIES:
                 self.cache.clear()
-                new = list(set(chain.from_iterable(runs)))
+                new = list(set(chain.from_iterable(runs)).difference(self.added))
+            self.cache |= self.added
             for run, ids in zip(new, self.ids(new)):
                 self.cache[run] = array("I", ids).tobytes()
             look = self.cache.__getitem__
