@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_aside, taken_back
 
 SPREAD, BASE, MODULUS = 4, 1_000_003, 2_147_483_647
 #: Where chunks are two lines at least: SPREAD counts boundaries before those that follow another are skipped.
@@ -54,15 +54,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("_ls"))
 
 
+def said(start: Column, n: Column) -> Column:
+    """The bytes of n lines of _ls."""
+    return F.array_join(F.slice("_ls", start, n), "\n")
+
+
+def digest(text: Column) -> Column:
+    """128 bits of a chunk's bytes."""
+    return F.unhex(F.md5(text))
+
+
 def chunks(docs: DataFrame, paired: bool = False) -> DataFrame:
     """doc_id, _key, _start (line, from 1), _n (lines), _hash of every chunk of two lines or more."""
     own = keyed(docs).where(F.size("_ls") > 1)
     own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs", paired, PAIRED_SPREAD if paired else SPREAD))
-    # a chunk's hash is taken of its lines' hashes; the bytes are compared later
-    each = own.withColumn("_end", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_ls") + 1)))
-    each = each.select("doc_id", "_key", "_hs", F.explode(F.arrays_zip(F.col("_at").alias("s"), F.col("_end").alias("e"))).alias("_c"))
-    each = each.select("doc_id", "_key", F.col("_c.s").alias("_start"), (F.col("_c.e") - F.col("_c.s")).alias("_n"), "_hs").where("_n > 1")
-    return each.select("doc_id", "_key", "_start", "_n", F.xxhash64(F.slice("_hs", F.col("_start"), F.col("_n"))).alias("_hash"))
+    own = own.withColumn("_end", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_ls") + 1)))
+    # digests are taken before chunks become rows, so that no row holds more than its own chunk's
+    place = lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"), digest(said(s, e - s)).alias("h"))
+    each = own.select("doc_id", "_key", F.explode(F.filter(F.zip_with("_at", "_end", lambda s, e: F.when(e - s > 1, place(s, e))), F.isnotnull)).alias("_c"))
+    return each.select("doc_id", "_key", F.col("_c.s").alias("_start"), F.col("_c.n").alias("_n"), F.col("_c.h").alias("_hash"))
 
 
 def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
@@ -73,42 +83,50 @@ def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
     places = found.join(counted, "_hash").withColumn("_own", F.struct("doc_id", "_key", "_start").eqNullSafe(F.col("_first")))
     marks = places.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("_start", "_n", "_hash", "_own")).alias("_marks"))
     text = keyed(docs).join(marks, ["doc_id", "_key"])
-    said = text.select("doc_id", "_key", "_ls", F.explode("_marks").alias("_m")).select(
-        "doc_id", "_key", "_m.*", F.array_join(F.slice("_ls", F.col("_m._start"), F.col("_m._n")), "\n").alias("_bytes"))
-    said = materialize(said)
-    first = said.where("_own").select("_hash", F.col("_bytes").alias("_first_bytes"))
-    again = said.where("NOT _own").join(first, "_hash").where("_bytes = _first_bytes")
+    with_bytes = F.transform("_marks", lambda m: F.struct(m["_start"].alias("_start"), m["_n"].alias("_n"), m["_hash"].alias("_hash"), m["_own"].alias("_own"), said(m["_start"], m["_n"]).alias("_bytes")))
+    each = materialize(text.select("doc_id", "_key", F.explode(with_bytes).alias("_m")).select("doc_id", "_key", "_m.*"))
+    first = each.where("_own").select("_hash", F.col("_bytes").alias("_first_bytes"))
+    again = each.where("NOT _own").join(first, "_hash").where("_bytes = _first_bytes")
     return again.groupBy("doc_id", "_key").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
-    """docs with text less its repeated chunks, and _n_lines and _n_removed, its lines and how many went.
+def _left(docs: DataFrame, paired: bool) -> DataFrame:
+    """set_aside(docs) with text less its repeated chunks, n_lines and n_removed."""
+    gone = repeated_lines(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), paired)
+    own = set_aside(docs, _key=F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "_key"], "left").withColumn("_ls", lines(F.col("text")))
+    # what lies before, between and behind the chunks that go; they don't overlap
+    ends = F.concat(F.array(F.struct(F.lit(1).alias("start"), F.lit(0).alias("n"))), F.array_sort("_gone"))
+    starts = F.concat(F.transform(F.array_sort("_gone"), lambda g: g["start"]), F.array(F.size("_ls") + 1))
+    stays = F.flatten(F.zip_with(ends, starts, lambda g, s: F.slice("_ls", g["start"] + g["n"], s - g["start"] - g["n"])))
+    removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda n, g: n + g["n"])
+    changed = F.col("_gone").isNotNull()
+    return own.select(
+        "_row", "doc_id", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")).alias("text"),
+        F.size("_ls").cast("long").alias("n_lines"), F.when(changed, removed).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, paired: bool = False, length: str | None = None) -> DataFrame:
+    """docs with text less its repeated chunks.
 
-    Paired: chunks of two lines at least (chunk_starts), which finds more; else the rule of ORACLE.
+    Paired: chunks of two lines at least (chunk_starts), which finds more; else the rule of ORACLE. A column
+    `length` is set to the code points of those texts that lose lines.
 
-    Rows keep their other columns. Texts that lose nothing, null ones among them, stay as they are; one that
-    loses all is empty. Rows with a null doc_id take no part and stay. Rows that share a doc_id and a text are
-    one document: what it keeps, each of them keeps. Texts that share a doc_id only are documents of their own.
+    Rows keep their other columns, whatever these are called. Texts that lose nothing, null ones among them, stay
+    as they are; one that loses all is empty. Rows with a null doc_id take no part and stay. Rows that share a
+    doc_id and a text are one document: what it keeps, each of them keeps. Texts that share a doc_id only are
+    documents of their own.
     """
-    gone = repeated_lines(docs.where("doc_id IS NOT NULL"), paired)
-    own = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    wide = own.join(gone.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_key")), "left").drop("_doc", "_key", "_text")
-    wide = wide.withColumn("_ls", lines(F.col("text")))
-    within = lambda i: F.exists("_gone", lambda g: (i + 1 >= g["start"]) & (i + 1 < g["start"] + g["n"]))
-    kept = F.filter("_ls", lambda line, i: ~within(i))
-    return wide.withColumn("_n_lines", F.size("_ls").cast("long")).withColumn(
-        "_kept", F.when(F.col("_gone").isNotNull(), kept)
-    ).withColumn("_n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_ls") - F.size("_kept")).cast("long")).withColumn(
-        "text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    ).drop("_ls", "_gone", "_kept")
+    kept = _left(docs, paired)
+    kind = docs.schema[length].dataType if length else None
+    instead = {length: F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("_row").getField(length))} if length else {}
+    return kept.select(*taken_back(docs.columns, **instead))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and kept_sha256 of each document's kept text (null: empty)."""
     kept = F.coalesce("text", F.lit(""))
-    return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-        F.length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return _left(docs.select("doc_id", "text"), False).select(
+        "doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 ORACLE = f"""
