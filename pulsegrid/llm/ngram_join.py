@@ -8,8 +8,8 @@ set goes on to one child for each, named by the token (the least hash) that the
 on sampled tokens that they share, again and again; nodes with one set are dropped at each step, and after
 DEPTH levels what shares a node is a candidate. RUNS roots repeat this. A pair of similarity s shares a leaf of
 one run with probability p, where p' = 1 - (1 - s p)^2 at each level: 0.94 at 0.8. All runs draw on the same
-SKETCH coordinates, so they are not independent: RUNS = 3 leave out one pair in 1200 of those exactly at the
-threshold, one in 2300 at 0.82 and one in 7100 at 0.85, but for those that others of their cluster join.
+SKETCH coordinates, so they are not independent: simulated over 40,000 pairs, RUNS = 4 leave out one pair in 13,000
+of those exactly at the threshold and one in 40,000 at 0.82, but for those that others of their cluster join.
 
 Candidates are then compared exactly. Sets that are joined by leaves form clusters; a cluster is cut into
 blocks of about BLOCK sets, and a task compares two blocks, so each pair is compared once, memory is bounded
@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_aside, taken_back
 
 WORDS, THRESHOLD = 5, (4, 5)  # similarity of at least 4 / 5
-SKETCH, BRANCHES, DEPTH, RUNS, BLOCK = 64, 2, 5, 3, 128
+SKETCH, BRANCHES, DEPTH, RUNS = 64, 2, 5, 4
+#: A block of a cluster has about so many sets, and about so many shingles at most but for those of a single set.
+BLOCK, BLOCK_SHINGLES = 128, 200_000
 #: The first step goes down so many levels before single sets are dropped; later steps one level each.
 FIRST = 2
 
@@ -130,15 +132,16 @@ def candidates(sets: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFra
     return paths.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node it is connected with.
 
-    Rounds of joining larger neighbours, then smaller ones, to the least neighbour; their number grows with
-    the logarithm of the longest path. Edges stay tables throughout; one number a round tells whether to go on.
+    Rounds of joining larger neighbours, then smaller ones, to the least neighbour, until none changes an edge;
+    their number grows with the logarithm of the longest path. Edges stay tables throughout; two numbers a round
+    tell whether to go on.
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -250,9 +253,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = materialize(some.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
     reps = classes.select("rep", F.col("s0").alias("r0"), F.col("s1").alias("r1"))
     same = (F.col("rep") == F.col("doc_id")) & (F.col("r0") == F.col("s0")) & (F.col("r1") == F.col("s1"))
-    sets = materialize(some.join(reps, same).select("rep", "sketch").dropDuplicates(["rep"]))
-    clusters = materialize(components(candidates(sets)))
-    counts = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = materialize(some.join(reps, same).select("rep", "size", "sketch").dropDuplicates(["rep"]))
+    clusters = materialize(components(candidates(sets.select("rep", "sketch"))))
+    sized = clusters.join(sets.select(F.col("rep").alias("node"), "size"), "node")
+    counts = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = clusters.join(counts, "root").select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "blocks")
     found = materialize(compare(members, docs))
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
@@ -271,15 +275,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of texts that share a doc_id, one stands under it; the others are documents of their own behind all others,
     so each goes only if its text is near to that of a row that stays.
     """
-    own = docs.where("doc_id IS NOT NULL").withColumn("_id", F.col("doc_id").cast("long"))
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = own.groupBy("_id").agg(F.min(text).alias("_least"), F.max(text).alias("_most")).where("_least <> _most")
-    several = materialize(several.select(F.col("_id").alias("_same"), "_least"))
-    if not several.isEmpty():
-        other = F.xxhash64("_id", text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
-        own = own.join(several, F.col("_id") == F.col("_same"), "left").withColumn("_id", F.when(F.col("_least") != text, other).otherwise(F.col("_id"))).drop("_same", "_least")
-    keep = jaccard_join(own.select(F.col("_id").alias("doc_id"), "text")).where("group_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = own.join(keep, F.col("_id") == F.col("_keep")).drop("_keep").dropDuplicates(["_id"]).drop("_id")
+    own = set_aside(docs.where("doc_id IS NOT NULL"), _text=text)
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(text).alias("_least"), F.max(text).alias("_most"))
+    several = materialize(several.where("_least <> _most").drop("_most"))
+    other = F.xxhash64("doc_id", "_text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
+    own = own.join(several, "doc_id", "left").withColumn("_id", F.when(F.col("_least") != F.col("_text"), other).otherwise(F.col("doc_id")))
+    keep = jaccard_join(own.select(F.col("_id").alias("doc_id"), "text")).where("group_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = own.join(keep, "_id").dropDuplicates(["_id"]).select(*taken_back(docs.columns))
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -6,6 +6,9 @@ one document has can start no repeat. Where an anchor is shared, it is extended
 holds it as anchor is hashed whole (128 bits), and the least doc_id of each window is its owner. Neighbouring
 windows that belong to an earlier document merge to the maximal repeats, whose words go.
 
+Equality of windows is equality of 128 bits made of 64-bit hashes of their words, so windows are taken as equal
+that differ only in words of one hash: of a thousand million different words, two have one in one corpus of forty.
+
 Nothing is ever paired within a group: a window that a million documents share is one row for each of them,
 whose least doc_id is found by a partial aggregate. Copies of a whole document are told by the hash of all their
 words and need no windows of their own.
@@ -20,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, set_aside, taken_back
 from .ngram_join import _WORDS, mix, word_hashes
 
 SPAN, GRAM = 50, 10
@@ -186,22 +190,29 @@ def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return marked.select("doc_id", "text", "starts", "_cut").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def dedup_substrings(docs: DataFrame, span: int = SPAN, length: str | None = None) -> DataFrame:
     """docs with the words of repeats taken from text: what is left is joined by single spaces. Texts that lose
-    nothing stay as they are, and all other columns too."""
-    names = docs.columns
+    nothing stay as they are, and all other columns too, whatever these are called; a column `length` is set to
+    the code points of those that lose words. Rows with a null doc_id lose nothing; null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
+            changed = [False] * len(texts)
             for row in np.flatnonzero(batch.column("_cut").is_valid().to_numpy(zero_copy_only=False)):
                 found = _WORDS((texts[row] or "").encode())
-                texts[row] = _kept(found, _gone(batch, row, len(found), span)).decode()
-            yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string())).select(names)
-
-    marks = repeats(docs, span).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "starts", "_cut")
-    key = (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_u"))
-    return docs.join(marks, key, "left").drop("_d", "_u").mapInArrow(run, docs.schema)
+                gone = _gone(batch, row, len(found), span)
+                changed[row] = bool(gone.any())
+                if changed[row]:
+                    texts[row] = _kept(found, gone).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], ["_row", "doc_id", "text", "_changed"])
+
+    own = set_aside(docs, _t=F.xxhash64(F.coalesce("text", F.lit("")))).join(repeats(docs.select("doc_id", "text"), span), ["doc_id", "_t"], "left")
+    out = StructType([own.schema["_row"], own.schema["doc_id"], own.schema["text"], StructField("_changed", BooleanType())])
+    kept = own.select("_row", "doc_id", "text", "starts", "_cut").mapInArrow(run, out)
+    kind = docs.schema[length].dataType if length else None
+    instead = {length: F.when(F.col("_changed"), F.length("text").cast(kind)).otherwise(F.col("_row").getField(length))} if length else {}
+    return kept.select(*taken_back(docs.columns, **instead))
 
 
 ORACLE = f"""
