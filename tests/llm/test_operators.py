@@ -65,7 +65,7 @@ def test_packing_ids_equal_tokenizers(odd_texts):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(TOKENIZER)
-    theirs.encode_special_tokens = True
+    odd_texts = [*odd_texts, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x", "a  <|endoftext", "<|endoftext|>"]
     for text, data in zip(odd_texts, packing.TokenizerIds(TOKENIZER).encode(odd_texts)):
         assert np.frombuffer(data, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
@@ -270,6 +270,48 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.report(docs(spark, rows[:3]), l.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxicity_features_equal_brute_force():
+    import zstandard
+
+    ordinary, toxic = b" and the other words of all texts " * 9, b" vileword  nastything "
+    texts = ["and the other words", "so a vileword was said of all the other words that were", None, "", "nastything " * 40, "Vileword, and a nastything. " * 5]
+
+    def one(window, behind):
+        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=6, target_length=64, write_content_size=0, write_dict_id=0, write_checksum=0)
+        held = zstandard.ZstdCompressionDict(ordinary + behind, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(window))
+
+    for text, row in zip(texts, toxicity.measure(ordinary, toxic)(texts)):
+        w = (text or "").lower().split()
+        parts = [(" " + " ".join(w[i : i + 8]) + " " + "\n" * 16).encode() for i in range(0, len(w), 8)]
+        saved = [max(0, one(p, bytes(len(toxic))) - one(p, toxic)) for p in parts]
+        counts = [sum(d >= level for d in saved) for level in (1, 2, 3, 4, 5)]
+        want = [*np.log1p(counts), *[c / max(1, len(parts)) for c in counts[:3]], max(saved, default=0), np.log1p(len(parts))]
+        assert np.allclose(row, want)
+    assert toxicity.measure(ordinary, toxic)(texts)[1][0] > 0 and toxicity.measure(ordinary, toxic)(texts)[0][0] == 0
+
+
+def test_toxic_pieces_and_cut():
+    assert toxicity.pieces("nastything", frozenset([" nast", "nasty"])) == [" nasty"]
+    assert toxicity.pieces("a", frozenset()) == []
+    assert b"vileword" in toxicity.train_toxic([(b" vileword ", 40), (b" nastything ", 30), (b" horrid ", 20)])
+    assert toxicity.best_cut(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
+
+
+def test_toxicity_clashes_and_repeats(spark):
+    rows = [(i, ("vileword is here " if i % 3 == 0 else "quiet words only ") * 8, i) for i in range(120)]
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, toxicity int").withColumn("_toxicity", F.lit("x")).withColumn("toxic", F.lit(7))
+    l = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    out = toxicity.keep_clean(df, l)
+    assert out.dtypes == df.dtypes
+    kept = out.collect()
+    assert {r.doc_id for r in kept} == {i for i in range(120) if i % 3} and all(r.toxicity == r.doc_id for r in kept)
+    assert toxicity.report(df.limit(0), l).count() == 0
+    long = toxicity.report(docs(spark, [(r[0], r[1]) for r in rows] + [(500, "quiet words only " * 30000), (501, "quiet words only " * 30000 + "vileword is here " * 40)]), l).where("doc_id >= 500").collect()
+    assert {r.doc_id: r.predicted for r in long}[500] == 0
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
@@ -304,9 +346,14 @@ def test_substrings_equal_brute_force(spark, span):
 
 def test_substring_stage_keeps_columns(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(1, text, "s"), (2, "new " + text, "t"), (None, text, "u"), (3, "short\ttext", None)], "doc_id long, text string, starts string")
-    got = {r.doc_id: (r.text, r.starts) for r in substrings.dedup_substrings(df.withColumnRenamed("starts", "source")).withColumnRenamed("source", "starts").collect()}
-    assert got == {1: (text, "s"), 2: ("new", "t"), None: (text, "u"), 3: ("short\ttext", None)}
+    df = spark.createDataFrame([(1, text, "s", 9, 1), (2, "new " + text, "t", 9, 2), (None, text, "u", 9, 3), (3, "short\ttext", None, 9, 4), (4, None, "v", 9, 5)], "doc_id long, text string, starts string, _cut int, _t int")
+    out = substrings.dedup_substrings(df, length="_cut")
+    assert out.dtypes == df.dtypes
+    got = {r.doc_id: (r.text, r.starts, r._cut) for r in out.collect()}
+    assert got == {1: (text, "s", 9), 2: ("new", "t", 3), None: (text, "u", 9), 3: ("short\ttext", None, 9), 4: (None, "v", 9)}
+    assert substrings.report(df.limit(0)).count() == 0
+    gone = substrings.dedup_substrings(docs(spark, [(1, text), (2, text)])).collect()
+    assert {r.doc_id: r.text for r in gone} == {1: text, 2: ""}
 
 
 # -- 8 -------------------------------------------------------------------------------------------------------------
@@ -412,6 +459,30 @@ def test_keep_one_and_components(spark):
     assert ngram_join.components(edges.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, None, 7)], "doc_id long, text string, _id int").withColumn("_text", F.lit(0)).withColumn("rep", F.lit(1))
+    out = ngram_join.keep_one(df)
+    assert out.dtypes == df.dtypes and sorted((r.doc_id, r._id) for r in out.collect()) == [(1, 5), (3, 7)]
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rows = []
+    for i in range(1000):  # sets of 200 shingles, of which two texts share 178: 178 / 222 = 0.802
+        w = [f"w{i}x{j}" for j in range(204)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[22:] + [f"v{i}x{j}" for j in range(22)]))]
+    got = ngram_join.jaccard_join(docs(spark, rows)).where("n_links = 1").count()
+    assert got >= 0.999 * len(rows)
+
+
+def test_long_texts_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(12)]
+    got = {x.doc_id: (x.class_id, x.n_copies, x.n_links, x.group_id) for x in ngram_join.jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute_join(rows)
+
+
 def test_keep_one_texts_of_one_doc_id(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, a), (4, "v w x"), (4, None)]
@@ -449,6 +520,12 @@ def test_line_dedup_in_pairs_equals_brute_force(spark):
     assert stay < rule
 
 
+def test_line_dedup_of_one_long_text(spark):
+    text = "\n".join(f"line {i % 40000}" for i in range(200_000))
+    row = line_dedup.report(docs(spark, [(1, text)])).first()
+    assert row.n_lines == 200_000 and 100_000 < row.n_removed < 200_000
+
+
 def test_line_dedup_texts_of_one_doc_id(spark):
     block, other = ("\n".join(f"{name} {i}" for i in range(30)) for name in ("line", "else"))
     for paired in (False, True):
@@ -459,11 +536,16 @@ def test_line_dedup_texts_of_one_doc_id(spark):
 def test_line_dedup_edges(spark):
     block = "\n".join(f"line {i}" for i in range(30))
     df = spark.createDataFrame([(1, block, "a"), (2, "own start\n" + block + "\nown end", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f"), (None, block, "g"), (1, block, "h")], "doc_id long, text string, source string")
-    rows = line_dedup.dedup_lines(df).collect()
-    got = {r.source: (r.text, r._n_removed) for r in rows}
-    assert got["a"] == (block, 0) and got["h"] == (block, 0) and got["g"] == (block, 0)
-    assert got["b"][1] >= 15 and got["b"][0].startswith("own start") and got["b"][0].endswith("own end")
-    assert [got[k] for k in "cdef"] == [(None, 0), ("", 0), ("one line", 0), ("one line", 0)]
+    clash = df.withColumn("_ls", F.lit(1)).withColumn("_gone", F.lit(-1).cast("long")).withColumn("_key", F.lit("k")).withColumn("_kept", F.lit(2)).withColumn("n_removed", F.lit(3))
+    out = line_dedup.dedup_lines(clash, length="_gone")
+    assert out.dtypes == clash.dtypes
+    rows = out.collect()
+    assert {(r._ls, r._key, r._kept, r.n_removed) for r in rows} == {(1, "k", 2, 3)}
+    got = {r.source: r.text for r in rows}
+    assert got["a"] == block and got["h"] == block and got["g"] == block
+    assert got["b"].count("line") <= 15 and got["b"].startswith("own start") and got["b"].endswith("own end")
+    assert [got[k] for k in "cdef"] == [None, "", "one line", "one line"]
+    assert {r.source: r._gone for r in rows} == {k: len(got["b"]) if k == "b" else -1 for k in "abcdefgh"}
     assert line_dedup.report(df.limit(0)).count() == 0
 
 
