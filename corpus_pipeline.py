@@ -10,7 +10,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulsegrid.llm import line_dedup, ngram_join, packing, substrings, toxicity
 from pulsegrid.llm.common import checkpoint_dir, table
@@ -18,25 +17,22 @@ from pulsegrid.llm.common import checkpoint_dir, table
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are scored toxic go. The labels are those of sf_dir, outside the held-out fold."""
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels")).select(docs.columns)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line chunks that repeat are taken out of texts; n_chars follows. All documents stay."""
-    kept = line_dedup.dedup_lines(docs, paired=True).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(docs.columns)
+    return line_dedup.dedup_lines(docs, paired=True, length="n_chars")
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the least doc_id stays."""
-    return ngram_join.keep_one(docs).select(docs.columns)
+    return ngram_join.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are taken out; n_chars follows. All documents stay."""
-    before = docs.withColumn("_was", F.col("n_chars"))
-    kept = substrings.dedup_substrings(before.withColumn("_before", F.length("text")))
-    return kept.withColumn("n_chars", F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("_was"))).select(docs.columns)
+    return substrings.dedup_substrings(docs, length="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
