@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Templates of so many hosts are broadcast; beyond that both sides are shuffled.
-BROADCAST_HOSTS = 20_000
-
 #: Element names by what they do to text.
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form fieldset dialog table button select textarea object title menu noscript figure".split())
 BOILERPLATE = frozenset("head title nav footer aside form fieldset dialog button select textarea object menu noscript".split())
@@ -49,10 +47,12 @@ MARKS = frozenset(
     "comment comments disqus respond reply replies related recommended newsletter subscribe subscription signup login search form complementary contentinfo".split())
 FILL = frozenset("list item items box bar area section block link links button buttons text title top bottom left right wrapper container site page main post entry article inner global primary secondary".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z""",
-    re.S | re.I,
-)
+#: Fixed value: elements whose contents are no markup and never text.
+SKIPPED = "script style template svg iframe".split()
+
+_START = re.compile(r"<(?:!--|(/?)([a-z][a-z0-9:-]*)|[!?/])", re.I)
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_OVER = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ROOT = 0
@@ -61,6 +61,33 @@ SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked", "sai
 FEWEST, NEARLY = 4, (9, 10)
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, comment and skipped element; the last two have no name.
+
+    The text is passed over once. A tag that nothing ends runs to the end of the page, as do comments and skipped
+    elements. Once quotes in a tag are never closed, a tag ends at the next > from there on, whatever quotes say.
+    """
+    at, last, quotes = 0, source.rfind(">"), True
+    while found := _START.search(source, at):
+        start, name = found.start(), (found[2] or "").lower()
+        if found[0] == "<!--":
+            end = source.find("-->", found.end())
+            at = end + 3 if end >= 0 else len(source)
+        elif start > last:
+            at = len(source)
+            name = ""
+        elif not name:
+            at = source.find(">", start) + 1
+        else:
+            rest = _REST.match(source, found.end()) if quotes else None
+            quotes = rest is not None
+            at = rest.end() if rest else source.find(">", found.end()) + 1
+            if name in _OVER and not found[1]:
+                over = _OVER[name].search(source, at)
+                at, name = over.end() if over else len(source), ""
+        yield start, at, name, bool(found[1]), source[found.end() : at - 1] if name else ""
+
+
 def marked(named: list[str]) -> bool:
     """Whether one of the blank-separated names marks boilerplate: menu and comment-list do, has-sidebar does not."""
     for token in " ".join(named).split():
@@ -82,17 +109,18 @@ class Page:
         self.above: dict[int, int] = {_ROOT: _ROOT}
         #: path -> element name of those that a name or word marks as boilerplate
         self.marks: dict[int, str] = {}
-        self._stack: list[tuple[str, int]] = [("", _ROOT)]
+        self._stack: list[tuple[str, int, bool]] = [("", _ROOT, False)]
+        #: how many elements of each name, lists and marked ones the stack holds
+        self._names: Counter = Counter()
+        self._lists = self._marked = 0
         self._parts: list[str] = []
         self._links = self._linked = 0
         source, at = source or "", 0
-        for tag in _TAG.finditer(source):
-            if tag.start() > at:
-                self._say(source[at : tag.start()])
-            at = tag.end()
-            name = (tag[3] or tag[6] or "").lower()
+        for start, end, name, closing, attributes in tags(source):
+            self._say(source[at:start])
+            at = end
             if name:
-                self._tag(name, bool(tag[2] or tag[5]), tag[4] if tag[3] else tag[7])
+                self._tag(name, closing, attributes)
         self._say(source[at:])
         self._flush()
         self._judge()
@@ -124,18 +152,37 @@ class Page:
         elif name in CONTAINERS:
             self._flush()
             self._links = 0
-            names = [n for n, _ in self._stack]
             if closing:
-                if name in names:
-                    del self._stack[len(names) - 1 - names[::-1].index(name) :]
+                self._close(name)
                 return
-            if name == "body" and "head" in names:
-                del self._stack[names.index("head") :]
+            if name == "body":
+                while self._names["head"]:
+                    self._pop()
             if attributes.endswith("/"):
                 return
             self._paragraph_ends()
             self._open(name, attributes)
 
+    def _push(self, name: str, path: int) -> None:
+        by_mark = path in self.marks
+        self._stack.append((name, path, by_mark))
+        self._names[name] += 1
+        self._lists += name in LISTS
+        self._marked += by_mark
+
+    def _pop(self) -> str:
+        name, _, by_mark = self._stack.pop()
+        self._names[name] -= 1
+        self._lists -= name in LISTS
+        self._marked -= by_mark
+        return name
+
+    def _close(self, name: str) -> None:
+        """End the innermost element of the name and all in it; nothing, if none is open."""
+        if self._names[name]:
+            while self._pop() != name:
+                pass
+
     def _open(self, name: str, attributes: str) -> None:
         named = [" ".join(x or "" for x in m.groups()) for m in _NAMED.finditer(attributes)]
         words = sorted({w for x in named for w in _WORD.findall(x.lower())})
@@ -148,29 +195,27 @@ class Page:
         if by_name or by_word and name not in MAIN:
             self.marks[path] = name
         if name in MAIN:  # an article of the comments is none of the page
-            is_main = not (by_word and any(p in self.marks for _, p in self._stack))
+            is_main = not (by_word and self._marked)
         else:
             is_main = "main" in words and not by_word and name != "body"
         own[4] |= self.paths[around][4] or is_main
-        self._stack.append((name, path))
+        self._push(name, path)
 
     def _paragraph_ends(self) -> None:
         if self._stack[-1][0] in PARAGRAPHS:
-            self._stack.pop()
+            self._pop()
 
     def _soft(self, name: str, closing: bool, attributes: str) -> None:
         """Lists and paragraphs with a mark are containers up to their end; so are lists and items inside them."""
-        names = [n for n, _ in self._stack]
         if closing:
-            if name in names:
-                del self._stack[len(names) - 1 - names[::-1].index(name) :]
+            self._close(name)
             return
         self._paragraph_ends()
         if name in ITEMS and self._stack[-1][0] in ITEMS:
-            self._stack.pop()
+            self._pop()
         if name not in LISTS and name not in PARAGRAPHS:
             return
-        if name in LISTS and not LISTS.isdisjoint(names) or marked([" ".join(x or "" for x in m.groups()) for m in _NAMED.finditer(attributes)]):
+        if name in LISTS and self._lists or marked([" ".join(x or "" for x in m.groups()) for m in _NAMED.finditer(attributes)]):
             self._open(name, attributes)
 
     def _judge(self) -> None:
@@ -233,35 +278,59 @@ def spoken(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path} {text}") - (1 << 63)
 
 
+def nested_order(containers: dict[int, dict]) -> Iterator[tuple[dict, bool]]:
+    """Each container when it opens (True) and when it closes (False), those inside in between."""
+    inside: dict[int | None, list[dict]] = {}
+    for t in containers.values():
+        top = t["path"] == _ROOT or t["above"] not in containers
+        inside.setdefault(None if top else t["above"], []).append(t)
+    todo = [(t, True) for t in inside.get(None, [])]
+    while todo:
+        t, opens = todo.pop()
+        yield t, opens
+        if opens:
+            todo.append((t, False))
+            todo.extend((c, True) for c in inside.get(t["path"], []))
+
+
 def template_text(tokens: list[dict], pages: int) -> list[dict]:
     """Which of a host's template tokens are template text: blocks in the equivalence class of a container
     around them, and those that nearly all pages have."""
     if pages < FEWEST:
         return []
-    containers = {t["path"]: t for t in tokens if not t["said"]}
-
-    def nested(token: dict) -> bool:
-        at = containers.get(token["above"])
-        while at is not None and at["class"] != token["class"]:
-            at = containers.get(at["above"]) if at["path"] != _ROOT else None
-        return at is not None
-
-    return [t for t in tokens if t["said"] and (t["support"] * NEARLY[1] >= pages * NEARLY[0] or nested(t))]
+    said: dict[int, list[dict]] = {}
+    for t in tokens:
+        if t["said"]:
+            said.setdefault(t["above"], []).append(t)
+    around: Counter = Counter()
+    found = []
+    for c, opens in nested_order({t["path"]: t for t in tokens if not t["said"]}):
+        around[c["class"]] += 1 if opens else -1
+        if opens:
+            found += [t for t in said.pop(c["path"], []) if around[t["class"]] > 0 or t["support"] * NEARLY[1] >= pages * NEARLY[0]]
+    return found + [t for alone in said.values() for t in alone if t["support"] * NEARLY[1] >= pages * NEARLY[0]]
 
 
 def choose_slots(tokens: list[dict]) -> tuple[set[int], set[int], set[int]]:
     """The paths of main text, link lists and template text of a host's template tokens."""
     pages = max((t["support"] for t in tokens), default=0)
     template = template_text(tokens, pages)
-    of = lambda t: tuple(t[k] for k in SLOT)
-    containers = {t["path"]: [*of(t)] for t in tokens if not t["said"]}
-    for t in template:  # is no text of what lies around it
-        at = t["above"]
-        while at in containers:
-            containers[at][5] -= t["chars"]
-            containers[at][6] -= t["linked"]
-            at = containers[at][4] if at != _ROOT else None
-    return *main_slots(list(containers.values())), {t["path"] for t in template}
+    containers = {t["path"]: t for t in tokens if not t["said"]}
+    less = {path: [0, 0] for path in containers}  # template text in it or below, which is no text of its own
+    for t in template:
+        for k, name in enumerate(("chars", "linked")):
+            if t["above"] in less:
+                less[t["above"]][k] += t[name]
+    for c, opens in nested_order(containers):
+        if not opens and c["path"] != _ROOT and c["above"] in less:
+            for k in range(2):
+                less[c["above"]][k] += less[c["path"]][k]
+    at = {name: k for k, name in enumerate(SLOT)}
+    rows = [[t[k] for k in SLOT] for t in containers.values()]
+    for row in rows:
+        row[at["chars"]] -= less[row[0]][0]
+        row[at["linked"]] -= less[row[0]][1]
+    return *main_slots(rows), {t["path"] for t in template}
 
 
 def main_slots(paths: list[tuple[int, ...]]) -> tuple[set[int], set[int]]:
@@ -313,8 +382,6 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("boilerplate").alias("boilerplate"), F.max("main").alias("main"), F.max("above").alias("above"), F.max("said").alias("said"))
     found = materialize(found.where(F.col("support") >= F.when(F.col("said") == 1, FEWEST // 2).otherwise(1)))
     held = found.where(F.col("path") == _ROOT).select("_host", F.col("support").alias("pages"))
-    if held.count() <= BROADCAST_HOSTS:  # else tokens that are dropped next would be dealt by host
-        held = F.broadcast(held)
     common = found.join(held, "_host").where("support * 2 >= pages")
     slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), "support", *SLOT)
     return common.groupBy("_host").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
@@ -344,7 +411,5 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_host"), *parts], ["_host", "kept", "links", "template"])
 
     chosen = materialize(templates(pages).mapInArrow(choose, "_host string, kept array<long>, links array<long>, template array<long>"))
-    if chosen.count() <= BROADCAST_HOSTS:
-        chosen = F.broadcast(chosen)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host(F.col("url")).alias("_host"))
     return own.join(chosen, "_host", "left").select("page_id", "url", "html", "kept", "links", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
