@@ -6,10 +6,11 @@ cosine of at least s / (|q| m), its local threshold. Above 1 the whole bucket is
 query looks only at vectors whose coordinate on the query's largest axis lies in the feasible interval;
 otherwise only vectors shorter than s / |q| are skipped. What is left is verified by exact products.
 
-The work is a grid: blocks of QUERIES queries meet lanes of LANE buckets. A cell holds one query block and
-one lane whatever the table's size, keeps k rows for each of its queries, and the k best of those over all
-lanes are the answer. Buckets in a lane come from evenly spaced places of the length order, longest first,
-so each cell soon has a sharp threshold.
+The work is a grid: slots of about QUERIES queries meet lanes of LANE buckets that are neighbours in the order
+of length. Before anything is copied, every query is scored against the bucket of the longest vectors, which
+gives it a first threshold, and a slot meets only the lanes whose longest vector can reach the threshold of one
+of its queries. A cell holds one slot and one lane whatever the table's size, keeps k rows for each of its
+queries, and the k best of those over all lanes are the answer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,51 +28,61 @@ from .common import materialize, shuffle_partitions
 BUCKET, LANE, QUERIES = 1024, 16, 1024
 #: Local cosine thresholds from here on use coordinate pruning.
 COORDINATE_FROM = 0.9
-#: Products are exact in doubles below this bound; beyond it 64-bit integers are used.
-EXACT = float(1 << 53)
+#: Products are exact in doubles below the first bound and in 64-bit integers below the second; beyond it Python's
+#: own integers are used.
+EXACT, WIDE = float(1 << 53), float(1 << 62)
 #: The score of no candidate.
 NONE = np.iinfo(np.int64).min
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id and v, array<long> of floor(scale * x). Rows whose vector is null or holds null or non-finite
-    components are left out, as are exact repeats of a row. Components are expected below 2^31 in size."""
+    components are left out; rows that repeat stay. A component that is 2^62 or more after scaling is an error, as
+    no column can hold it exactly."""
     x = F.col("_x")
     whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return (
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("_x"))
         .where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull())
-        .select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
-        .dropDuplicates(["vec_id", "v"])
+        .select("vec_id", F.transform(x, lambda c: F.when(F.abs(c * scale) < WIDE, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is too large")))).alias("v"))
     )
 
 
+PACKED = "ids binary, width int, vectors binary, longest double, part int, place int"
+
+
 def _pack(size: int):
-    """Rows in their order to blocks of at most `size`: ids, squared norms and vectors as bytes, one width in a block."""
+    """Rows in their order to PACKED blocks of at most `size`: ids, vectors as bytes, the greatest length, and the
+    block's place in its partition."""
 
-    def block(ids: list[int], rows: list[np.ndarray]) -> dict:
-        width = max(map(len, rows))
-        m = np.zeros((len(rows), width), np.int64)
+    def block(ids: list[int], rows: list[np.ndarray], place: int) -> dict:
+        m = np.zeros((len(rows), max(map(len, rows))), np.int64)
         for i, r in enumerate(rows):
             m[i, : len(r)] = r
-        return {"ids": np.array(ids, np.int64).tobytes(), "width": width, "vectors": m.tobytes()}
+        longest = float(_lengths(m).max())
+        return {"ids": np.array(ids, np.int64).tobytes(), "width": m.shape[1], "vectors": m.tobytes(), "longest": longest, "part": TaskContext.get().partitionId(), "place": place}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         rows: list[np.ndarray] = []
+        place = 0
         for batch in batches:
             for i, v in zip(batch["vec_id"], batch["v"]):
                 ids.append(i)
                 rows.append(v)
                 if len(ids) == size:
-                    yield pd.DataFrame([block(ids, rows)])
-                    ids, rows = [], []
+                    yield pd.DataFrame([block(ids, rows, place)])
+                    ids, rows, place = [], [], place + 1
         if ids:
-            yield pd.DataFrame([block(ids, rows)])
+            yield pd.DataFrame([block(ids, rows, place)])
 
     return run
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
+
+
 def _matrix(row) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], np.int64)
     return ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["width"])
@@ -80,22 +92,30 @@ def _widen(m: np.ndarray, width: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+def _products(a: np.ndarray, b: np.ndarray, bound: float, own: np.ndarray) -> np.ndarray:
+    """Inner products; NONE where `own` says that a row is the query's own."""
     if bound < EXACT:
-        return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+        return np.where(own, NONE, np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64))
+    if bound < WIDE:
+        return np.where(own, NONE, a @ b.T)
+    whole = np.where(own, 0, a.astype(object) @ b.T.astype(object))
+    if whole.size and (whole.max() > np.iinfo(np.int64).max or whole.min() <= NONE):
+        raise OverflowError("a score does not fit into 64 bits")
+    return np.where(own, NONE, whole.astype(np.int64))
 
 
 class _Best:
     """The k best (score, id) of each query: scores descending, then ids ascending."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, known: np.ndarray | None = None):
+        """known: scores that the k-th best of each query is known to reach, here or elsewhere."""
         self.k = k
+        self.known = np.full(n, NONE) if known is None else known
         self.scores = np.full((n, k), NONE)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def threshold(self, of=slice(None)) -> np.ndarray:
-        return self.scores[of, -1]
+        return np.maximum(self.scores[of, -1], self.known[of])
 
     def add(self, of: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: a row for each query in `of`, a column for each id; the least integer marks no candidate."""
@@ -120,7 +140,7 @@ class _Best:
 
 def search_bucket(queries: np.ndarray, query_ids: np.ndarray, norms: np.ndarray, bucket: np.ndarray, ids: np.ndarray, best: _Best) -> None:
     """Let one bucket compete for the best of each query; norms are the queries' lengths."""
-    lengths = np.sqrt((bucket.astype(np.float64) ** 2).sum(axis=1))
+    lengths = _lengths(bucket)
     longest = lengths.max()
     bound = float(norms.max() * longest) if len(norms) else 0.0
     has = best.threshold() > NONE
@@ -136,8 +156,7 @@ def search_bucket(queries: np.ndarray, query_ids: np.ndarray, norms: np.ndarray,
             shortest = np.where(has[by_length] & (need[by_length] > 0), need[by_length] / norms[by_length], 0.0)
         kept = np.flatnonzero(lengths >= shortest.min() * (1 - slack))
         if len(kept):
-            scores = _products(queries[by_length], bucket[kept], bound)
-            scores[query_ids[by_length][:, None] == ids[kept][None, :]] = NONE
+            scores = _products(queries[by_length], bucket[kept], bound, query_ids[by_length][:, None] == ids[kept][None, :])
             scores[lengths[kept][None, :] < shortest[:, None] * (1 - slack)] = NONE
             best.add(by_length, scores, ids[kept])
     if len(by_coordinate):
@@ -150,34 +169,60 @@ def search_bucket(queries: np.ndarray, query_ids: np.ndarray, norms: np.ndarray,
             high = c * t + reach if c < t else 1.0
             at = np.flatnonzero((unit[:, axis] >= low - 1e-7) & (unit[:, axis] <= high + 1e-7) & (ids != query_ids[q]))
             if len(at):
-                best.add(np.array([q]), _products(queries[q : q + 1], bucket[at], bound), ids[at])
+                best.add(np.array([q]), _products(queries[q : q + 1], bucket[at], bound, np.zeros((1, len(at)), bool)), ids[at])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k greatest inner products; ties go to the smaller vec_id.
 
     Both have vec_id and v (integer_vectors). A query's own vec_id is no candidate. Vectors of unequal
-    dimension are compared as if the shorter ended in zeros. An empty side gives no rows.
+    dimension are compared as if the shorter ended in zeros. An empty side gives no rows. Scores are exact; one that
+    doesn't fit into 64 bits is an error. Rows that repeat are
+    candidates of their own, but one query.
     """
     spark = vectors.sparkSession
-    packed = "ids binary, width int, vectors binary"
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     parts = shuffle_partitions(spark)
     by_norm = vectors.withColumn("_n", norm2).repartitionByRange(parts, F.desc("_n"), "vec_id").sortWithinPartitions(F.desc("_n"), "vec_id")
-    buckets = materialize(by_norm.select("vec_id", "v").mapInPandas(_pack(BUCKET), packed))
-    blocks = materialize(queries.repartitionByRange(parts, "vec_id").select("vec_id", "v").mapInPandas(_pack(QUERIES), packed))
-    # Buckets and blocks, not rows, are counted here; several blocks may share a slot.
-    lanes, slots = max(1, -(-buckets.count() // LANE)), max(1, blocks.count())
-    cells = buckets.select("*", F.pmod(F.xxhash64("ids"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    each_lane = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
-    asked = blocks.select("*", F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), each_lane)
+    buckets = materialize(by_norm.select("vec_id", "v").mapInPandas(_pack(BUCKET), PACKED))
+    seed = buckets.orderBy(F.desc("longest"), "ids").first()  # BUCKET vectors at most
+    asked = queries.select("vec_id", "v").distinct().repartitionByRange(parts, "vec_id").select("vec_id", "v").mapInPandas(_pack(QUERIES), PACKED)
+    first = None if seed is None else _matrix(seed)
+
+    def sow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known, floors = [], []
+            for ids, q in map(_matrix, batch.to_dict("records")):
+                best, norms = _Best(len(ids), k), _lengths(q)
+                if first is not None:
+                    width = max(q.shape[1], first[1].shape[1])
+                    search_bucket(_widen(q, width), ids, norms, _widen(first[1], width), first[0], best)
+                known.append(best.threshold().tobytes())
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    reach = np.where(best.threshold() > 0, best.threshold() / norms, -1.0)
+                floors.append(float(reach.min()))
+            yield batch.drop(columns=["longest", "part", "place"]).assign(known=known, floor=floors)
+
+    blocks = materialize(asked.mapInPandas(sow, "ids binary, width int, vectors binary, known binary, floor double"))
+    # Only counts, of buckets in a partition and of queries, are looked at here.
+    deepest = buckets.agg(F.max("place")).first()[0]
+    lanes = 1 + (deepest or 0) // LANE
+    slots = max(1, -(-int(blocks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]) // (8 * QUERIES)))
+    buckets = buckets.withColumn("lane", F.col("part").cast("long") * lanes + F.floor(F.col("place") / LANE))
+    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
+    longest = buckets.groupBy("lane").agg(F.max("longest").alias("longest"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts * lanes - 1).cast("long"))).alias("lane")
+    meets = blocks.groupBy("slot").agg(F.min("floor").alias("floor")).select("slot", "floor", every).join(longest, "lane")
+    meets = materialize(meets.where(F.col("longest") >= F.col("floor") * (1 - 1e-9)).select("slot", "lane"))
+    cells, asking = buckets.join(meets, "lane"), blocks.join(meets, "slot")
 
     def cell(group: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(map(_matrix, group.to_dict("records")), key=lambda x: -float((x[1][0].astype(np.float64) ** 2).sum()))
+        found = sorted(map(_matrix, group.to_dict("records")), key=lambda x: -_lengths(x[1][:1])[0])
         rows = [np.zeros((0, 3), np.int64)]
-        for q_ids, q in map(_matrix, asking.to_dict("records")):
-            norms = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-            best = _Best(len(q_ids), k)
+        for block in asking.to_dict("records"):
+            q_ids, q = _matrix(block)
+            norms = _lengths(q)
+            best = _Best(len(q_ids), k, np.frombuffer(block["known"], np.int64))
             for ids, bucket in found:
                 width = max(q.shape[1], bucket.shape[1])
                 search_bucket(_widen(q, width), q_ids, norms, _widen(bucket, width), ids, best)
@@ -185,7 +230,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             rows.append(np.stack([q_ids[row], best.ids[row, col], best.scores[row, col]], axis=1))
         return pd.DataFrame(np.concatenate(rows), columns=["query_id", "vec_id", "score"])
 
-    local = cells.groupBy("slot", "lane").cogroup(asked.groupBy("slot", "lane")).applyInPandas(cell, "query_id long, vec_id long, score long")
+    local = cells.groupBy("slot", "lane").cogroup(asking.groupBy("slot", "lane")).applyInPandas(cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
