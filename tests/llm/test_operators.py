@@ -163,7 +163,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     got = {}
     for x in topk.top_k(v, v.where("vec_id % 10 = 0"), 5).collect():
         got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
-    whole = [(i, [int(np.floor(256 * c)) for c in w]) for i, w in rows]
+    whole = [(i, [int(np.floor(256 * c)) for c in w]) for i, w in rows + rows[:3]]
     want = brute_top(whole, {i for i, _ in whole if i % 10 == 0}, 5)
     assert {q: [m[i + 1] for i in range(len(m))] for q, m in got.items()} == want
 
@@ -174,6 +174,36 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_top_k_large_components_and_repeats(spark):
+    big = [(0, [float(1 << 26)] * 4), (1, [float(1 << 26), 3.0, 0.0, 1.0]), (2, [-float(1 << 26)] * 4), (3, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame([(*r, 1) for r in big], "vec_id long, embedding array<double>, v int")
+    v = topk.integer_vectors(df)
+    whole = [(i, [int(256 * c) for c in w]) for i, w in big]
+    got = {}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(v, v, 3).collect()
+    for x in topk.top_k(v.where("vec_id <> 2"), v.where("vec_id = 3"), 3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    want = brute_top([w for w in whole if w[0] != 2], {3}, 3)
+    assert {q: [(i + 1, *m) for i, m in enumerate(ms)] for q, ms in want.items()} == {q: sorted(ms) for q, ms in got.items()}
+    with pytest.raises(Exception, match="too large"):
+        topk.integer_vectors(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
+    same = topk.integer_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [1.5, 1.0])], "vec_id long, embedding array<double>"))
+    assert [(r.rank, r.vec_id) for r in topk.top_k(same, same.where("vec_id = 1"), 3).orderBy("rank").collect()] == [(1, 2), (2, 2), (3, 3)]
+
+
+def test_top_k_skips_short_lanes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LANE", 1)
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 1) * (100 if i < 1100 else 0.01) for _ in range(8)]) for i in range(6000)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for x in topk.top_k(v, v.where("vec_id % 500 = 0"), 5).collect():
+        got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
+    want = brute_top([(i, [int(np.floor(256 * c)) for c in w]) for i, w in rows], set(range(0, 6000, 500)), 5)
+    assert {q: [m[i + 1] for i in range(len(m))] for q, m in got.items()} == want
+
+
 # -- 5 -------------------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +271,53 @@ def test_html_marks():
     assert own("<article class='sponsored'>text</article><div id='comments'><article class='comment'>said by a reader</article></div>") == "text"
 
 
+def test_html_takes_linear_time():
+    import time
+
+    for source in ("<a " * 350_000, "<a '\">" * 100_000, '<a ">" ' * 100_000, "<div>" * 100_000 + "x", "<ul><li>" * 50_000, "<div class='comment'><article class='comment'>" * 20_000, "<script>" * 100_000):
+        began = time.process_time()
+        html_template.Page(source).text(set())
+        assert time.process_time() - began < 10, source[:20]
+
+
+def test_html_template_equals_brute_force(spark):
+    r = random.Random(7)
+    common = ["Share this", "Read on", "All rights"]
+    pages = []
+    for i in range(30):
+        parts = [f"<p>own text {i} {k}</p>" for k in range(r.randint(1, 4))] + [f"<p>{c}</p>" for c in common if r.random() < (0.95, 0.6, 1)[common.index(c)]]
+        aside = f"<div class='kk'><p>Box text</p><p>own {i}</p></div>" if i % 3 else ""
+        pages.append(f"<body><article>{''.join(parts)}{aside}</article></body>")
+    seen = [html_template.Page(p) for p in pages]
+    vectors = {}
+    for i, page in enumerate(seen):
+        for path, times, *_ in page.rows():
+            vectors.setdefault(path, [0] * 30)[i] = times
+    want = {}
+    for i, page in enumerate(seen):
+        kept = []
+        for path, text, _ in page.blocks:
+            token = vectors[html_template.spoken(path, text)]
+            around, at = [], path
+            while True:
+                around.append(vectors[at])
+                if at == 0:
+                    break
+                at = page.above[at]
+            n = sum(t > 0 for t in token)
+            if not (n >= 15 and (token in around or n >= 27)):
+                kept.append(text)
+        want[i] = "\n".join(kept)
+    assert main_texts(spark, pages) == want
+    assert any("Box text" in p for p in pages) and not any("Box text" in t for t in want.values())
+
+
+def test_html_empty_table_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "y")], "page_id long, url string, html string, text string").withColumn("_host", F.lit(1)).withColumn("kept", F.lit(2))
+    assert [tuple(r) for r in html_template.extract(df).collect()] == [(1, "http://a.example/", "x", 1)]
+    assert html_template.extract(df.limit(0)).count() == 0
+
+
 def test_html_long_and_broken():
     assert html_template.Page("<div>" * 3000 + "x" + "<a href='" + "y" * 1000).text(set()) == "x"
     assert html_template.Page('<p title="a>b">t</p><!-- c <p>no</p> --><p>u').text(set()) == "t\nu"
