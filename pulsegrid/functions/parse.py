@@ -105,3 +105,42 @@ def user_note(messages) -> Column:
     said = F.filter(body, lambda c: ~((F.length(c) > 500) & (c.contains("##") | c.contains("---"))))
     joined = F.regexp_replace(F.array_join(said, " | "), "\r\n|\n|\r", " | ")
     return F.trim(F.regexp_replace(joined, r" \|(  \|)+ ", " | "))
+
+
+def sensor_and_key(name) -> Column:
+    """struct(sensor, key) of a file name with ecg or acc in it, but not both; key is what else it says, or default."""
+    stem = F.lower(F.regexp_replace(F.regexp_replace(col(name), r"^.*/", ""), r"(?<=.)\.[^.]*$", ""))
+    ecg, acc = stem.contains("ecg"), stem.contains("acc")
+    key = F.regexp_replace(F.regexp_replace(stem, "ecg|acc", ""), "[^a-z0-9]+", "")
+    one = ecg != acc
+    return F.struct(F.when(one, F.when(ecg, "ecg").otherwise("acc")).alias("sensor"), F.when(one, F.when(key == "", "default").otherwise(key)).alias("key"))
+
+
+def recording_day(phone_ms, name) -> Column:
+    """Day (UTC) of a phone time stamp in milliseconds, else the one in the name (yyyymmdd_hhmmss), else 1970-01-01."""
+    stamp = F.when(col(phone_ms).isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(col(phone_ms) / 86_400_000).cast("int")))
+    named = F.try_to_timestamp(F.regexp_extract(col(name), r"(\d{8})_\d{6}", 1), F.lit("yyyyMMdd")).cast("date")
+    return F.coalesce(stamp, named, F.lit("1970-01-01").cast("date"))
+
+
+def local_time(text, zone: str) -> Column:
+    """Wall time in a zone of an ISO timestamp with an offset or Z; one without is wall time already. Null if it is none."""
+    t = F.trim(col(text).cast("string"))
+    zoned = t.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    wall = F.regexp_replace(t, "T", " ").try_cast("timestamp_ntz")
+    return F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit(zone), F.try_to_timestamp(t).cast("timestamp_ntz"))).otherwise(wall)
+
+
+def first_time(zone: str, *texts) -> Column:
+    """The first of several spellings that is a time."""
+    return F.coalesce(*[local_time(t, zone) for t in texts])
+
+
+#: Sports of the beat analyser.
+ANALYSER_SPORTS = {"trail_run": "trail", "trail": "trail", "road_run": "road", "run": "road", "running": "road", "virtualrun": "road", "virtual_run": "road", "hike": "hike", "bike": "bike", "swim": "swim", "elliptical": "elliptical"}
+
+
+def analyser_sport(sport) -> Column:
+    """The analyser's name of a sport; trail for any other."""
+    s = F.lower(F.trim(F.coalesce(col(sport), F.lit(""))))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ANALYSER_SPORTS.items() for x in kv]), s), F.lit("trail"))

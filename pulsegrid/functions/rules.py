@@ -92,3 +92,9 @@ def versus(x, low, high, known=None) -> Column:
 def evidence(*items: Column) -> Column:
     """The texts that apply, in order, each once."""
     return F.array_distinct(F.array_compact(F.array(*items)))
+
+
+def gate_family(badge) -> Column:
+    """The gate that a badge like ÁMBAR-- starts with, whatever its case or accent; null for none of them."""
+    b = F.upper(F.trim(col(badge).cast("string")))
+    return F.when(b.startswith("VERDE"), "VERDE").when(b.startswith("ÁMBAR") | b.startswith("AMBAR"), "ÁMBAR").when(b.startswith("ROJO"), "ROJO").when(b.startswith("NO"), "NO")

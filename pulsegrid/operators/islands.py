@@ -24,6 +24,14 @@ def longest_run(df: DataFrame, keys: Sequence[str], order: str, state: Column) -
     return df.select(*keys).distinct().join(runs(df, keys, order, state).groupBy(*keys).agg(F.max("n").alias("longest")), list(keys), "left").fillna({"longest": 0})
 
 
+def box_mean(df: DataFrame, keys: Sequence[str], order: str, x: str, rows: int, out: str = "smooth") -> DataFrame:
+    """df with the sum of x over a centred frame of so many rows, by their number; short frames at the ends are not
+    scaled, as in a convolution of the same length. Null where a row of the frame has no x."""
+    half = rows // 2
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, rows - half - 1)
+    return df.withColumn(out, F.when(F.count(x).over(w) == F.count("*").over(w), F.sum(x).over(w) / rows))
+
+
 def work_blocks(samples: DataFrame, keys: Sequence[str], cfg: SessionConfig = SessionConfig()) -> DataFrame:
     """Merged effort blocks of (keys, sec from 0, hr, moving, vt1): keys, start, stop in seconds, both inside.
 
@@ -33,10 +41,7 @@ def work_blocks(samples: DataFrame, keys: Sequence[str], cfg: SessionConfig = Se
     does, so blocks are folded in order: each session brings a short array of blocks with the gap's figures.
     """
     w = Window.partitionBy(*keys).orderBy("sec")
-    half = cfg.smooth_s // 2
-    smooth = F.sum("hr").over(w.rowsBetween(-half, cfg.smooth_s - half - 1)) / cfg.smooth_s
-    whole = F.count("hr").over(w.rowsBetween(-half, cfg.smooth_s - half - 1)) == F.count("*").over(w.rowsBetween(-half, cfg.smooth_s - half - 1))
-    s = samples.withColumn("_smooth", F.when(whole, smooth)).withColumn("_on", yes((F.col("hr") >= F.col("vt1")) & F.col("moving")))
+    s = box_mean(samples, keys, "sec", "hr", cfg.smooth_s, "_smooth").withColumn("_on", yes((F.col("hr") >= F.col("vt1")) & F.col("moving")))
     # _b numbers the block that a sample is in, or that a gap's samples come after
     s = s.withColumn("_new", (F.col("_on") & ~yes(F.lag("_on").over(w))).cast("int")).withColumn("_b", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_b > 0")
     # sums of the last samples of each block, enough of them for any exit window inside the block
@@ -45,7 +50,10 @@ def work_blocks(samples: DataFrame, keys: Sequence[str], cfg: SessionConfig = Se
         F.sum((~F.col("_on")).cast("int")).alias("gap"), F.min(F.when(~F.col("_on"), F.col("hr") < F.col("vt1"))).alias("_low"),
         F.count(F.when(~F.col("_on") & F.col("hr").isNull(), 1)).alias("_unknown"),
         F.min(F.when(~F.col("_on"), F.col("_smooth"))).alias("floor"), F.count(F.when(~F.col("_on") & F.col("_smooth").isNull(), 1)).alias("_rough"))
-    ends = s.select(*keys, "_b", "sec", "hr").join(blocks.select(*keys, F.col("_b").alias("_at"), F.col("e").alias("_end")), list(keys))
+    # a block's end meets only the samples of the stretches of exit_s seconds that its exit window touches
+    cut = lambda c: F.floor(c / cfg.exit_s)
+    near = blocks.select(*keys, F.col("_b").alias("_at"), F.col("e").alias("_end"), F.explode(F.sequence(cut(F.col("e") - cfg.exit_s), cut(F.col("e")))).alias("_k"))
+    ends = s.select(*keys, "_b", "sec", "hr", cut(F.col("sec")).alias("_k")).join(near, [*keys, "_k"])
     ends = ends.where((F.col("sec") <= F.col("_end")) & (F.col("sec") > F.col("_end") - cfg.exit_s))
     tails = ends.groupBy(*keys, F.col("_at").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("sec", "hr"))).alias("tail"))
     each = blocks.join(tails, [*keys, "_b"]).withColumn("ok", yes(F.col("_low")) & (F.col("_unknown") == 0) & (F.col("_rough") == 0) & (F.col("gap") <= cfg.gap_max_s))

@@ -14,6 +14,16 @@ def missing_days(have: DataFrame, keys: Sequence[str], day: str, start: str, end
     return every.join(have.select(*keys, day).distinct(), [*keys, day], "left_anti")
 
 
+def covered_days(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of left whose keys the right side has."""
+    return left.join(right.select(*keys).distinct(), list(keys), "left_semi").select(*left.columns)
+
+
+def replace_columns(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """left with these columns as the right side has them, null where it has no row of the keys; others stay."""
+    return left.drop(*columns).join(right.select(*keys, *columns), list(keys), "left")
+
+
 def same_or_previous(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, groups: Sequence[Sequence[str]]) -> DataFrame:
     """left with right's columns of the same day; each group of columns falls back as a whole to the day before."""
     columns = [c for g in groups for c in g]
@@ -59,15 +69,16 @@ def in_any_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str]
 def interpolate(points: DataFrame, series: DataFrame, keys: Sequence[str], at: str, series_at: str, value: str, point_id: str | None = None) -> DataFrame:
     """points with value interpolated between the series' neighbours; null outside its range.
 
-    Both sides are stacked and walked once in order, so there is no join on inequality. Of series rows with the
+    Both sides are stacked and walked once each way, so there is no join on inequality. Of series rows with the
     same time the one with the least value counts.
     """
     clean = series.where(F.col(value).isNotNull() & F.col(series_at).isNotNull()).groupBy(*keys, F.col(series_at).cast("double").alias("_t")).agg(F.min(F.col(value).cast("double")).alias("_v"))
     own = points.withColumn("_t", F.col(at).cast("double")).withColumn("_row", F.struct(*points.columns))
     both = own.select(*keys, "_t", F.lit(None).cast("double").alias("_v"), "_row").unionByName(clean.withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("_t")
+    # the next neighbour is the last one on the way back: a frame that only grows costs a row once
+    w, back = Window.partitionBy(*keys).orderBy("_t"), Window.partitionBy(*keys).orderBy(F.desc("_t"))
     known = F.when(F.col("_v").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    both = both.withColumn("_lo", F.last(known, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(known, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_lo", F.last(known, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.last(known, ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     a, b = F.col("_lo"), F.col("_hi")
     line = F.when(a["t"] == b["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_t") - a["t"]) / (b["t"] - a["t"]))
     return both.where("_row IS NOT NULL").select("_row.*", F.when(a.isNotNull() & b.isNotNull(), line).alias(value))

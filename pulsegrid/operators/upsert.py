@@ -27,6 +27,11 @@ def keep_last(df: DataFrame, keys: Sequence[str], version: Sequence[str | Column
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
+    """The first n rows of each key in an order that tells all rows of a key apart."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: Sequence[str], day: str | None = None) -> DataFrame:
     """Rows of both by trimmed key, new before old and later versions before earlier ones. Rows with an empty key
     or, where `day` names a column, without a valid date are dropped."""

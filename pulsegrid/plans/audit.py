@@ -65,6 +65,13 @@ def remembered(d: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     return d.join(used, [*KEY, "Fecha"])
 
 
+def trend_colour(x: Column, n: Column, p15: Column, p30: Column, hr_z: Column) -> Column:
+    """Verde, Ámbar or Rojo of x against two percentiles of the days before, Indef below 15 of them. With a raised
+    heart rate a value just above the upper one is no longer Verde."""
+    tight = yes((p30 > p15) & (x - p30 < 0.10 * (p30 - p15)) & (hr_z >= 3.0))
+    return F.when(~yes((n >= 15) & x.isNotNull()), "Indef").when((x >= p30) & ~tight, "Verde").when(x >= p15, "Ámbar").otherwise("Rojo")
+
+
 def audit(core: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """entity and the audit contract from core rows, one for each (entity, Fecha)."""
     d = remembered(slopes(core, cfg), cfg)
@@ -76,9 +83,7 @@ def audit(core: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     d = d.withColumn("_hr14", frame("HR_stable", 14)).withColumn("_c30", stats.sorted_values(frame("cRMSSD", 30))).withColumn("_l28", frame("lnRMSSD", 28)).withColumn("_c28", frame("_lnc", 28))
     d = d.withColumn("hr_z", stats.round_even(stats.robust_z("HR_stable", F.col("_hr14")), 2)).withColumn("z", stats.robust_z("lnRMSSD", F.col("_l28"))).withColumn("zc", stats.robust_z("_lnc", F.col("_c28")))
     d = d.withColumn("p15", stats.quantile_sorted(F.col("_c30"), 0.15)).withColumn("p30", stats.quantile_sorted(F.col("_c30"), 0.30))
-    c = F.col("cRMSSD")
-    tight = yes((F.col("p30") > F.col("p15")) & (c - F.col("p30") < 0.10 * (F.col("p30") - F.col("p15"))) & (F.col("hr_z") >= 3.0))
-    trend = F.when(~yes((F.size("_c30") >= 15) & c.isNotNull()), "Indef").when((c >= F.col("p30")) & ~tight, "Verde").when(c >= F.col("p15"), "Ámbar").otherwise("Rojo")
+    trend = trend_colour(F.col("cRMSSD"), F.size("_c30"), F.col("p15"), F.col("p30"), F.col("hr_z"))
 
     def raised(base: Column) -> Column:
         return F.when(yes(F.col("hr_z") >= 3.8), "Rojo").when(yes(F.col("hr_z") >= 3.0) & (base == "Verde"), "Ámbar").otherwise(base)

@@ -33,7 +33,10 @@ def zones(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame
 def work(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
     """Merged effort blocks of min_block_s and more, summed for each session, with the delimited strings."""
     blocks = islands.work_blocks(samples, KEY, cfg).withColumn("_d", F.col("stop") - F.col("start") + 1).where(f"_d >= {cfg.min_block_s}")
-    inside = samples.join(blocks, KEY).where((F.col("sec") >= F.col("start")) & (F.col("sec") <= F.col("stop")))
+    # blocks don't overlap, so a sample and a block meet in one stretch of min_block_s seconds at most
+    cut = lambda c: F.floor(F.col(c) / cfg.min_block_s)
+    spread = blocks.withColumn("_k", F.explode(F.sequence(cut("start"), cut("stop"))))
+    inside = samples.withColumn("_k", cut("sec")).join(spread, [*KEY, "_k"]).where((F.col("sec") >= F.col("start")) & (F.col("sec") <= F.col("stop")))
     each = inside.groupBy(*KEY, "start", "_d").agg(F.count_if(F.col("hr") > F.col("vt2")).alias("_z"))
     each = each.withColumn("_min", stats.round_even(F.col("_d") / 60.0, 1)).withColumn("_pct", stats.round_even(100.0 * F.col("_z") / F.col("_d"), 0).cast("long"))
     parts = F.sort_array(F.collect_list(F.struct("start", F.col("_min").cast("string").alias("m"), F.col("_pct").cast("string").alias("p"))))
@@ -161,6 +164,14 @@ def days(sessions: DataFrame) -> DataFrame:
     return W.coverage_sums(day_rollup(sessions), ["entity"], "Fecha", ROLLING).select("entity", *schema.DAYS)
 
 
+def activity_day(sessions: DataFrame, keys: list[str], load: str, minutes: str, sport: str, ident: str) -> DataFrame:
+    """keys, sum_load, max_load, minutes, mean_load and the sport of the session with the most load (ties to the
+    greatest id)."""
+    return sessions.groupBy(*keys).agg(
+        F.sum(load).alias("sum_load"), F.max(load).alias("max_load"), F.sum(minutes).alias("minutes"), F.avg(load).alias("mean_load"),
+        F.max_by(sport, F.struct(F.coalesce(F.col(load), F.lit(-1.0)), ident)).alias("sport_of_max"))
+
+
 def run_statistics(sessions: DataFrame) -> DataFrame:
     """entity, n_sessions, n_days, n_streams, n_notes, dt_mean, dt_min, dt_max, is_1hz and the map of intensity classes."""
     each = sessions.groupBy("entity", "intensity_category").agg(F.count("*").alias("n"))

@@ -78,12 +78,14 @@ def continuity(samples: DataFrame, keys: Sequence[str], zone: Column) -> DataFra
     return r.groupBy(*keys, "zone").agg(F.count("*").alias("n_runs"), F.max("_n").alias("longest_s"), F.percentile("_n", 0.5).alias("median_s"), held(60), held(120), held(300))
 
 
-def splits(samples: DataFrame, keys: Sequence[str], speed: str, hr: str, moving_speed: float = 0.5, length_m: float = 1000.0) -> DataFrame:
-    """keys, split (from 1), seconds, moving_s, distance_m, hr_mean for each length_m of running distance."""
+def splits(samples: DataFrame, keys: Sequence[str], speed: str, hr: str, moving_speed: float = 0.5, length_m: float = 1000.0, altitude: str | None = None) -> DataFrame:
+    """keys, split (from 1), seconds, moving_s, distance_m, hr_mean for each length_m of running distance; with an
+    altitude also gain_m and loss_m inside the split."""
     w = Window.partitionBy(*keys).orderBy("sec")
     d = F.sum(F.coalesce(F.col(speed), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = samples.withColumn("split", (F.floor(F.coalesce(d, F.lit(0.0)) / length_m) + 1).cast("long"))
-    return s.groupBy(*keys, "split").agg(F.count("*").alias("seconds"), F.count_if(F.col(speed) >= moving_speed).alias("moving_s"), F.sum(speed).alias("distance_m"), F.avg(hr).alias("hr_mean"))
+    got = s.groupBy(*keys, "split").agg(F.count("*").alias("seconds"), F.count_if(F.col(speed) >= moving_speed).alias("moving_s"), F.sum(speed).alias("distance_m"), F.avg(hr).alias("hr_mean"))
+    return got.join(climb(s, [*keys, "split"], altitude), [*keys, "split"], "left") if altitude else got
 
 
 def climb(samples: DataFrame, keys: Sequence[str], altitude: str, dead_band: float = 0.5, smooth: int = 11) -> DataFrame:

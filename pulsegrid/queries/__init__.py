@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import beats, joins, rollups, scalars, series, tables, whole
+from . import beats, contracts, joins, rollups, scalars, series, tables, whole
 from .registry import ORACLES, QUERIES, flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "beats", "joins", "rollups", "scalars", "series", "tables", "whole"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "beats", "contracts", "joins", "rollups", "scalars", "series", "tables", "whole"]

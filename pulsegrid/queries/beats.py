@@ -171,8 +171,7 @@ def w20(spark, sf_dir):
 
 @query("w21_box_smoothing", f"""WITH {SAMPLES} SELECT entity, sec, round(sum(hr) OVER (PARTITION BY entity ORDER BY sec ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10, 6) AS smooth FROM samples""")
 def w21(spark, sf_dir):
-    w = Window.partitionBy("entity").orderBy("sec").rowsBetween(-5, 4)
-    return rounded(samples_of(spark, sf_dir).select("entity", "sec", (F.sum("hr").over(w) / 10).alias("smooth")))
+    return rounded(islands.box_mean(samples_of(spark, sf_dir), ["entity"], "sec", "hr", 10), "entity", "sec", "smooth")
 
 
 @query("w22_adjacent_merge", f"""WITH {SAMPLES}, r AS (SELECT entity, sec, sec - row_number() OVER (PARTITION BY entity ORDER BY sec) AS g FROM samples WHERE hr >= 130),

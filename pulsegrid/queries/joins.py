@@ -18,7 +18,7 @@ def j6(spark, sf_dir):
 @query("j7_covered_days", f"WITH {DAILY} SELECT entity, day, n_orders FROM core c WHERE EXISTS (SELECT 1 FROM core b WHERE b.clean AND b.entity = '1-URGENT' AND b.day = c.day)")
 def j7(spark, sf_dir):
     c = core(spark, sf_dir)
-    return c.select("entity", "day", "n_orders").join(c.where("clean AND entity = '1-URGENT'").select("day").distinct(), "day", "left_semi").select("entity", "day", "n_orders")
+    return J.covered_days(c.select("entity", "day", "n_orders"), c.where("clean AND entity = '1-URGENT'"), ["day"])
 
 
 @query("j8_same_or_previous", f"""WITH {DAILY}, r AS (SELECT entity, day, n_orders AS a, round(rmssd, 4) AS b FROM core WHERE clean)
@@ -97,7 +97,7 @@ def j1(spark, sf_dir):
     from .registry import daily
 
     b = daily(spark, sf_dir).where("k % 3 = 0").select("entity", "day", F.round(F.col("x") * 2, 4).alias("rmssd"))
-    return core(spark, sf_dir).drop("rmssd").join(b, ["entity", "day"], "left").select("entity", "day", "rmssd", "n_orders")
+    return J.replace_columns(core(spark, sf_dir), b, ["entity", "day"], ["rmssd"]).select("entity", "day", "rmssd", "n_orders")
 
 
 @query("j5_compare_versions", """WITH a AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_custkey AS VARCHAR) AS c FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, CAST(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS VARCHAR) AS c FROM orders)

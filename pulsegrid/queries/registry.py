@@ -124,5 +124,17 @@ def sessions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 17 != 0, F.round(F.col("o_totalprice").cast("double") / 1000, 1)).alias("load"), F.col("q").alias("duration"), F.col("n").alias("rpe"))
 
 
+def session_contract(spark, sf_dir):
+    """The sessions in the shape of the session contract, as far as roll-ups and reports look at it."""
+    s = sessions_of(spark, sf_dir)
+    n = F.col("session_id").cast("long")
+    return s.select(
+        "entity", "session_id", F.col("day").alias("Fecha"), "start_time", "sport", "load", F.col("duration").alias("duration_min"), F.col("rpe").cast("double").alias("rpe"), F.col("grp").alias("session_group"),
+        F.when(n % 3 != 0, F.round(F.col("duration") / 100, 4)).alias("stream_dt_est"), (n % 2).cast("int").alias("notes_present"), F.lit(1).alias("rpe_present"), F.when(n % 4 != 0, "icu").otherwise("fallback").alias("zones_source"),
+        F.col("grp").alias("intensity_category"), F.when(n % 5 != 0, (n % 40).cast("double")).alias("elev_density"), F.when(n % 7 != 0, (n % 30).cast("double") + 1).alias("distance_km"),
+        *[F.lit(None).cast("double").alias(c) for c in ("work_total_min", "z3_total_min", "hr_max", "hr_p95", "cardiac_drift_pct", "elev_gain_m", "elev_loss_m")], F.lit(None).cast("int").alias("work_n_blocks"), F.lit(0).alias("late_intensity"),
+        F.lit("").alias("effort_vs_recent"), F.lit("").alias("effort_vs_anchor"))
+
+
 def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))

@@ -2,62 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import quality as Q
-from ..plans import weekly
-from .registry import DAILY, SESSIONS, core, query, rounded, sessions_of, table
+from ..operators.upsert import best_rows
+from ..plans import sessions, sleep, weekly
+from .registry import DAILY, SESSIONS, core, query, rounded, session_contract, sessions_of, table
 
 _AERO = "('trail_run','road_run','bike')"
 
 
 @query("a23_a24_day_rollup", f"""WITH {SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity, day ORDER BY load DESC NULLS LAST, duration DESC NULLS LAST, session_id) AS i FROM sessions)
-SELECT entity, day, count(*) AS n_sessions, round_even(sum(duration), 1) AS total_duration, max((sport IN {_AERO})::INTEGER) AS has_aerobic, max((sport = 'strength')::INTEGER) AS has_strength,
-  round_even(sum(load), 1) AS load_day, round_even(sum(load) FILTER (sport IN {_AERO}), 1) AS load_aerobic, round_even(coalesce(sum(duration) FILTER (sport = 'strength'), 0), 1) AS strength_min,
-  max(CASE WHEN i = 1 THEN sport END) AS primary_sport, max(rpe) FILTER (sport IN {_AERO}) AS rpe_max FROM r GROUP BY 1, 2""")
+SELECT entity, day AS "Fecha", count(*) AS n_sessions, round_even(sum(duration), 1) AS total_duration_min, max((sport IN {_AERO})::INTEGER) AS has_aerobic, max((sport = 'strength')::INTEGER) AS has_strength, max((sport = 'mobility')::INTEGER) AS has_mobility,
+  round_even(sum(load), 1) AS load_day, max(CASE WHEN i = 1 THEN grp END) AS intensity_cat_day, round_even(coalesce(sum(duration) FILTER (sport = 'strength'), 0), 1) AS strength_min_day,
+  round_even(coalesce(sum(duration) FILTER (sport = 'mobility'), 0), 1) AS mobility_min_day, max(rpe::DOUBLE) FILTER (sport IN {_AERO}) AS rpe_max_day, count(*) AS n_with_rpe, sum(session_id::BIGINT % 2)::BIGINT AS n_with_notes FROM r GROUP BY 1, 2""")
 def a23(spark, sf_dir):
-    w = Window.partitionBy("entity", "day").orderBy(F.col("load").desc_nulls_last(), F.col("duration").desc_nulls_last(), "session_id")
-    s = sessions_of(spark, sf_dir).withColumn("_r", F.row_number().over(w))
-    aero, strong = F.col("sport").isin("trail_run", "road_run", "bike"), F.col("sport") == "strength"
-    r = lambda c: stats.round_even(c, 1)
-    return s.groupBy("entity", "day").agg(
-        F.count("*").alias("n_sessions"), r(F.sum("duration")).alias("total_duration"), F.max(aero.cast("int")).alias("has_aerobic"), F.max(strong.cast("int")).alias("has_strength"), r(F.sum("load")).alias("load_day"),
-        r(F.sum(F.when(aero, F.col("load")))).alias("load_aerobic"), r(F.coalesce(F.sum(F.when(strong, F.col("duration"))), F.lit(0.0))).alias("strength_min"), F.max(F.when(F.col("_r") == 1, F.col("sport"))).alias("primary_sport"), F.max(F.when(aero, F.col("rpe"))).alias("rpe_max"))
+    d = sessions.day_rollup(session_contract(spark, sf_dir))
+    return d.select("entity", "Fecha", "n_sessions", "total_duration_min", "has_aerobic", "has_strength", "has_mobility", "load_day", "intensity_cat_day", "strength_min_day", "mobility_min_day", "rpe_max_day", "n_with_rpe", "n_with_notes")
 
 
-@query("a25_weighted_mean", f"WITH {SESSIONS} SELECT entity, day, round(sum(load * duration) FILTER (load IS NOT NULL) / sum(duration) FILTER (load IS NOT NULL), 6) AS density FROM sessions GROUP BY 1, 2")
+@query("a25_weighted_mean", f"""WITH {SESSIONS}, t AS (SELECT entity, day, sport IN {_AERO} AS a, session_id::BIGINT AS n FROM sessions), v AS (SELECT entity, day, CASE WHEN a AND n % 5 <> 0 AND n % 7 <> 0 THEN n % 40 END AS x, CASE WHEN a AND n % 5 <> 0 AND n % 7 <> 0 THEN n % 30 + 1 END AS km FROM t)
+SELECT entity, day AS "Fecha", round_even(sum(x * km)::DOUBLE / sum(km)::DOUBLE, 1) AS elev_density_day FROM v GROUP BY 1, 2""")
 def a25(spark, sf_dir):
-    ok = F.col("load").isNotNull()
-    return rounded(sessions_of(spark, sf_dir).groupBy("entity", "day").agg((F.sum(F.when(ok, F.col("load") * F.col("duration"))) / F.sum(F.when(ok, F.col("duration")))).alias("density")))
+    return sessions.day_rollup(session_contract(spark, sf_dir)).select("entity", "Fecha", "elev_density_day")
 
 
 @query("a26_activity_day", f"""WITH {SESSIONS} SELECT entity, day, round(sum(load), 6) AS sum_load, round(max(load), 6) AS max_load, sum(duration) AS minutes, round(avg(load), 6) AS mean_load,
   arg_max(sport, struct_pack(l := coalesce(load, -1), s := session_id)) AS sport_of_max FROM sessions GROUP BY 1, 2""")
 def a26(spark, sf_dir):
-    return rounded(sessions_of(spark, sf_dir).groupBy("entity", "day").agg(
-        F.sum("load").alias("sum_load"), F.max("load").alias("max_load"), F.sum("duration").alias("minutes"), F.avg("load").alias("mean_load"), F.max_by("sport", F.struct(F.coalesce("load", F.lit(-1.0)), "session_id")).alias("sport_of_max")))
+    return rounded(sessions.activity_day(sessions_of(spark, sf_dir), ["entity", "day"], "load", "duration", "sport", "session_id"))
 
 
-@query("a27_run_statistics", f"WITH {SESSIONS} SELECT entity, count(*) AS n_sessions, count(DISTINCT day) AS n_days, count(load) AS n_loads, round(avg(duration), 6) AS dt_mean, min(duration) AS dt_min, max(duration) AS dt_max, bool_and(duration > 0.9 AND duration < 500) AS in_range FROM sessions GROUP BY 1")
+@query("a27_run_statistics", f"""WITH {SESSIONS}, t AS (SELECT entity, day, session_id::BIGINT AS n, CASE WHEN session_id::BIGINT % 3 <> 0 THEN round(duration / 100, 4) END AS dt FROM sessions)
+SELECT entity, count(*) AS n_sessions, count(DISTINCT day) AS n_days, count(dt) AS n_streams, sum(n % 2)::BIGINT AS n_notes, round(avg(dt), 6) AS dt_mean, min(dt) AS dt_min, max(dt) AS dt_max, bool_and(dt > 0.9 AND dt < 1.1) AS is_1hz FROM t GROUP BY 1""")
 def a27(spark, sf_dir):
-    d = F.col("duration")
-    return rounded(sessions_of(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n_sessions"), F.countDistinct("day").alias("n_days"), F.count("load").alias("n_loads"), F.avg(d).alias("dt_mean"), F.min(d).alias("dt_min"), F.max(d).alias("dt_max"), F.bool_and((d > 0.9) & (d < 500)).alias("in_range")))
+    return rounded(sessions.run_statistics(session_contract(spark, sf_dir)).drop("classes"))
 
 
-@query("a10_a12_percentiles", f"WITH {SESSIONS} SELECT session_id, round(p.q[1], 6) AS p10, round(p.q[2], 6) AS p90 FROM sessions JOIN (SELECT entity, quantile_cont(duration, [0.1, 0.9]) AS q FROM sessions GROUP BY 1) p USING (entity)")
+@query("a10_a12_percentiles", f"""WITH {SESSIONS} SELECT session_id, round(p.q[1], 6) AS p10, round(p.q[2], 6) AS p90, round(p.i, 6) AS int_p90
+FROM sessions JOIN (SELECT entity, quantile_cont(duration, [0.1, 0.9]) AS q, quantile_cont(rpe::DOUBLE, 0.9) AS i FROM sessions GROUP BY 1) p USING (entity)""")
 def a12(spark, sf_dir):
+    from .. import schema
+
     s = sessions_of(spark, sf_dir)
-    p = s.groupBy("entity").agg(F.percentile("duration", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return rounded(s.select("entity", "session_id").join(p, "entity").select("session_id", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90")))
+    named = {"Fecha": F.col("day"), "polar_sleep_duration_min": F.col("duration"), "polar_interruptions_long": F.col("rpe").cast("double"), "polar_continuity_index": F.col("session_id").cast("double")}
+    table_ = s.select("entity", *[named.get(c, F.lit(None).cast("double")).alias(c) for c in schema.SLEEP])
+    got = sleep.with_percentiles(table_)
+    return rounded(got.select(F.col("polar_continuity_index").cast("long").cast("string").alias("session_id"), F.col("sleep_dur_p10").alias("p10"), F.col("sleep_dur_p90").alias("p90"), F.col("sleep_int_p90").alias("int_p90")))
 
 
 @query("a11_winsorized_mean", f"WITH {DAILY}, q AS (SELECT entity, quantile_cont(rmssd, 0.1) AS a, quantile_cont(rmssd, 0.9) AS b FROM core GROUP BY 1) SELECT entity, round(avg(greatest(least(rmssd, b), a)), 4) AS m FROM core JOIN q USING (entity) GROUP BY 1")
 def a11(spark, sf_dir):
-    c = core(spark, sf_dir)
-    q = c.groupBy("entity").agg(F.percentile("rmssd", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return rounded(c.join(q, "entity").groupBy("entity").agg(F.avg(F.greatest(F.least("rmssd", F.col("q")[1]), F.col("q")[0])).alias("m")), digits=4)
+    g = core(spark, sf_dir).groupBy("entity").agg(stats.winsorize(F.collect_list("rmssd")).alias("_w"))
+    return rounded(g.select("entity", (F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.size("_w")).alias("m")), digits=4)
 
 
 @query("a13_robust_spread", f"WITH {DAILY} SELECT entity, round(1.4826 * mad(rmssd), 4) AS sd, round(median(rmssd), 4) AS med FROM core GROUP BY 1")
@@ -115,9 +113,9 @@ def x6(spark, sf_dir):
 
 @query("x1_best_of_duplicates", """SELECT o_custkey, day, o_orderkey FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderkey, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1""")
 def x1(spark, sf_dir):
-    w = Window.partitionBy("o_custkey", "day").orderBy((F.col("o_orderstatus") == "F").desc(), F.desc("o_totalprice"), "o_orderpriority", "o_orderkey")
     o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    return o.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("o_custkey", "day", "o_orderkey")
+    best = best_rows(o, ["o_custkey", "day"], [(F.col("o_orderstatus") == "F").desc(), F.desc("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderkey")])
+    return best.select("o_custkey", "day", "o_orderkey")
 
 
 @query("q1_q6_constraints", """SELECT 'key' AS rule, count(*) AS n_rows, count(*) FILTER (o_orderkey IS NULL) AS n_violations FROM orders
@@ -149,5 +147,4 @@ def o5(spark, sf_dir):
 
 @query("o4_tail_days", f"WITH {DAILY} SELECT entity, day, n_orders FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS r FROM core) WHERE r <= 7")
 def o4(spark, sf_dir):
-    c = core(spark, sf_dir).withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("day"))))
-    return c.where("_r <= 7").select("entity", "day", "n_orders")
+    return best_rows(core(spark, sf_dir), ["entity"], [F.desc("day")], 7).select("entity", "day", "n_orders")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, stats
 from ..operators import windows as W
+from ..plans.audit import trend_colour
 from .registry import DAILY, SESSIONS, core, daily, query, rounded, sessions_of
 
 E = ["entity"]
@@ -70,13 +71,12 @@ def w6(spark, sf_dir):
 
 @query("w10_trend_colour", f"""WITH {DAILY}, q AS (SELECT *, quantile_cont(rmssd, 0.15) FILTER (quality <> 'INVALID') OVER w AS p15, quantile_cont(rmssd, 0.30) FILTER (quality <> 'INVALID') OVER w AS p30,
   count(*) FILTER (quality <> 'INVALID') OVER w AS n FROM core WINDOW w AS (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
-SELECT entity, day, CASE WHEN n < 15 THEN 'Indef' WHEN rmssd >= p30 THEN 'Verde' WHEN rmssd >= p15 THEN 'Ámbar' ELSE 'Rojo' END AS colour FROM q""")
+SELECT entity, day, CASE WHEN n < 15 THEN 'Indef' WHEN rmssd >= p30 AND NOT (p30 > p15 AND rmssd - p30 < 0.1 * (p30 - p15) AND (hr - 55) / 2 >= 3) THEN 'Verde' WHEN rmssd >= p15 THEN 'Ámbar' ELSE 'Rojo' END AS colour FROM q""")
 def w10(spark, sf_dir):
     w = W.day_frame(E, "day", 30)
     v = F.when(F.col("quality") != "INVALID", F.col("rmssd"))
     d = core(spark, sf_dir).withColumn("_q", F.percentile(v, F.array(F.lit(0.15), F.lit(0.30))).over(w)).withColumn("_n", F.count(v).over(w))
-    x = F.col("rmssd")
-    return d.select("entity", "day", F.when(F.col("_n") < 15, "Indef").when(x >= F.col("_q")[1], "Verde").when(x >= F.col("_q")[0], "Ámbar").otherwise("Rojo").alias("colour"))
+    return d.select("entity", "day", trend_colour(F.col("rmssd"), F.col("_n"), F.col("_q")[0], F.col("_q")[1], (F.col("hr") - 55) / 2).alias("colour"))
 
 
 @query("w11_robust_z", f"""WITH {DAILY}, q AS (SELECT *, median(ln_x) FILTER (quality <> 'INVALID') OVER w AS m, 1.4826 * mad(ln_x) FILTER (quality <> 'INVALID') OVER w AS s
