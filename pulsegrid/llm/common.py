@@ -55,7 +55,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.copied_to = path
+    return copy
+
+
+def discard(*copies: DataFrame) -> None:
+    """Remove what materialize() wrote for frames that nothing will read again."""
+    for copy in copies:
+        remove(copy.sparkSession, copy.copied_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text) -> F.Column:

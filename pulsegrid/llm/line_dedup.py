@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, set_aside, taken_back
+from .common import discard, materialize, set_aside, taken_back
 
 SPREAD, BASE, MODULUS = 4, 1_000_003, 2_147_483_647
 #: Where chunks are two lines at least: SPREAD counts boundaries before those that follow another are skipped.
@@ -85,6 +85,7 @@ def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
     text = keyed(docs).join(marks, ["doc_id", "_key"])
     with_bytes = F.transform("_marks", lambda m: F.struct(m["_start"].alias("_start"), m["_n"].alias("_n"), m["_hash"].alias("_hash"), m["_own"].alias("_own"), said(m["_start"], m["_n"]).alias("_bytes")))
     each = materialize(text.select("doc_id", "_key", F.explode(with_bytes).alias("_m")).select("doc_id", "_key", "_m.*"))
+    discard(counted)
     first = each.where("_own").select("_hash", F.col("_bytes").alias("_first_bytes"))
     again = each.where("NOT _own").join(first, "_hash").where("_bytes = _first_bytes")
     return again.groupBy("doc_id", "_key").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))

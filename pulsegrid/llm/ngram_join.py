@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, set_aside, taken_back
+from .common import discard, materialize, set_aside, taken_back
 
 WORDS, THRESHOLD = 5, (4, 5)  # similarity of at least 4 / 5
 SKETCH, BRANCHES, DEPTH, RUNS = 64, 2, 5, 4
@@ -147,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))  # neighbours below b
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x <> y")
-        edges = materialize(small.unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, edges = edges, materialize(small.unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -259,6 +260,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     counts = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = clusters.join(counts, "root").select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "blocks")
     found = materialize(compare(members, docs))
+    discard(sets, clusters)
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     verdict = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(

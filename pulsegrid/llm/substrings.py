@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import materialize, set_aside, taken_back
+from .common import discard, materialize, set_aside, taken_back
 from .ngram_join import _WORDS, mix, word_hashes
 
 SPAN, GRAM = 50, 10
@@ -134,11 +134,13 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     seeds = materialize(_seeds(own, span))
     firsts = materialize(seeds.groupBy("h0", "h1").agg(F.min("doc_id").alias("_first")))
     ranked = materialize(seeds.join(firsts, ["h0", "h1"]).select("doc_id", "_t", "anchors", (F.col("doc_id") > F.col("_first")).alias("_copy")))
+    discard(seeds, firsts)
     copies = ranked.where("_copy").select("doc_id", "_t").distinct()
     places = ranked.where("NOT _copy").select("doc_id", "_t", F.explode("anchors").alias("anchor"))
     shared = materialize(places.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor"))
     wanted = places.join(shared, "anchor").groupBy("doc_id", "_t").agg(F.collect_set("anchor").alias("shared"))
     found = materialize(_extend(own.join(wanted, ["doc_id", "_t"]), span))
+    discard(shared)
     owners = materialize(found.groupBy("w0", "w1").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").drop("_b"))
     gone = found.join(owners, ["w0", "w1"]).where("doc_id > _a").groupBy("doc_id", "_t").agg(F.collect_set("start").alias("starts"))
     return gone.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).withColumn("_cut", F.lit(True))

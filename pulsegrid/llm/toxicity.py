@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, words
+from .common import discard, fresh, materialize, words
 
 #: Bound of the fit: labelled documents of a class.
 SAMPLE = 3000
@@ -250,12 +250,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     """Where to cut z so that the shares of y = 1 at or above it and of y = 0 below it have the greatest sum; the
-    middle of the gap between two values, and of the best cuts the highest."""
+    middle of the gap between two values, and of the best cuts the highest. Above all, if no cut tells them apart."""
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     gain = np.cumsum(np.where(y == 1, 1 / max(1, (y == 1).sum()), -1 / max(1, (y == 0).sum())))
     ends = np.append(z[:-1] != z[1:], True)
     at = int(np.flatnonzero(ends)[gain[ends].argmax()])
+    if gain[at] <= 1e-9:
+        return float(z[0]) + 1.0
     return float(z[at] if at + 1 == len(z) else (z[at] + z[at + 1]) / 2)
 
 
@@ -273,9 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic", fold).repartition(24, "doc_id"))
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
+        discard(sample)
         return None
     ordinary = _ordinary_dictionary(sample)
-    *of_others, toxic = _toxic_dictionaries(materialize(vocabulary(sample)))
+    counted = materialize(vocabulary(sample))
+    *of_others, toxic = _toxic_dictionaries(counted)
+    discard(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_fold: dict = {}
@@ -288,6 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(at)), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
     rows = sorted((r[0], r[1]) for r in sample.select("text", "toxic", "fold").mapInArrow(run, "toxic int, x array<double>").collect())
+    discard(sample)
     x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], np.float64)
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     x = (x - mean) / spread
