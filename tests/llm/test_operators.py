@@ -377,7 +377,7 @@ def test_toxic_pieces_and_cut():
 
 
 def test_toxicity_clashes_and_repeats(spark):
-    rows = [(i, ("vileword is here " if i % 3 == 0 else "quiet words only ") * 8, i) for i in range(120)]
+    rows = [(i, " ".join(f"w{i}x{j} " + ("vileword" if i % 3 == 0 else "quiet") for j in range(8)), i) for i in range(120)]
     df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, toxicity int").withColumn("_toxicity", F.lit("x")).withColumn("toxic", F.lit(7))
     l = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     out = toxicity.keep_clean(df, l)
@@ -385,8 +385,10 @@ def test_toxicity_clashes_and_repeats(spark):
     kept = out.collect()
     assert {r.doc_id for r in kept} == {i for i in range(120) if i % 3} and all(r.toxicity == r.doc_id for r in kept)
     assert toxicity.report(df.limit(0), l).count() == 0
-    long = toxicity.report(docs(spark, [(r[0], r[1]) for r in rows] + [(500, "quiet words only " * 30000), (501, "quiet words only " * 30000 + "vileword is here " * 40)]), l).where("doc_id >= 500").collect()
-    assert {r.doc_id: r.predicted for r in long}[500] == 0
+    long = toxicity.report(docs(spark, [(r[0], r[1]) for r in rows] + [(500, "quiet words only " * 30000), (501, "quiet words only " * 300 + "vileword is here " * 40)]), l).where("doc_id >= 500").collect()
+    assert {r.doc_id: r.predicted for r in long} == {500: 0, 501: 1}
+    same = docs(spark, [(i, "the same words") for i in range(40)])
+    assert toxicity.report(same, l.where("doc_id < 40")).where("predicted = 1").count() == 0
 
 
 # -- 7 -------------------------------------------------------------------------------------------------------------
