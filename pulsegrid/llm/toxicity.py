@@ -295,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = sorted((r[0], r[1]) for r in sample.select("text", "toxic", "fold").mapInArrow(run, "toxic int, x array<double>").collect())
     discard(sample)
     x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], np.float64)
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread < 1e-6, 1.0, spread)  # a feature that never varies says nothing, however far a text is off
     x = (x - mean) / spread
     w = logistic(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y))
     w[0] -= best_cut(w[0] + x @ w[1:], y)
