@@ -85,19 +85,28 @@ def sliding_rmssd(beats: DataFrame, keys: Sequence[str], cfg: BeatConfig = BeatC
 def stable_start(windows: DataFrame, keys: Sequence[str], n_windows: str, cfg: BeatConfig = BeatConfig()) -> DataFrame:
     """keys and latency in seconds: the first window whose change to both neighbours is small, else the first of three
     that are all near the median of the last four valid ones, else null. n_windows bounds the window index."""
-    w = Window.partitionBy(*keys).orderBy("k")
     near = lambda a, b: yes((a > 0) & (F.abs(b - a) / a < cfg.stable_rel))
-    x = F.col("rmssd")
-    # a window without beats has no row, so neighbours count only if their index is next
-    at = lambda off: F.when(F.lead("k", off).over(w) == F.col("k") + off, F.lead("rmssd", off).over(w)) if off > 0 else F.when(F.lag("k", -off).over(w) == F.col("k") + off, F.lag("rmssd", -off).over(w))
-    d = windows.withColumn("_prev", at(-1)).withColumn("_next", at(1)).withColumn("_next2", at(2))
-    valid = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(F.col("k"), x.alias("v")))))
-    goal = d.groupBy(*keys).agg(valid.alias("_v")).withColumn("_goal", F.when(F.size("_v") >= 4, stats.median(F.slice(F.transform("_v", lambda s: s["v"]), -4, 4)))).drop("_v")
-    d = d.join(goal, list(keys))
-    first = F.min(F.when((F.col("k") >= 1) & (F.col("k") <= F.col(n_windows) - 2) & near(F.col("_prev"), x) & near(x, F.col("_next")), F.col("k")))
-    close = lambda c: yes((F.col("_goal") > 0) & (F.abs(c - F.col("_goal")) / F.col("_goal") < cfg.stable_rel))
-    second = F.min(F.when((F.col("k") <= F.col(n_windows) - 3) & close(x) & close(F.col("_next")) & close(F.col("_next2")), F.col("k")))
-    return d.groupBy(*keys).agg((F.coalesce(first, second) * cfg.step_s).alias("latency"))
+    # a recording's windows, one for every step_s seconds, as one array
+    each = windows.groupBy(*keys, F.col(n_windows).alias("_n")).agg(F.sort_array(F.collect_list(F.struct("k", F.col("rmssd").alias("v")))).alias("_w"))
+    valid = F.transform(F.filter("_w", lambda s: s["v"].isNotNull()), lambda s: s["v"])
+    each = each.withColumn("_goal", F.when(F.size(valid) >= 4, stats.median(F.slice(valid, -4, 4))))
+
+    def at(i: Column, k: Column, off: int) -> Column:
+        """The value off windows further; a window without beats has no row, so its index must be the next."""
+        s = F.get("_w", i + off)
+        return F.when(s["k"] == k + off, s["v"])
+
+    def first(s: Column, i: Column) -> Column:
+        k, x = s["k"], s["v"]
+        return F.when((k >= 1) & (k <= F.col("_n") - 2) & near(at(i, k, -1), x) & near(x, at(i, k, 1)), k)
+
+    def second(s: Column, i: Column) -> Column:
+        close = lambda c: yes((F.col("_goal") > 0) & (F.abs(c - F.col("_goal")) / F.col("_goal") < cfg.stable_rel))
+        k = s["k"]
+        return F.when((k <= F.col("_n") - 3) & close(s["v"]) & close(at(i, k, 1)) & close(at(i, k, 2)), k)
+
+    found = F.coalesce(F.array_min(F.transform("_w", first)), F.array_min(F.transform("_w", second)))
+    return each.select(*keys, (found * cfg.step_s).alias("latency"))
 
 
 def stress_index(beats: DataFrame, keys: Sequence[str], min_beats: int = 20, bin_ms: float = 50.0) -> DataFrame:

@@ -28,8 +28,21 @@ def rolling_baseline(df: DataFrame, keys: Sequence[str], day: str, x: str, days:
     w = day_frame(keys, day, days)
     value = F.when(rules.yes(valid), F.col(x)) if valid is not None else F.col(x)
     df = df.withColumn("_v", stats.missing_to_null(value))
-    out = df.withColumn("base", stats.frame_median("_v", w)).withColumn("n", F.count("_v").over(w)).withColumn("_all", F.collect_list("_v").over(w))
-    return out.withColumn("swc", swc_mult * stats.robust_sd(F.col("_all"))).drop("_v", "_all")
+    out = df.withColumn("_all", F.array_sort(F.collect_list("_v").over(w)))  # one frame serves all three
+    mid = stats.quantile_sorted(F.col("_all"), 0.5)
+    return out.withColumns({"base": mid, "n": F.size("_all").cast("long"), "swc": swc_mult * stats.robust_sd(F.col("_all"))}).drop("_v", "_all")
+
+
+def rolling_baselines(df: DataFrame, keys: Sequence[str], day: str, frames: dict[str, tuple[str, int]], valid: Column, where: Column, swc_mult: float = 0.5) -> DataFrame:
+    """df with base_<k>, swc_<k> and n_<k> of several (column, days), null where `where` says no: all of them in one
+    projection over one partitioning, as in rolling_baseline."""
+    ok = rules.yes(valid)
+    lists = {f"_all_{k}": F.array_sort(F.collect_list(F.when(ok, stats.missing_to_null(F.col(x)))).over(day_frame(keys, day, days))) for k, (x, days) in frames.items()}
+    out = {}
+    for k in frames:
+        held = F.col(f"_all_{k}")
+        out |= {f"base_{k}": F.when(where, stats.quantile_sorted(held, 0.5)), f"swc_{k}": F.when(where, swc_mult * stats.robust_sd(held)), f"n_{k}": F.when(where, F.size(held).cast("long"))}
+    return df.withColumns(lists).withColumns(out).drop(*lists)
 
 
 def rolling_residual(df: DataFrame, keys: Sequence[str], day: str, x: str, y: str, days: int, min_n: int, valid: Column | None = None, swc_mult: float = 0.5) -> DataFrame:

@@ -22,22 +22,21 @@ def slopes(core: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     w = day_frame(KEY, "Fecha", cfg.days)
     ok = F.coalesce(F.col("Calidad") != "INVALID", F.lit(True))
     rr = F.collect_list(F.when(ok, F.col("RRbar_s"))).over(w)
-    d = core.withColumn("n90", F.count_if(ok).over(w)).withColumn("_rr", stats.sorted_values(rr))
-    d = d.withColumn("iqr", stats.quantile_sorted(F.col("_rr"), 0.75) - stats.quantile_sorted(F.col("_rr"), 0.25)).withColumn("rr_ref", stats.quantile_sorted(F.col("_rr"), 0.5))
     log = lambda c: F.when(F.col(c) > 0, F.log(c))
-    d = d.withColumn("_lx", log("RRbar_s")).withColumn("_ly", log("RMSSD_stable"))
-    d = d.withColumn("_xy", F.collect_list(F.when(ok, F.struct(F.col("_lx").alias("x"), F.col("_ly").alias("y")))).over(w))
-    xs, ys = F.transform("_xy", lambda p: p["x"]), F.transform("_xy", lambda p: p["y"])
-    d = d.withColumn("_x", stats.sorted_values(xs)).withColumn("_y", stats.sorted_values(ys))
-    for side in "xy":
-        for name, q in (("lo", 0.10), ("hi", 0.90)):
-            d = d.withColumn(f"_{side}{name}", stats.quantile_sorted(F.col(f"_{side}"), q))
+    pair = F.when(ok, F.struct(log("RRbar_s").alias("x"), log("RMSSD_stable").alias("y")))
+    d = core.withColumns({"n90": F.count_if(ok).over(w), "_rr": stats.sorted_values(rr), "_xy": F.collect_list(pair).over(w)})
+    side = lambda k: stats.sorted_values(F.transform("_xy", lambda p: p[k]))
+    d = d.withColumns({"_x": side("x"), "_y": side("y")})
+    quarter = lambda q: stats.quantile_sorted(F.col("_rr"), q)
+    d = d.withColumns({
+        "iqr": quarter(0.75) - quarter(0.25), "rr_ref": quarter(0.5),
+        **{f"_{side}{name}": stats.quantile_sorted(F.col(f"_{side}"), q) for side in "xy" for name, q in (("lo", 0.10), ("hi", 0.90))}})
     held = F.transform(
         F.filter("_xy", lambda p: p["x"].isNotNull() & p["y"].isNotNull()),
         lambda p: F.struct(F.greatest(F.least(p["x"], F.col("_xhi")), F.col("_xlo")).alias("x"), F.greatest(F.least(p["y"], F.col("_yhi")), F.col("_ylo")).alias("y")))
     can = yes((F.col("n90") >= cfg.min_days) & (F.col("iqr") >= cfg.min_iqr))
     d = d.withColumn("can_est", can).withColumn("_fit", F.when(F.col("can_est"), stats.ols(held)))
-    return d.withColumn("beta_est", F.col("_fit.slope")).withColumn("r2", F.col("_fit.r2")).drop("_rr", "_lx", "_ly", "_xy", "_x", "_y", "_xlo", "_xhi", "_ylo", "_yhi", "_fit")
+    return d.withColumns({"beta_est": F.col("_fit.slope"), "r2": F.col("_fit.r2")}).drop("_rr", "_xy", "_x", "_y", "_xlo", "_xhi", "_ylo", "_yhi", "_fit")
 
 
 def remembered(d: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
@@ -78,17 +77,19 @@ def audit(core: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     ok = F.coalesce(F.col("Calidad") != "INVALID", F.lit(True))
     corrected = F.col("RMSSD_stable") * F.pow(F.col("RRbar_s") / F.col("rr_ref"), -F.col("beta_use"))
     usable = yes(F.col("beta_use").isNotNull() & (F.col("rr_ref") > 0) & (F.col("RRbar_s") > 0))
-    d = d.withColumn("cRMSSD", F.when(usable, corrected).otherwise(F.col("RMSSD_stable"))).withColumn("_lnc", F.when(F.col("cRMSSD") > 0, F.log("cRMSSD")))
+    d = d.withColumn("cRMSSD", F.when(usable, corrected).otherwise(F.col("RMSSD_stable")))
+    d = d.withColumn("_lnc", F.when(F.col("cRMSSD") > 0, F.log("cRMSSD")))
     frame = lambda c, days: F.collect_list(F.when(ok, F.col(c))).over(day_frame(KEY, "Fecha", days))
-    d = d.withColumn("_hr14", frame("HR_stable", 14)).withColumn("_c30", stats.sorted_values(frame("cRMSSD", 30))).withColumn("_l28", frame("lnRMSSD", 28)).withColumn("_c28", frame("_lnc", 28))
-    d = d.withColumn("hr_z", stats.round_even(stats.robust_z("HR_stable", F.col("_hr14")), 2)).withColumn("z", stats.robust_z("lnRMSSD", F.col("_l28"))).withColumn("zc", stats.robust_z("_lnc", F.col("_c28")))
-    d = d.withColumn("p15", stats.quantile_sorted(F.col("_c30"), 0.15)).withColumn("p30", stats.quantile_sorted(F.col("_c30"), 0.30))
+    d = d.withColumns({"_hr14": frame("HR_stable", 14), "_c30": stats.sorted_values(frame("cRMSSD", 30)), "_l28": frame("lnRMSSD", 28), "_c28": frame("_lnc", 28)})
+    d = d.withColumns({
+        "hr_z": stats.round_even(stats.robust_z("HR_stable", F.col("_hr14")), 2), "z": stats.robust_z("lnRMSSD", F.col("_l28")), "zc": stats.robust_z("_lnc", F.col("_c28")),
+        "p15": stats.quantile_sorted(F.col("_c30"), 0.15), "p30": stats.quantile_sorted(F.col("_c30"), 0.30)})
     trend = trend_colour(F.col("cRMSSD"), F.size("_c30"), F.col("p15"), F.col("p30"), F.col("hr_z"))
 
     def raised(base: Column) -> Column:
         return F.when(yes(F.col("hr_z") >= 3.8), "Rojo").when(yes(F.col("hr_z") >= 3.0) & (base == "Verde"), "Ámbar").otherwise(base)
 
     shown = lambda x: F.when(~ok, "Indef").otherwise(x)
-    out = d.withColumn("Color_Tendencia", shown(trend)).withColumn("Color_Agudo_Diario", shown(raised(level_colour("z")))).withColumn("Color_Tiebreak", shown(raised(level_colour("zc"))))
+    out = d.withColumns({"Color_Tendencia": shown(trend), "Color_Agudo_Diario": shown(raised(level_colour("z"))), "Color_Tiebreak": shown(raised(level_colour("zc")))})
     out = out.withColumnRenamed("beta_est", "beta_est_90d").withColumnRenamed("beta_use", "beta_use_90d").withColumnRenamed("r2", "R2_winsor_90d")
     return out.select("entity", *schema.AUDIT)

@@ -45,48 +45,46 @@ def final(core: DataFrame, sleep: DataFrame | None = None, days: DataFrame | Non
     if cfg.decision_mode not in ("O2_SHADOW", "O3_OVERRIDE_PERSIST_2of3") or cfg.warning_mode not in ("healthy85", "p20"):
         raise ValueError("unknown decision_mode or warning_mode")
     ln, hr = F.col("lnRMSSD"), F.col("HR_stable")
-    d = core
-    for c in ("lnRMSSD", "HR_stable", "RMSSD_stable", "RRbar_s"):
-        d = d.withColumn(c, stats.missing_to_null(c))
+    d = core.withColumns({c: stats.missing_to_null(c) for c in ("lnRMSSD", "HR_stable", "RMSSD_stable", "RRbar_s")})
     numeric = ln.isNotNull() & hr.isNotNull() & F.col("RMSSD_stable").isNotNull()
-    d = d.withColumn("_invalid", yes(F.col("Calidad") == "INVALID") | ~numeric | F.col("Fecha").isNull()).withColumn("_clean", yes(F.col("Calidad") == "OK") & ~F.col("_invalid")).withColumn("quality_flag", ~F.col("_clean") & ~F.col("_invalid"))
+    invalid = yes(F.col("Calidad") == "INVALID") | ~numeric | F.col("Fecha").isNull()
+    clean = yes(F.col("Calidad") == "OK") & ~invalid
+    d = d.withColumns({"_invalid": invalid, "_clean": clean, "quality_flag": ~clean & ~invalid, "_lnrr": F.when(F.col("RRbar_s") > 0, F.log("RRbar_s"))})
     d = W.last_valid_mean(d, KEY, "Fecha", ["lnRMSSD", "HR_stable"], F.col("_clean"), cfg.roll_n)
     d = d.withColumn("_open", ~F.col("_invalid") & (F.col("n_roll") >= cfg.min_roll))
-    for n in (cfg.base_days, *cfg.shadow_days):
-        for c, name in (("lnRMSSD", "ln"), ("HR_stable", "hr")):
-            d = W.rolling_baseline(d, KEY, "Fecha", c, n, F.col("_clean"), cfg.swc_mult)
-            for x in ("base", "swc", "n"):
-                d = d.withColumn(f"_{x}_{name}{n}", F.when(F.col("_open"), F.col(x)))
-            d = d.drop("base", "swc", "n")
-        d = d.withColumn(f"n{n}", F.coalesce(F.least(f"_n_ln{n}", f"_n_hr{n}"), F.lit(0)).cast("int"))
+    spans = (cfg.base_days, *cfg.shadow_days)
+    frames = {f"{name}{n}": (c, n) for n in spans for c, name in (("lnRMSSD", "ln"), ("HR_stable", "hr"))}
+    d = W.rolling_baselines(d, KEY, "Fecha", frames, F.col("_clean"), F.col("_open"), cfg.swc_mult)
+    d = d.withColumns({f"n{n}": F.coalesce(F.least(f"n_ln{n}", f"n_hr{n}"), F.lit(0)).cast("int") for n in spans})
     b = cfg.base_days
-    base, base_hr, swc, swc_hr = (F.col(f"_{x}{b}") for x in ("base_ln", "base_hr", "swc_ln", "swc_hr"))
+    base, base_hr, swc, swc_hr = (F.col(f"{x}{b}") for x in ("base_ln", "base_hr", "swc_ln", "swc_hr"))
     usable = yes((swc != 0) & (swc_hr != 0))
     full = F.col("_open") & (F.col(f"n{b}") >= cfg.min_base) & usable
     reason = F.when(F.col("_invalid"), "CAL/STAB/ART/NaN").when(~F.col("_open"), "ROLL3_INSUF")
     floor = F.when(full, F.greatest(swc, F.lit(cfg.swc_floor)))
-    d = d.withColumn("swc_ln_floor", floor).withColumn("veto_agudo", yes(F.col("_clean") & (ln < base - cfg.veto_mult * F.col("swc_ln_floor"))))
-    d = d.withColumn("ln_pre_veto", F.when(F.col("veto_agudo"), F.col("lnRMSSD_roll"))).withColumn("lnRMSSD_used", F.when(F.col("veto_agudo"), ln).otherwise(F.col("lnRMSSD_roll"))).withColumn("HR_used", F.when(F.col("veto_agudo"), hr).otherwise(F.col("HR_stable_roll")))
+    d = d.withColumns({"swc_ln_floor": floor, "veto_agudo": yes(F.col("_clean") & (ln < base - cfg.veto_mult * floor))})
+    veto = F.col("veto_agudo")
+    d = d.withColumns({"ln_pre_veto": F.when(veto, F.col("lnRMSSD_roll")), "lnRMSSD_used": F.when(veto, ln).otherwise(F.col("lnRMSSD_roll")), "HR_used": F.when(veto, hr).otherwise(F.col("HR_stable_roll"))})
     none = lambda why: F.struct(F.lit(schema.NO_GATE).alias("gate"), why.alias("reason"))
 
     def judged(n: int, least: int, name: str, a: Column, r: Column) -> Column:
-        got = rules.gate(a, r, F.col(f"_base_ln{n}"), F.col(f"_base_hr{n}"), F.col(f"_swc_ln{n}"), F.col(f"_swc_hr{n}"), "SWC_NAN/0")
+        got = rules.gate(a, r, F.col(f"base_ln{n}"), F.col(f"base_hr{n}"), F.col(f"swc_ln{n}"), F.col(f"swc_hr{n}"), "SWC_NAN/0")
         return F.when(reason.isNotNull(), none(reason)).when(F.col(f"n{n}") < least, none(F.lit(f"{name}_INSUF"))).otherwise(got)
 
-    d = d.withColumn("_judged", judged(b, cfg.min_base, f"BASE{b}", F.col("lnRMSSD_used"), F.col("HR_used")))
     raw = F.when(~F.col("_open"), none(F.lit(""))).when(F.col(f"n{b}") < cfg.min_base, none(F.lit(f"BASE{b}_INSUF"))).when(~usable, none(F.lit("SWC_NAN/0"))).otherwise(rules.gate(ln, hr, base, base_hr, swc, swc_hr))
-    d = d.withColumn("_raw", raw).withColumn("d_ln", F.when(full, F.col("lnRMSSD_used") - base)).withColumn("d_HR", F.when(full, F.col("HR_used") - base_hr))
     s1, s2 = cfg.shadow_days
-    for n, least in zip(cfg.shadow_days, cfg.min_shadow):
-        d = d.withColumn(f"_s{n}", judged(n, least, f"BASE{n}", F.col("lnRMSSD_used"), F.col("HR_used")))
+    used = F.col("lnRMSSD_used"), F.col("HR_used")
+    d = d.withColumns({
+        "_judged": judged(b, cfg.min_base, f"BASE{b}", *used), "_raw": raw, "d_ln": F.when(full, F.col("lnRMSSD_used") - base), "d_HR": F.when(full, F.col("HR_used") - base_hr),
+        **{f"_s{n}": judged(n, least, f"BASE{n}", *used) for n, least in zip(cfg.shadow_days, cfg.min_shadow)}})
     note = F.concat(F.lit("Raw="), F.col("_raw.gate"), F.lit("("), F.col("_raw.reason"), F.lit(") vs ref="), F.col("_judged.gate"), F.lit("("), F.col("_judged.reason"), F.lit(")"))
     d = d.withColumn("unstable_note", F.when(full & F.col("quality_flag") & F.col("_raw.gate").isin(*schema.GATES), note).otherwise(""))
-    d = d.withColumn("_lnrr", F.when(F.col("RRbar_s") > 0, F.log("RRbar_s")))
     d = W.rolling_residual(d, KEY, "Fecha", "_lnrr", "lnRMSSD", b, cfg.min_base, F.col("_clean"), cfg.swc_mult)
-    d = d.withColumn("residual_ln", F.when(F.col("_open"), F.col("residual"))).withColumn("residual_z", F.when(F.col("_open"), F.col("residual_z")))
-    d = d.withColumn("residual_tag", rules.residual_tag("residual_z", cfg)).withColumn("gate_base60", F.col("_judged.gate")).withColumn("_g1", F.col(f"_s{s1}.gate")).withColumn("_g2", F.col(f"_s{s2}.gate"))
+    z = F.when(F.col("_open"), F.col("residual_z"))
+    d = d.withColumns({
+        "residual_ln": F.when(F.col("_open"), F.col("residual")), "residual_z": z, "residual_tag": rules.residual_tag(z, cfg), "gate_base60": F.col("_judged.gate"), "_g1": F.col(f"_s{s1}.gate"), "_g2": F.col(f"_s{s2}.gate")})
     if cfg.decision_mode == "O2_SHADOW":
-        d = d.withColumn("final", F.col("gate_base60")).withColumn("delta", F.lit(0)).withColumn("path", F.lit("BASE60_ONLY")).withColumn("why", F.lit(""))
+        d = d.withColumns({"final": F.col("gate_base60"), "delta": F.lit(0), "path": F.lit("BASE60_ONLY"), "why": F.lit("")})
     else:
         d = W.persistence(d, KEY, ["Fecha"], "gate_base60", "_g2", "_g1", s2, s1)
     d = W.streak(d, KEY, ["Fecha"], F.col("final").isin(*cfg.bad_gates), 7)
@@ -116,7 +114,7 @@ def final(core: DataFrame, sleep: DataFrame | None = None, days: DataFrame | Non
 
 def _reasons(d: DataFrame, sleep: DataFrame | None, days: DataFrame | None, cfg: GateConfig) -> DataFrame:
     """d with reason_text: the messages that apply, in a fixed order."""
-    base = F.col(f"_base_ln{cfg.base_days}")
+    base = F.col(f"base_ln{cfg.base_days}")
     gate, drop = F.col("final"), cfg.veto_mult * F.col("swc_ln_floor")
     parts = [
         F.when(F.col("veto_agudo"), F.format_string("Caída aguda HRV: raw=%.3f vs base=%.3f (drop=%.3f, umbral=-%.3f)", "lnRMSSD", base, F.col("lnRMSSD") - base, drop)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,35 +24,75 @@ KEYS = {
     "hr": ["heart_rate_avg", "heart-rate-avg", "hr_avg"], "resp": ["breathing_rate_avg", "breathing-rate-avg", "nightly_resp", "nightly_resp_int"],
     "long": ["long_interruptions", "interruptions_long", "long-interruptions", "longInterruptions"], "total": ["total_interruptions", "interruptions_total", "total-interruptions"],
 }
-#: Where a key may stand: at the top, or inside these.
-PLACES = ["", "sleep", "night", "data", "evaluation", "interruptions", "nightly_recharge"]
+#: Fields that are taken only where the value is a number.
+NUMERIC = frozenset("deep_pct rem_pct continuity continuity_index efficiency score rmssd rri hr resp long total".split())
+
+
+def _plain(key: str) -> str:
+    return key.strip().lower().replace("-", "_")
+
+
+def _is_number(text: str) -> bool:
+    try:
+        return float(text.replace(",", ".")) == float(text.replace(",", "."))
+    except ValueError:
+        return False
+
+
+def find_values(doc: str | None, keys: dict[str, frozenset[str]], numeric: frozenset[str]) -> dict[str, str]:
+    """The first value of each field in a JSON text, however deep: an object's own keys come before what lies in it,
+    and of what lies in it the last comes first. Empty values and values that hold others are passed over."""
+    try:
+        todo = [json.loads(doc)] if doc else []
+    except ValueError:
+        return {}
+    found: dict[str, str] = {}
+    while todo:
+        at = todo.pop()
+        pairs = at.items() if isinstance(at, dict) else (("", x) for x in at) if isinstance(at, list) else ()
+        for key, value in pairs:
+            if isinstance(value, (dict, list)):
+                todo.append(value)
+            elif value is not None:
+                text, own = value if isinstance(value, str) else json.dumps(value), _plain(key)
+                for name, names in keys.items():
+                    if own in names and name not in found and text.strip() and (name not in numeric or _is_number(text)):
+                        found[name] = text
+    return found
+
+
+def first_values(doc, names: list[str]) -> Column:
+    """struct of the named fields of KEYS as text, null where a JSON text has none of a field's spellings."""
+    keys = {n: frozenset(map(_plain, KEYS[n])) for n in names}
 
+    @F.pandas_udf(", ".join(f"`{n}` string" for n in names))
+    def search(docs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([find_values(d, keys, NUMERIC) for d in docs], columns=names, dtype=object)
 
-def first_value(doc: Column, keys: list[str], places: list[str] = PLACES) -> Column:
-    """The first of the keys that a JSON text has, at the top or in one of the places, as text."""
-    paths = [f"$['{p}']['{k}']" if p else f"$['{k}']" for k in keys for p in places]
-    return F.coalesce(*[F.get_json_object(doc, p) for p in paths])
+    return search(doc)
 
 
-def interruptions(doc: Column) -> Column:
+def interruptions(doc: Column, found: Column) -> Column:
     """struct(long, total): given counts, or items of a list of which long ones last five minutes or say so."""
-    items = F.from_json(F.coalesce(F.get_json_object(doc, "$.interruptions"), F.lit("[]")), "array<struct<kind:string,type:string,duration:string>>")
+    body = F.get_json_object(doc, "$.interruptions")
+    items = F.from_json(F.when(F.trim(body).startswith("["), body).otherwise("[]"), "array<struct<kind:string,type:string,duration:string>>")
     is_long = lambda x: F.coalesce(F.lower(F.coalesce(x["kind"], x["type"])).contains("long"), F.lit(False)) | F.coalesce(parse.minutes(x["duration"]) >= 5, F.lit(False))
     some = F.size(items) > 0
     return F.struct(
-        F.coalesce(parse.number(first_value(doc, KEYS["long"])), F.when(some, F.size(F.filter(items, is_long)).cast("double"))).alias("long"),
-        F.coalesce(parse.number(first_value(doc, KEYS["total"])), F.when(some, F.size(items).cast("double"))).alias("total"))
+        F.coalesce(parse.number(found["long"]), F.when(some, F.size(F.filter(items, is_long)).cast("double"))).alias("long"),
+        F.coalesce(parse.number(found["total"]), F.when(some, F.size(items).cast("double"))).alias("total"))
 
 
 def fields(raw: DataFrame) -> DataFrame:
     """entity, Fecha and the sleep fields of (entity, Fecha, sleep_json, nightly_json); what is not said is null,
     derived where it can be."""
-    s, n = F.col("sleep_json"), F.col("nightly_json")
-    m = lambda k: parse.minutes(first_value(s, KEYS[k]))
-    d = raw.select(
-        "entity", "Fecha", *[m(k).alias(f"_{k}") for k in ("asleep", "span", "deep", "rem", "light")], parse.minutes_between(first_value(s, KEYS["start"]), first_value(s, KEYS["end"])).alias("_between"),
-        *[parse.number(first_value(s, KEYS[k])).alias(f"_{k}") for k in ("deep_pct", "rem_pct", "continuity", "continuity_index", "score")], parse.percent(first_value(s, KEYS["efficiency"])).alias("_eff"),
-        interruptions(s).alias("_i"), *[parse.number(first_value(n, KEYS[k])).alias(f"_{k}") for k in ("rmssd", "rri", "hr")], parse.breaths(first_value(n, KEYS["resp"])).alias("_resp"))
+    night = ["rmssd", "rri", "hr", "resp"]
+    d = raw.select("entity", "Fecha", "sleep_json", first_values("sleep_json", [k for k in KEYS if k not in night]).alias("_s"), first_values("nightly_json", night).alias("_n"))
+    s, n = F.col("_s"), F.col("_n")
+    d = d.select(
+        "entity", "Fecha", *[parse.minutes(s[k]).alias(f"_{k}") for k in ("asleep", "span", "deep", "rem", "light")], parse.minutes_between(s["start"], s["end"]).alias("_between"),
+        *[parse.number(s[k]).alias(f"_{k}") for k in ("deep_pct", "rem_pct", "continuity", "continuity_index", "score")], parse.percent(s["efficiency"]).alias("_eff"),
+        interruptions(F.col("sleep_json"), s).alias("_i"), *[parse.number(n[k]).alias(f"_{k}") for k in ("rmssd", "rri", "hr")], parse.breaths(n["resp"]).alias("_resp"))
     stages = F.coalesce(F.col("_deep"), F.lit(0.0)) + F.coalesce(F.col("_rem"), F.lit(0.0)) + F.coalesce(F.col("_light"), F.lit(0.0))
     any_stage = F.coalesce("_deep", "_rem", "_light").isNotNull()
     d = d.withColumn("_asleep", F.coalesce("_asleep", F.when(any_stage, stages))).withColumn("_span", F.coalesce("_span", "_between"))

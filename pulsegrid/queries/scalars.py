@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, rules, stats
 from ..plans import analysis, cost
 from ..sources import writers
+from ..plans.core import measurement_flags
 from .registry import SESSIONS, query, rounded, sessions_of, table
 
 
@@ -34,9 +35,13 @@ def p12(spark, sf_dir):
     return g.withColumn("_a", rules.action("gate", "q")).select("o_orderkey", rules.shift_gate("gate", 1).alias("down"), rules.shift_gate("gate", -1).alias("up"), F.concat("gate", rules.residual_tag("z")).alias("badge"), "_a.action", "_a.detail")
 
 
-@query("p7_p16_text_lists", "SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 2 = 0 THEN 'EVEN' END, CASE WHEN o_custkey % 3 = 0 THEN 'THIRD' END) AS flags FROM orders")
+@query("p7_p16_text_lists", """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 60 END AS latency, (o_custkey % 30)::DOUBLE AS a, ['OK', 'STAB_TAIL_SHORT', 'STAB_CV120_HIGH'][(o_orderkey % 3 + 1)::INTEGER] AS s FROM orders)
+SELECT o_orderkey, concat_ws('|', CASE WHEN latency IS NULL THEN 'LAT_NAN' END, CASE WHEN a > 15 THEN 'ART_GT15' END, CASE WHEN a > 20 THEN 'ART_GT20' END, CASE WHEN s <> 'OK' THEN s END) AS flags FROM t""")
 def p7(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("|", F.when(F.col("o_orderkey") % 2 == 0, "EVEN"), F.when(F.col("o_custkey") % 3 == 0, "THIRD")).alias("flags"))
+    k = F.col("o_orderkey")
+    t = table(spark, sf_dir, "orders").select(
+        k, F.when(k % 3 != 0, 60).alias("latency"), (F.col("o_custkey") % 30).cast("double").alias("a"), F.element_at(F.array(*map(F.lit, ("OK", "STAB_TAIL_SHORT", "STAB_CV120_HIGH"))), (k % 3 + 1).cast("int")).alias("s"))
+    return t.select("o_orderkey", measurement_flags("latency", "a", "s").alias("flags"))
 
 
 @query("p26_p33_tolerant_numbers", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, coalesce(try_cast(json_extract_string(props, '$.missing') AS DOUBLE), try_cast(replace(json_extract_string(props, '$.k') || ',5', ',', '.') AS DOUBLE)) AS v FROM events")

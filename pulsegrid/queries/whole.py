@@ -4,28 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig
+from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig, SessionConfig
 from ..plans import analysis, final, sessions, sleep
 from ..plans import audit as A
 from ..plans import core as C
-from .registry import beats_of, core_contract, query, rounded, samples_of, sessions_of, table
+from .registry import BEATS, SESSIONS, beats_of, core_contract, query, rounded, samples_of, sessions_of, table
 
 
 def measurements_of(spark, sf_dir):
     return C.measurements(beats_of(spark, sf_dir))
 
 
-@query("c1_measurements")
+def _parts_sql(rescue: bool = False) -> str:
+    """Recordings with latency, steady and last part, and the statistics of both."""
+    latency = "CAST(NULL AS DOUBLE)" if rescue else """(SELECT 30.0 * coalesce(min(n.k) FILTER (n.k >= 1 AND n.k <= n_win - 2 AND abs(x - xp) / xp < 0.08 AND abs(xn - x) / x < 0.08),
+  min(n.k) FILTER (n.k <= n_win - 3 AND abs(x - goal) / goal < 0.08 AND abs(xn - goal) / goal < 0.08 AND abs(x2 - goal) / goal < 0.08)) FROM nb n JOIN gl USING (entity) WHERE n.entity = m.entity)"""
+    return f"""{BEATS},
+n AS (SELECT entity, any_value(day) AS day, count(*) AS n_total, max(t_end) AS dur_raw, count(*) FILTER (offline) AS n_off, count(*) FILTER (out_of_range) AS n_oor, count(*) FILTER (base) AS n_base, count(*) FILTER (jump) AS n_jump,
+  count(*) FILTER (base AND NOT jump) AS n_clean FROM filtered GROUP BY 1),
+m AS (SELECT *, dur_raw - 15 AS end_eff, 100.0 * (n_off + n_oor + n_jump) / n_total AS artifact_pct, CASE WHEN dur_raw > 15 THEN floor((dur_raw - 15) / 30) + 1 ELSE 1 END AS n_win FROM n),
+eff AS (SELECT f.entity, f.beat_idx, f.duration_ms, f.t_end FROM filtered f JOIN m USING (entity) WHERE base AND NOT jump AND t_end <= end_eff),
+wv AS (SELECT entity, beat_idx, duration_ms, floor(t_end / 30)::BIGINT - o AS k FROM eff, (VALUES (0), (1)) v(o)),
+wp AS (SELECT *, lag(duration_ms) OVER (PARTITION BY entity, k ORDER BY beat_idx) AS q2 FROM wv WHERE k >= 0),
+w AS (SELECT wp.entity, k, any_value(n_win) AS n_win, CASE WHEN count(q2) >= 20 THEN sqrt(avg((duration_ms - q2) ** 2)) END AS x FROM wp JOIN m USING (entity) WHERE k < n_win GROUP BY 1, 2),
+nb AS (SELECT w.*, a.x AS xp, b.x AS xn, c.x AS x2 FROM w LEFT JOIN w a ON a.entity = w.entity AND a.k = w.k - 1 LEFT JOIN w b ON b.entity = w.entity AND b.k = w.k + 1 LEFT JOIN w c ON c.entity = w.entity AND c.k = w.k + 2),
+gl AS (SELECT entity, CASE WHEN count(x) >= 4 THEN list_aggregate(list_slice(list(x ORDER BY k) FILTER (x IS NOT NULL), -4, -1), 'median') END AS goal FROM w GROUP BY 1),
+l AS (SELECT m.*, {latency} AS latency FROM m), r AS (SELECT *, greatest(coalesce(latency, 45), 45) AS t_start FROM l),
+st AS (SELECT e.*, t_start, lag(duration_ms) OVER (PARTITION BY e.entity ORDER BY beat_idx) AS q FROM eff e JOIN r USING (entity) WHERE e.t_end >= t_start),
+s AS (SELECT entity, count(*) AS n_steady, avg(duration_ms) / 1000 AS rr, sqrt(avg((duration_ms - q) ** 2)) AS rmssd, max(t_end) AS steady_end, min(duration_ms) AS lo, max(duration_ms) AS hi, stddev_pop(duration_ms - q) / sqrt(2) AS sd1, var_pop(duration_ms) AS v FROM st GROUP BY 1),
+tl AS (SELECT e.*, lag(duration_ms) OVER (PARTITION BY e.entity ORDER BY beat_idx) AS q FROM eff e JOIN r USING (entity) WHERE e.t_end >= end_eff - 120),
+t AS (SELECT entity, count(*) AS n_tail, max(t_end) - min(t_end) AS dur_tail, sqrt(avg((duration_ms - q) ** 2)) AS rmssd2, CASE WHEN count(*) > 1 THEN stddev_pop(duration_ms) / avg(duration_ms) END AS cv FROM tl GROUP BY 1),
+bn AS (SELECT entity, least(floor((duration_ms - lo) / 50), ceil((hi - lo) / 50) - 1) AS b, count(*) AS c FROM st JOIN s USING (entity) WHERE hi > lo GROUP BY 1, 2),
+tp AS (SELECT entity, b, c FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY c DESC, b) AS i FROM bn) WHERE i = 1),
+sd AS (SELECT s.*, sqrt(greatest(2 * v - sd1 ** 2, 0)) AS sd2 FROM s),
+u AS (SELECT r.*, n_steady, rr, rmssd, steady_end, coalesce(n_tail, 0) AS n_tail, coalesce(dur_tail, 0) AS dur_tail, rmssd2, cv, 60 / rr AS hr, abs(rmssd2 - rmssd) / rmssd AS mismatch, sd1, sd2,
+  100.0 * c / n_steady / (2 * (lo + (b + 0.5) * 50) / 1000 * (hi - lo) / 1000) AS si FROM r LEFT JOIN sd USING (entity) LEFT JOIN t USING (entity) LEFT JOIN tp USING (entity))"""
+
+
+def _measurements_sql(rescue: bool = False) -> str:
+    mode = "'RESCUE_MODE'" if rescue else "CAST(NULL AS VARCHAR)"
+    return f"""WITH {_parts_sql(rescue)},
+k AS (SELECT *, CASE WHEN dur_tail < 75 OR n_tail - 1 < 60 THEN 'STAB_TAIL_SHORT' WHEN cv > 0.2 THEN 'STAB_CV120_HIGH' WHEN rmssd2 IS NULL THEN 'STAB_LAST2_NAN' WHEN mismatch > 0.15 THEN 'STAB_LAST2_MISMATCH' ELSE 'OK' END AS kind FROM u)
+SELECT entity, day AS "Fecha", CASE WHEN artifact_pct > 20 OR coalesce(hr < 35 OR hr > 100, false) THEN 'INVALID' WHEN latency IS NOT NULL AND artifact_pct <= 15 AND greatest(latency, 60) BETWEEN 60 AND 600 AND kind = 'OK' THEN 'OK' ELSE 'FLAG_mecánico' END AS "Calidad",
+  CASE WHEN kind = 'OK' THEN 'OK' ELSE 'Unstable' END AS "HRV_Stability", kind AS "Stability_Subtype", round(artifact_pct, 6) AS "Artifact_pct", latency AS "Tiempo_Estabilizacion", round(hr, 6) AS "HR_stable", round(rr, 6) AS "RRbar_s", round(rmssd, 6) AS "RMSSD_stable",
+  round(rmssd2, 6) AS "RMSSD_stable_last2", round(100 * mismatch, 6) AS "tail_mismatch_pct", round(ln(rmssd), 6) AS "lnRMSSD",
+  concat_ws('|', {mode}, CASE WHEN latency IS NULL THEN 'LAT_NAN' END, CASE WHEN artifact_pct > 15 THEN 'ART_GT15' END, CASE WHEN artifact_pct > 20 THEN 'ART_GT20' END, CASE WHEN kind <> 'OK' THEN kind END) AS "Flags",
+  CASE WHEN n_steady >= 20 THEN round_even(si, 1) END AS "SI_baevsky", CASE WHEN n_steady >= 10 THEN round_even(sd1, 2) END AS "SD1", CASE WHEN n_steady >= 10 THEN round_even(sd2, 2) END AS "SD2", CASE WHEN n_steady >= 10 AND sd2 > 0 THEN round_even(sd1 / sd2, 3) END AS "SD1_SD2_ratio",
+  printf('src=%s; dur_raw=%.1fs; dur_eff=%.1fs; t_start_eff=%.1fs; dur_tramo=%.1fs; dur_tail=%.1fs; n_total=%d; n_base=%d; n_clean=%d; n_tramo=%d; n_tail=%d; off=%d; oor=%d; dRR=%d; lat_mode=%s; stab=%s',
+    entity::VARCHAR || '_' || day::VARCHAR, dur_raw, end_eff, t_start, coalesce(steady_end - t_start, 0.0), dur_tail::DOUBLE, n_total, n_base, n_clean, coalesce(n_steady, 0), n_tail, n_off, n_oor, n_jump, CASE WHEN latency IS NULL THEN 'NAN' ELSE 'NUM' END, CASE WHEN kind = 'OK' THEN 'OK' ELSE 'Unstable' END) AS "Notes" FROM k"""
+
+
+@query("c1_measurements", _measurements_sql())
 def c1(spark, sf_dir):
     return rounded(measurements_of(spark, sf_dir))
 
 
-@query("c2_rescue_measurements")
+@query("c2_rescue_measurements", _measurements_sql(True))
 def c2(spark, sf_dir):
     return rounded(C.measurements(beats_of(spark, sf_dir), rescue=True))
 
 
-@query("c4_ans_balance")
+@query("c4_ans_balance", f"""WITH {_parts_sql()} SELECT entity, day, CASE WHEN n_steady >= 20 THEN round_even(si, 1) END AS si, CASE WHEN n_steady >= 20 THEN round_even(sd1, 2) END AS sd1, CASE WHEN n_steady >= 20 THEN round_even(sd2, 2) END AS sd2,
+  CASE WHEN n_steady >= 20 AND sd2 > 0 THEN round_even(sd1 / sd2, 3) END AS ratio FROM u WHERE n_steady > 0""")
 def c4(spark, sf_dir):
     return rounded(C.balance(beats_of(spark, sf_dir)))
 
@@ -68,7 +108,12 @@ def c7(spark, sf_dir):
     return rounded(sessions.days(sessions.build(*activities_of(spark, sf_dir))))
 
 
-@query("c9_sleep")
+@query("c9_sleep", """WITH e AS (SELECT user_id AS entity, ts::DATE AS "Fecha", sum(value) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+m AS (SELECT *, v * 60 AS d FROM e), r AS (SELECT entity, "Fecha", CASE WHEN d < 0 THEN NULL WHEN d > 100000 THEN d / 60000 WHEN d > 1440 THEN d / 60 ELSE d END AS dur, n::DOUBLE AS i, (n % 5 / 10.0) * 100 AS eff, v / 10 AS night FROM m),
+p AS (SELECT entity, quantile_cont(dur, 0.1) AS p10, quantile_cont(dur, 0.9) AS p90, quantile_cont(i, 0.9) AS ip FROM r GROUP BY 1)
+SELECT entity, "Fecha", round(dur, 6) AS polar_sleep_duration_min, CAST(NULL AS DOUBLE) AS polar_sleep_span_min, CAST(NULL AS DOUBLE) AS polar_deep_pct, CAST(NULL AS DOUBLE) AS polar_rem_pct, round(eff, 6) AS polar_efficiency_pct, CAST(NULL AS DOUBLE) AS polar_continuity, CAST(NULL AS DOUBLE) AS polar_continuity_index,
+  i AS polar_interruptions_long, CAST(NULL AS DOUBLE) AS polar_interruptions_total, CAST(NULL AS DOUBLE) AS polar_sleep_score, round(night, 6) AS polar_night_rmssd, round(60000.0 / 52, 6) AS polar_night_rri, CAST(NULL AS DOUBLE) AS polar_night_resp,
+  round(p10, 6) AS sleep_dur_p10, round(p90, 6) AS sleep_dur_p90, round(ip, 6) AS sleep_int_p90 FROM r JOIN p USING (entity)""")
 def c9(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     d = e.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("Fecha")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
@@ -78,6 +123,7 @@ def c9(spark, sf_dir):
     return rounded(sleep.with_percentiles(sleep.fields(raw)))
 
 
+_EFFORT = SessionConfig(anchor_start="1995-01-01", anchor_end="1996-12-31")
 _DFA = DfaConfig(win_beats=120, step_beats=40, local_rel=0.10)
 
 
@@ -97,7 +143,11 @@ def a34(spark, sf_dir):
     return rounded(analysis.blocks(c10(spark, sf_dir), samples_of(spark, sf_dir), 120))
 
 
-@query("c8_effort_classes")
+@query("c8_effort_classes", f"""WITH {SESSIONS}, a AS (SELECT *, row_number() OVER (PARTITION BY entity, grp, day ORDER BY start_time, session_id) AS i FROM sessions),
+h AS (SELECT s.entity, s.session_id, count(p.session_id) AS n, bool_and(p.load IS NOT NULL) AS whole, quantile_cont(p.load, 0.25) AS q1, quantile_cont(p.load, 0.75) AS q3 FROM a s LEFT JOIN a p ON p.entity = s.entity AND p.grp = s.grp AND p.day >= s.day - {_EFFORT.effort_days} AND (p.day < s.day OR p.day = s.day AND p.i < s.i) GROUP BY 1, 2),
+b AS (SELECT entity, grp, quantile_cont(load, 0.25) AS b1, quantile_cont(load, 0.75) AS b3 FROM sessions WHERE day BETWEEN DATE '{_EFFORT.anchor_start}' AND DATE '{_EFFORT.anchor_end}' AND load IS NOT NULL GROUP BY 1, 2 HAVING count(load) >= {_EFFORT.effort_min_prev})
+SELECT s.entity, s.session_id, CASE WHEN n < {_EFFORT.effort_min_prev} OR load IS NULL THEN 'unknown' WHEN whole AND load > q3 THEN 'above' WHEN whole AND load < q1 THEN 'below' ELSE 'typical' END AS effort_vs_recent,
+  CASE WHEN b1 IS NULL OR load IS NULL THEN 'unknown' WHEN load > b3 THEN 'above' WHEN load < b1 THEN 'below' ELSE 'typical' END AS effort_vs_anchor FROM sessions s JOIN h ON h.session_id = s.session_id LEFT JOIN b ON b.entity = s.entity AND b.grp = s.grp""")
 def c8(spark, sf_dir):
     s = sessions_of(spark, sf_dir).withColumnRenamed("grp", "session_group").withColumnRenamed("day", "Fecha")
-    return sessions.effort(s).select("entity", "session_id", "effort_vs_recent", "effort_vs_anchor")
+    return sessions.effort(s, _EFFORT).select("entity", "session_id", "effort_vs_recent", "effort_vs_anchor")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -13,19 +13,32 @@ ACTIVITY = (
     "messages array<struct<type:string,content:string>>")
 
 
-def beat_files(spark: SparkSession, path: str, entity: str = "file") -> DataFrame:
-    """entity, day, beat_idx, duration_ms, offline of all *_RR.csv files below a path; the day is in the file's name.
+def parent_folder(path) -> Column:
+    """The name of the folder that a file lies in."""
+    return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, folder, changed and size of all files below a path whose name matches, without reading them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
+    return found.select("path", name.alias("name"), parent_folder(F.col("path")).alias("folder"), F.col("modificationTime").alias("changed"), F.col("length").alias("size"))
+
+
+def beat_files(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
+    """entity, day, beat_idx, duration_ms, offline of all *_RR.csv files below a path; the day is in the file's name, and
+    the entity is the folder the file lies in, if none is given.
 
     Rows of a file have no order of their own in a distributed scan, so each file is read whole: recordings are
-    minutes long. Where a day has several files, loose ones before converted ones and then the newest, one is kept.
+    minutes long. Where an entity has several files of a day, loose ones before converted ones and then the newest, one is kept.
     """
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_RR.[cC][sS][vV]").select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), (parent_folder(F.col("_metadata.file_path")) if entity is None else F.lit(entity)).alias("entity"))
     f = raw.withColumn("day", parse.file_date("file")).where("day IS NOT NULL").withColumn("_pref", F.col("file").contains("from_jsonl"))
-    f = f.groupBy("day").agg(F.max_by(F.struct("file", "value"), F.struct("_pref", "changed", "file")).alias("_f")).select("day", "_f.*")
-    lines = f.select("day", F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line")).where("_i > 0 AND trim(_line) <> ''")
+    f = f.groupBy("entity", "day").agg(F.max_by(F.struct("file", "value"), F.struct("_pref", "changed", "file")).alias("_f")).select("entity", "day", "_f.*")
+    lines = f.select("entity", "day", F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line")).where("_i > 0 AND trim(_line) <> ''")
     part = F.split("_line", ",")
-    return lines.select(F.lit(entity).alias("entity"), "day", F.col("_i").cast("long").alias("beat_idx"), parse.number(F.try_element_at(part, F.lit(1))).alias("duration_ms"), (F.coalesce(parse.number(F.try_element_at(part, F.lit(2))), F.lit(0.0)) != 0).alias("offline"))
+    return lines.select("entity", "day", F.col("_i").cast("long").alias("beat_idx"), parse.number(F.try_element_at(part, F.lit(1))).alias("duration_ms"), (F.coalesce(parse.number(F.try_element_at(part, F.lit(2))), F.lit(0.0)) != 0).alias("offline"))
 
 
 def vendor_beats(samples: DataFrame, keys: list[str], data: str, kind: str = "sample_type", wanted: int = 11) -> DataFrame:

@@ -1,8 +1,9 @@
 """Incremental runs: what arrives is folded into stored tables batch by batch.
 
 A late correction must replace what is stored, which a streaming de-duplication does not do, as it keeps the first
-row. So each micro-batch is an upsert, keyed by its batch id: a batch that is run again after a failure writes the
-same version anew.
+row. So each micro-batch is an upsert, keyed by the run's id, which its checkpoint holds, and the batch's number: a
+batch that is run again after a failure writes the same version anew, and a run with a new checkpoint overwrites
+nothing.
 """
 
 from __future__ import annotations
@@ -19,23 +20,25 @@ from ..operators.upsert import keep_last
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], version: Sequence[str]) -> StreamingQuery:
     """Keep at path the last row of each key by version, over all that has arrived; stops when input is used up.
 
-    Batches are appended with their number, so nothing that is being read is overwritten; `current` gives the rows
-    that count, and `compact` folds old batches together.
+    Batches are appended by run and number, so nothing that is being read is overwritten; `current` gives the rows
+    that count, the later written ones where versions are equal, and `compact` folds old batches together.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        last = keep_last(batch, list(keys), list(version)).withColumn("_batch", F.lit(number))
+        run = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        last = keep_last(batch, list(keys), list(version)).withColumn("_written", F.current_timestamp()).withColumn("_batch", F.lit(f"{run}-{number}"))
         last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
-    return keep_last(spark.read.parquet(path), list(keys), [*version, "_batch"]).drop("_batch")
+    return keep_last(spark.read.parquet(path), list(keys), [*version, "_written"]).drop("_batch", "_written")
 
 
 def compact(spark: SparkSession, path: str, to: str, keys: Sequence[str], version: Sequence[str]) -> None:
-    current(spark, path, keys, version).withColumn("_batch", F.lit(0)).write.mode("overwrite").partitionBy("_batch").parquet(to)
+    folded = current(spark, path, keys, version).withColumn("_written", F.current_timestamp()).withColumn("_batch", F.lit("compacted"))
+    folded.write.mode("overwrite").partitionBy("_batch").parquet(to)
 
 
 def tumbling(stream: DataFrame, keys: Sequence[str], at: str, size: str, late: str, aggregates: Sequence) -> DataFrame:
