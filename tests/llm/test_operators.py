@@ -385,7 +385,7 @@ def test_toxicity_clashes_and_repeats(spark):
     kept = out.collect()
     assert {r.doc_id for r in kept} == {i for i in range(120) if i % 3} and all(r.toxicity == r.doc_id for r in kept)
     assert toxicity.report(df.limit(0), l).count() == 0
-    long = toxicity.report(docs(spark, [(r[0], r[1]) for r in rows] + [(500, "quiet words only " * 30000), (501, "quiet words only " * 300 + "vileword is here " * 40)]), l).where("doc_id >= 500").collect()
+    long = toxicity.report(docs(spark, [(r[0], r[1]) for r in rows] + [(500, "quiet calm speech " * 30000), (501, "quiet calm speech " * 300 + "vileword is here " * 40)]), l).where("doc_id >= 500").collect()
     assert {r.doc_id: r.predicted for r in long} == {500: 0, 501: 1}
     same = docs(spark, [(i, "the same words") for i in range(40)])
     assert toxicity.report(same, l.where("doc_id < 40")).where("predicted = 1").count() == 0
