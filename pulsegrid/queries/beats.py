@@ -38,13 +38,16 @@ def p4(spark, sf_dir):
     return B.jump_from_raw(_timed(spark, sf_dir), K).select("entity", "beat_idx", "reason")
 
 
-@query("p3_accepted_filter", f"""WITH RECURSIVE {BEATS},
-f(entity, beat_idx, reason, last) AS (
+ACCEPTED = """f(entity, beat_idx, reason, last) AS (
   SELECT entity, beat_idx, CASE WHEN offline THEN 'offline' WHEN out_of_range THEN 'out_of_range' ELSE '' END, CASE WHEN base THEN duration_ms END FROM filtered WHERE beat_idx = 1
   UNION ALL
   SELECT b.entity, b.beat_idx, r.reason, CASE WHEN r.reason = '' THEN b.duration_ms ELSE f.last END
   FROM f JOIN filtered b ON b.entity = f.entity AND b.beat_idx = f.beat_idx + 1,
-    LATERAL (SELECT CASE WHEN b.offline THEN 'offline' WHEN b.out_of_range THEN 'out_of_range' WHEN coalesce(abs(b.duration_ms - f.last) / f.last > 0.20, false) THEN 'jump' ELSE '' END AS reason) r)
+    LATERAL (SELECT CASE WHEN b.offline THEN 'offline' WHEN b.out_of_range THEN 'out_of_range' WHEN coalesce(abs(b.duration_ms - f.last) / f.last > 0.20, false) THEN 'jump' ELSE '' END AS reason) r)"""
+
+
+@query("p3_accepted_filter", f"""WITH RECURSIVE {BEATS},
+{ACCEPTED}
 SELECT entity, beat_idx, reason = '' AS accepted, reason FROM f""")
 def p3(spark, sf_dir):
     return B.jump_from_accepted(_timed(spark, sf_dir), K)
@@ -241,24 +244,40 @@ def x10(spark, sf_dir):
     return weekly.continuity(samples_of(spark, sf_dir), K, zone).select("entity", "zone", "n_runs", "longest_s", "median_s")
 
 
-@query("x8_climb")
+@query("x8_climb", f"""WITH RECURSIVE {SAMPLES}, h AS (SELECT entity, median(z::DOUBLE) OVER (PARTITION BY entity ORDER BY sec ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS h, row_number() OVER (PARTITION BY entity ORDER BY sec) AS i FROM samples),
+f(entity, i, held, up, down) AS (SELECT entity, i, h, 0.0::DOUBLE, 0.0::DOUBLE FROM h WHERE i = 1 UNION ALL
+  SELECT h.entity, h.i, CASE WHEN abs(h - held) >= 0.5 THEN h ELSE held END, up + CASE WHEN h - held >= 0.5 THEN h - held ELSE 0 END, down + CASE WHEN held - h >= 0.5 THEN held - h ELSE 0 END FROM f JOIN h ON h.entity = f.entity AND h.i = f.i + 1)
+SELECT entity, round(arg_max(up, i), 6) AS gain_m, round(arg_max(down, i), 6) AS loss_m FROM f GROUP BY 1""")
 def x8(spark, sf_dir):
     return rounded(weekly.climb(samples_of(spark, sf_dir), K, "z"))
 
 
-@query("w32_motion_windows")
+@query("w32_motion_windows", f"""WITH {SAMPLES}, s AS (SELECT entity, session_id AS rec, sec AS t, (hr - avg(hr) OVER w) ** 2 + (speed - avg(speed) OVER w) ** 2 + (z - avg(z) OVER w) ** 2 AS e FROM samples WINDOW w AS (PARTITION BY entity ORDER BY sec ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)),
+r AS (SELECT entity, rec, t - o AS k, sqrt(avg(e)) AS rms FROM s, generate_series(0, 4) g(o) GROUP BY ALL), b AS (SELECT entity, median(rms) + 3 * 1.4826 * mad(rms) AS bound FROM r GROUP BY 1)
+SELECT entity, rec, k, k::DOUBLE AS start, (k + 5)::DOUBLE AS stop, round(rms, 6) AS rms, rms > bound AS high FROM r JOIN b USING (entity)""")
 def w32(spark, sf_dir):
     s = samples_of(spark, sf_dir).select("entity", F.col("session_id").alias("rec"), F.col("sec").cast("double").alias("t"), "hr", "speed", F.col("z").cast("double").alias("z"))
     return rounded(sensors.motion(s, "hr", "speed", "z"))
 
 
-@query("w34_dominant_frequency")
+@query("w34_dominant_frequency", f"""WITH {SAMPLES}, e AS (SELECT entity, session_id AS rec, (sec // 10) - o AS k, sec / 2.0 AS t, a.axis, CASE a.axis WHEN 'hr' THEN hr ELSE speed END AS x FROM samples, generate_series(0, 5) g(o), (VALUES ('hr'), ('speed')) a(axis)),
+c AS (SELECT *, x - avg(x) OVER (PARTITION BY entity, k, axis) AS c FROM e), f AS (SELECT round(0.08 + i * 0.02, 6) AS f FROM generate_series(0, 26) g(i)),
+p AS (SELECT entity, rec, k, axis, f, sum(c * cos(2 * pi() * f * t)) ** 2 + sum(c * sin(2 * pi() * f * t)) ** 2 AS p FROM c, f GROUP BY ALL), b AS (SELECT *, sum(p) OVER w AS band, median(p) OVER w AS mid FROM p WINDOW w AS (PARTITION BY entity, k, axis)),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity, k ORDER BY band DESC, axis, p DESC, f) AS r FROM b)
+SELECT entity, rec, k, axis, f::DOUBLE AS frequency, round(60 * f::DOUBLE, 6) AS per_minute, round(CASE WHEN mid > 0 THEN p / mid END, 3) AS confidence FROM r WHERE r = 1""")
 def w34(spark, sf_dir):
-    s = samples_of(spark, sf_dir).select("entity", F.col("session_id").alias("rec"), F.col("sec").cast("double").alias("t"), "hr", "speed")
-    return rounded(sensors.dominant_frequency(s, ["hr", "speed"]))
-
-
-@query("w33_w37_peaks_to_beats")
+    s = samples_of(spark, sf_dir).select("entity", F.col("session_id").alias("rec"), (F.col("sec") / 2).alias("t"), "hr", "speed")  # two a second, so the band is below half of that
+    got = sensors.dominant_frequency(s, ["hr", "speed"])
+    return rounded(got.withColumn("confidence", F.round("confidence", 3)))
+
+
+@query("w33_w37_peaks_to_beats", f"""WITH {SAMPLES}, d AS (SELECT entity, session_id AS rec, sec::DOUBLE AS t, hr - avg(hr) OVER (PARTITION BY entity ORDER BY sec ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS d FROM samples),
+e AS (SELECT entity, rec, t, avg(d * d) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e FROM d), m AS (SELECT entity, median(e) AS m, mad(e) AS s FROM e GROUP BY 1),
+n AS (SELECT *, lag(e) OVER w AS a, lead(e) OVER w AS b FROM e WINDOW w AS (PARTITION BY entity ORDER BY t)), top AS (SELECT n.* FROM n JOIN m USING (entity) WHERE e > a AND e >= b AND e > m + 0.5 * 1.4826 * s),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY entity ORDER BY t) < 3 THEN 0 ELSE 1 END AS new FROM top), k AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY t) AS g FROM g),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, g ORDER BY e DESC, t) AS r FROM k) WHERE r = 1), c AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM best),
+p AS (SELECT entity, rec, t, lag(t) OVER w AS p, row_number() OVER w - 1 AS beat_idx FROM c WHERE n >= 5 WINDOW w AS (PARTITION BY entity ORDER BY t))
+SELECT entity, rec, beat_idx, round((t + p) / 2, 6) AS center, t AS t_end, round(1000 * (t - p), 6) AS duration_ms FROM p WHERE p IS NOT NULL""")
 def w33(spark, sf_dir):
     s = samples_of(spark, sf_dir).select("entity", F.col("session_id").alias("rec"), F.col("sec").cast("double").alias("t"), "hr")
     return rounded(sensors.intervals(sensors.peaks(s, "hr", half=1, mult=0.5, apart_s=3.0, least=5)))

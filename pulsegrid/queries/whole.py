@@ -8,7 +8,8 @@ from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig, SessionConf
 from ..plans import analysis, final, sessions, sleep
 from ..plans import audit as A
 from ..plans import core as C
-from .registry import BEATS, SESSIONS, beats_of, core_contract, query, rounded, samples_of, sessions_of, table
+from .beats import ACCEPTED
+from .registry import BEATS, DAILY, SAMPLES, SESSIONS, beats_of, core_contract, query, rounded, samples_of, sessions_of, table
 
 
 def measurements_of(spark, sf_dir):
@@ -70,7 +71,33 @@ def c4(spark, sf_dir):
     return rounded(C.balance(beats_of(spark, sf_dir)))
 
 
-@query("c3_w7_w8_audit")
+def _z(x: str, m: str, s: str) -> str:
+    return f"CASE WHEN {s} <> 0 THEN greatest(least(({x} - {m}) / (1.4826 * {s}), 5), -5) END"
+
+
+def _raised(z: str) -> str:
+    level = f"CASE WHEN {z} IS NULL THEN 'Indef' WHEN {z} >= -1 THEN 'Verde' WHEN {z} >= -2 THEN 'Ámbar' ELSE 'Rojo' END"
+    return f"CASE WHEN NOT ok THEN 'Indef' WHEN hz >= 3.8 THEN 'Rojo' WHEN hz >= 3.0 AND {z} >= -1 THEN 'Ámbar' ELSE {level} END"
+
+
+_DAYS = lambda n: f"(PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+
+
+@query("c3_w7_w8_audit", f"""WITH RECURSIVE {DAILY}, c AS (SELECT entity, day, quality <> 'INVALID' AS ok, hr, 60 / hr AS rr, rmssd, ln_x, ln(60 / hr) AS lx, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM core),
+p AS (SELECT a.entity, a.day, b.rr, b.lx, b.ln_x AS ly FROM c a JOIN c b ON b.entity = a.entity AND b.ok AND b.day >= a.day - 90 AND b.day < a.day),
+q AS (SELECT entity, day, count(*) AS n90, quantile_cont(rr, 0.75) - quantile_cont(rr, 0.25) AS iqr, median(rr) AS ref, quantile_cont(lx, 0.1) AS x1, quantile_cont(lx, 0.9) AS x9, quantile_cont(ly, 0.1) AS y1, quantile_cont(ly, 0.9) AS y9 FROM p GROUP BY 1, 2),
+h AS (SELECT p.entity, p.day, greatest(least(lx, x9), x1) AS x, greatest(least(ly, y9), y1) AS y FROM p JOIN q USING (entity, day) WHERE n90 >= 60 AND iqr >= 0.03), fit AS (SELECT entity, day, regr_slope(y, x) AS b, regr_r2(y, x) AS r2 FROM h GROUP BY 1, 2),
+s AS (SELECT c.*, ref, coalesce(n90 >= 60 AND iqr >= 0.03, false) AS can, b, r2 FROM c LEFT JOIN q USING (entity, day) LEFT JOIN fit USING (entity, day)),
+f(entity, i, used, mode) AS (SELECT DISTINCT entity, 0::BIGINT, CAST(NULL AS DOUBLE), '' FROM c UNION ALL
+  SELECT s.entity, s.i, CASE WHEN k THEN f.used ELSE greatest(least(b, 3.0), 0.1) END, CASE WHEN k AND f.used IS NOT NULL THEN 'frozen' WHEN k THEN 'none' WHEN b > 3.0 OR b < 0.1 THEN 'clipped' ELSE 'active' END
+  FROM f JOIN s ON s.entity = f.entity AND s.i = f.i + 1, LATERAL (SELECT NOT can OR b IS NULL OR r2 IS NULL OR r2 < 0.0 OR coalesce(abs(b - f.used) > 5.0, false) AS k) x),
+a AS (SELECT s.*, f.used, f.mode, CASE WHEN f.used IS NOT NULL AND ref > 0 AND rr > 0 THEN rmssd * pow(rr / ref, -f.used) ELSE rmssd END AS cr FROM s JOIN f ON f.entity = s.entity AND f.i = s.i),
+w AS (SELECT *, median(hr) FILTER (ok) OVER d14 AS m14, mad(hr) FILTER (ok) OVER d14 AS s14, quantile_cont(cr, 0.15) FILTER (ok) OVER d30 AS p15, quantile_cont(cr, 0.30) FILTER (ok) OVER d30 AS p30, count(cr) FILTER (ok) OVER d30 AS n30,
+  median(ln_x) FILTER (ok) OVER d28 AS ml, mad(ln_x) FILTER (ok) OVER d28 AS sl, median(ln(cr)) FILTER (ok) OVER d28 AS mc, mad(ln(cr)) FILTER (ok) OVER d28 AS sc FROM a WINDOW d14 AS {_DAYS(14)}, d30 AS {_DAYS(30)}, d28 AS {_DAYS(28)}),
+z AS (SELECT *, round_even({_z('hr', 'm14', 's14')}, 2) AS hz, {_z('ln_x', 'ml', 'sl')} AS zl, {_z('ln(cr)', 'mc', 'sc')} AS zc FROM w)
+SELECT entity, day AS "Fecha", hr AS "HR_stable", round(rr, 6) AS "RRbar_s", round(rmssd, 6) AS "RMSSD_stable", round(ln_x, 6) AS "lnRMSSD", round(cr, 6) AS "cRMSSD", mode AS beta_mode, round(b, 6) AS beta_est_90d, round(used, 6) AS beta_use_90d, round(r2, 6) AS "R2_winsor_90d",
+  {_raised('zl')} AS "Color_Agudo_Diario", {_raised('zc')} AS "Color_Tiebreak",
+  CASE WHEN NOT ok THEN 'Indef' WHEN n30 < 15 THEN 'Indef' WHEN cr >= p30 AND NOT coalesce(p30 > p15 AND cr - p30 < 0.1 * (p30 - p15) AND hz >= 3.0, false) THEN 'Verde' WHEN cr >= p15 THEN 'Ámbar' ELSE 'Rojo' END AS "Color_Tendencia" FROM z""")
 def c3(spark, sf_dir):
     return rounded(A.audit(core_contract(spark, sf_dir), AuditConfig(min_r2=0.0, max_jump=5.0)))
 
@@ -127,18 +154,42 @@ _EFFORT = SessionConfig(anchor_start="1995-01-01", anchor_end="1996-12-31")
 _DFA = DfaConfig(win_beats=120, step_beats=40, local_rel=0.10)
 
 
-@query("c10_dfa_windows")
+_DFA_SQL = f"""{BEATS}, {ACCEPTED}, {SAMPLES},
+acc AS (SELECT b.entity, b.beat_idx, b.duration_ms, b.t_end, f.reason = '' AS accepted FROM filtered b JOIN f ON f.entity = b.entity AND f.beat_idx = b.beat_idx),
+med AS (SELECT *, CASE WHEN count(duration_ms) OVER w >= 3 THEN median(duration_ms) OVER w END AS m FROM acc WINDOW w AS (PARTITION BY entity, accepted ORDER BY beat_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+lay AS (SELECT *, accepted AND coalesce(abs(duration_ms - m) / m > {_DFA.local_rel}, false) AS bad, row_number() OVER (PARTITION BY entity ORDER BY beat_idx) AS rank FROM med),
+gr AS (SELECT *, accepted AND NOT bad AS strict, sum((NOT bad)::INTEGER) OVER (PARTITION BY entity ORDER BY beat_idx) AS g FROM lay),
+ru AS (SELECT *, sum(bad::INTEGER) OVER (PARTITION BY entity, g ORDER BY beat_idx) AS run FROM gr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY beat_idx) - 1 AS r, count(*) OVER (PARTITION BY entity) AS n FROM ru WHERE strict),
+wi AS (SELECT entity, x.w AS win, r - x.w * {_DFA.step_beats} AS pos, duration_ms, t_end, rank FROM rk, LATERAL (SELECT unnest(generate_series(0, ((n - {_DFA.win_beats}) // {_DFA.step_beats})::BIGINT)) AS w WHERE n >= {_DFA.win_beats}) x WHERE r BETWEEN x.w * {_DFA.step_beats} AND x.w * {_DFA.step_beats} + {_DFA.win_beats - 1}),
+sp AS (SELECT entity, win, min(t_end - duration_ms / 1000) AS s, max(t_end) AS e, min(rank) AS a, max(rank) AS z, count(*) AS beats FROM wi GROUP BY 1, 2),
+ct AS (SELECT sp.entity, win, count(*) FILTER (accepted) AS core, count(*) FILTER (strict) AS strict, coalesce(max(least(run, rank - a + 1)) FILTER (bad), 0) AS longest FROM sp JOIN ru ON ru.entity = sp.entity AND ru.rank BETWEEN a AND z GROUP BY 1, 2),
+ce AS (SELECT entity, win, pos, duration_ms - avg(duration_ms) OVER (PARTITION BY entity, win) AS c FROM wi), yy AS (SELECT entity, win, pos, sum(c) OVER (PARTITION BY entity, win ORDER BY pos) AS y FROM ce),
+sc AS (SELECT yy.*, gs.s, v.e, CASE WHEN v.e = 0 THEN pos ELSE {_DFA.win_beats - 1} - pos END AS pl FROM yy, generate_series({_DFA.scale_min}, {_DFA.scale_max}) gs(s), (VALUES (0), (1)) v(e) WHERE {_DFA.win_beats} // gs.s >= 4),
+bx AS (SELECT entity, win, s, e, pl // s AS box, regr_syy(y, pl % s) AS yy, regr_sxy(y, pl % s) AS xy, regr_sxx(y, pl % s) AS xx FROM sc WHERE pl // s < {_DFA.win_beats} // s GROUP BY ALL),
+fl AS (SELECT entity, win, s, sqrt(avg(greatest((yy - xy ** 2 / xx) / s, 0))) AS f FROM bx GROUP BY ALL),
+al AS (SELECT entity, win, CASE WHEN count(*) >= 5 THEN regr_slope(ln(f), ln(s)) END AS alpha FROM fl WHERE f > 0 AND {_DFA.win_beats} >= {_DFA.scale_max * 4} GROUP BY 1, 2),
+va AS (SELECT sp.*, round_even(core / (z - a + 1), 6) AS valid_core, round_even(strict / (z - a + 1), 6) AS valid_strict, longest, al.alpha AS a0 FROM sp JOIN ct USING (entity, win) LEFT JOIN al USING (entity, win)),
+re AS (SELECT *, CASE WHEN valid_core < {_DFA.min_core} THEN 'low_valid_fraction_core' WHEN valid_strict < {_DFA.min_strict} THEN 'low_valid_fraction_strict' WHEN longest > {_DFA.max_run} THEN 'artifact_run_too_long' WHEN a0 IS NULL THEN 'alpha1_nan' ELSE 'ok' END AS reason, round_even((s + e) / 2, 3) AS mid FROM va),
+dw AS (SELECT re.entity, 's1' AS session_id, win AS "window", round_even(s, 3) AS start_sec, round_even(e, 3) AS end_sec, mid AS center_sec, beats, valid_core, valid_strict, longest::BIGINT AS artifact_run_max, CASE WHEN reason = 'ok' THEN round_even(a0, 6) END AS alpha, reason = 'ok' AS usable, reason,
+  CASE WHEN lo.sec = hi.sec THEN lo.hr ELSE lo.hr + (hi.hr - lo.hr) * (mid - lo.sec) END AS hr FROM re LEFT JOIN samples lo ON lo.entity = re.entity AND lo.sec = floor(mid)::BIGINT LEFT JOIN samples hi ON hi.entity = re.entity AND hi.sec = ceil(mid)::BIGINT)"""
+
+
+@query("c10_dfa_windows", f"WITH RECURSIVE {_DFA_SQL} SELECT * REPLACE (round(alpha, 6) AS alpha, round(hr, 6) AS hr) FROM dw")
 def c10(spark, sf_dir):
     b = beats_of(spark, sf_dir).withColumnRenamed("day", "d").withColumn("session_id", F.lit("s1")).drop("d")
     return rounded(analysis.dfa_windows(analysis.layers(b, BeatConfig(), _DFA), samples_of(spark, sf_dir).select("entity", "session_id", "sec", "hr"), _DFA))
 
 
-@query("a33_alpha_by_zone")
+@query("a33_alpha_by_zone", f"""WITH RECURSIVE {_DFA_SQL}, d AS (SELECT * REPLACE (round(hr, 6) AS hr) FROM dw)
+SELECT entity, session_id, round(median(alpha) FILTER (usable AND hr <= 120), 6) AS alpha_z1, round(median(alpha) FILTER (usable AND hr > 120 AND hr <= 150), 6) AS alpha_z2, round(median(alpha) FILTER (usable AND hr >= 150), 6) AS alpha_z3 FROM d GROUP BY 1, 2""")
 def a33(spark, sf_dir):
     return rounded(analysis.alpha_by_zone(c10(spark, sf_dir), 120, 150))
 
 
-@query("a34_blocks")
+@query("a34_blocks", f"""WITH RECURSIVE {_DFA_SQL}, s AS (SELECT entity, session_id, sec // 120 AS block, avg(hr) AS hr_mean, avg(speed * 3.6) FILTER (speed > 0.5 / 3.6) AS speed_kmh, count(*) AS n_samples FROM samples GROUP BY 1, 2, 3),
+w AS (SELECT entity, session_id, floor(center_sec / 120)::BIGINT AS block, median(alpha) FILTER (usable) AS m, avg(alpha) FILTER (usable) AS a, 100.0 * avg((alpha < 0.75)::INTEGER) FILTER (usable AND alpha IS NOT NULL) AS pct FROM dw GROUP BY 1, 2, 3)
+SELECT entity, session_id, block, round(hr_mean, 6) AS hr_mean, round(speed_kmh, 6) AS speed_kmh, n_samples, round(m, 6) AS alpha_median, round(a, 6) AS alpha_mean, round(pct, 6) AS pct_lt_075 FROM s FULL JOIN w USING (entity, session_id, block)""")
 def a34(spark, sf_dir):
     return rounded(analysis.blocks(c10(spark, sf_dir), samples_of(spark, sf_dir), 120))
 
