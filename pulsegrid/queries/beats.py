@@ -166,7 +166,19 @@ def w19(spark, sf_dir):
     return r.select("entity", "first", "last", "n", F.col("run").cast("long").alias("run"))
 
 
-@query("w20_merged_blocks")
+def blocks_sql(vt1: float, drop: float) -> str:
+    """mb: the merged blocks (entity, start, stop) of the samples sm (entity, sec, hr, moving)."""
+    return f"""so AS (SELECT *, hr >= {vt1} AND moving AS o, CASE WHEN count(hr) OVER w = count(*) OVER w THEN sum(hr) OVER w / 10 END AS smooth, sum(hr) OVER (PARTITION BY entity ORDER BY sec) AS total FROM sm WINDOW w AS (PARTITION BY entity ORDER BY sec ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+sn AS (SELECT *, o AND NOT coalesce(lag(o) OVER (PARTITION BY entity ORDER BY sec), false) AS new FROM so), sb AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY entity ORDER BY sec) AS b FROM sn),
+bk AS (SELECT entity, b::BIGINT AS b, min(sec) FILTER (o) AS s, max(sec) FILTER (o) AS e, count(*) FILTER (NOT o) AS gap, bool_and(hr < {vt1}) FILTER (NOT o) AS low, min(smooth) FILTER (NOT o) AS floor_, count(*) FILTER (NOT o AND smooth IS NULL) AS rough FROM sb WHERE b > 0 GROUP BY 1, 2),
+bt AS (SELECT bk.*, coalesce(low, false) AND gap <= 60 AND rough = 0 AS ok, te.total AS he, tx.total AS hx, coalesce(ts.total, 0) AS hs FROM bk JOIN sb te ON te.entity = bk.entity AND te.sec = e LEFT JOIN sb tx ON tx.entity = bk.entity AND tx.sec = e - 30 LEFT JOIN sb ts ON ts.entity = bk.entity AND ts.sec = s - 1),
+fb(entity, b, s, hs, e) AS (SELECT entity, b, s, hs, e FROM bt WHERE b = 1 UNION ALL
+  SELECT n.entity, n.b, CASE WHEN j THEN f.s ELSE n.s END, CASE WHEN j THEN f.hs ELSE n.hs END, n.e FROM fb f JOIN bt p ON p.entity = f.entity AND p.b = f.b JOIN bt n ON n.entity = f.entity AND n.b = f.b + 1,
+  LATERAL (SELECT coalesce(p.ok AND (CASE WHEN f.s > p.e - 30 THEN (p.he - f.hs) / (p.e - f.s + 1) ELSE (p.he - p.hx) / 30 END) - p.floor_ <= {drop}, false) AS j) x),
+mb AS (SELECT entity, s AS start, max(e) AS stop FROM fb GROUP BY 1, 2)"""
+
+
+@query("w20_merged_blocks", f"WITH RECURSIVE {SAMPLES}, sm AS (SELECT entity, sec, hr, speed > 0.3 AS moving FROM samples), {blocks_sql(130.0, 60.0)} SELECT entity, 's1' AS session_id, start, stop FROM mb")
 def w20(spark, sf_dir):
     s = samples_of(spark, sf_dir).withColumn("moving", F.col("speed") > 0.3).withColumn("vt1", F.lit(130.0))
     return islands.work_blocks(s, _S, SessionConfig(hr_drop_max=60.0))

@@ -8,7 +8,7 @@ from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig, SessionConf
 from ..plans import analysis, final, sessions, sleep
 from ..plans import audit as A
 from ..plans import core as C
-from .beats import ACCEPTED
+from .beats import ACCEPTED, blocks_sql
 from .registry import BEATS, DAILY, SAMPLES, SESSIONS, beats_of, core_contract, query, rounded, samples_of, sessions_of, table
 
 
@@ -125,12 +125,41 @@ def activities_of(spark, sf_dir):
     return act, s
 
 
-@query("c6_sessions")
+_SESSIONS_SQL = f"""{SAMPLES}, ac AS (SELECT entity, count(*) AS n, avg(hr) AS m, max(hr) AS x, sum(speed) AS d, entity % 3 < 2 AS aero FROM samples GROUP BY 1),
+sm AS (SELECT samples.*, n, speed > 0.3 AS moving FROM samples JOIN ac USING (entity) WHERE aero AND n > 60), mo AS (SELECT entity, count(*) FILTER (moving) AS mv FROM sm GROUP BY 1),
+zo AS (SELECT entity, count(*) AS t, quantile_cont(hr, 0.95) AS p95, count(*) FILTER (hr <= 120) AS a, count(*) FILTER (hr > 120 AND hr <= 150) AS b, count(*) FILTER (hr > 150) AS c FROM sm JOIN mo USING (entity) WHERE moving OR mv < 60 GROUP BY 1),
+{blocks_sql(120.0, 10.0)},
+we AS (SELECT mb.entity, start, stop - start + 1 AS d, count(*) FILTER (hr > 150) AS z FROM mb JOIN sm ON sm.entity = mb.entity AND sec BETWEEN start AND stop WHERE stop - start + 1 >= 180 GROUP BY ALL),
+wm AS (SELECT *, round_even(d / 60, 1) AS mi, round_even(100.0 * z / d, 0)::BIGINT AS pc FROM we),
+wo AS (SELECT entity, string_agg(mi::VARCHAR, ';' ORDER BY start) AS bm, string_agg(pc::VARCHAR, ';' ORDER BY start) AS bz, count(*) AS nb, round_even(sum(mi), 1) AS wt, max(mi) AS wl, round_even(100.0 * sum(z)::DOUBLE / sum(d)::DOUBLE, 0) AS wz FROM wm GROUP BY 1),
+lc AS (SELECT *, count(*) FILTER (moving) OVER (PARTITION BY entity) AS mv FROM sm WHERE sec >= CASE WHEN n >= 3600 THEN 600 ELSE 0 END),
+lr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY entity) AS k FROM lc WHERE (moving OR mv <= 120) AND n >= 2400),
+la AS (SELECT entity, avg(hr) FILTER (i >= k // 2) - avg(hr) FILTER (i < k // 2) AS rise FROM lr WHERE k >= 120 GROUP BY 1),
+dr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY entity) AS k FROM sm WHERE sec >= 600 AND speed > 0.5 AND hr > 60 AND n >= 1800),
+dh AS (SELECT entity, avg(hr) FILTER (i < k // 2) AS h0, avg(hr) FILTER (i >= k // 2) AS h1, avg(speed) FILTER (i < k // 2) AS s0, avg(speed) FILTER (i >= k // 2) AS s1 FROM dr WHERE k >= 120 GROUP BY 1),
+ju AS (SELECT ac.*, zo.*, wo.*, rise, CASE WHEN zo.entity IS NOT NULL THEN coalesce(rise >= 8, false)::INTEGER END AS late, CASE WHEN s0 >= 0.5 AND s1 >= 0.5 THEN round_even(100 * (h1 / s1 - h0 / s0) / (h0 / s0), 1) END AS drift, round_even(ac.d / 1000, 2) AS km, ac.entity AS ent,
+  coalesce(wt, 0) AS wt0, coalesce(wz, 0) AS wz0 FROM ac LEFT JOIN zo ON zo.entity = ac.entity LEFT JOIN wo ON wo.entity = ac.entity LEFT JOIN la ON la.entity = ac.entity LEFT JOIN dh ON dh.entity = ac.entity),
+se AS (SELECT ent AS entity, 'a' || ent AS session_id, DATE '2024-01-01' + (ent % 28)::INTEGER AS "Fecha", '08:00' AS start_time, ['trail_run','bike','strength'][(ent % 3 + 1)::INTEGER] AS sport, ['TrailRun','Ride','WeightTraining'][(ent % 3 + 1)::INTEGER] AS sport_raw, 'intervals' AS source,
+  120.0 AS vt1_used, 150.0 AS vt2_used, 'icu' AS zones_source, round_even(n / 60, 1) AS duration_min, round_even(n / 60, 1) AS moving_min, km AS distance_km, n / 2 AS elev_gain_m, round(n / 3, 6) AS elev_loss_m, CASE WHEN km > 0.5 THEN round_even(n / 2 / km, 1) END AS elev_density,
+  round(m, 6) AS hr_mean, round(x, 6) AS hr_max, round_even(p95, 1) AS hr_p95, CASE WHEN t IS NULL THEN 33.3 ELSE round_even(100.0 * a / t, 1) END AS z1_pct, CASE WHEN t IS NULL THEN 33.3 ELSE round_even(100.0 * b / t, 1) END AS z2_pct, CASE WHEN t IS NULL THEN 33.3 ELSE round_even(100.0 * c / t, 1) END AS z3_pct,
+  CASE WHEN t IS NULL THEN round_even(n / 3 / 60, 1) ELSE round_even(b / 60, 1) END AS z2_total_min, CASE WHEN t IS NULL THEN round_even(n / 3 / 60, 1) ELSE round_even(c / 60, 1) END AS z3_total_min, coalesce(bm, '') AS work_blocks_min, coalesce(bz, '') AS work_blocks_z3pct, coalesce(nb, 0) AS work_n_blocks,
+  wt0 AS work_total_min, coalesce(wl, 0) AS work_longest_min, wz0 AS work_avg_z3_pct, late AS late_intensity, drift AS cardiac_drift_pct,
+  CASE WHEN NOT aero THEN 'NA' WHEN wt0 >= 10 AND wz0 >= 15 THEN 'work_intense' WHEN wt0 >= 20 THEN 'work_steady' WHEN wt0 >= 5 THEN 'work_moderate' WHEN late = 1 THEN 'finish_strong' ELSE 'easy' END AS intensity_category,
+  round(m / 2, 6) AS load, CASE WHEN ent % 10 > 0 THEN (ent % 10)::DOUBLE END AS rpe, 3.0 AS feel, (ent % 10 > 0)::INTEGER AS rpe_present, 1 AS notes_present, 'note a' || ent AS notes_raw, CASE WHEN aero AND n > 60 THEN 1.0 END AS stream_dt_est, '1' AS pipeline_version, 'unknown' AS effort_vs_recent, 'unknown' AS effort_vs_anchor FROM ju)"""
+
+
+@query("c6_sessions", f"""WITH RECURSIVE {_SESSIONS_SQL} SELECT *, CASE WHEN sport = 'strength' THEN 'strength_unknown' WHEN intensity_category = 'work_intense' THEN 'endurance_hard' WHEN intensity_category IN ('work_steady', 'work_moderate') THEN 'endurance_moderate' ELSE 'endurance_easy' END AS session_group FROM se""")
 def c6(spark, sf_dir):
     return rounded(sessions.build(*activities_of(spark, sf_dir)))
 
 
-@query("c7_session_days")
+@query("c7_session_days", f"""WITH RECURSIVE {_SESSIONS_SQL}, da AS (SELECT *, sport <> 'strength' AS ae FROM se)
+SELECT entity, "Fecha", 1::BIGINT AS n_sessions, duration_min AS total_duration_min, ae::INTEGER AS has_aerobic, (NOT ae)::INTEGER AS has_strength, 0 AS has_mobility, round_even(load, 1) AS load_day, intensity_category AS intensity_cat_day, CASE WHEN ae THEN work_total_min END AS work_total_min_day,
+  CASE WHEN ae THEN work_n_blocks END AS work_n_blocks_day, CASE WHEN ae THEN z3_total_min END AS z3_min_day, CASE WHEN ae THEN hr_max END AS hr_max_day, CASE WHEN ae THEN hr_p95 END AS hr_p95_max_day, CASE WHEN ae THEN coalesce(late_intensity = 1, false)::INTEGER END AS late_intensity_day,
+  CASE WHEN ae THEN cardiac_drift_pct END AS cardiac_drift_worst, round_even(elev_gain_m, 0) AS elev_gain_day, round_even(elev_loss_m, 0) AS elev_loss_day, CASE WHEN ae THEN 0.0 ELSE duration_min END AS strength_min_day, 0.0 AS mobility_min_day, CASE WHEN ae THEN rpe END AS rpe_max_day,
+  0 AS effort_above_typical_aerobic, 0 AS effort_above_typical_strength, 0 AS effort_above_anchor_aerobic, rpe_present::BIGINT AS n_with_rpe, 1::BIGINT AS n_with_notes, CASE WHEN ae AND distance_km > 0 THEN elev_density END AS elev_density_day,
+  CAST(NULL AS DOUBLE) AS z3_7d_sum, 0 AS z3_7d_nobs, CAST(NULL AS DOUBLE) AS work_7d_sum, 0 AS work_7d_nobs, CAST(NULL AS DOUBLE) AS finish_strong_7d_count, CAST(NULL AS DOUBLE) AS load_3d, 0 AS load_3d_nobs, CAST(NULL AS DOUBLE) AS load_7d, 0 AS load_7d_nobs,
+  CAST(NULL AS DOUBLE) AS load_14d, 0 AS load_14d_nobs, CAST(NULL AS DOUBLE) AS load_28d, 0 AS load_28d_nobs, CAST(NULL AS DOUBLE) AS elev_loss_7d_sum FROM da""")
 def c7(spark, sf_dir):
     return rounded(sessions.days(sessions.build(*activities_of(spark, sf_dir))))
 
