@@ -129,3 +129,44 @@ def blocks(windows: DataFrame, samples: DataFrame, block_s: int = 600, offset_s:
     a = F.when(yes(F.col("usable")), F.col("alpha"))
     w = windows.where(F.col("center_sec") >= offset_s).groupBy(*KEY, cut("center_sec").alias("block")).agg(F.percentile(a, 0.5).alias("alpha_median"), F.avg(a).alias("alpha_mean"), (100 * F.avg(F.when(a.isNotNull(), (a < 0.75).cast("int")))).alias("pct_lt_075"))
     return s.join(w, [*KEY, "block"], "full")
+
+
+def time_windows(beats: DataFrame, seconds: int = 120, step: int = 5, min_beats: int = 200, min_valid: float = 0.95, cfg: DfaConfig = DfaConfig()) -> DataFrame:
+    """The other mode: windows (k step, k step + seconds] of the time axis with alpha over their accepted beats, where at
+    least min_beats are and their share is min_valid. beats have t_end and accepted."""
+    last = F.ceil(F.col("t_end") / step).cast("long") - 1
+    each = beats.withColumn("window", F.explode(F.sequence(F.greatest(last - seconds // step + 1, F.lit(0)), last)))
+    n = Window.partitionBy(*KEY, "window")
+    each = each.withColumn("_n", F.count("*").over(n)).withColumn("_k", F.count_if("accepted").over(n)).where("accepted")
+    held = each.groupBy(*KEY, "window").agg(F.max("_k").alias("beats"), stats.round_even(F.max("_k") / F.max("_n"), 6).alias("valid"))
+    placed = each.withColumn("pos", F.row_number().over(n.orderBy("beat_idx")) - 1).where((F.col("_k") >= min_beats) & (F.col("_k") >= min_valid * F.col("_n")))
+    a = D.alpha(placed, KEY, "duration_ms", cfg).select(*KEY, "window", stats.round_even("alpha", 6).alias("alpha"))
+    return held.join(a, [*KEY, "window"], "left").withColumn("start_sec", (F.col("window") * step).cast("double"))
+
+
+def analyse(raw: DataFrame, hr: DataFrame, sessions: DataFrame, beat: BeatConfig = BeatConfig(), cfg: DfaConfig = DfaConfig(), low: float = 144, high: float = 161, cost: DataFrame | None = None, cost_columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each of sessions (entity, session_id, duration_min, dominant): windows, exponents by zone, gate,
+    context, note and, where cost is given, its columns; a session without beats is unavailable.
+
+    raw: entity, session_id, beat_idx, duration_ms, offline. hr: entity, session_id, sec, hr."""
+    b = layers(raw, beat, cfg)
+    w = dfa_windows(b, hr, cfg)
+    whole = b.groupBy(*KEY).agg((F.max("t_end") / 60).alias("beats_min"), F.avg(F.col("strict").cast("int")).alias("strict_share"))
+    rmssd = B.tumbling_rmssd(b, KEY, cfg).groupBy(*KEY).agg(F.max("usable").alias("rmssd_ok"))
+    cover = w.groupBy(*KEY).agg(F.avg(F.col("hr").isNotNull().cast("int")).alias("coverage"))
+    level = hr_at_level(w).select(*KEY, "rate_at_target")
+    d = sessions
+    for part in (whole, rmssd, D.alpha_summary(w, KEY), cover, alpha_by_zone(w, low, high), level):
+        d = d.join(part, KEY, "left")
+    gate = dfa_gate(F.col("strict_share"), F.col("coverage"), F.col("coverage") > 0, F.col("n_usable"))
+    d = d.withColumns({"gate": gate, "duration": duration_check("beats_min", "duration_min")})
+    said = context(F.col("gate"), F.col("rate_at_target").isNotNull(), F.lit("no_crossing"), F.col("rmssd_ok"), F.col("alpha_z2"), F.col("alpha_z3"), F.col("duration"))
+    d = d.withColumn("context", said)
+    d = d.select(
+        *KEY, "n", "n_usable", F.col("median").alias("alpha_median"), "alpha_z1", "alpha_z2", "alpha_z3", F.col("rate_at_target").alias("hr_at_level"), F.col("gate.state").alias("gate"), F.col("gate.reason").alias("gate_reason"),
+        F.col("duration.state").alias("duration_state"), F.col("context.modifier").alias("modifier"), F.col("context.evidence").alias("evidence"), final_note("dominant", F.col("context.modifier")).alias("note"))
+    if cost is not None:
+        from .contracts import attach_cost
+
+        d = attach_cost(d, cost, KEY, cost_columns)
+    return d

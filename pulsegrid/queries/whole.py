@@ -210,6 +210,36 @@ def c10(spark, sf_dir):
     return rounded(analysis.dfa_windows(analysis.layers(b, BeatConfig(), _DFA), samples_of(spark, sf_dir).select("entity", "session_id", "sec", "hr"), _DFA))
 
 
+@query("c10_session_analysis", f"""WITH RECURSIVE {_DFA_SQL}, st AS (SELECT entity, max(t_end) / 60 AS mins, avg(strict::INTEGER) AS share FROM gr GROUP BY 1),
+tk AS (SELECT *, greatest(ceil(t_end / 60) - 1, 0) AS k FROM acc), tw AS (SELECT entity, k, count(*) AS n, count(*) FILTER (accepted) AS c FROM tk GROUP BY 1, 2), ro AS (SELECT entity, bool_or(c >= 20 AND c / n >= 0.8) AS ok FROM tw GROUP BY 1),
+su AS (SELECT entity, count(*) AS n, count(alpha) FILTER (usable) AS nu, median(alpha) FILTER (usable) AS med, avg((hr IS NOT NULL)::INTEGER) AS cover, median(alpha) FILTER (usable AND hr <= 120) AS z1, median(alpha) FILTER (usable AND hr > 120 AND hr <= 150) AS z2, median(alpha) FILTER (usable AND hr >= 150) AS z3 FROM dw GROUP BY 1),
+se AS (SELECT entity, count(*) / 60.0 AS dur FROM samples GROUP BY 1), jo AS (SELECT se.entity, dur, mins, share, ok, n, nu, med, cover, z1, z2, z3, abs(mins - dur) AS gap FROM se LEFT JOIN st USING (entity) LEFT JOIN ro USING (entity) LEFT JOIN su USING (entity))
+SELECT entity, 's1' AS session_id, n, nu AS n_usable, round(med, 6) AS alpha_median, round(z1, 6) AS alpha_z1, round(z2, 6) AS alpha_z2, round(z3, 6) AS alpha_z3,
+  CASE WHEN NOT coalesce(nu >= 10, false) THEN 'DFA_NO_INTERPRETABLE' WHEN share >= 0.9 AND (NOT coalesce(cover > 0, false) OR cover >= 0.8) THEN 'DFA_OK' WHEN share >= 0.75 THEN 'DFA_LIMITED' ELSE 'DFA_NO_INTERPRETABLE' END AS gate,
+  CASE WHEN NOT coalesce(mins > 0 AND dur IS NOT NULL, false) THEN 'UNKNOWN' WHEN gap > greatest(8.0, dur * 0.12) THEN 'MISMATCH' WHEN gap > greatest(3.0, dur * 0.05) THEN 'WARN' ELSE 'OK' END AS duration_state FROM jo""")
+def c10_whole(spark, sf_dir):
+    b = beats_of(spark, sf_dir).withColumn("session_id", F.lit("s1")).drop("day")
+    s = samples_of(spark, sf_dir)
+    whole = s.groupBy("entity", "session_id").agg((F.count("*") / 60).alias("duration_min"), F.lit("cardio").alias("dominant"))
+    got = analysis.analyse(b, s.select("entity", "session_id", "sec", "hr"), whole, BeatConfig(), _DFA, 120, 150)
+    return rounded(got.select("entity", "session_id", "n", "n_usable", "alpha_median", "alpha_z1", "alpha_z2", "alpha_z3", "gate", "duration_state"))
+
+
+@query("x11_time_windows", f"""WITH RECURSIVE {BEATS}, {ACCEPTED}, acc AS (SELECT b.entity, b.beat_idx, b.duration_ms, b.t_end, f.reason = '' AS ok FROM filtered b JOIN f ON f.entity = b.entity AND f.beat_idx = b.beat_idx),
+e AS (SELECT entity, beat_idx, duration_ms, ok, ceil(t_end / 5)::BIGINT - 1 - o AS win FROM acc, generate_series(0, 23) g(o) WHERE ceil(t_end / 5)::BIGINT - 1 - o >= 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY entity, win) AS n, count(*) FILTER (ok) OVER (PARTITION BY entity, win) AS k FROM e), h AS (SELECT entity, win, max(k) AS beats, round_even(max(k) / max(n), 6) AS valid FROM n WHERE ok GROUP BY 1, 2),
+p AS (SELECT entity, win, k, duration_ms, row_number() OVER (PARTITION BY entity, win ORDER BY beat_idx) - 1 AS pos FROM n WHERE ok AND k >= 100 AND k >= 0.7 * n),
+c AS (SELECT *, duration_ms - avg(duration_ms) OVER (PARTITION BY entity, win) AS c FROM p), y AS (SELECT entity, win, k, pos, sum(c) OVER (PARTITION BY entity, win ORDER BY pos) AS y FROM c),
+s AS (SELECT y.*, gs.s, v.e, CASE WHEN v.e = 0 THEN pos ELSE k - 1 - pos END AS pl FROM y, generate_series(4, 16) gs(s), (VALUES (0), (1)) v(e) WHERE k >= 64 AND k // gs.s >= 4),
+b AS (SELECT entity, win, s, e, pl // s AS box, regr_syy(y, pl % s) AS yy, regr_sxy(y, pl % s) AS xy, regr_sxx(y, pl % s) AS xx FROM s WHERE pl // s < k // s GROUP BY ALL), fl AS (SELECT entity, win, s, sqrt(avg(greatest((yy - xy ** 2 / xx) / s, 0))) AS f FROM b GROUP BY ALL),
+al AS (SELECT entity, win, CASE WHEN count(*) >= 5 THEN regr_slope(ln(f), ln(s)) END AS a FROM fl WHERE f > 0 GROUP BY 1, 2)
+SELECT entity, 's1' AS session_id, win AS "window", beats, valid, round(a, 3) AS alpha, (win * 5)::DOUBLE AS start_sec FROM h LEFT JOIN al USING (entity, win)""")
+def x11(spark, sf_dir):
+    b = beats_of(spark, sf_dir).withColumn("session_id", F.lit("s1")).drop("day")
+    got = analysis.time_windows(analysis.layers(b, BeatConfig(), _DFA), min_beats=100, min_valid=0.7, cfg=_DFA)
+    return got.select("entity", "session_id", "window", "beats", "valid", F.round("alpha", 3).alias("alpha"), "start_sec")
+
+
 @query("a33_alpha_by_zone", f"""WITH RECURSIVE {_DFA_SQL}, d AS (SELECT * REPLACE (round(hr, 6) AS hr) FROM dw)
 SELECT entity, session_id, round(median(alpha) FILTER (usable AND hr <= 120), 6) AS alpha_z1, round(median(alpha) FILTER (usable AND hr > 120 AND hr <= 150), 6) AS alpha_z2, round(median(alpha) FILTER (usable AND hr >= 150), 6) AS alpha_z3 FROM d GROUP BY 1, 2""")
 def a33(spark, sf_dir):
