@@ -59,6 +59,8 @@ _ROOT = 0
 SLOT = ("path", "times", "boilerplate", "main", "above", "chars", "linked", "said")
 #: Hosts of fewer pages have no template text, as nothing tells it from theirs; NEARLY is the share that is nearly all.
 FEWEST, NEARLY = 4, (9, 10)
+#: Parts that a host's template tokens are gathered in.
+PARTS = 32
 
 
 def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -384,7 +386,9 @@ def templates(pages: DataFrame) -> DataFrame:
     held = found.where(F.col("path") == _ROOT).select("_host", F.col("support").alias("pages"))
     common = found.join(held, "_host").where("support * 2 >= pages")
     slot = F.struct(F.xxhash64("vector", "support", "times").alias("class"), "support", *SLOT)
-    return common.groupBy("_host").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
+    # tokens are gathered in parts first, so that those of a host with many don't meet as single rows
+    parts = common.groupBy("_host", F.pmod("path", F.lit(PARTS)).alias("_part")).agg(F.collect_list(slot).alias("_slots"))
+    return parts.groupBy("_host").agg(F.sort_array(F.flatten(F.collect_list("_slots"))).alias("slots"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
