@@ -144,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        # dealt anew, so that the side of a hub is a plain shuffle, whose hot partition Spark splits
+        large = both.where("b > a").join(least.repartition("a"), "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))  # neighbours below b
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x <> y")
         before, edges = edges, materialize(small.unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
