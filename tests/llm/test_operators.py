@@ -95,6 +95,13 @@ def test_packing_places_every_piece(spark):
     assert packing.pack_documents(docs(spark, []), TOKENIZER, 64).count() == 0
 
 
+def test_packing_of_one_hot_length(spark):
+    df = docs(spark, [(i, "tok tok") for i in range(3000)] + [(5000, "tok " * 61)])
+    placed = packing.pack_documents(df, TOKENIZER, 64).collect()
+    n = next(r.length for r in placed if r.doc_id == 0)
+    assert len({r.doc_id for r in placed}) == 3001 and check_packing(placed, 64) <= -(-3000 // (64 // n)) + 3
+
+
 def test_packed_sequences_hold_the_ids(spark):
     rows = packing.packed_sequences(docs(spark, [(1, "one two"), (2, "three " * 50)]), TOKENIZER, 16).collect()
     assert all(len(r.ids) <= 16 for r in rows) and sum(r.ids.count(0) for r in rows) == 2
@@ -140,6 +147,16 @@ def test_chat_rotation(spark):
     assert len([r for r in rows if r.conv_id == 1 and r.perspective == "ann"]) == 4
 
 
+def test_chat_empty_extra_and_long(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    assert chat.rotate(spark.createDataFrame([], kind)).count() == 0
+    turns = [(1, i, ("ann", "bob")[i % 2], f"said {i}") for i in range(1200)]
+    df = spark.createDataFrame(turns, kind).withColumn("copies", F.lit(9)).withColumn("perspective", F.lit("x")).withColumn("_block", F.lit(1))
+    rows = sorted((r for r in chat.rotate(df).collect() if r.perspective == "ann"), key=lambda r: r.char_start)
+    assert [r.turn for r in rows] == list(range(1200))
+    assert all(a.char_end == b.char_start for a, b in zip(rows, rows[1:])) and rows[0].char_start == 0
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -454,6 +471,26 @@ def test_edited_text_and_likeness(spark):
     assert simhash.edited_fingerprints(docs(spark, [])).count() == 0
 
 
+def test_fingerprints_of_repeated_ids_and_long_texts(spark):
+    from collections import Counter
+
+    long = " ".join(f"word{i % 900}" for i in range(2 * simhash.CHUNK + 77))
+    df = docs(spark, [(1, "alpha beta"), (1, "alpha beta"), (1, "gamma delta"), (2, long)]).withColumn("_block", F.lit(7)).withColumn("_kind", F.lit("x"))
+    rows = simhash.edited_fingerprints(df).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 1, 2]
+    # votes by brute force, with the engine's own word hashes
+    counts = Counter(long.split())
+    hashed = {r.w: (r.a, r.b) for r in spark.createDataFrame([(w,) for w in counts], "w string").select("w", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b")).collect()}
+    weigh = lambda w: min(max(len(w) - 3, 0), 7) + 1
+    votes, total = [0] * 128, sum(weigh(w) * n for w, n in counts.items())
+    for w, n in counts.items():
+        bits = (hashed[w][0] & (1 << 64) - 1) | (hashed[w][1] & (1 << 64) - 1) << 64
+        for i in range(128):
+            votes[i] += weigh(w) * n * (bits >> i & 1)
+    want = sum(1 << i for i in range(128) if 2 * votes[i] > total)
+    assert next(r.fingerprint for r in rows if r.doc_id == 2) == f"{want:032x}"
+
+
 def test_next_document_over_many_blocks(spark):
     rows = [(i * i, f"text {i}") for i in range(500)]
     got = {r.doc_id: r.next_text for r in simhash.followed(docs(spark, rows)).where("_spare = 0").collect()}
@@ -628,6 +665,31 @@ def test_line_dedup_edges(spark):
     assert line_dedup.report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("paired", [False, True])
+def test_line_dedup_of_odd_lines_equals_brute_force(spark, paired):
+    import hashlib
+
+    r = random.Random(21)
+    pool = ["", " ", "a", "b\r", "é", "x" * 3000, "\t", "same"]
+    rows = [(d, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14))) if d % 9 else None) for d in range(150)]
+    h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+    spread = line_dedup.PAIRED_SPREAD if paired else line_dedup.SPREAD
+    seen, want = set(), {}
+    for d, t in rows:
+        ls = (t or "").split("\n")
+        x = list(map(h, ls))
+        c = [i > 1 and (x[i - 2] * line_dedup.BASE % line_dedup.MODULUS + x[i - 1]) % line_dedup.MODULUS % spread == 0 for i in range(len(x))]
+        at = [i for i in range(len(x)) if i == 0 or c[i] and (not paired or not c[i - 1] and i < len(x) - 1)] + [len(x)]
+        kept = []
+        for a, b in zip(at, at[1:]):
+            if b - a < 2 or tuple(ls[a:b]) not in seen:
+                kept += ls[a:b]
+            if b - a > 1:
+                seen.add(tuple(ls[a:b]))
+        want[d] = t if len(kept) == len(ls) else "\n".join(kept)
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(spark, rows), paired).collect()} == want
+
+
 def test_boundaries_resist_shifts(spark):
     text = "\n".join(f"unique line {i * 37 % 101}" for i in range(80))
     df = docs(spark, [(1, text), (2, "\n".join(["x", "y", "z"]) + "\n" + text)])
