@@ -79,10 +79,11 @@ def build(activities: DataFrame, samples: DataFrame | None = None, cfg: SessionC
     total_elevation_loss, average_heartrate, max_heartrate, icu_training_load, icu_rpe, feel, icu_hr_zones,
     icu_hr_zone_times, messages. samples: entity, session_id, sec, hr, speed (null if there is no speed signal).
     """
-    a = activities.withColumn("session_id", F.col("id").cast("string")).withColumn("sport", parse.sport_of("type")).withColumn("_own", yes(F.size("icu_hr_zones") >= 2))
-    vt = F.when(F.col("_own"), F.slice("icu_hr_zones", 1, 2).cast("array<double>")).otherwise(parse.thresholds_of("sport"))
-    a = a.withColumn("_vt", vt).withColumn("vt1_used", F.col("_vt")[0]).withColumn("vt2_used", F.col("_vt")[1]).withColumn("_moving", F.coalesce("moving_time", "elapsed_time"))
-    a = a.withColumn("distance_km", stats.round_even(F.coalesce("distance", F.lit(0.0)) / 1000, 2))
+    a = activities.withColumns({
+        "session_id": F.col("id").cast("string"), "sport": parse.sport_of("type"), "_own": yes(F.size("icu_hr_zones") >= 2), "_moving": F.coalesce("moving_time", "elapsed_time"),
+        "distance_km": stats.round_even(F.coalesce("distance", F.lit(0.0)) / 1000, 2)})
+    a = a.withColumn("_vt", F.when(F.col("_own"), F.slice("icu_hr_zones", 1, 2).cast("array<double>")).otherwise(parse.thresholds_of("sport")))
+    a = a.withColumns({"vt1_used": F.col("_vt")[0], "vt2_used": F.col("_vt")[1]})
     num = lambda c: F.col(c).cast("double")
     a = a.select(
         "entity", "session_id", F.to_date(F.substring("start_date_local", 1, 10)).alias("Fecha"), F.substring("start_date_local", 12, 5).alias("start_time"), "sport", F.col("type").alias("sport_raw"),
@@ -97,8 +98,8 @@ def build(activities: DataFrame, samples: DataFrame | None = None, cfg: SessionC
         s = samples.join(a.where(F.col("sport").isin(*schema.AEROBIC)).select("entity", "session_id", F.col("vt1_used").alias("vt1"), F.col("vt2_used").alias("vt2"), F.col("_s").alias("duration_s")), KEY)
         w = Window.partitionBy(*KEY)
         # a missing speed signal moves always; a signal that ends early ends the session
-        s = s.withColumn("_has", F.max(F.col("speed").isNotNull()).over(w)).withColumn("_last", F.max(F.when(F.col("speed").isNotNull(), F.col("sec"))).over(w))
-        s = s.withColumn("_len", F.count("*").over(w)).where((F.col("_len") > 60) & (~F.col("_has") | (F.col("sec") <= F.col("_last"))))
+        s = s.withColumns({"_has": F.max(F.col("speed").isNotNull()).over(w), "_last": F.max(F.when(F.col("speed").isNotNull(), F.col("sec"))).over(w), "_len": F.count("*").over(w)})
+        s = s.where((F.col("_len") > 60) & (~F.col("_has") | (F.col("sec") <= F.col("_last"))))
         s = s.withColumn("moving", F.when(F.col("_has"), yes(F.col("speed") > cfg.moving_min_speed)).otherwise(True))
         z = zones(s, cfg)
         only = s.join(z.select(*KEY), KEY, "left_semi")
@@ -109,14 +110,14 @@ def build(activities: DataFrame, samples: DataFrame | None = None, cfg: SessionC
     total = F.aggregate("_zt", F.lit(0.0), lambda x, y: x + y)
     given = yes((F.size("_zt") >= 3) & (total > 0) & F.col("z1_pct").isNull())
     a = a.withColumn("_given", given)
-    for i in range(3):
-        a = a.withColumn(f"z{i + 1}_pct", F.when(F.col("_given"), stats.round_even(100.0 * F.col("_zt")[i] / total, 1)).otherwise(F.col(f"z{i + 1}_pct")))
-        if i:
-            a = a.withColumn(f"z{i + 1}_total_min", F.when(F.col("_given"), stats.round_even(F.col("_zt")[i] / 60.0, 1)).otherwise(F.col(f"z{i + 1}_total_min")))
+    filled = lambda c, v: F.when(F.col("_given"), stats.round_even(v, 1)).otherwise(F.col(c))
+    a = a.withColumns({f"z{i + 1}_pct": filled(f"z{i + 1}_pct", 100.0 * F.col("_zt")[i] / total) for i in range(3)} | {f"z{i + 1}_total_min": filled(f"z{i + 1}_total_min", F.col("_zt")[i] / 60.0) for i in (1, 2)})
     a = a.fillna("", ["work_blocks_min", "work_blocks_z3pct"]).fillna(0, ["work_n_blocks", "work_total_min", "work_longest_min", "work_avg_z3_pct"])
-    a = a.withColumn("intensity_category", rules.intensity_class("sport", "late_intensity", "work_total_min", "work_avg_z3_pct")).withColumn("session_group", rules.session_group("sport", "intensity_category"))
-    a = a.withColumn("rpe_present", F.col("rpe").isNotNull().cast("int")).withColumn("notes_present", (F.col("_note") != "").cast("int")).withColumn("notes_raw", F.when(F.col("_note") != "", F.col("_note")))
-    a = a.withColumn("stream_dt_est", F.when(F.col("_e") > 0, stats.round_even(F.col("_e") / F.col("_len"), 3))).withColumn("pipeline_version", F.lit(version))
+    said = F.col("_note") != ""
+    a = a.withColumns({
+        "intensity_category": rules.intensity_class("sport", "late_intensity", "work_total_min", "work_avg_z3_pct"), "rpe_present": F.col("rpe").isNotNull().cast("int"), "notes_present": said.cast("int"),
+        "notes_raw": F.when(said, F.col("_note")), "stream_dt_est": F.when(F.col("_e") > 0, stats.round_even(F.col("_e") / F.col("_len"), 3)), "pipeline_version": F.lit(version)})
+    a = a.withColumn("session_group", rules.session_group("sport", "intensity_category"))
     a = effort(a, cfg)
     return a.select("entity", *schema.SESSIONS)
 
