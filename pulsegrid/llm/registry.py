@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_template, line_dedup, ngram_join, packing, simhash, substrings, topk, toxicity
+from . import bpe, chat, clustering, collocations, embedding_dedup, html_template, line_dedup, ngram_join, packing, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -51,8 +51,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op5_html, op6_toxicity, op7_substrings, op8_simhash, op9_ngram_join, op10_line_dedup)
+    for f in (op1_bpe, op2_packing, op3_chat, op4_topk, op5_html, op6_toxicity, op7_substrings, op8_simhash, op9_ngram_join, op10_line_dedup, op11_embedding_dedup, op12_collocations, op13_clustering)
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_topk": topk.ORACLE, "op7_substrings": substrings.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_topk": topk.ORACLE, "op7_substrings": substrings.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_embedding_dedup": embedding_dedup.ORACLE, "op12_collocations": collocations.ORACLE, "op13_clustering": clustering.ORACLE}
