@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import BeatConfig, DfaConfig
 from ..functions import stats
 from ..functions.rules import yes
+from . import folds
 
 
 def _order(keys: Sequence[str]):
@@ -42,22 +43,16 @@ def jump_from_raw(beats: DataFrame, keys: Sequence[str], cfg: BeatConfig = BeatC
 def jump_from_accepted(beats: DataFrame, keys: Sequence[str], cfg: BeatConfig = BeatConfig()) -> DataFrame:
     """keys, beat_idx, accepted and reason; a jump is measured from the last accepted beat.
 
-    Whether a beat is accepted depends on all decisions before it, so a recording's beats are folded in order.
+    Whether a beat is accepted depends on all decisions before it, so the last accepted duration is a held state: a
+    recording is cut into pieces of beats, which tasks go through side by side.
     """
-    beat = F.struct("beat_idx", F.col("duration_ms").alias("d"), F.col("offline").alias("o"))
-    each = beats.groupBy(*keys).agg(F.sort_array(F.collect_list(beat)).alias("_b"))
-    kind = "array<struct<beat_idx:bigint,accepted:boolean,reason:string>>"
-
-    def step(s: Column, b: Column) -> Column:
-        reason = (
-            F.when(b["o"], "offline").when((b["d"] < cfg.min_ms) | (b["d"] > cfg.max_ms), "out_of_range")
-            .when(yes(F.abs(b["d"] - s["last"]) / s["last"] > cfg.delta_max), "jump").otherwise(""))
-        good = reason == ""
-        row = F.struct(b["beat_idx"].cast("long").alias("beat_idx"), good.alias("accepted"), reason.alias("reason"))
-        return F.struct(F.when(good, b["d"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("out"))
-    return each.select(*keys, F.inline(F.aggregate("_b", start, step, lambda s: s["out"])))
+    guard = folds.Guard("ratio", cfg.delta_max)
+    d = F.col("duration_ms").cast("double")
+    b = beats.select(*keys, F.col("beat_idx").cast("long").alias("beat_idx"), d.alias("_d"), F.when(F.col("offline"), "offline").when((d < cfg.min_ms) | (d > cfg.max_ms), "out_of_range").otherwise("").alias("_r"))
+    whole = F.when(F.col("_r") == "", F.col("_d"))
+    b = folds.held(b, keys, "beat_idx", F.floor(F.col("beat_idx") / folds.PIECE), whole, whole, guard, (cfg.min_ms, cfg.max_ms))
+    reason = F.when((F.col("_r") == "") & yes(~guard.column(F.col("before"), F.col("_d"))), "jump").otherwise(F.col("_r"))
+    return b.select(*keys, "beat_idx", (reason == "").alias("accepted"), reason.alias("reason"))
 
 
 def local_artifacts(beats: DataFrame, keys: Sequence[str], cfg: DfaConfig = DfaConfig()) -> DataFrame:

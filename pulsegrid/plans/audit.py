@@ -9,6 +9,7 @@ from .. import schema
 from ..config import AuditConfig
 from ..functions import stats
 from ..functions.rules import level_colour, yes
+from ..operators import folds
 from ..operators.windows import day_frame
 
 KEY = ["entity"]
@@ -42,25 +43,17 @@ def slopes(core: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
 def remembered(d: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """d with beta_use and beta_mode: active, clipped, frozen to the day before's, or none.
 
-    A day's slope is judged against the one used the day before, so days are folded in order; a day without one
-    breaks the chain. The array holds a few numbers for each day of one entity."""
-    day = F.struct(F.col("Fecha"), F.col("can_est").alias("can"), F.col("beta_est").alias("b"), F.col("r2"))
-    each = d.groupBy(*KEY).agg(F.sort_array(F.collect_list(day)).alias("_d"))
-    kind = "array<struct<Fecha:date,beta_use:double,beta_mode:string>>"
-
-    def step(s: Column, x: Column) -> Column:
-        prev = s["use"]
-        jump = prev.isNotNull() & (F.abs(x["b"] - prev) > cfg.max_jump)
-        shaky = x["b"].isNull() | x["r2"].isNull() | yes(x["r2"] < cfg.min_r2) | yes(jump)
-        keep = ~x["can"] | shaky
-        held = F.greatest(F.least(x["b"], F.lit(cfg.beta_max)), F.lit(cfg.beta_min))
-        use = F.when(keep, prev).otherwise(held)
-        mode = F.when(keep & prev.isNotNull(), "frozen").when(keep, "none").when((x["b"] > cfg.beta_max) | (x["b"] < cfg.beta_min), "clipped").otherwise("active")
-        row = F.struct(x["Fecha"].alias("Fecha"), use.alias("beta_use"), mode.alias("beta_mode"))
-        return F.struct(use.alias("use"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("use"), F.array().cast(kind).alias("out"))
-    used = each.select(*KEY, F.inline(F.aggregate("_d", start, step, lambda s: s["out"])))
+    A day's slope is judged against the one used the day before, which is a held state: an entity's days are cut into
+    pieces of years, which tasks go through side by side."""
+    guard = folds.Guard("within", cfg.max_jump)
+    fit = F.col("can_est") & F.col("beta_est").isNotNull() & F.col("r2").isNotNull() & (F.col("r2") >= cfg.min_r2)
+    own = F.when(fit, F.greatest(F.least("beta_est", F.lit(cfg.beta_max)), F.lit(cfg.beta_min)))
+    days = d.select(*KEY, "Fecha", F.when(fit, F.col("beta_est")).alias("_b"), own.alias("_own"))
+    used = folds.held(days, KEY, "Fecha", F.year("Fecha"), F.col("_b"), F.col("_own"), guard)
+    taken = F.col("_own").isNotNull() & F.coalesce(guard.column(F.col("before"), F.col("_b")), F.lit(True))
+    outside = (F.col("_b") > cfg.beta_max) | (F.col("_b") < cfg.beta_min)
+    mode = F.when(taken & outside, "clipped").when(taken, "active").when(F.col("before").isNotNull(), "frozen").otherwise("none")
+    used = used.select(*KEY, "Fecha", F.when(taken, F.col("_own")).otherwise(F.col("before")).alias("beta_use"), mode.alias("beta_mode"))
     return d.join(used, [*KEY, "Fecha"])
 
 

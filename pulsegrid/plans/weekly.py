@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.rules import yes
-from ..operators import islands
+from ..operators import folds, islands
 from ..operators.windows import day_number
 
 
@@ -90,20 +90,15 @@ def splits(samples: DataFrame, keys: Sequence[str], speed: str, hr: str, moving_
 
 def climb(samples: DataFrame, keys: Sequence[str], altitude: str, dead_band: float = 0.5, smooth: int = 11) -> DataFrame:
     """keys, gain_m, loss_m of the smoothed altitude; a move counts once it leaves the dead band around the last
-    counted height, which depends on all moves before, so a session's heights are folded in order."""
+    counted height, which depends on all moves before, so that height is a held state."""
     half = smooth // 2
     w = Window.partitionBy(*keys).orderBy("sec").rowsBetween(-half, half)
-    s = samples.withColumn("_h", stats.frame_median(altitude, w)).where("_h IS NOT NULL")
-    each = s.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("sec", "_h"))), lambda x: x["_h"]).alias("_a"))
-
-    def step(a: Column, h: Column) -> Column:
-        move = h - F.coalesce(a["at"], h)
-        counted = a["at"].isNull() | (F.abs(move) >= dead_band)
-        return F.struct(
-            F.when(counted, h).otherwise(a["at"]).alias("at"), (a["up"] + F.when(counted & (move > 0), move).otherwise(0.0)).alias("up"), (a["down"] + F.when(counted & (move < 0), -move).otherwise(0.0)).alias("down"))
-
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-    return each.withColumn("_r", F.aggregate("_a", start, step)).select(*keys, F.col("_r.up").alias("gain_m"), F.col("_r.down").alias("loss_m"))
+    guard = folds.Guard("beyond", dead_band)
+    s = samples.withColumn("_h", stats.frame_median(altitude, w)).where("_h IS NOT NULL").select(*keys, F.col("sec").cast("long").alias("sec"), F.col("_h").cast("double").alias("_h"))
+    s = folds.held(s, keys, "sec", F.floor(F.col("sec") / folds.PIECE), F.col("_h"), F.col("_h"), guard)
+    move = F.when(yes(guard.column(F.col("before"), F.col("_h"))), F.col("_h") - F.col("before")).otherwise(0.0)
+    s = s.withColumn("_m", move)
+    return s.groupBy(*keys).agg(F.sum(F.greatest("_m", F.lit(0.0))).alias("gain_m"), F.sum(F.greatest(-F.col("_m"), F.lit(0.0))).alias("loss_m"))
 
 
 def grades(samples: DataFrame, keys: Sequence[str], altitude: str, distance: str, seconds: int = 10, flat: float = 0.01) -> DataFrame:
