@@ -37,10 +37,12 @@ def iso_minutes(text) -> Column:
 
 
 def minutes(value) -> Column:
-    """Minutes from an ISO duration or a number in minutes, seconds or milliseconds, told by its size."""
-    n = number(value)
-    scaled = F.when(n < 0, None).when(n > 100_000, n / 60_000).when(n > 1_440, n / 60).otherwise(n)
-    return F.coalesce(iso_minutes(value), scaled)
+    """Minutes from text like PT7H30M or a number in minutes, seconds or milliseconds, told by its size; null unless
+    positive."""
+    t = F.trim(col(value).cast("string"))
+    part = lambda unit: F.coalesce(F.regexp_extract(t, rf"([\d.]+){unit}", 1).try_cast("double"), F.lit(0.0))
+    n = F.when(t.startswith("PT"), part("H") * 60 + part("M") + part("S") / 60).otherwise(number(value))
+    return F.when(n <= 0, None).when(n <= 1_440, n).when(n <= 172_800, n / 60).when(n <= 172_800_000, n / 60_000).otherwise(n)
 
 
 def minutes_between(start, end) -> Column:
@@ -57,9 +59,9 @@ def percent(value) -> Column:
 
 
 def breaths(value) -> Column:
-    """Breaths a minute; large numbers are intervals in milliseconds."""
+    """Breaths a minute; large numbers are intervals in milliseconds where those make 4 to 40 breaths."""
     n = number(value)
-    return F.when(n > 100, 60_000 / n).when(n > 0, n)
+    return F.when(n <= 0, None).when((n > 100) & (60_000 / n).between(4, 40), 60_000 / n).otherwise(n)
 
 
 def colour_code(text) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,72 +21,89 @@ KEYS = {
     "continuity_index": ["continuity_index", "continuity-class", "continuity_class"], "efficiency": ["efficiency_pct", "sleep_efficiency", "efficiency"], "score": ["sleep_score", "sleep-score"],
     "rmssd": ["heart_rate_variability_avg", "heart-rate-variability-avg", "nightly_rmssd"], "rri": ["nightly_rri", "rri_avg", "heart_rate_rri_avg", "heart-rate-rri-avg"],
     "hr": ["heart_rate_avg", "heart-rate-avg", "hr_avg"], "resp": ["breathing_rate_avg", "breathing-rate-avg", "nightly_resp", "nightly_resp_int"],
-    "long": ["long_interruptions", "interruptions_long", "long-interruptions", "longInterruptions"], "total": ["total_interruptions", "interruptions_total", "total-interruptions"],
+    "long": ["longCount", "long_count", "long-count", "sleep_long_interruptions", "interruptions_long"],
+    "total": ["totalCount", "total_count", "total-count", "interruptions_total", "sleep_interruptions_total", "interruptions_count", "number_of_interruptions"],
+    "item_kind": ["type", "kind", "interruption_type"], "item_duration": ["duration", "interruption_duration"],
 }
-#: Fields that are taken only where the value is a number.
-NUMERIC = frozenset("deep_pct rem_pct continuity continuity_index efficiency score rmssd rri hr resp long total".split())
+#: Fields that are taken only where the value is a number; of the others the first value counts, whatever it is.
+NUMERIC = frozenset("rmssd rri hr resp long total".split())
+#: Where interruptions are told, and their counts, by the exact spelling.
+EVALUATION, INTERRUPTIONS = ["evaluation", "sleep-evaluation", "sleep_evaluation"], ["interruptions", "sleep-interruptions", "sleep_interruptions"]
+LONG_COUNT, TOTAL_COUNT = ["longCount", "long_count", "long-count"], ["totalCount", "total_count", "total-count", "count"]
 
 
 def _plain(key: str) -> str:
     return key.strip().lower().replace("-", "_")
 
 
-def _is_number(text: str) -> bool:
-    try:
-        return float(text.replace(",", ".")) == float(text.replace(",", "."))
-    except ValueError:
-        return False
-
-
-def find_values(doc: str | None, keys: dict[str, frozenset[str]], numeric: frozenset[str]) -> dict[str, str]:
-    """The first value of each field in a JSON text, however deep: an object's own keys come before what lies in it,
-    and of what lies in it the last comes first. Empty values and values that hold others are passed over."""
-    try:
-        todo = [json.loads(doc)] if doc else []
-    except ValueError:
-        return {}
-    found: dict[str, str] = {}
-    while todo:
-        at = todo.pop()
-        pairs = at.items() if isinstance(at, dict) else (("", x) for x in at) if isinstance(at, list) else ()
-        for key, value in pairs:
-            if isinstance(value, (dict, list)):
-                todo.append(value)
-            elif value is not None:
-                text, own = value if isinstance(value, str) else json.dumps(value), _plain(key)
-                for name, names in keys.items():
-                    if own in names and name not in found and text.strip() and (name not in numeric or _is_number(text)):
-                        found[name] = text
-    return found
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _members(text: Column) -> Column:
+    """array<struct<k,v,t>>: an object's or array's members in the document's order, with plain keys, values as text, and what
+    they are. A variant tells values apart but sorts an object's keys, so the order comes from the text."""
+    entry = lambda k, v, x: F.struct(k.alias("k"), v.alias("v"), F.substring(F.schema_of_variant(x), 1, 5).alias("t"))
+    plain = lambda k: F.translate(F.lower(F.trim(k)), "-", "_")
+    of_object = F.zip_with(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), lambda e, x: entry(plain(e["key"]), e["value"], x))
+    of_array = F.zip_with(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda e, x: entry(F.lit(None).cast("string"), e, x))
+    return F.coalesce(F.when(text.startswith("{"), of_object).otherwise(of_array), F.array().cast("array<struct<k:string,v:string,t:string>>"))
 
 
 def first_values(doc, names: list[str]) -> Column:
-    """struct of the named fields of KEYS as text, null where a JSON text has none of a field's spellings."""
-    keys = {n: frozenset(map(_plain, KEYS[n])) for n in names}
+    """struct of the named fields of KEYS as text: the first value of each in a JSON object, however deep.
+
+    An object's own members come before what lies in it, and of what lies in it the last comes first. Null and empty
+    values are passed over, and of NUMERIC fields all that are no numbers. A document that is no object has none. A walk over a stack
+    of what is still to be opened, inside the row.
+    """
+    spellings = {n: sorted({_plain(k) for k in KEYS[n]}) for n in names}
+    doc = F.trim(F.col(doc) if isinstance(doc, str) else doc)
+
+    def wanted(n: str) -> Callable[[Column], Column]:
+        there = lambda e: F.trim(e["v"]) != ""
+        return lambda e: e["k"].isin(spellings[n]) & (parse.number(e["v"]).isNotNull() if n in NUMERIC else F.coalesce(there(e), F.lit(False)))
 
-    @F.pandas_udf(", ".join(f"`{n}` string" for n in names))
-    def search(docs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([find_values(d, keys, NUMERIC) for d in docs], columns=names, dtype=object)
+    def step(s: Column, _: Column) -> Column:
+        below = F.slice(s["todo"], F.lit(1), F.size(s["todo"]) - 1)
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(_let(_members(F.element_at(s["todo"], -1)), lambda own: F.struct(
+            F.concat(below, F.transform(F.filter(own, lambda e: e["t"].isin("OBJEC", "ARRAY")), lambda e: e["v"])).alias("todo"),
+            *[F.coalesce(s[n], F.get(F.filter(own, wanted(n)), F.lit(0))["v"]).alias(n) for n in names])))
 
-    return search(doc)
+    # as many steps as there are objects and arrays, at most
+    steps = F.length(doc) - F.length(F.translate(doc, "{[", ""))
+    start = F.struct(F.array(doc).alias("todo"), *[F.lit(None).cast("string").alias(n) for n in names])
+    walk = F.aggregate(F.when(doc.startswith("{"), F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step)
+    return _let(walk, lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+
+def _named(text: Column, spellings: list[str]) -> Column:
+    """The first member of an object that is there under one of the spellings, as they are."""
+    return _let(F.from_json(F.when(F.trim(text).startswith("{"), text), "map<string,string>"), lambda m: F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in spellings]))
 
 
 def interruptions(doc: Column, found: Column) -> Column:
-    """struct(long, total): given counts, or items of a list of which long ones last five minutes or say so."""
-    body = F.get_json_object(doc, "$.interruptions")
-    items = F.from_json(F.when(F.trim(body).startswith("["), body).otherwise("[]"), "array<struct<kind:string,type:string,duration:string>>")
-    is_long = lambda x: F.coalesce(F.lower(F.coalesce(x["kind"], x["type"])).contains("long"), F.lit(False)) | F.coalesce(parse.minutes(x["duration"]) >= 5, F.lit(False))
-    some = F.size(items) > 0
-    return F.struct(
-        F.coalesce(parse.number(found["long"]), F.when(some, F.size(F.filter(items, is_long)).cast("double"))).alias("long"),
-        F.coalesce(parse.number(found["total"]), F.when(some, F.size(items).cast("double"))).alias("total"))
+    """struct(long, total) of a sleep document: the counts of its evaluation, or of its list of interruptions, of which long ones say so
+    or last five minutes, or else counts from anywhere in the document (`found`)."""
+    told = F.trim(_named(_named(doc, EVALUATION), INTERRUPTIONS))
+
+    def is_long(item: Column) -> Column:
+        by = lambda s: F.coalesce(F.lower(s["item_kind"]).contains("long"), F.lit(False)) | F.coalesce(parse.minutes(s["item_duration"]) >= 5, F.lit(False))
+        return _let(first_values(item["v"], ["item_kind", "item_duration"]), by)
+
+    items = F.filter(_members(F.when(told.startswith("["), told)), lambda e: e["t"] == "OBJEC")
+    counts = _let(F.struct(told.alias("told"), items.alias("items")), lambda x: F.struct(
+        F.coalesce(parse.number(_named(x["told"], LONG_COUNT)), F.when(F.size(x["items"]) > 0, F.size(F.filter(x["items"], is_long)).cast("double"))).alias("long"),
+        F.coalesce(parse.number(_named(x["told"], TOTAL_COUNT)), F.when(F.size(x["items"]) > 0, F.size(x["items"]).cast("double"))).alias("total")))
+    return _let(counts, lambda c: F.struct(F.coalesce(c["long"], parse.number(found["long"])).alias("long"), F.coalesce(c["total"], parse.number(found["total"])).alias("total")))
 
 
 def fields(raw: DataFrame) -> DataFrame:
     """entity, Fecha and the sleep fields of (entity, Fecha, sleep_json, nightly_json); what is not said is null,
     derived where it can be."""
     night = ["rmssd", "rri", "hr", "resp"]
-    d = raw.select("entity", "Fecha", "sleep_json", first_values("sleep_json", [k for k in KEYS if k not in night]).alias("_s"), first_values("nightly_json", night).alias("_n"))
+    d = raw.select("entity", "Fecha", "sleep_json", first_values("sleep_json", [k for k in KEYS if k not in night and not k.startswith("item_")]).alias("_s"), first_values("nightly_json", night).alias("_n"))
     s, n = F.col("_s"), F.col("_n")
     d = d.select(
         "entity", "Fecha", *[parse.minutes(s[k]).alias(f"_{k}") for k in ("asleep", "span", "deep", "rem", "light")], parse.minutes_between(s["start"], s["end"]).alias("_between"),

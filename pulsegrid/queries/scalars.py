@@ -58,7 +58,7 @@ def s3(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parse.offline_flag(w).alias("o")).select("event_id", "o.offline", "o.known")
 
 
-@query("p27_durations", """SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 5 * 60 + o_custkey % 50 WHEN 1 THEN o_custkey % 1000 WHEN 2 THEN (2000 + o_custkey) / 60 ELSE (200000 + o_custkey) / 60000 END, 6) AS minutes FROM orders""")
+@query("p27_durations", """SELECT o_orderkey, round(nullif(CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 5 * 60 + o_custkey % 50 WHEN 1 THEN o_custkey % 1000 WHEN 2 THEN (2000 + o_custkey) / 60 ELSE (200000 + o_custkey) / 60000 END, 0), 6) AS minutes FROM orders""")
 def p27(spark, sf_dir):
     c, k = F.col("o_custkey"), F.col("o_orderkey") % 4
     text = F.when(k == 0, F.concat(F.lit("PT"), (c % 5).cast("string"), F.lit("H"), (c % 50).cast("string"), F.lit("M"))).when(k == 1, (c % 1000).cast("string")).when(k == 2, (2000 + c).cast("string")).otherwise((200000 + c).cast("string"))

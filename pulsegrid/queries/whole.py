@@ -164,16 +164,27 @@ def c7(spark, sf_dir):
     return rounded(sessions.days(sessions.build(*activities_of(spark, sf_dir))))
 
 
+# four ways in which a document tells interruptions: counts, a list, counts under other names, and counts anywhere below
 @query("c9_sleep", """WITH e AS (SELECT user_id AS entity, ts::DATE AS "Fecha", sum(value) AS v, count(*) AS n FROM events GROUP BY 1, 2),
-m AS (SELECT *, v * 60 AS d FROM e), r AS (SELECT entity, "Fecha", CASE WHEN d < 0 THEN NULL WHEN d > 100000 THEN d / 60000 WHEN d > 1440 THEN d / 60 ELSE d END AS dur, n::DOUBLE AS i, (n % 5 / 10.0) * 100 AS eff, v / 10 AS night FROM m),
+m AS (SELECT *, v * 60 AS d, user_id_kind AS kind FROM (SELECT *, (entity + n) % 4 AS user_id_kind FROM e)),
+r AS (SELECT entity, "Fecha", CASE WHEN d <= 0 THEN NULL WHEN d <= 1440 THEN d WHEN d <= 172800 THEN d / 60 WHEN d <= 172800000 THEN d / 60000 ELSE d END AS dur,
+  (CASE kind WHEN 1 THEN (n >= 2)::INTEGER + (n % 3 = 0)::INTEGER ELSE n END)::DOUBLE AS i, (CASE kind WHEN 1 THEN 3 WHEN 3 THEN n + 2 ELSE n + 1 END)::DOUBLE AS t, (n % 5 / 10.0) * 100 AS eff, v / 10 AS night FROM m),
 p AS (SELECT entity, quantile_cont(dur, 0.1) AS p10, quantile_cont(dur, 0.9) AS p90, quantile_cont(i, 0.9) AS ip FROM r GROUP BY 1)
 SELECT entity, "Fecha", round(dur, 6) AS polar_sleep_duration_min, CAST(NULL AS DOUBLE) AS polar_sleep_span_min, CAST(NULL AS DOUBLE) AS polar_deep_pct, CAST(NULL AS DOUBLE) AS polar_rem_pct, round(eff, 6) AS polar_efficiency_pct, CAST(NULL AS DOUBLE) AS polar_continuity, CAST(NULL AS DOUBLE) AS polar_continuity_index,
-  i AS polar_interruptions_long, CAST(NULL AS DOUBLE) AS polar_interruptions_total, CAST(NULL AS DOUBLE) AS polar_sleep_score, round(night, 6) AS polar_night_rmssd, round(60000.0 / 52, 6) AS polar_night_rri, CAST(NULL AS DOUBLE) AS polar_night_resp,
+  i AS polar_interruptions_long, t AS polar_interruptions_total, CAST(NULL AS DOUBLE) AS polar_sleep_score, round(night, 6) AS polar_night_rmssd, round(60000.0 / 52, 6) AS polar_night_rri, CAST(NULL AS DOUBLE) AS polar_night_resp,
   round(p10, 6) AS sleep_dur_p10, round(p90, 6) AS sleep_dur_p90, round(ip, 6) AS sleep_int_p90 FROM r JOIN p USING (entity)""")
 def c9(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     d = e.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("Fecha")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    doc = F.to_json(F.struct((F.col("v") * 60).alias("sleep-duration"), F.struct(F.col("n").alias("interruptions_long")).alias("interruptions"), (F.col("n") % 5 / 10).alias("efficiency")))
+    n, kind = F.col("n"), (F.col("entity") + F.col("n")) % 4
+    own = [(F.col("v") * 60).alias("sleep-duration"), (n % 5 / 10).alias("efficiency")]
+    item = lambda name, value: F.create_map(F.lit(name), value.cast("string"))
+    items = F.array(item("type", F.when(n >= 2, "LONG pause").otherwise("short")), item("interruption_duration", F.when(n % 3 == 0, "PT5M30S").otherwise("PT4M")), item("kind", F.lit("short")))
+    doc = (
+        F.when(kind == 0, F.to_json(F.struct(*own, F.struct(F.struct(n.alias("longCount"), (n + 1).alias("totalCount")).alias("interruptions")).alias("evaluation"))))
+        .when(kind == 1, F.to_json(F.struct(*own, F.struct(items.alias("interruptions")).alias("evaluation"))))
+        .when(kind == 2, F.to_json(F.struct(*own, F.struct(F.struct(n.alias("long-count"), (n + 1).alias("count")).alias("sleep_interruptions")).alias("sleep-evaluation"))))
+        .otherwise(F.to_json(F.struct(*own, F.struct(F.array(F.struct(n.cast("string").alias("Sleep-Long-Interruptions"), F.lit("many").alias("interruptions_count"), (n + 2).alias("Number_of_interruptions"))).alias("parts")).alias("night")))))
     night = F.to_json(F.struct((F.col("v") / 10).alias("heart_rate_variability_avg"), F.lit(52).alias("heart-rate-avg")))
     raw = d.select("entity", "Fecha", doc.alias("sleep_json"), night.alias("nightly_json"))
     return rounded(sleep.with_percentiles(sleep.fields(raw)))

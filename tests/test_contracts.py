@@ -55,11 +55,43 @@ def test_parsing(spark):
 
 
 def test_nested_sleep_keys(spark):
-    doc = {"result": [{"x": 1}, {"night": {"Sleep-Duration": "PT7H", "deep": {"DEEP_SLEEP": 90, "efficiency": "n/a"}}}], "efficiency": None, "more": {"efficiency": 0.9}}
-    raw = spark.createDataFrame([("e", "2024-01-01", json.dumps(doc), None), ("e", "2024-01-02", "not json", "{}")], "entity string, Fecha string, sleep_json string, nightly_json string")
-    got = {r.Fecha: r for r in sleep.fields(raw).collect()}
-    assert got["2024-01-01"].polar_sleep_duration_min == 420 and got["2024-01-01"].polar_efficiency_pct == 90
-    assert abs(got["2024-01-01"].polar_deep_pct - 100 * 90 / 420) < 1e-9 and got["2024-01-02"].polar_sleep_duration_min is None
+    docs = [
+        {"result": [{"x": 1}, {"night": {"Sleep-Duration": "PT7H", "deep": {"DEEP_SLEEP": 90, "efficiency": " "}}}], "efficiency": None, "more": {"efficiency": 0.9}},
+        [{"sleep_duration": 400}],  # no object
+        {"a": {"sleep_score": 1, "deep_sleep": 10}, "b": {"sleep_score": 2}, "sleep-duration": True, "c": "{\"deep_sleep\": 99}"},  # the last container first; text is no container
+        {"b": {"sleep-score": 5}, "sleep_score": {"value": 7}},  # a value that holds others counts, and is no number
+        {"x": {"y": {"z": {"deep": {"deeper": {"sleep_span": 7200000}}}}}},
+    ]
+    raw = spark.createDataFrame([("e", f"2024-01-0{i + 1}", json.dumps(d), None) for i, d in enumerate(docs)] + [("e", "2024-01-09", "not json", "{}")], "entity string, Fecha string, sleep_json string, nightly_json string")
+    got = {r.Fecha[-1]: r for r in sleep.fields(raw).collect()}
+    assert got["1"].polar_sleep_duration_min == 420 and got["1"].polar_efficiency_pct == 90
+    assert abs(got["1"].polar_deep_pct - 100 * 90 / 420) < 1e-9
+    assert all(v is None for k in "29" for c, v in got[k].asDict().items() if c not in ("entity", "Fecha"))
+    assert got["3"].polar_sleep_score == 2 and got["3"].polar_sleep_duration_min == 10
+    assert got["4"].polar_sleep_score is None and got["5"].polar_sleep_span_min == 120
+
+
+def test_interruptions_as_vendors_send_them(spark):
+    cases = [
+        ({"evaluation": {"interruptions": {"longCount": 2, "totalCount": "5"}}}, 2, 5),
+        ({"sleep-evaluation": {"sleep-interruptions": {"long_count": 1, "count": 4}}}, 1, 4),
+        ({"evaluation": None, "sleep_evaluation": {"interruptions": [{"type": "LONG"}, {"x": {"interruption_type": "a long one"}}, {"kind": "short", "duration": "PT5M"}, {"duration": 4.9}, {"interruption_duration": 600000}, "long", 3]}}, 4, 5),
+        ({"evaluation": {"interruptions": []}, "number_of_interruptions": 7, "x": [{"sleep_long_interruptions": "3,5"}]}, 3.5, 7),
+        ({"evaluation": {"interruptions": {"longCount": "n/a"}}, "y": {"interruptions_count": True, "interruptions_total": 6}}, None, 6),
+        ({"evaluation": [{"interruptions": {"longCount": 2}}]}, 2, None),  # found as a count anywhere
+        ({"interruptions": [{"kind": "long"}]}, None, None),
+        ({"evaluation": "none"}, None, None),
+    ]
+    rows = [("e", str(i), json.dumps(d), None) for i, (d, _, _) in enumerate(cases)]
+    got = {int(r.Fecha): r for r in sleep.fields(spark.createDataFrame(rows, "entity string, Fecha string, sleep_json string, nightly_json string")).collect()}
+    assert [(got[i].polar_interruptions_long, got[i].polar_interruptions_total) for i in range(len(cases))] == [c[1:] for c in cases]
+
+
+def test_nightly_fields(spark):
+    docs = [{"breathing-rate-avg": 4000, "hr_avg": 50}, {"nightly_resp": 200, "nightly_rri": "1.100,5"}, {"nightly_resp": "x", "deep": {"nightly_resp_int": 14}, "heart-rate-avg": 0}, {"nightly_resp": 0}]
+    raw = spark.createDataFrame([("e", str(i), None, json.dumps(d)) for i, d in enumerate(docs)], "entity string, Fecha string, sleep_json string, nightly_json string")
+    got = sorted((r.Fecha, r.polar_night_resp, r.polar_night_rri) for r in sleep.fields(raw).collect())
+    assert got == [("0", 15.0, 1200.0), ("1", 200.0, None), ("2", 14.0, None), ("3", None, None)]
 
 
 def test_beat_files_of_several_people(spark, tmp_path):

@@ -41,7 +41,7 @@ def test_stats(spark):
 
 
 def test_parsers(spark):
-    cases = {"PT1H30M5.5S": 90 + 5.5 / 60, "90": 90, "7200": 120, "5400000": 90, "x": None, "": None}
+    cases = {"PT1H30M5.5S": 90 + 5.5 / 60, "90": 90, "7200": 120, "5400000": 90, "x": None, "": None, "0": None, "-5": None, "PT": None, "150000": 2500, "PT30H": 30, "P1D": None, "1e9": 1e9}
     for text, want in cases.items():
         got = one(spark, parse.minutes(F.lit(text)))
         assert got == (pytest.approx(want) if want is not None else None)
@@ -265,7 +265,7 @@ def test_costs(spark):
 
 
 def test_sleep_fields(spark):
-    rows = [("e", DAY, '{"sleep-duration": "PT7H", "deep-sleep": 5400, "interruptions": [{"kind": "long"}, {"duration": "PT6M"}, {"duration": "PT1M"}], "efficiency": 0.9}', '{"heart-rate-avg": 50, "breathing_rate_avg": 4000}')]
+    rows = [("e", DAY, '{"sleep-duration": "PT7H", "deep-sleep": 5400, "evaluation": {"interruptions": [{"kind": "long"}, {"duration": "PT6M"}, {"duration": "PT1M"}]}, "efficiency": 0.9}', '{"heart-rate-avg": 50, "breathing_rate_avg": 4000}')]
     r = sleep.fields(spark.createDataFrame(rows, "entity string, Fecha date, sleep_json string, nightly_json string")).first()
     assert (r.polar_sleep_duration_min, r.polar_interruptions_long, r.polar_interruptions_total, r.polar_efficiency_pct) == (420.0, 2.0, 3.0, 90.0)
     assert r.polar_deep_pct == pytest.approx(100 * 90 / 420) and r.polar_night_rri == 1200.0 and r.polar_night_resp == 15.0
