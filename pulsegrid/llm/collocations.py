@@ -29,7 +29,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 OVERLAP, TRIGGER = LONGEST - 1, 16
 #: A chunk of so many words ends even without a trigger.
 MOST = 1024
-BUFFER = 24 << 20
+BUFFER = 16 << 20
 #: Of the table of frequent phrases: 16 MB, in rows of 63 bits.
 WORDS_OF_BITS = 1 << 21
 SLOT = 63
@@ -125,18 +125,16 @@ def _phrases(table: pa.Table, sizes: tuple[int, ...], frequent: np.ndarray | Non
     langs = table.column("lang").combine_chunks().dictionary_encode()
     split = pc.split_pattern(table.column("chunk").combine_chunks(), " ")
     coded = split.flatten().dictionary_encode()
-    ids, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+    ids, words = np.asarray(coded.indices), coded.dictionary
     lengths = np.diff(np.asarray(split.offsets))
-    chunk = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    left = lengths[chunk] - place
+    chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    left = np.repeat(np.cumsum(lengths, dtype=np.int32), lengths) - np.arange(len(ids), dtype=np.int32)  # words to the chunk's end
     begins = np.asarray(table.column("last").combine_chunks().to_numpy(zero_copy_only=False))[chunk] | (left > OVERLAP)
-    times = table.column("times").to_numpy()[chunk]
-    lang = np.asarray(langs.indices)[chunk].astype(np.int64)
+    times = table.column("times").to_numpy()
+    del split, coded
     # the phrase of `size` words at each place, as a number; -1 where there is none
-    number, size = np.full(len(ids), -1), 0
+    number, size = np.asarray(langs.indices)[chunk], 0
     names, of_lang = pa.array([""] * len(langs.dictionary), pa.string()), np.arange(len(langs.dictionary))
-    number[:] = lang
     base = max(sizes[0] - 1, 0)
     good = np.ones(len(ids), bool)
     while size < sizes[-1]:
@@ -144,12 +142,12 @@ def _phrases(table: pa.Table, sizes: tuple[int, ...], frequent: np.ndarray | Non
         at = np.flatnonzero((number >= 0) & (left >= size) & (good if size > base else True))
         if size > base > 0:  # its last part of `base` words
             at = at[good[at + size - base]]
-        keys, first, back = np.unique(number[at] * len(words) + ids[at + size - 1], return_index=True, return_inverse=True)
+        keys, back = np.unique(number[at] * np.int64(len(words)) + ids[at + size - 1], return_inverse=True)
         before = keys // len(words)
         more = words.take(pa.array(keys % len(words)))
         names = more if size == 1 else pc.binary_join_element_wise(names.take(pa.array(before)), more, " ")
         of_lang = of_lang[before]
-        number = np.full(len(ids), -1)
+        number = np.full(len(ids), -1, np.int32)
         number[at] = back
         if size == base and frequent is not None:
             own = _frequent(frequent, langs.dictionary.take(pa.array(of_lang)), names)
@@ -157,7 +155,7 @@ def _phrases(table: pa.Table, sizes: tuple[int, ...], frequent: np.ndarray | Non
             good[at] = own[back]
         if size >= sizes[0]:
             counted = begins[at]
-            n = np.bincount(back[counted], times[at][counted], len(keys)).astype(np.int64)
+            n = np.bincount(back[counted], times[chunk[at[counted]]], len(keys)).astype(np.int64)
             some = pa.array(np.flatnonzero(n))
             yield pa.RecordBatch.from_arrays(
                 [langs.dictionary.take(pa.array(of_lang)).take(some), pa.array(np.full(len(some), size), pa.int32()), names.take(some), pa.array(n).take(some)], ["lang", "size", "phrase", "times"])

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .ngram_join import _forest, components
+from .ngram_join import components
 
 THRESHOLD = 0.98
 CODE, SIGMAS, MISS = 512, 6.0, 1e-8
@@ -88,7 +87,7 @@ def _keys(code: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 def _encode(reps: DataFrame) -> DataFrame:
-    """label, dim, id, code and factor of each class's vector."""
+    """g (of label and dimension), id, code and factor of each class's vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +95,13 @@ def _encode(reps: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
                 code, factor = codes(unit(np.asarray(own.column("v").flatten()).reshape(-1, dim)))
-                yield pa.RecordBatch.from_arrays([*map(own.column, ("label", "dim", "id")), pa.array(list(map(bytes, code)), pa.binary()), pa.array(factor)], ["label", "dim", "id", "code", "factor"])
+                yield pa.RecordBatch.from_arrays([*map(own.column, ("g", "id")), pa.array(list(map(bytes, code)), pa.binary()), pa.array(factor)], ["g", "id", "code", "factor"])
 
-    return reps.select("label", "dim", "id", "v").mapInArrow(run, "label string, dim int, id long, code binary, factor double")
+    return reps.select(F.xxhash64("label", "dim").alias("g"), "dim", "id", "v").mapInArrow(run, "g long, id long, code binary, factor double")
+
+
+def _codes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), CODE // 8)
 
 
 def _spread(coded: DataFrame, tables: np.ndarray) -> DataFrame:
@@ -107,49 +110,61 @@ def _spread(coded: DataFrame, tables: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                flat = pa.array(_keys(code, tables).ravel())
+                flat = pa.array(_keys(_codes_of(batch.column("code")), tables).ravel())
                 ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(tables))
-                yield pa.RecordBatch.from_arrays([*map(batch.column, ("label", "dim", "id", "code")), pa.ListArray.from_arrays(ends, flat)], ["label", "dim", "id", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, ("g", "id", "code")), pa.ListArray.from_arrays(ends, flat)], ["g", "id", "code", "keys"])
+
+    keyed = coded.select("g", "id", "code").mapInArrow(run, "g long, id long, code binary, keys array<long>")
+    return keyed.select("g", "id", "code", F.posexplode("keys").alias("t", "key"))
+
 
-    keyed = coded.select("label", "dim", "id", "code").mapInArrow(run, "label string, dim int, id long, code binary, keys array<long>")
-    return keyed.select("label", "dim", "id", "code", F.posexplode("keys").alias("t", "key"))
+CELL = ["g", "t", "key", "low", "high"]
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows of a bucket, with its `blocks`, to the cells in which they meet."""
+    """Rows of a bucket, with its `blocks`, in the cells in which they meet; a cell's rows come one behind the other."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with")).drop("_with", "blocks")
-
-
-CELL = ["label", "dim", "t", "key", "low", "high"]
-
-
-def _sides(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The rows of a cell's two blocks; whether they are one."""
-    low, high = int(cell["low"].iat[0]), int(cell["high"].iat[0])
-    block = cell["block"].to_numpy()
-    return np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
-
-
-def _near(code: np.ndarray, a: np.ndarray, b: np.ndarray, alone: bool, most: int, keys: np.ndarray, t: int) -> np.ndarray:
-    """Which pairs of codes differ in few bits and share no key of an earlier table."""
+    rows = rows.withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with")).drop("_with", "blocks")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches that end where a cell ends, with the first and last row of each of their cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cells = np.stack([np.asarray(whole.column(c)).astype(np.int64) for c in CELL])
+        cuts = [0, *(np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1).tolist()]
+        held = [whole.slice(cuts[-1])]
+        if len(cuts) > 1:
+            yield whole.slice(0, cuts[-1]), list(zip(cuts, cuts[1:]))
+    if held:
+        yield held[0], [(0, held[0].num_rows)]
+
+
+def _near(code: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two blocks, or of one, whose codes differ in few bits and share no key of the earlier `tables`."""
     wide = code.view(np.uint64)
-    apart = np.zeros((len(a), len(b)), np.uint16)
+    apart = np.zeros((len(low), len(high)), np.uint16)
     for w in range(wide.shape[1]):
-        apart += np.bitwise_count(wide[a, w][:, None] ^ wide[b, w][None]).astype(np.uint16)
+        apart += np.bitwise_count(wide[low, w][:, None] ^ wide[high, w][None])
     found = apart <= most
-    if alone:
-        found &= np.triu(np.ones(found.shape, bool), 1)
+    if low is high:
+        found = np.triu(found, 1)
     x, y = np.nonzero(found)
-    for at in range(0, len(x), 1 << 16):
-        p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-        earlier = np.zeros(len(p), bool)
-        for s in range(t):
-            earlier |= keys[a[p], s] == keys[b[q], s]
-        found[p[earlier], q[earlier]] = False
-    return found
+    if not len(x) or not len(tables):
+        return low[x], high[y]
+    some, at = np.unique(np.concatenate([low[x], high[y]]), return_inverse=True)
+    keys = _keys(code[some], tables)
+    p, q = at[: len(x)], at[len(x) :]
+    first = np.ones(len(x), bool)
+    for s in range(len(tables)):
+        first &= keys[p, s] != keys[q, s]
+    return low[x[first]], high[y[first]]
 
 
 def linked(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,49 +174,85 @@ def linked(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     components). Ids are unique.
     """
     coded = materialize(_encode(reps))
-    largest = coded.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    largest = coded.groupBy("g").count().agg(F.max("count")).first()[0] or 0
     tables, most = plan(largest, threshold)
     spread = materialize(_spread(coded, tables))
-    bucket = ["label", "dim", "t", "key"]
+    bucket = ["g", "t", "key"]
     counts = spread.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").select(*bucket, F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    cells = _cells(spread.join(counts, bucket))
-
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone = _sides(cell)
-        code = np.frombuffer(b"".join(cell["code"]), np.uint8).reshape(len(cell), -1)
-        t = int(cell["t"].iat[0])
-        found = _near(code, a, b, alone, most, _keys(code, tables[:t]) if t else np.zeros((len(code), 0), np.int64), t)
-        some = np.unique(np.concatenate([a[found.any(axis=1)], b[found.any(axis=0)]]))
-        return cell.iloc[some][[*CELL, "block", "id"]]
-
-    found = cells.groupBy(*CELL).applyInPandas(meet, "label string, dim int, t int, key long, low int, high int, block int, id long")
-    asked = materialize(found)
-    told = asked.join(coded.select("id", "code", "factor"), "id").join(reps.select("id", "n", "v"), "id")
-
-    def decide(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone = _sides(cell)
-        code = np.frombuffer(b"".join(cell["code"]), np.uint8).reshape(len(cell), -1)
-        t, ids, n = int(cell["t"].iat[0]), cell["id"].to_numpy(), cell["n"].to_numpy()
-        found = _near(code, a, b, alone, most, _keys(code, tables[:t]) if t else np.zeros((len(code), 0), np.int64), t)
-        vectors = np.stack(cell["v"].to_numpy())
-        units = unit(vectors)
-        guess, room = estimates(units[a], units[b], cell["factor"].to_numpy()[b], code[b])
-        x, y = np.nonzero(found & (guess + room[None] >= threshold - 1e-9))
-        kept = np.zeros(found.shape, bool)
-        for at in range(0, len(x), 1 << 14):  # what no bound decides is computed anew
-            p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-            kept[p, q] = np.einsum("ij,ij->i", units[a[p]], units[b[q]]) >= threshold
-        names = np.concatenate([ids[a], ids[b]]) if not alone else ids[a]
-        rows = [(p, 0, q) for p, q in _forest(names, kept, 0 if alone else len(a))]
-        links = [(ids[a], kept @ n[b]), (ids[b], n[a] @ kept)]
-        rows += [(i, m, None) for own, each in links for i, m in zip(own.tolist(), each.tolist()) if m]
-        return pd.DataFrame({"id": pd.array([r[0] for r in rows], "Int64"), "links": pd.array([r[1] for r in rows], "Int64"), "other": pd.array([r[2] for r in rows], "Int64")})
-
-    out = materialize(told.groupBy(*CELL).applyInPandas(decide, "id long, links long, other long"))
+
+    def sides(block: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        own = block[a:b]
+        low = np.flatnonzero(own == own.min()) + a
+        return low, low if own.min() == own.max() else np.flatnonzero(own == own.max()) + a
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cells in _each_cell(batches):
+            code, t = _codes_of(batch.column("code")), np.asarray(batch.column("t"))
+            block, low, high = (np.asarray(batch.column(c)) for c in ("block", "low", "high"))
+            kept = [np.zeros(0, np.int64)]
+            for a, b in cells:
+                if b - a > 1 and (low[a] == high[a] or block[a:b].min() != block[a:b].max()):
+                    kept.append(np.unique(np.concatenate(_near(code, *sides(block, a, b), most, tables[: t[a]]))))
+            yield batch.select([*CELL, "block", "id"]).take(pa.array(np.concatenate(kept)))
+
+    cells = _cells(spread.join(counts, bucket)).select(*CELL, "block", "id", "code")
+    asked = materialize(cells.mapInArrow(meet, "g long, t int, key long, low int, high int, block int, id long"))
+    told = asked.join(coded.select("id", "code", "factor"), "id").join(reps.select("id", "label", "n", "v"), "id")
+    told = told.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, "block", "id", "code", "factor", "label", "n", "v")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cells in _each_cell(batches):
+            code, t, block, ids, n, factor = _codes_of(batch.column("code")), *(np.asarray(batch.column(c)) for c in ("t", "block", "id", "n", "factor"))
+            label = np.asarray(batch.column("label").dictionary_encode().indices)
+            v = batch.column("v")
+            flat, ends = np.asarray(v.values), np.asarray(v.offsets)
+            rows: list[tuple[int, int, int | None]] = []
+            for a, b in cells:
+                x, y = _near(code, *sides(block, a, b), most, tables[: t[a]])
+                same = (label[x] == label[y]) & (ends[x + 1] - ends[x] == ends[y + 1] - ends[y])
+                x, y = x[same], y[same]
+                if not len(x):
+                    continue
+                units = unit(flat[ends[a] : ends[b]].reshape(b - a, -1))
+                low, p = np.unique(x, return_inverse=True)
+                high, q = np.unique(y, return_inverse=True)
+                guess, room = estimates(units[low - a], units[high - a], factor[high], code[high])
+                maybe = guess[p, q] + room[q] >= threshold - 1e-9
+                x, y = x[maybe], y[maybe]
+                near = np.zeros(len(x), bool)
+                for at in range(0, len(x), 1 << 14):  # what no bound decides is computed anew
+                    i, j = x[at : at + (1 << 14)] - a, y[at : at + (1 << 14)] - a
+                    near[at : at + (1 << 14)] = np.einsum("ij,ij->i", units[i], units[j]) >= threshold
+                x, y = x[near], y[near]
+                rows += [(int(ids[i]), 0, int(ids[j])) for i, j in _forest(x, y)]
+                links = np.bincount(np.concatenate([x, y]) - a, np.concatenate([n[y], n[x]]), b - a).astype(np.int64)
+                rows += [(int(ids[i + a]), int(links[i]), None) for i in np.flatnonzero(links)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["id", "links", "other"])
+
+    out = materialize(told.mapInArrow(decide, "id long, links long, other long"))
     discard(coded, spread, asked)
     return out
 
 
+def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between rows x and y, as many as connect all that they connect."""
+    to: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while i in to:
+            to[i] = to.get(to[i], to[i])
+            i = to[i]
+        return i
+
+    kept = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        p, q = root(i), root(j)
+        if p != q:
+            to[max(p, q)] = min(p, q)
+            kept.append((p, q))
+    return kept
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding, label).
 
