@@ -103,18 +103,35 @@ def lookup_last(left: DataFrame, right: DataFrame, keys: Sequence[str], version:
     return left.join(last, list(keys), "left")
 
 
+def sums_before(samples: DataFrame, wanted: DataFrame, keys: Sequence[str], at: str, value: str, piece: float = 100_000.0) -> DataFrame:
+    """wanted (keys, at and more) with total and n: the sum and number of the samples' values before each row's place.
+
+    Both sides lie in one order, in which a sample adds to the sum and a wanted row reads it. A series is cut into
+    pieces of so many units of `at`, each summed up by itself and from the sums of the pieces before.
+    """
+    more = [c for c in wanted.columns if c not in (*keys, at)]
+    s = samples.select(*keys, F.col(at).cast("double").alias(at), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_s"))
+    both = s.unionByName(wanted.select(*keys, F.col(at).cast("double").alias(at), *more, F.lit(0).alias("_s")), allowMissingColumns=True).withColumn("_piece", F.floor(F.col(at) / piece))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = both.groupBy(*keys, "_piece").agg(F.sum("_v").alias("_t"), F.count("_v").alias("_m"))
+    whole = whole.select(*keys, "_piece", F.coalesce(F.sum("_t").over(ahead), F.lit(0.0)).alias("_t"), F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_m"))
+    own = both.withColumns({"total": F.coalesce(F.sum("_v").over(inside), F.lit(0.0)), "n": F.count("_v").over(inside)}).where("_s = 0").join(whole, [*keys, "_piece"])
+    return own.select(*keys, at, *more, (F.col("total") + F.col("_t")).alias("total"), (F.col("n") + F.col("_m")).alias("n"))
+
+
 def grid_search(samples: DataFrame, blocks: DataFrame, keys: Sequence[str], offsets: tuple[int, int, int], at: str = "sec", value: str = "value") -> DataFrame:
     """keys, best_offset and score: the shift at which block means fit best, ties to the smaller shift.
 
     blocks have start, stop and target; the score is the mean absolute gap between the target and the mean of the
-    samples in [start + offset, stop + offset). Offsets are a small fixed grid that each block is expanded by.
+    samples in [start + offset, stop + offset). A block's mean is the difference of two running sums, so work grows
+    with the blocks and their offsets, a small fixed grid, but not with what a block spans.
     """
-    grid = blocks.select(*keys, "start", "stop", "target").withColumn("offset", F.explode(F.sequence(*[F.lit(x) for x in offsets])))
-    width = 64
-    spans = grid.withColumn("_a", F.col("start") + F.col("offset")).withColumn("_z", F.col("stop") + F.col("offset")).where("_z > _a")
-    spans = spans.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_z") - 1) / width))))
-    hit = spans.join(samples.select(*keys, at, value).withColumn("_k", F.floor(F.col(at) / width)), [*keys, "_k"]).where((F.col(at) >= F.col("_a")) & (F.col(at) < F.col("_z")))
-    means = hit.groupBy(*keys, "offset", "start", "stop", "target").agg(F.avg(value).alias("_m"))
-    scored = means.groupBy(*keys, "offset").agg(F.avg(F.abs(F.col("_m") - F.col("target"))).alias("score"))
-    order = Window.partitionBy(*keys).orderBy("score", "offset")
+    grid = blocks.select(*keys, "start", "stop", "target").withColumn("offset", F.explode(F.sequence(*[F.lit(x) for x in offsets]))).where("stop > start")
+    ends = grid.withColumn("_e", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn(at, F.when(F.col("_e") < 0, F.col("start")).otherwise(F.col("stop")) + F.col("offset"))
+    read = sums_before(samples, ends, keys, at, value)
+    means = read.groupBy(*keys, "offset", "start", "stop", "target").agg(F.sum(F.col("_e") * F.col("total")).alias("_t"), F.sum(F.col("_e") * F.col("n")).alias("_m"))
+    means = means.where("_m > 0").withColumn("_mean", F.col("_t") / F.col("_m"))  # of equal blocks both are as many times as large
+    scored = means.groupBy(*keys, "offset").agg(F.avg(F.abs(F.col("_mean") - F.col("target"))).alias("score"))
+    order = Window.partitionBy(*keys).orderBy(F.round("score", 9), "offset")
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, F.col("offset").alias("best_offset"), "score")

@@ -109,6 +109,7 @@ def rolling_class(df: DataFrame, keys: Sequence[str], day: str, tie: Sequence[st
     ones leaves no quartiles and the class typical. Rows with a missing key or x are unknown. The frame is a
     bounded range over day * 2^20 plus the row's place in its day.
     """
+    df = df.repartition(*keys)  # serves the places in a day and the frames alike
     place = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*tie)) - 1
     at = day_number(day).cast("long") * (1 << 20) + place
     df = df.withColumn("_at", at)
@@ -125,12 +126,13 @@ def rolling_class(df: DataFrame, keys: Sequence[str], day: str, tie: Sequence[st
 
 def anchor_class(df: DataFrame, keys: Sequence[str], day: str, x: str, start: str, end: str, min_n: int = 5, out: str = "effort") -> DataFrame:
     """df with a class of x against the quartiles of a fixed period of the same keys."""
-    inside = df.where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")) & F.col(x).isNotNull())
-    bounds = inside.groupBy(*keys).agg(F.count(x).alias("_n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).where(f"_n >= {min_n}")
+    w = Window.partitionBy(*keys)
+    v = F.when((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")), F.col(x))
+    df = df.withColumns({"_n": F.count(v).over(w), "_q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).over(w)}).withColumn("_q", F.when(F.col("_n") >= min_n, F.col("_q")))
     known = F.col("_q").isNotNull()
     for k in keys:
-        known &= F.trim(F.col(k).cast("string")) != ""
-    return df.join(bounds, list(keys), "left").withColumn(out, rules.versus(x, F.col("_q")[0], F.col("_q")[1], known)).drop("_n", "_q")
+        known &= F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
+    return df.withColumn(out, rules.versus(x, F.col("_q")[0], F.col("_q")[1], known)).drop("_n", "_q")
 
 
 def streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], bad: Column, rows: int = 7) -> DataFrame:

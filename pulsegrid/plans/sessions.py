@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -15,29 +15,77 @@ from ..operators import windows as W
 KEY = ["entity", "session_id"]
 
 
+#: A part of a session's figures: the columns that it needs on samples, its aggregates, and what it makes of them.
+Part = tuple[DataFrame, list[Column], dict[str, Column]]
+
+
+def _zones(s: DataFrame, cfg: SessionConfig) -> Part:
+    hr, w = F.col("hr"), Window.partitionBy(*KEY)
+    s = s.withColumns({"_zn": F.count("hr").over(w), "_zm": F.count(F.when(F.col("moving"), hr)).over(w)})
+    used = hr.isNotNull() & (F.col("_zn") >= 60) & (F.col("moving") | (F.col("_zm") < 60))
+    n = lambda c: F.count_if(used & c)
+    aggs = [F.count_if(used).alias("_t"), F.percentile(F.when(used, hr), 0.95).alias("_p"), n(hr <= F.col("vt1")).alias("_1"), n((hr > F.col("vt1")) & (hr <= F.col("vt2"))).alias("_2"), n(hr > F.col("vt2")).alias("_3")]
+    some = F.col("_t") > 0
+    share = lambda c: F.when(some, stats.round_even(100.0 * F.col(c) / F.col("_t"), 1))
+    minutes = lambda c: F.when(some, stats.round_even(F.col(c) / 60.0, 1))
+    return s, aggs, {"hr_p95": stats.round_even("_p", 1), "z1_pct": share("_1"), "z2_pct": share("_2"), "z3_pct": share("_3"), "z2_total_min": minutes("_2"), "z3_total_min": minutes("_3")}
+
+
+def _halves(s: DataFrame, name: str, valid: Column, columns: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Means of columns over the first and second half of a session's valid samples, with their number."""
+    w = Window.partitionBy(*KEY)
+    s = s.withColumn(f"_{name}", yes(valid).cast("int"))
+    s = s.withColumns({f"_{name}_i": F.sum(f"_{name}").over(w.orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)) - 1, f"_{name}_n": F.sum(f"_{name}").over(w)})
+    late = F.col(f"_{name}_i") >= F.floor(F.col(f"_{name}_n") / 2)
+    means = [F.avg(F.when((F.col(f"_{name}") == 1) & (late if k else ~late), F.col(c))).alias(f"_{name}_{c}_{k}") for c in columns for k in (0, 1)]
+    return s, [F.max(f"_{name}_n").alias(f"_{name}_m"), *means]
+
+
+def _late(s: DataFrame, cfg: SessionConfig) -> Part:
+    counted = F.col("sec") >= F.when(F.col("duration_s") >= 3600, cfg.skip_s).otherwise(0)
+    s = s.withColumn("_lm", F.count_if(counted & F.col("moving")).over(Window.partitionBy(*KEY)))
+    s, aggs = _halves(s, "late", counted & F.col("hr").isNotNull() & (F.col("moving") | (F.col("_lm") <= 120)) & (F.col("duration_s") >= cfg.late_min_s), ["hr"])
+    risen = yes((F.col("_late_m") >= 120) & (F.col("_late_hr_1") - F.col("_late_hr_0") >= cfg.late_rise))
+    return s, aggs, {"late_intensity": F.when(risen, 1).otherwise(0)}
+
+
+def _drift(s: DataFrame, cfg: SessionConfig) -> Part:
+    ok = (F.col("sec") >= cfg.skip_s) & (F.col("speed") > cfg.drift_min_speed) & (F.col("hr") > 60) & (F.col("duration_s") >= cfg.drift_min_s)
+    s, aggs = _halves(s, "drift", ok, ["hr", "speed"])
+    far = (F.col("_drift_m") >= 120) & (F.col("_drift_speed_0") >= cfg.drift_min_speed) & (F.col("_drift_speed_1") >= cfg.drift_min_speed)
+    a, b = F.col("_drift_hr_0") / F.col("_drift_speed_0"), F.col("_drift_hr_1") / F.col("_drift_speed_1")
+    return s, aggs, {"cardiac_drift_pct": F.when(far, stats.round_even(100 * (b - a) / a, 1))}
+
+
+def _figures(samples: DataFrame, cfg: SessionConfig, *parts) -> DataFrame:
+    """KEY and the figures of parts: windows and one aggregate over one deal of the samples by session."""
+    s, aggs, made = samples, [], {}
+    for part in parts:
+        s, more, columns = part(s, cfg)
+        aggs, made = aggs + more, made | columns
+    return s.groupBy(*KEY).agg(*aggs).select(*KEY, *[v.alias(k) for k, v in made.items()])
+
+
 def zones(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
     """Shares and minutes below, between and above the thresholds and the 95th percentile, over moving samples; over
     all where fewer than 60 move. Sessions with fewer than 60 heart rates are left out. Samples have vt1, vt2, moving."""
-    hr = F.col("hr")
-    n = samples.where(hr.isNotNull()).withColumn("_m", F.count_if("moving").over(Window.partitionBy(*KEY))).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY)))
-    used = n.where((F.col("_n") >= 60) & (F.col("moving") | (F.col("_m") < 60)))
-    a = used.groupBy(*KEY).agg(
-        F.count("*").alias("_t"), F.percentile("hr", 0.95).alias("_p"), F.count_if(hr <= F.col("vt1")).alias("_1"),
-        F.count_if((hr > F.col("vt1")) & (hr <= F.col("vt2"))).alias("_2"), F.count_if(hr > F.col("vt2")).alias("_3"))
-    share = lambda c: stats.round_even(100.0 * F.col(c) / F.col("_t"), 1)
-    return a.select(
-        *KEY, stats.round_even("_p", 1).alias("hr_p95"), share("_1").alias("z1_pct"), share("_2").alias("z2_pct"), share("_3").alias("z3_pct"),
-        stats.round_even(F.col("_2") / 60.0, 1).alias("z2_total_min"), stats.round_even(F.col("_3") / 60.0, 1).alias("z3_total_min"))
+    return _figures(samples, cfg, _zones).where("z1_pct IS NOT NULL")
+
+
+def late_intensity(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
+    """late_intensity 0 or 1: whether the second half is harder. Samples have duration_s and moving; the first ten
+    minutes of sessions of an hour or more do not count, and moving samples alone do where over 120 move."""
+    return _figures(samples, cfg, _late)
+
+
+def drift(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
+    """cardiac_drift_pct: how much the heart rate per speed of the second half exceeds the first's."""
+    return _figures(samples, cfg, _drift).where("cardiac_drift_pct IS NOT NULL")
 
 
 def work(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
     """Merged effort blocks of min_block_s and more, summed for each session, with the delimited strings."""
-    blocks = islands.work_blocks(samples, KEY, cfg).withColumn("_d", F.col("stop") - F.col("start") + 1).where(f"_d >= {cfg.min_block_s}")
-    # blocks don't overlap, so a sample and a block meet in one stretch of min_block_s seconds at most
-    cut = lambda c: F.floor(F.col(c) / cfg.min_block_s)
-    spread = blocks.withColumn("_k", F.explode(F.sequence(cut("start"), cut("stop"))))
-    inside = samples.withColumn("_k", cut("sec")).join(spread, [*KEY, "_k"]).where((F.col("sec") >= F.col("start")) & (F.col("sec") <= F.col("stop")))
-    each = inside.groupBy(*KEY, "start", "_d").agg(F.count_if(F.col("hr") > F.col("vt2")).alias("_z"))
+    each = islands.work_blocks(samples, KEY, cfg, F.col("hr") > F.col("vt2")).withColumn("_d", F.col("stop") - F.col("start") + 1).where(f"_d >= {cfg.min_block_s}").withColumnRenamed("n_above", "_z")
     each = each.withColumn("_min", stats.round_even(F.col("_d") / 60.0, 1)).withColumn("_pct", stats.round_even(100.0 * F.col("_z") / F.col("_d"), 0).cast("long"))
     parts = F.sort_array(F.collect_list(F.struct("start", F.col("_min").cast("string").alias("m"), F.col("_pct").cast("string").alias("p"))))
     return each.groupBy(*KEY).agg(
@@ -46,30 +94,20 @@ def work(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
         stats.round_even(100.0 * F.sum("_z") / F.sum("_d"), 0).alias("work_avg_z3_pct"))
 
 
-def _halves(valid: DataFrame, columns: list[str]) -> DataFrame:
-    """Means of columns over the first and second half of a session's valid samples, with their number."""
+def _stream(samples: DataFrame, a: DataFrame, cfg: SessionConfig) -> DataFrame:
+    """KEY and all that samples tell of the aerobic sessions of a. They are dealt out by session once, with the thresholds; the
+    windows, the figures and the work blocks all stand on that deal."""
+    s = samples.join(a.where(F.col("sport").isin(*schema.AEROBIC)).select("entity", "session_id", F.col("vt1_used").alias("vt1"), F.col("vt2_used").alias("vt2"), F.col("_s").alias("duration_s")).hint("merge"), KEY)
     w = Window.partitionBy(*KEY)
-    h = valid.withColumn("_i", F.row_number().over(w.orderBy("sec")) - 1).withColumn("_n", F.count("*").over(w))
-    late = F.col("_i") >= F.floor(F.col("_n") / 2)
-    return h.groupBy(*KEY).agg(F.max("_n").alias("n"), *[F.avg(F.when(late if k else ~late, F.col(c))).alias(f"{c}_{k}") for c in columns for k in (0, 1)])
-
-
-def late_intensity(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
-    """late_intensity 0 or 1: whether the second half is harder. Samples have duration_s and moving; the first ten
-    minutes of sessions of an hour or more do not count, and moving samples alone do where over 120 move."""
-    cut = F.when(F.col("duration_s") >= 3600, cfg.skip_s).otherwise(0)
-    s = samples.where(F.col("sec") >= cut).withColumn("_m", F.count_if("moving").over(Window.partitionBy(*KEY)))
-    valid = s.where(F.col("hr").isNotNull() & (F.col("moving") | (F.col("_m") <= 120)) & (F.col("duration_s") >= cfg.late_min_s))
-    h = _halves(valid, ["hr"]).where("n >= 120")
-    return samples.select(*KEY).distinct().join(h, KEY, "left").select(*KEY, F.when(yes(F.col("hr_1") - F.col("hr_0") >= cfg.late_rise), 1).otherwise(0).alias("late_intensity"))
-
-
-def drift(samples: DataFrame, cfg: SessionConfig = SessionConfig()) -> DataFrame:
-    """cardiac_drift_pct: how much the heart rate per speed of the second half exceeds the first's."""
-    ok = (F.col("sec") >= cfg.skip_s) & (F.col("speed") > cfg.drift_min_speed) & (F.col("hr") > 60) & (F.col("duration_s") >= cfg.drift_min_s)
-    h = _halves(samples.where(ok), ["hr", "speed"]).where("n >= 120").where((F.col("speed_0") >= cfg.drift_min_speed) & (F.col("speed_1") >= cfg.drift_min_speed))
-    a, b = F.col("hr_0") / F.col("speed_0"), F.col("hr_1") / F.col("speed_1")
-    return h.select(*KEY, stats.round_even(100 * (b - a) / a, 1).alias("cardiac_drift_pct"))
+    # a missing speed signal moves always; a signal that ends early ends the session
+    s = s.withColumns({"_has": F.max(F.col("speed").isNotNull()).over(w), "_last": F.max(F.when(F.col("speed").isNotNull(), F.col("sec"))).over(w), "_len": F.count("*").over(w)})
+    s = s.where((F.col("_len") > 60) & (~F.col("_has") | (F.col("sec") <= F.col("_last"))))
+    s = s.withColumn("moving", F.when(F.col("_has"), yes(F.col("speed") > cfg.moving_min_speed)).otherwise(True))
+    length = lambda x, _: (x, [F.max("_len").alias("_len")], {"_len": F.col("_len")})
+    found = _figures(s, cfg, _zones, _late, _drift, length).join(work(s, cfg), KEY, "left")
+    # without zones there is no work and no late intensity
+    only = ["late_intensity", "work_blocks_min", "work_blocks_z3pct", "work_n_blocks", "work_total_min", "work_longest_min", "work_avg_z3_pct"]
+    return found.withColumns({c: F.when(F.col("z1_pct").isNotNull(), F.col(c)) for c in only})
 
 
 def build(activities: DataFrame, samples: DataFrame | None = None, cfg: SessionConfig = SessionConfig(), version: str = "1") -> DataFrame:
@@ -95,15 +133,7 @@ def build(activities: DataFrame, samples: DataFrame | None = None, cfg: SessionC
         num("_moving").alias("_s"), num("elapsed_time").alias("_e"), F.col("icu_hr_zone_times").cast("array<double>").alias("_zt"), parse.user_note(F.col("messages")).alias("_note"))
     derived = ["hr_p95", "z1_pct", "z2_pct", "z3_pct", "z2_total_min", "z3_total_min", "work_blocks_min", "work_blocks_z3pct", "work_n_blocks", "work_total_min", "work_longest_min", "work_avg_z3_pct", "late_intensity", "cardiac_drift_pct", "_len"]
     if samples is not None:
-        s = samples.join(a.where(F.col("sport").isin(*schema.AEROBIC)).select("entity", "session_id", F.col("vt1_used").alias("vt1"), F.col("vt2_used").alias("vt2"), F.col("_s").alias("duration_s")), KEY)
-        w = Window.partitionBy(*KEY)
-        # a missing speed signal moves always; a signal that ends early ends the session
-        s = s.withColumns({"_has": F.max(F.col("speed").isNotNull()).over(w), "_last": F.max(F.when(F.col("speed").isNotNull(), F.col("sec"))).over(w), "_len": F.count("*").over(w)})
-        s = s.where((F.col("_len") > 60) & (~F.col("_has") | (F.col("sec") <= F.col("_last"))))
-        s = s.withColumn("moving", F.when(F.col("_has"), yes(F.col("speed") > cfg.moving_min_speed)).otherwise(True))
-        z = zones(s, cfg)
-        only = s.join(z.select(*KEY), KEY, "left_semi")
-        a = a.join(z, KEY, "left").join(work(only, cfg), KEY, "left").join(late_intensity(only, cfg), KEY, "left").join(drift(s, cfg), KEY, "left").join(s.groupBy(*KEY).agg(F.max("_len").alias("_len")), KEY, "left")
+        a = a.join(_stream(samples, a, cfg), KEY, "left")
     else:
         for c in derived:
             a = a.withColumn(c, F.lit(None).cast("string" if c.startswith("work_blocks") else "double"))

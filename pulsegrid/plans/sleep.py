@@ -43,11 +43,16 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _members(text: Column) -> Column:
     """array<struct<k,v,t>>: an object's or array's members in the document's order, with plain keys, values as text, and what
-    they are. A variant tells values apart but sorts an object's keys, so the order comes from the text."""
-    entry = lambda k, v, x: F.struct(k.alias("k"), v.alias("v"), F.substring(F.schema_of_variant(x), 1, 5).alias("t"))
-    plain = lambda k: F.translate(F.lower(F.trim(k)), "-", "_")
-    of_object = F.zip_with(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), lambda e, x: entry(plain(e["key"]), e["value"], x))
-    of_array = F.zip_with(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda e, x: entry(F.lit(None).cast("string"), e, x))
+    those are that look as if they held others. A variant tells values apart but sorts an object's keys, so the order comes from the text."""
+    holds = lambda v: F.coalesce(v.startswith("{") | v.startswith("["), F.lit(False))
+
+    def told(members: Column, kinds: Column, value: Callable, key: Callable) -> Column:
+        plain = lambda m, t: F.struct(key(m).alias("k"), value(m).alias("v"), t.alias("t"))
+        kind = lambda x: F.substring(F.schema_of_variant(x), 1, 5)
+        return _let(members, lambda own: F.when(F.exists(own, lambda m: holds(value(m))), F.zip_with(own, kinds, lambda m, x: plain(m, kind(x)))).otherwise(F.transform(own, lambda m: plain(m, F.lit("")))))
+
+    of_object = told(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), lambda m: m["value"], lambda m: F.translate(F.lower(F.trim(m["key"])), "-", "_"))
+    of_array = told(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda m: m, lambda m: F.lit(None).cast("string"))
     return F.coalesce(F.when(text.startswith("{"), of_object).otherwise(of_array), F.array().cast("array<struct<k:string,v:string,t:string>>"))
 
 
@@ -65,11 +70,17 @@ def first_values(doc, names: list[str]) -> Column:
         there = lambda e: F.trim(e["v"]) != ""
         return lambda e: e["k"].isin(spellings[n]) & (parse.number(e["v"]).isNotNull() if n in NUMERIC else F.coalesce(there(e), F.lit(False)))
 
+    every = sorted({k for own in spellings.values() for k in own})
+
     def step(s: Column, _: Column) -> Column:
         below = F.slice(s["todo"], F.lit(1), F.size(s["todo"]) - 1)
-        return F.when(F.size(s["todo"]) == 0, s).otherwise(_let(_members(F.element_at(s["todo"], -1)), lambda own: F.struct(
-            F.concat(below, F.transform(F.filter(own, lambda e: e["t"].isin("OBJEC", "ARRAY")), lambda e: e["v"])).alias("todo"),
-            *[F.coalesce(s[n], F.get(F.filter(own, wanted(n)), F.lit(0))["v"]).alias(n) for n in names])))
+
+        def opened(own: Column) -> Column:
+            todo = F.concat(below, F.transform(F.filter(own, lambda e: e["t"].isin("OBJEC", "ARRAY")), lambda e: e["v"])).alias("todo")
+            found = lambda some: F.when(F.size(some) > 0, F.struct(todo, *[F.coalesce(s[n], F.get(F.filter(some, wanted(n)), F.lit(0))["v"]).alias(n) for n in names])).otherwise(F.struct(todo, *[s[n].alias(n) for n in names]))
+            return _let(F.filter(own, lambda e: F.coalesce(e["k"].isin(every), F.lit(False))), found)
+
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(_let(_members(F.element_at(s["todo"], -1)), opened))
 
     # as many steps as there are objects and arrays, at most
     steps = F.length(doc) - F.length(F.translate(doc, "{[", ""))

@@ -62,3 +62,30 @@ def test_grouping_sets_tell_totals_from_nulls(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 1)], "x string, y int")
     got = {(r.x, r.y, r.level): r.n for r in sketches.grouping_sets(df, ["x", "y"], "rollup", [F.count("*").alias("n")]).collect()}
     assert got == {("a", 1, 0): 1, ("a", None, 0): 1, (None, 1, 0): 1, ("a", None, 1): 2, (None, None, 1): 1, (None, None, 3): 3}
+
+
+def test_block_means_by_running_sums(spark):
+    from pulsegrid.operators import joins
+
+    r = random.Random(2)
+    samples = [(k, float(t), r.choice([None, r.uniform(60, 180)])) for k in ("a", "b") for t in range(0, 3000) if r.random() < 0.8]
+    blocks = [(k, s, s + r.choice([0, 7, 1500]), r.uniform(60, 180)) for k in ("a", "b") for s in (-10, 20, 700, 900, 2990)]
+    df, b = spark.createDataFrame(samples, "k string, sec double, value double"), spark.createDataFrame(blocks + blocks[:1], "k string, start int, stop int, target double")
+    wanted = spark.createDataFrame([(k, float(t), t) for k in ("a", "b", "c") for t in (-5, 0, 1, 500, 501, 9999)], "k string, sec double, id int")
+    for piece in (100_000.0, 300.0):
+        for x in joins.sums_before(df, wanted, ["k"], "sec", "value", piece).collect():
+            own = [v for k, t, v in samples if k == x.k and t < x.sec and v is not None]
+            assert x.n == len(own) and abs(x.total - sum(own)) < 1e-6
+    want = {}
+    for k in ("a", "b"):
+        scores = []
+        for o in range(-6, 7, 3):
+            gaps = []
+            for start, stop, target in {(s, e, t) for n, s, e, t in blocks if n == k}:
+                own = [v for n, t, v in samples if n == k and v is not None and start + o <= t < stop + o]
+                if own:
+                    gaps.append(abs(sum(own) / len(own) - target))
+            scores.append((round(sum(gaps) / len(gaps), 9), o))
+        want[k] = min(scores)
+    got = {x.k: (round(x.score, 9), x.best_offset) for x in joins.grid_search(df, b, ["k"], (-6, 6, 3)).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-6 for k in got)
