@@ -102,17 +102,16 @@ def parse(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "chunk", "last").agg(F.sum("times").alias("times"))
 
 
-def _frequent(bits: np.ndarray, langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """Which phrases have an entry in the table of bits."""
-    keys = pc.binary_join_element_wise(langs, phrases, "\n")
+def _frequent(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Which keys have an entry in the table of bits."""
     h = np.fromiter((xxhash.xxh64_intdigest(k.as_buffer(), 42) for k in keys), np.uint64, len(keys))  # F.xxhash64
     slot = (h & np.uint64(_POSITIVE)).astype(np.int64) % (WORDS_OF_BITS * SLOT)
     return (bits[slot // SLOT] >> slot % SLOT & 1).astype(bool)
 
 
 def bits_of(frequent: DataFrame) -> np.ndarray:
-    """A table of bits with an entry for each phrase (lang, phrase); its size is the same for any number of them."""
-    slot = F.xxhash64(F.concat_ws("\n", "lang", "phrase")).bitwiseAND(F.lit(_POSITIVE)) % (WORDS_OF_BITS * SLOT)
+    """A table of bits with an entry for each key; its size is the same for any number of them."""
+    slot = F.xxhash64("key").bitwiseAND(F.lit(_POSITIVE)) % (WORDS_OF_BITS * SLOT)
     rows = frequent.select(slot.alias("slot")).groupBy(F.expr(f"cast(slot div {SLOT} as int)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(slot % {SLOT} as int))")).alias("bits"))
     found = rows.toArrow()  # WORDS_OF_BITS rows at most
     bits = np.zeros(WORDS_OF_BITS, np.int64)
@@ -121,7 +120,7 @@ def bits_of(frequent: DataFrame) -> np.ndarray:
 
 
 def _phrases(table: pa.Table, sizes: tuple[int, ...], frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """lang, size, phrase, times of the phrases of chunks. frequent: bits of those of the least size less one."""
+    """key (language and phrase), times of the phrases of chunks. frequent: bits of those of the least size less one."""
     langs = table.column("lang").combine_chunks().dictionary_encode()
     split = pc.split_pattern(table.column("chunk").combine_chunks(), " ")
     coded = split.flatten().dictionary_encode()
@@ -150,19 +149,19 @@ def _phrases(table: pa.Table, sizes: tuple[int, ...], frequent: np.ndarray | Non
         number = np.full(len(ids), -1, np.int32)
         number[at] = back
         if size == base and frequent is not None:
-            own = _frequent(frequent, langs.dictionary.take(pa.array(of_lang)), names)
+            own = _frequent(frequent, pc.binary_join_element_wise(langs.dictionary.take(pa.array(of_lang)), names, "\n"))
             good = np.zeros(len(ids), bool)
             good[at] = own[back]
         if size >= sizes[0]:
             counted = begins[at]
             n = np.bincount(back[counted], times[chunk[at[counted]]], len(keys)).astype(np.int64)
             some = pa.array(np.flatnonzero(n))
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(of_lang)).take(some), pa.array(np.full(len(some), size), pa.int32()), names.take(some), pa.array(n).take(some)], ["lang", "size", "phrase", "times"])
+            keys = pc.binary_join_element_wise(langs.dictionary.take(pa.array(of_lang).take(some)), names.take(some), "\n")
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n).take(some)], ["key", "times"])
 
 
 def count(dictionary: DataFrame, sizes: tuple[int, ...], frequent: np.ndarray | None = None) -> DataFrame:
-    """lang, size, phrase, times over a dictionary of chunks; with `frequent`, of those phrases alone whose parts of one
+    """key, times over a dictionary of chunks, a key being a language and a phrase in one text, for short rows; with `frequent`, of those phrases alone whose parts of one
     word less than the least size have an entry there."""
     known = dictionary.sparkSession.sparkContext.broadcast(frequent)
 
@@ -177,8 +176,13 @@ def count(dictionary: DataFrame, sizes: tuple[int, ...], frequent: np.ndarray |
         if size:
             yield from _phrases(pa.Table.from_batches(held), sizes, known.value)
 
-    each = dictionary.mapInArrow(run, "lang string, size int, phrase string, times long")
-    return each.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
+    return dictionary.mapInArrow(run, "key string, times long").groupBy("key").agg(F.sum("times").alias("times"))
+
+
+def _told(counts: DataFrame) -> DataFrame:
+    """lang, phrase, a of keys; a phrase has no line end, a language may."""
+    phrase = F.substring_index("key", "\n", -1)
+    return counts.select(F.left("key", F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), F.col("times").alias("a"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -191,11 +195,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     spark = docs.sparkSession
     dictionary = materialize(parse(docs))
     words = materialize(count(dictionary, (1,)))
-    total = words.groupBy("lang").agg(F.sum("times").alias("n"))
+    total = _told(words).groupBy("lang").agg(F.sum("a").alias("n"))
     common = materialize(words.where(F.col("times") >= least))
     pairs = materialize(count(dictionary, (2,), bits_of(common)).where(F.col("times") >= least))
     longer = materialize(count(dictionary, tuple(range(3, LONGEST + 1)), bits_of(pairs)).where(F.col("times") >= least))
-    found = common.unionByName(pairs).unionByName(longer).select("lang", "size", "phrase", F.col("times").alias("a"))
+    found = _told(common.unionByName(pairs).unionByName(longer)).withColumn("size", F.size(F.split("phrase", " ")))
     many = found.where("size > 1")
     piece = F.split("phrase", " ")
     # A longer phrase as frequent as this one has a neighbour of one word less that is, too.

@@ -138,7 +138,7 @@ def test_collocations_against_brute_force(spark, monkeypatch):
     r = random.Random(6)
     words = ["the", "New", "york", "é", " x", "\x00", "\x1c", "É", "a'b", "-", "日本", "of", "B"]
     text = lambda n: "".join(r.choice(words) + r.choice([" "] * 12 + ["\t", "  ", ". ", ",", "\n", "\x0b", "!?"]) for _ in range(n))
-    rows = [(text(r.randint(0, 60)), r.choice(["en", "en", "fr", None, "und"])) for _ in range(150)]
+    rows = [(text(r.randint(0, 60)), r.choice(["en", "en", "fr", None, "und", "x\ny"])) for _ in range(150)]
     rows += [("same words again and again " * 40, "en"), ("x " * 3000, "de"), ("x y " * 300 + text(3000), "es"), (None, "en"), ("", None), (" .,.\n", "en")] + [("a passage that many texts share", "en")] * 30
     df = spark.createDataFrame([(t, lang, 1, "p") for t, lang in rows], "text string, lang string, n long, phrase string")
     for least, top in ((5, 2000), (30, 7)):
@@ -166,7 +166,7 @@ def test_chunks_cover_each_phrase_once():
 
 def test_exact_scores_beyond_64_bits(spark):
     table = pa.table({"lang": ["en"] * 2, "chunk": ["a b", "b"], "last": [True, True], "times": [10**13, 10**14]})
-    rows = {x["phrase"]: x["times"] for batch in collocations._phrases(table, (1, 2), None) for x in batch.to_pylist()}
+    rows = {x["key"].removeprefix("en\n"): x["times"] for batch in collocations._phrases(table, (1, 2), None) for x in batch.to_pylist()}
     assert rows == {"a": 10**13, "b": 10**13 + 10**14, "a b": 10**13}
     a, n, left, right = 10**13, 3 * 10**14, 10**13 + 7, 10**14 + 3
     got = spark.sql(f"SELECT cast(1000 as decimal(4,0)) * cast({a}L as decimal(15,0)) * cast({n}L as decimal(19,0)) div (cast({left}L as decimal(19,0)) * cast({right}L as decimal(19,0))) AS s").first().s
