@@ -161,3 +161,21 @@ def input_quality(raw: DataFrame, keys: Sequence[str], duration: str, offline: s
     return t.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.count_if(F.col("_d").isNull()).alias("bad_duration"), F.count_if(~F.col("_o.known")).alias("unknown_offline"),
         (100 * F.avg(F.col("_o.offline").cast("int"))).alias("offline_pct"))
+
+
+def validate(beats: DataFrame, keys: Sequence[str], duration: str = "duration", offline: str = "offline", cfg: BeatConfig = BeatConfig()) -> DataFrame:
+    """keys, ok, issues, rows, offline_pct and out_of_range of beat series as they are to be written.
+
+    Text that is no number counts as missing. A column that isn't there is an issue of every series.
+    """
+    have = {c.lower() for c in beats.columns}
+    gone = [c for c in (duration, offline) if c.lower() not in have]
+    value = lambda c: F.col(c).cast("string").try_cast("double") if c not in gone else F.lit(None).cast("double")
+    d, o = value(duration), value(offline)
+    n = lambda cond: F.count_if(yes(cond)) > 0
+    found = [
+        F.when(n(d.isNull()), "duration is missing or no number"), F.when(n(o.isNull()), "offline is missing or no number"),
+        F.when(n(d <= 0), "duration is not positive"), F.when(n(o.isNull() | ~o.isin(0.0, 1.0)), "offline is not 0 or 1")]
+    issues = F.array_compact(F.array(*[F.lit(f"no column {c}") for c in gone], *found))
+    out = beats.groupBy(*keys).agg(issues.alias("issues"), F.count("*").alias("rows"), (100 * F.avg((F.coalesce(o, F.lit(0.0)) == 1).cast("int"))).alias("offline_pct"), F.count_if((d < cfg.min_ms) | (d > cfg.max_ms)).alias("out_of_range"))
+    return out.withColumn("ok", F.size("issues") == 0)

@@ -208,3 +208,16 @@ def beats_visible(unavailable, modifier) -> Column:
     """Whether a session's beat sections are shown."""
     return ~(yes(stats.col(unavailable)) | yes(stats.col(modifier).isin("unavailable", "no_rr")))
 
+
+
+def best_measurement(rows: DataFrame, keys: Sequence[str] = ("entity", "Fecha")) -> DataFrame:
+    """The one measurement of each day to go by, the first criterion that tells two apart deciding: not INVALID, then OK,
+    stable, stabilised between 60 and 600 s, longer, fewer artifacts, earlier, and by the file's name.
+
+    rows have Calidad, HRV_Stability, Tiempo_Estabilizacion, duration_s, Artifact_pct, time (null if unknown) and file.
+    """
+    known = lambda c: F.coalesce(c, F.lit(False))
+    order = [
+        known(F.col("Calidad") == "INVALID").asc(), known(F.col("Calidad") == "OK").desc(), known(F.col("HRV_Stability") == "OK").desc(), known(F.col("Tiempo_Estabilizacion").between(60, 600)).desc(),
+        F.col("duration_s").desc_nulls_last(), F.col("Artifact_pct").asc_nulls_last(), F.col("time").asc_nulls_last(), F.col("file").asc()]
+    return best_rows(rows, list(keys), order)

@@ -7,11 +7,15 @@ bits are not.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import BeatConfig
 from ..functions import stats
+from ..functions.rules import yes
+from ..operators import beats as B
 from ..operators.joins import in_any_interval
 
 KEY = ["entity", "rec"]
@@ -82,17 +86,116 @@ def gate_by_motion(beats: DataFrame, windows: DataFrame, width: float = 5.0) ->
 def dominant_frequency(samples: DataFrame, axes: list[str], low: float = 0.08, high: float = 0.60, step: float = 0.02, window_s: int = 30, hop_s: int = 5) -> DataFrame:
     """For each window the axis and frequency of greatest power in the band, and peak over median power.
 
-    The transform is an aggregate over a fixed grid of frequencies: sums of x cos and x sin about the window's mean.
+    The transform is sums of x cos and x sin about the window's mean over a fixed grid of frequencies. They are taken once
+    for each hop, as columns of one aggregate, and a window adds up the hops that it spans.
     """
-    k = F.floor(F.col("t") / hop_s).cast("long")
     n = window_s // hop_s
-    each = samples.withColumn("k", F.explode(F.sequence(k - n + 1, k))).select(*KEY, "k", "t", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("x")) for a in axes])).alias("_s")).select(*KEY, "k", "t", "_s.*")
-    c = each.withColumn("_c", F.col("x") - F.avg("x").over(Window.partitionBy(*KEY, "k", "axis")))
-    count = int(round((high - low) / step)) + 1
-    f = c.withColumn("f", F.explode(F.array(*[F.lit(round(low + i * step, 6)) for i in range(count)])))
-    angle = 2 * math.pi * F.col("f") * F.col("t")
-    p = f.groupBy(*KEY, "k", "axis", "f").agg((F.pow(F.sum(F.col("_c") * F.cos(angle)), 2) + F.pow(F.sum(F.col("_c") * F.sin(angle)), 2)).alias("p"))
-    w = Window.partitionBy(*KEY, "k", "axis")
-    p = p.withColumn("_band", F.sum("p").over(w)).withColumn("_mid", F.percentile("p", 0.5).over(w))
-    top = p.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY, "k").orderBy(F.desc("_band"), "axis", F.desc("p"), "f"))).where("_r = 1")
-    return top.select(*KEY, "k", "axis", F.col("f").alias("frequency"), (60 * F.col("f")).alias("per_minute"), F.when(F.col("_mid") > 0, F.col("p") / F.col("_mid")).alias("confidence"))
+    grid = [round(low + i * step, 6) for i in range(int(round((high - low) / step)) + 1)]
+    wave = lambda i, fn: fn(2 * math.pi * F.lit(grid[i]) * F.col("t"))
+    value = lambda a: F.col(a).cast("double")
+    sums = {}
+    for a in axes:
+        there = F.col(a).isNotNull()
+        sums |= {f"_n_{a}": F.count(a), f"_x_{a}": F.sum(value(a))}
+        for i in range(len(grid)):
+            for name, fn in (("c", F.cos), ("s", F.sin)):
+                sums |= {f"_{name}{i}_{a}": F.sum(value(a) * wave(i, fn)), f"_{name}{i}_1{a}": F.sum(F.when(there, wave(i, fn)))}
+    hops = samples.groupBy(*KEY, F.floor(F.col("t") / hop_s).cast("long").alias("_h")).agg(*[v.alias(k) for k, v in sums.items()])
+    w = hops.withColumn("k", F.explode(F.sequence(F.col("_h") - n + 1, F.col("_h")))).groupBy(*KEY, "k").agg(*[F.sum(k).alias(k) for k in sums])
+
+    def power(a: str, i: int) -> Column:
+        part = lambda name: F.col(f"_{name}{i}_{a}") - F.col(f"_x_{a}") / F.col(f"_n_{a}") * F.col(f"_{name}{i}_1{a}")
+        return F.struct((F.pow(part("c"), 2) + F.pow(part("s"), 2)).alias("p"), F.lit(-grid[i]).alias("f"))
+
+    each = []
+    for a in axes:
+        p = F.array(*[power(a, i) for i in range(len(grid))])
+        each.append(F.when(F.col(f"_n_{a}") > 0, F.struct(F.lit(a).alias("axis"), p.alias("p"))))
+    # of equal powers the lower frequency; of equal bands the first axis by name
+    band = w.select(*KEY, "k", F.explode(F.array_compact(F.array(*each))).alias("_a")).select(*KEY, "k", "_a.*")
+    band = band.withColumns({"_band": F.aggregate("p", F.lit(0.0), lambda s, x: s + x["p"]), "_top": F.array_max("p"), "_mid": stats.median(F.transform("p", lambda x: x["p"]))})
+    best = Window.partitionBy(*KEY, "k").orderBy(F.desc("_band"), "axis")
+    top = band.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    f = -F.col("_top.f")
+    return top.select(*KEY, "k", "axis", f.alias("frequency"), (60 * f).alias("per_minute"), F.when(F.col("_mid") > 0, F.col("_top.p") / F.col("_mid")).alias("confidence"))
+
+
+def clock(packets: DataFrame, rounds: int = 2) -> DataFrame:
+    """KEY, scale and offset of a recording's device clock: phone time is offset + scale times device time.
+
+    packets have phone and device, both in seconds. The line goes through the medians of what is left in the first and the last
+    third of the packets by device time, first beside a scale of one and then beside the line before, so packets that the phone was late to stamp do not
+    bend it. Fewer than three packets, or packets of one device time, give a scale of one.
+    """
+    known = packets.where("phone IS NOT NULL AND device IS NOT NULL").select(*KEY, F.col("phone").cast("double").alias("phone"), F.col("device").cast("double").alias("device"))
+    order = Window.partitionBy(*KEY).orderBy("device", "phone")
+    thirds = known.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*KEY)), "scale": F.lit(1.0)})
+    first, last = F.col("_i") * 3 < F.col("_n"), F.col("_i") * 3 >= 2 * F.col("_n")
+    mid = lambda cond, c: F.percentile(F.when(cond, c), 0.5)
+    for _ in range(rounds):
+        rest = F.col("phone") - F.col("scale") * F.col("device")
+        ends = thirds.groupBy(*KEY, "scale").agg(F.count("*").alias("_m"), *[mid(cond, c).alias(f"_{name}{k}") for k, cond in enumerate((first, last)) for name, c in (("r", rest), ("d", F.col("device")))])
+        span = F.col("_d1") - F.col("_d0")
+        ends = ends.select(*KEY, (F.col("scale") + F.when((F.col("_m") >= 3) & (span > 0), (F.col("_r1") - F.col("_r0")) / span).otherwise(0.0)).alias("scale"))
+        thirds = thirds.drop("scale").join(ends, KEY)
+    return thirds.groupBy(*KEY, "scale").agg(F.percentile(F.col("phone") - F.col("scale") * F.col("device"), 0.5).alias("offset"))
+
+
+def on_phone_time(samples: DataFrame, packets: DataFrame) -> DataFrame:
+    """samples with t on the phone's axis, by their recording's clock; recordings without packets stay on their own."""
+    c = clock(packets)
+    return samples.join(c, KEY, "left").withColumn("t", F.coalesce(F.col("offset") + F.col("scale") * F.col("t"), F.col("t"))).drop("scale", "offset")
+
+
+def beat_events(found: DataFrame, cfg: BeatConfig = BeatConfig()) -> DataFrame:
+    """intervals() with offline and reason: out of range, or off by more than a share of the interval before, whatever that is."""
+    b = intervals(found)
+    before = F.lag("duration_ms").over(Window.partitionBy(*KEY).orderBy("beat_idx"))
+    d = F.col("duration_ms")
+    b = b.withColumn("reason", F.when((d < cfg.min_ms) | (d > cfg.max_ms), "RR_OUT_OF_RANGE").when(yes(F.abs(d - before) / F.greatest(before, F.lit(1e-9)) > cfg.delta_max), "DELTA_RR_GT_20P").otherwise("OK"))
+    return b.withColumn("offline", (F.col("reason") != "OK").cast("int"))
+
+
+@dataclass(frozen=True)
+class PeakConfig:
+    half: int = 8
+    mult: float = 3.0
+    apart_s: float = 0.45
+    least: int = 20
+
+
+@dataclass(frozen=True)
+class Converted:
+    """What a pair of recordings gives: beats, windows of motion, respiration, and a row of figures for each recording."""
+
+    beats: DataFrame
+    motion: DataFrame
+    respiration: DataFrame
+    summary: DataFrame
+
+
+def convert(ecg: DataFrame, acc: DataFrame, ecg_packets: DataFrame | None = None, acc_packets: DataFrame | None = None, gate: bool = False,
+            cfg: BeatConfig = BeatConfig(), peak: PeakConfig = PeakConfig(), least: tuple[int, int] = (200, 50), **band) -> Converted:
+    """Beats, motion and respiration of recordings: ecg (KEY, ts, voltage) and acc (KEY, ts, x, y, z).
+
+    Stamps of either unit become seconds; with packets (KEY, phone, device, in seconds) both sensors are put on the phone's
+    axis, as their own clocks have different origins and drift apart. Samples of one time count once. With `gate` beats
+    whose centre lies in a window of high motion are offline. Recordings of fewer samples than `least` are left out
+    on that side. `band` goes to dominant_frequency().
+    """
+    def ready(samples: DataFrame, packets: DataFrame | None, few: int, tie: str) -> DataFrame:
+        s = increasing(unit_seconds(samples.where("ts IS NOT NULL"), "ts"), tie)
+        s = s.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_n") >= few).drop("_n")
+        return s if packets is None else on_phone_time(s, packets)
+
+    e = ready(ecg.where("voltage IS NOT NULL"), ecg_packets, least[0], "voltage")
+    a = ready(acc.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), acc_packets, least[1], "x")
+    beats = beat_events(peaks(e, "voltage", peak.half, peak.mult, peak.apart_s, peak.least), cfg)
+    windows = motion(a, "x", "y", "z")
+    if gate:
+        beats = gate_by_motion(beats, windows).withColumn("reason", F.when(F.col("inside") & (F.col("offline") == 0), "ACC_HIGH_MOTION").otherwise(F.col("reason")))
+        beats = beats.withColumn("offline", (F.col("reason") != "OK").cast("int")).drop("inside")
+    beats = beats.select(*KEY, "beat_idx", "center", "t_end", "duration_ms", "offline", "reason")
+    checked = B.validate(beats, KEY, "duration_ms", "offline", cfg)
+    rates = sampling_rate(e).withColumnRenamed("fs", "fs_ecg").join(sampling_rate(a).withColumnRenamed("fs", "fs_acc"), KEY, "full")
+    return Converted(beats, windows, dominant_frequency(a, ["x", "y", "z"], **band), checked.join(rates, KEY, "full"))

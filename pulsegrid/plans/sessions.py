@@ -203,6 +203,22 @@ def activity_day(sessions: DataFrame, keys: list[str], load: str, minutes: str,
         F.max_by(sport, F.struct(F.coalesce(F.col(load), F.lit(-1.0)), ident)).alias("sport_of_max"))
 
 
+def activity_fields(acts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys and the day's figures of activities: n_acts, load, load_max, intensity_max, duration_min, avg_hr, max_hr, the
+    type of the one with the most load, and atl, ctl, tsb, rpe and resting_hr of the one that started last.
+
+    acts: keys, load, intensity, moving_time_s, avg_hr, max_hr, atl, ctl, tsb, rpe, resting_hr, type, started; nulls are passed over,
+    but the last activity's are kept. Of equal loads or starts the first by `order` counts; one without a load or start
+    comes behind all others.
+    """
+    first = -F.col(order)
+    most = F.struct(F.coalesce(F.col("load"), F.lit(float("-inf"))), first)
+    last = F.struct(F.col("started").isNotNull(), F.col("started"), first)
+    return acts.groupBy(*keys).agg(
+        F.count("*").alias("n_acts"), F.sum("load").alias("load"), F.max("load").alias("load_max"), F.max("intensity").alias("intensity_max"), (F.sum("moving_time_s") / 60).alias("duration_min"),
+        F.avg("avg_hr").alias("avg_hr"), F.max("max_hr").alias("max_hr"), F.max_by("type", most).alias("type_main"), *[F.max_by(c, last).alias(c) for c in ("atl", "ctl", "tsb", "rpe", "resting_hr")])
+
+
 def run_statistics(sessions: DataFrame) -> DataFrame:
     """entity, n_sessions, n_days, n_streams, n_notes, dt_mean, dt_min, dt_max, is_1hz and the map of intensity classes."""
     each = sessions.groupBy("entity", "intensity_category").agg(F.count("*").alias("n"))

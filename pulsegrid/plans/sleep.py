@@ -153,3 +153,27 @@ def for_days(days: DataFrame, found: DataFrame) -> DataFrame:
 def upsert(table: DataFrame, new: DataFrame) -> DataFrame:
     """table with new's days replaced, and percentiles taken anew."""
     return with_percentiles(replace_keys(in_contract(table, ["entity", *schema.SLEEP]), new, ["entity", "Fecha"]))
+
+
+#: Columns of the older export and what they are called here.
+HISTORY = {
+    "sleep_score": "polar_sleep_score", "sleep_continuity": "polar_continuity", "sleep_efficiency": "polar_efficiency_pct", "sleep_rem": "polar_rem_pct", "sleep_n3": "polar_deep_pct",
+    "sleep_long_interruptions": "polar_interruptions_long", "nightly_rmssd": "polar_night_rmssd", "nightly_rri": "polar_night_rri", "nightly_resp_int": "polar_night_resp", "continuity_index": "polar_continuity_index"}
+HISTORY_LEAST = 20
+
+
+def history(export: DataFrame) -> DataFrame:
+    """The sleep table of an older export (entity, Fecha and whatever columns of HISTORY it has, asleep_duration and sleep_span
+    as ISO durations). Columns it lacks are null. A percentile needs HISTORY_LEAST nights of its entity with a value."""
+    have = set(export.columns)
+    iso = lambda c: F.when(F.col(c).cast("string").startswith("PT"), parse.iso_minutes(c)) if c in have else F.lit(None).cast("double")
+    named = {new: F.col(old).cast("double") for old, new in HISTORY.items() if old in have}
+    if "efficiency_pct" in have:
+        named["polar_efficiency_pct"] = F.col("efficiency_pct").cast("double")
+    named |= {"polar_sleep_duration_min": iso("asleep_duration"), "polar_sleep_span_min": iso("sleep_span")}
+    every = [c for c in schema.SLEEP if c != "Fecha" and not c.startswith("sleep_")]
+    d = export.select("entity", "Fecha", *[named.get(c, F.lit(None).cast("double")).alias(c) for c in every])
+    full = with_percentiles(d)
+    count = d.groupBy("entity").agg(F.count("polar_sleep_duration_min").alias("_d"), F.count("polar_interruptions_long").alias("_i"))
+    enough = {"sleep_dur_p10": "_d", "sleep_dur_p90": "_d", "sleep_int_p90": "_i"}
+    return full.join(count, "entity").withColumns({c: F.when(F.col(n) >= HISTORY_LEAST, F.col(c)) for c, n in enough.items()}).select("entity", *schema.SLEEP)

@@ -68,14 +68,14 @@ def pauses(samples: DataFrame, keys: Sequence[str], speed: str, min_speed: float
     return samples.select(*keys).distinct().join(got, list(keys), "left").fillna(0, ["n_pauses", "total_s", "longest_s"])
 
 
-def continuity(samples: DataFrame, keys: Sequence[str], zone: Column) -> DataFrame:
-    """keys, zone, n_runs, longest_s, median_s and the seconds in runs of at least one, two and five minutes."""
+def continuity(samples: DataFrame, keys: Sequence[str], zone: Column, least: Sequence[int] = (60, 120, 300)) -> DataFrame:
+    """keys, zone, n_runs, longest_s, median_s and the seconds in runs of at least so many seconds each."""
     w = Window.partitionBy(*keys).orderBy("sec")
     s = samples.withColumn("zone", zone)
     s = s.withColumn("_g", F.sum(F.when(F.col("zone").eqNullSafe(F.lag("zone").over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = s.where("zone IS NOT NULL").groupBy(*keys, "zone", "_g").agg(F.count("*").alias("_n"))
     held = lambda n: F.coalesce(F.sum(F.when(F.col("_n") >= n, F.col("_n"))), F.lit(0)).alias(f"in_{n}s")
-    return r.groupBy(*keys, "zone").agg(F.count("*").alias("n_runs"), F.max("_n").alias("longest_s"), F.percentile("_n", 0.5).alias("median_s"), held(60), held(120), held(300))
+    return r.groupBy(*keys, "zone").agg(F.count("*").alias("n_runs"), F.max("_n").alias("longest_s"), F.percentile("_n", 0.5).alias("median_s"), *map(held, least))
 
 
 def splits(samples: DataFrame, keys: Sequence[str], speed: str, hr: str, moving_speed: float = 0.5, length_m: float = 1000.0, altitude: str | None = None) -> DataFrame:

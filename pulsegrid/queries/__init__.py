@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, beats, contracts, joins, rollups, scalars, series, tables, whole
+from . import aggregates, beats, composites, contracts, joins, rollups, scalars, series, tables, whole
 from .registry import ORACLES, QUERIES, flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "aggregates", "beats", "contracts", "joins", "rollups", "scalars", "series", "tables", "whole"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "aggregates", "beats", "composites", "contracts", "joins", "rollups", "scalars", "series", "tables", "whole"]

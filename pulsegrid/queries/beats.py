@@ -250,10 +250,10 @@ def x9(spark, sf_dir):
 
 @query("x10_continuity", f"""WITH {SAMPLES}, z AS (SELECT entity, sec, CASE WHEN hr <= 130 THEN 'z1' WHEN hr <= 160 THEN 'z2' ELSE 'z3' END AS zone FROM samples), l AS (SELECT *, CASE WHEN zone = lag(zone) OVER (PARTITION BY entity ORDER BY sec) THEN 0 ELSE 1 END AS n FROM z),
 g AS (SELECT *, sum(n) OVER (PARTITION BY entity ORDER BY sec) AS g FROM l), r AS (SELECT entity, zone, g, count(*) AS n FROM g GROUP BY ALL)
-SELECT entity, zone, count(*) AS n_runs, max(n) AS longest_s, median(n) AS median_s FROM r GROUP BY 1, 2""")
+SELECT entity, zone, count(*) AS n_runs, max(n) AS longest_s, median(n) AS median_s, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS in_2s, coalesce(sum(n) FILTER (n >= 3), 0)::BIGINT AS in_3s, coalesce(sum(n) FILTER (n >= 5), 0)::BIGINT AS in_5s FROM r GROUP BY 1, 2""")
 def x10(spark, sf_dir):
     zone = F.when(F.col("hr") <= 130, "z1").when(F.col("hr") <= 160, "z2").otherwise("z3")
-    return weekly.continuity(samples_of(spark, sf_dir), K, zone).select("entity", "zone", "n_runs", "longest_s", "median_s")
+    return weekly.continuity(samples_of(spark, sf_dir), K, zone, (2, 3, 5))
 
 
 @query("x8_climb", f"""WITH RECURSIVE {SAMPLES}, h AS (SELECT entity, median(z::DOUBLE) OVER (PARTITION BY entity ORDER BY sec ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS h, row_number() OVER (PARTITION BY entity ORDER BY sec) AS i FROM samples),

@@ -111,13 +111,13 @@ def k6(spark, sf_dir):
         at("$.counts.with_notes", "long").alias("with_notes"), at("$.params_hash", "string").alias("params_hash"), at("$.zones_source_dist.icu", "long").alias("icu"))
 
 
-@query("k8_context_payload", f"""WITH {SESSIONS}, {DAILY}, c1 AS (SELECT day, n_orders, quality FROM core WHERE entity = '1-URGENT'), s AS (SELECT session_id, entity, day FROM sessions)
-SELECT session_id, s.day, n_orders AS orders, quality, CASE WHEN n_orders IS NOT NULL THEN 1 ELSE 0 END AS has_core FROM s LEFT JOIN c1 ON c1.day = s.day""")
+@query("k8_context_payload", f"""WITH {SESSIONS}, {DAILY}, c1 AS (SELECT entity, day, n_orders, quality FROM core), s AS (SELECT session_id, grp AS entity, day FROM sessions)
+SELECT session_id, s.entity, s.day, n_orders AS orders, quality, CASE WHEN n_orders IS NOT NULL THEN 1 ELSE 0 END AS has_core FROM s LEFT JOIN c1 ON c1.entity = s.entity AND c1.day = s.day""")
 def k8(spark, sf_dir):
-    c = core(spark, sf_dir).where("entity = '1-URGENT'").select("day", "n_orders", "quality")
-    out = C.context_payload(sessions_of(spark, sf_dir).select("entity", "day", "session_id"), {"core": (c, ["n_orders", "quality"])}, ["day"])
+    c = core(spark, sf_dir).select("entity", "day", "n_orders", "quality")
+    out = C.context_payload(sessions_of(spark, sf_dir).select(F.col("grp").alias("entity"), "day", "session_id"), {"core": (c, ["n_orders", "quality"])}, ["entity", "day"])
     at = lambda path: F.get_json_object("context", path)
-    return out.select("session_id", "day", at("$.core.n_orders").cast("long").alias("orders"), at("$.core.quality").alias("quality"), at("$.core").isNotNull().cast("int").alias("has_core"))
+    return out.select("session_id", "entity", "day", at("$.core.n_orders").cast("long").alias("orders"), at("$.core.quality").alias("quality"), at("$.core").isNotNull().cast("int").alias("has_core"))
 
 
 @query("c24_attach_cost", f"""WITH {_O} SELECT a.k, b.k IS NOT NULL AS usable, CASE WHEN b.k IS NULL THEN 'session_not_found' END AS reason, CASE WHEN b.k IS NOT NULL THEN round(b.p / 1000, 3) END AS score FROM o a LEFT JOIN o b ON b.k = a.k AND b.k % 3 = 0""")
@@ -215,9 +215,13 @@ def s5(spark, sf_dir):
     return C.best_recording(o, ["c", "d"], "archived", "converted", "p", "k").select("c", "d", "k")
 
 
-@query("x9_splits_climb", f"""WITH RECURSIVE {SAMPLES}, h AS (SELECT *, z::DOUBLE AS alt, (sum(speed) OVER w - speed) AS d FROM samples WINDOW w AS (PARTITION BY entity ORDER BY sec)),
-s AS (SELECT *, floor(d / 1000)::BIGINT + 1 AS split FROM h) SELECT entity, split, count(*) AS seconds, count(*) - count(*) FILTER (speed >= 0.5) AS stopped_s, round(avg(hr), 6) AS hr_mean FROM s GROUP BY 1, 2""")
+@query("x9_splits_climb", f"""WITH RECURSIVE {SAMPLES}, d AS (SELECT *, (sum(speed) OVER w - speed) AS d FROM samples WINDOW w AS (PARTITION BY entity ORDER BY sec)),
+s AS (SELECT *, floor(d / 1000)::BIGINT + 1 AS split FROM d), h AS (SELECT entity, split, median(z::DOUBLE) OVER (PARTITION BY entity, split ORDER BY sec ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS h, row_number() OVER (PARTITION BY entity, split ORDER BY sec) AS i FROM s),
+f(entity, split, i, held, up, down) AS (SELECT entity, split, i, h, 0.0::DOUBLE, 0.0::DOUBLE FROM h WHERE i = 1 UNION ALL
+  SELECT h.entity, h.split, h.i, CASE WHEN abs(h - held) >= 0.5 THEN h ELSE held END, up + CASE WHEN h - held >= 0.5 THEN h - held ELSE 0 END, down + CASE WHEN held - h >= 0.5 THEN held - h ELSE 0 END FROM f JOIN h ON h.entity = f.entity AND h.split = f.split AND h.i = f.i + 1),
+g AS (SELECT entity, split, arg_max(up, i) AS gain_m, arg_max(down, i) AS loss_m FROM f GROUP BY 1, 2)
+SELECT entity, split, count(*) AS seconds, count(*) - count(*) FILTER (speed >= 0.5) AS stopped_s, round(avg(hr), 6) AS hr_mean, round(any_value(gain_m), 6) AS gain_m, round(any_value(loss_m), 6) AS loss_m FROM s JOIN g USING (entity, split) GROUP BY 1, 2""")
 def x9(spark, sf_dir):
     s = samples_of(spark, sf_dir).withColumn("alt", F.col("z").cast("double"))
     got = weekly.splits(s, ["entity"], "speed", "hr", altitude="alt")
-    return rounded(got.select("entity", "split", "seconds", (F.col("seconds") - F.col("moving_s")).alias("stopped_s"), "hr_mean"))
+    return rounded(got.select("entity", "split", "seconds", (F.col("seconds") - F.col("moving_s")).alias("stopped_s"), "hr_mean", "gain_m", "loss_m"))
