@@ -3,9 +3,10 @@
 The tokens of a page are its containers (div, nav, article, ... with their class, id and role), each told apart
 by the path of containers above it, and its blocks of text, told apart by path and text. A token's occurrence
 vector says how often each page of its host has it; tokens with equal vectors are an equivalence class, and the
-classes that at least half of a host's pages hold are its template, nested as their paths are. A block of text is
-of the template if its class has a container around it, so that it is wherever that container is, or if nearly
-all pages have it. Slots are what lies between template tokens; the best ones of each host
+classes that at least half of a host's pages hold are its template, nested as their paths are. A block of text repeats
+with the template if its class has a container around it, so that it is wherever that container is, or if nearly
+all pages have it. A container whose text is nothing else is template text as a whole; headings and phrases that repeat among
+text of a page's own stay, as they are part of it. Slots are what lies between template tokens; the best ones of each host
 are the main text: those of an article or main element, else those with the most text outside links. What a
 page holds there or anywhere below, less menus, forms and other boilerplate, is its text. Containers that few
 pages have are no template tokens; their text belongs to the template token they lie in.
@@ -44,8 +45,10 @@ ITEMS, PARAGRAPHS = frozenset("li dt dd".split()), frozenset("p h1 h2 h3 h4 h5 h
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer header masthead sidebar aside widget widgets cookie cookies consent notice notices alert popup modal overlay share sharing social "
-    "comment comments disqus respond reply replies related recommended newsletter subscribe subscription signup login search form complementary contentinfo".split())
-FILL = frozenset("list item items box bar area section block link links button buttons text title top bottom left right wrapper container site page main post entry article inner global primary secondary".split())
+    "comment comments disqus respond reply replies related recommended newsletter subscribe subscription signup login search form complementary contentinfo "
+    "advertorial adsense taboola outbrain".split())
+FILL = frozenset("list item items box bar area section block link links button buttons text title top bottom left right wrapper wrap container site page main post posts entry article articles story stories inner outer global primary secondary slot tool tools unit zone "
+    "placement panel module group row column label message icons feed more".split())
 
 #: Fixed value: elements whose contents are no markup and never text.
 SKIPPED = "script style template svg iframe".split()
@@ -295,8 +298,8 @@ def nested_order(containers: dict[int, dict]) -> Iterator[tuple[dict, bool]]:
             todo.extend((c, True) for c in inside.get(t["path"], []))
 
 
-def template_text(tokens: list[dict], pages: int) -> list[dict]:
-    """Which of a host's template tokens are template text: blocks in the equivalence class of a container
+def repeated_text(tokens: list[dict], pages: int) -> list[dict]:
+    """Which blocks of a host's template tokens repeat with it: those in the equivalence class of a container
     around them, and those that nearly all pages have."""
     if pages < FEWEST:
         return []
@@ -316,17 +319,32 @@ def template_text(tokens: list[dict], pages: int) -> list[dict]:
 def choose_slots(tokens: list[dict]) -> tuple[set[int], set[int], set[int]]:
     """The paths of main text, link lists and template text of a host's template tokens."""
     pages = max((t["support"] for t in tokens), default=0)
-    template = template_text(tokens, pages)
+    repeated = repeated_text(tokens, pages)
     containers = {t["path"]: t for t in tokens if not t["said"]}
-    less = {path: [0, 0] for path in containers}  # template text in it or below, which is no text of its own
-    for t in template:
-        for k, name in enumerate(("chars", "linked")):
-            if t["above"] in less:
-                less[t["above"]][k] += t[name]
-    for c, opens in nested_order(containers):
-        if not opens and c["path"] != _ROOT and c["above"] in less:
-            for k in range(2):
-                less[c["above"]][k] += less[c["path"]][k]
+
+    def within(blocks: list[dict]) -> dict[int, list[int]]:
+        """Characters, and of those the ones in links, of the blocks in each container or below."""
+        held = {path: [0, 0] for path in containers}
+        for t in blocks:
+            for k, name in enumerate(("chars", "linked")):
+                if t["above"] in held:
+                    held[t["above"]][k] += t[name]
+        for c, opens in nested_order(containers):
+            if not opens and c["path"] != _ROOT and c["above"] in held:
+                for k in range(2):
+                    held[c["above"]][k] += held[c["path"]][k]
+        return held
+
+    def whole(c: dict, chars: int) -> bool:
+        """Whether a container's text is template text: all of it inside an article, nearly all of it elsewhere."""
+        if c["main"]:
+            return containers.get(c["above"], {}).get("main") == 1 and chars == c["chars"] > 0
+        return c["path"] != _ROOT and 0 < c["chars"] * NEARLY[0] <= chars * NEARLY[1]
+
+    held = within(repeated)
+    only = {path for path, c in containers.items() if whole(c, held[path][0])}
+    template = [t for t in repeated if t["above"] in only]
+    less = within(template)  # template text is no text of its own
     at = {name: k for k, name in enumerate(SLOT)}
     rows = [[t[k] for k in SLOT] for t in containers.values()]
     for row in rows:

@@ -1,6 +1,7 @@
 """Small cases of the corpus operators against brute force, round trips and other libraries."""
 
 import base64
+import collections
 import random
 import re
 import zlib
@@ -261,17 +262,24 @@ def test_html_containers_that_few_pages_have(spark):
 
 
 def test_html_template_text(spark):
-    # on every page, in a container that most pages have, and in one with most text; "now and then" is no template text
+    # containers of text that all pages have go; phrases that repeat among a page's own text stay
     page = lambda i: (
         f"<body><div class='zz'><p>{'the same words on all pages ' * 20}</p></div><div class='yy'><p>Share this story</p><p>story {i} with words of its own</p>"
         + ("<section class='k'><p>Keep on reading</p></section>" if i % 4 else "") + ("<p>now and then</p>" if i % 3 == 0 else "") + "</div></body>")
-    own = lambda i: f"story {i} with words of its own" + ("\nnow and then" if i % 3 == 0 else "")
+    own = lambda i: f"Share this story\nstory {i} with words of its own" + ("\nnow and then" if i % 3 == 0 else "")
     assert main_texts(spark, [page(i) for i in range(12)]) == {i: own(i) for i in range(12)}
-    article = [f"<body><article><p>Share this story</p><p>story {i}</p></article></body>" for i in range(6)]
-    assert main_texts(spark, article) == {i: f"story {i}" for i in range(6)}
+    dishes = [f"<body><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>egg {i}</p><h2>Method</h2><p>Cook {i}</p><div class='k'><p>All rights</p></div></article></body>" for i in range(6)]
+    assert main_texts(spark, dishes) == {i: f"Dish {i}\nIngredients\negg {i}\nMethod\nCook {i}" for i in range(6)}
+    # the same without an article; a section whose text differs on one page has text of its own
+    plain = [d.replace("article", "div") for d in dishes]
+    assert main_texts(spark, plain) == {i: f"Dish {i}\nIngredients\negg {i}\nMethod\nCook {i}" for i in range(6)}
+    mixed = [f"<body><article><p>story {i}</p><section class='k'><p>Keep on reading</p>{'<p>but once</p>' if i == 3 else ''}</section></article></body>" for i in range(12)]
+    assert main_texts(spark, mixed) == {i: f"story {i}\nKeep on reading" + ("\nbut once" if i == 3 else "") for i in range(12)}
     # copies of one page keep their text, and two pages say nothing about a template
+    article = [f"<body><article><p>Share this story</p><p>story {i}</p></article></body>" for i in range(6)]
     assert set(main_texts(spark, article[:1] * 6).values()) == {"Share this story\nstory 0"}
-    assert main_texts(spark, article[:2])[1] == "Share this story\nstory 1"
+    assert set(main_texts(spark, dishes[:1] * 6).values()) == {"Dish 0\nIngredients\negg 0\nMethod\nCook 0"}
+    assert main_texts(spark, dishes[:2])[1] == "Dish 1\nIngredients\negg 1\nMethod\nCook 1\nAll rights"
 
 
 def test_html_marks():
@@ -281,6 +289,10 @@ def test_html_marks():
         assert own(f"<body><{around}><nav>short <a href='/'>home</a></nav><div><p>the text of this page</p></div></{around.split()[0]}></body>") == "the text of this page"
     page = "<article><p>one<ul class='menu'><li>x<ul><li>y</ul></li><li>z</ul><p>two<p class='notice'>n<p>three<ol class=\"comment-list\"><li>c<p>d</ol><ul><li>four</ul></article>"
     assert own(page) == "one\ntwo\nthree\nfour"
+    for name in ("ad-slot", "share-tools", "related-posts", "advertorial-wrap", "post-share-buttons", "newsletter-panel", "site-notice-bar"):
+        assert own(f"<article><p>one</p><div class='{name}'><p>not the text</p></div><p>two</p></article>") == "one\ntwo", name
+    for name in ("social-history", "related-work", "notice-period", "share-price", "search-results-explained"):
+        assert own(f"<article><p>one</p><div class='{name}'><p>the text</p></div></article>") == "one\nthe text", name
     assert own("<main><p>text</p></main><footer>a long line of the footer, more than the text</footer>") == "text"
     assert own("<article><p>text</p><div id='comments'><p>a comment that is longer than the text</p></div></article>") == "text"
     assert own("<title>only a title</title><p>t") == "t"
@@ -303,30 +315,37 @@ def test_html_template_equals_brute_force(spark):
     pages = []
     for i in range(30):
         parts = [f"<p>own text {i} {k}</p>" for k in range(r.randint(1, 4))] + [f"<p>{c}</p>" for c in common if r.random() < (0.95, 0.6, 1)[common.index(c)]]
-        aside = f"<div class='kk'><p>Box text</p><p>own {i}</p></div>" if i % 3 else ""
-        pages.append(f"<body><article>{''.join(parts)}{aside}</article></body>")
+        aside = f"<div class='kk'><p>Box text</p><p>own {i}</p></div><div class='kl'><p>Only box text</p><section class='km'><p>Deeper</p></section></div>" if i % 3 else ""
+        pages.append(f"<body><article>{''.join(parts)}{aside}<div class='kn'><p>{'Now' if r.random() < 0.7 else 'Then'}</p></div></article></body>")
     seen = [html_template.Page(p) for p in pages]
-    vectors = {}
+    vectors, tokens = {}, {}
     for i, page in enumerate(seen):
         for path, times, *_ in page.rows():
             vectors.setdefault(path, [0] * 30)[i] = times
-    want = {}
-    for i, page in enumerate(seen):
-        kept = []
+
+    def around(page, path):
+        while True:
+            yield path
+            if path == 0:
+                return
+            path = page.above[path]
+
+    for page in seen:
         for path, text, _ in page.blocks:
             token = vectors[html_template.spoken(path, text)]
-            around, at = [], path
-            while True:
-                around.append(vectors[at])
-                if at == 0:
-                    break
-                at = page.above[at]
             n = sum(t > 0 for t in token)
-            if not (n >= 15 and (token in around or n >= 27)):
-                kept.append(text)
-        want[i] = "\n".join(kept)
+            tokens[path, text] = n >= 15 and (token in [vectors[p] for p in around(page, path)] or n >= 27)
+    own = collections.Counter()
+    for page in seen:
+        for path, text, _ in page.blocks:
+            for p in around(page, path):
+                own[p] += 0 if tokens[path, text] else 1
+    top = {p for page in seen for p, v in page.paths.items() if v[4] and not page.paths[page.above[p]][4]}
+    want = {}
+    for i, page in enumerate(seen):
+        want[i] = "\n".join(text for path, text, _ in page.blocks if not tokens[path, text] or path in top or own[path])
     assert main_texts(spark, pages) == want
-    assert any("Box text" in p for p in pages) and not any("Box text" in t for t in want.values())
+    assert any("Only box text" in p for p in pages) and not any("Only box text" in t or "Deeper" in t for t in want.values()) and any("Box text" in t and "Share this" in t for t in want.values())
 
 
 def test_html_empty_table_and_extra_columns(spark):
