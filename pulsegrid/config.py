@@ -103,3 +103,19 @@ class DfaConfig:
     rmssd_s: int = 60
     rmssd_min_valid: float = 0.80
     rmssd_min_beats: int = 20
+
+
+@dataclass(frozen=True)
+class LevelConfig:
+    """The heart rate at which alpha is 0.75."""
+
+    target: float = 0.75
+    bin_bpm: float = 3.0
+    min_windows: int = 20
+    min_r2: float = 0.55
+    min_bins: int = 4
+    min_per_bin: int = 3
+    min_span: float = 0.15
+    near: float = 0.05
+    min_near: int = 6
+    min_side: int = 4

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BeatConfig, DfaConfig
+from ..config import BeatConfig, DfaConfig, LevelConfig
 from ..functions import stats
 from ..functions.rules import evidence, yes
 from ..operators import beats as B
 from ..operators import dfa as D
 from ..operators.joins import interpolate
+from ..sources.scratch import written
 
 KEY = ["entity", "session_id"]
 
@@ -61,6 +62,64 @@ def hr_at_level(windows: DataFrame, target: float = 0.75, bin_bpm: float = 3.0)
     return D.crossing(bins.withColumn("bin", F.col("bin") + bin_bpm / 2), KEY, "bin", "alpha", target)
 
 
+# Why there is no estimate, in the order in which it is looked at.
+NO_LEVEL = (
+    "too_few_dfa_windows_with_hr", "non_finite_hr_alpha1_correlation", "alpha1_does_not_decrease_with_hr", "weak_raw_hr_alpha1_relation_r2_", "too_few_hr_bins", "alpha1_too_flat_across_hr",
+    "binned_alpha1_not_monotonic_enough", "no_local_alpha1_075_bracketing_bins", "degenerate_local_crossing_bins", "non_finite_hr075", "too_few_raw_windows_near_075")
+NO_CROSSING = ("too_few_dfa_windows_with_hr", "insufficient_windows_bracketing_075", "no_crossing_found_in_hr_sorted_bins")
+
+
+def levels(windows: DataFrame, gates: DataFrame, cfg: LevelConfig = LevelConfig()) -> DataFrame:
+    """KEY and two estimates of the heart rate at which alpha meets the target, for each of gates (KEY, state).
+
+    strict: struct(rate, reason, r2, r, slope, n_bins), by the neighbouring bins of heart rate whose medians are nearest around
+    it, where alpha falls with heart rate clearly enough. approx: struct(rate, reason, n_crossings, confidence), the median of all crossings.
+    A reason other than ok says what is wanting, and the rate is null. Bins of one session are few, as heart rates are.
+    """
+    used = windows.where("usable AND alpha IS NOT NULL AND hr IS NOT NULL").select(*KEY, F.col("hr").cast("double").alias("hr"), "alpha")
+    a = F.col("alpha")
+    whole = used.groupBy(*KEY).agg(
+        F.count("*").alias("_n"), F.corr("hr", "alpha").alias("_r"), F.regr_slope("alpha", "hr").alias("_slope"), F.count_if(a.between(cfg.target - cfg.near, cfg.target + cfg.near)).alias("_near"),
+        F.count_if(a < cfg.target).alias("_below"), F.count_if(a > cfg.target).alias("_above"))
+    bins = used.groupBy(*KEY, F.floor(F.col("hr") / cfg.bin_bpm)).agg(F.percentile("hr", 0.5).alias("x"), F.percentile("alpha", 0.5).alias("y"), F.count("*").alias("n"))
+    bins = bins.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("_all"))
+    d = gates.join(whole, KEY, "left").join(bins, KEY, "left").withColumn("_some", F.filter("_all", lambda b: b["n"] >= cfg.min_per_bin))
+
+    def pairs(bins: str) -> Column:
+        side = lambda at: F.slice(bins, F.lit(at), F.greatest(F.size(bins) - 1, F.lit(0)))
+        return F.zip_with(side(1), side(2), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+
+    off = lambda y: y - cfg.target
+    at = lambda p: p["x1"] + (cfg.target - p["y1"]) * (p["x2"] - p["x1"]) / (p["y2"] - p["y1"])
+    d = d.withColumns({"_sp": pairs("_some"), "_ap": pairs("_all")})
+    hits = F.filter("_sp", lambda p: off(p["y1"]) * off(p["y2"]) <= 0)
+    best = F.array_min(F.transform(hits, lambda p: F.struct((F.abs(off(p["y1"])) + F.abs(off(p["y2"]))).alias("s"), p["x1"].alias("x1"), p["y1"].alias("y1"), p["x2"].alias("x2"), p["y2"].alias("y2"))))
+    crossings = F.transform(F.filter("_ap", lambda p: (p["y1"] != p["y2"]) & (off(p["y1"]) * off(p["y2"]) <= 0)), at)
+    y = F.transform("_some", lambda b: b["y"])
+    d = d.withColumns({
+        "_best": best, "_cross": crossings, "_r": F.when(~F.isnan("_r"), F.col("_r")), "_bins": F.coalesce(F.when(F.size("_some") >= 0, F.size("_some")), F.lit(0)), "_span": F.array_max(y) - F.array_min(y),
+        "_falls": F.size(F.filter("_sp", lambda p: p["y2"] < p["y1"]))})
+    r2, flat = F.pow("_r", 2), (F.col("_best.x1") == F.col("_best.x2")) | (F.col("_best.y1") == F.col("_best.y2"))
+    rate = F.when(~flat, at(F.col("_best")))
+    closed = F.concat(F.lit("dfa_gate_"), F.lower("state"))
+    few = F.coalesce(F.col("_n"), F.lit(0)) < cfg.min_windows
+    want = [few, F.col("_r").isNull(), F.col("_slope") >= 0, r2 < cfg.min_r2, F.col("_bins") < cfg.min_bins, F.col("_span") < cfg.min_span, F.col("_falls") < F.greatest(F.lit(1), F.col("_bins") - 2), F.col("_best").isNull(), flat, rate.isNull() | F.isnan(rate), F.col("_near") < cfg.min_near]
+    reason = F.when(F.col("state") != "DFA_OK", closed)
+    for cond, said in zip(want, NO_LEVEL):
+        reason = reason.when(yes(cond), F.concat(F.lit(said), F.format_string("%.2f", r2)) if said.endswith("_r2_") else F.lit(said))
+    reason = reason.otherwise("ok")
+    lacking = [few, (F.col("_below") < cfg.min_side) | (F.col("_above") < cfg.min_side), F.size("_cross") <= 0]
+    other = F.when(F.col("state") != "DFA_OK", closed)
+    for cond, said in zip(lacking, NO_CROSSING):
+        other = other.when(yes(cond), said)
+    other = other.otherwise("ok")
+    d = d.withColumns({"_why": reason, "_not": other})
+    ok, near = F.col("_why") == "ok", F.col("_not") == "ok"
+    strict = F.struct(F.when(ok, rate).alias("rate"), F.col("_why").alias("reason"), r2.alias("r2"), F.col("_r").alias("r"), F.col("_slope").alias("slope"), F.col("_bins").alias("n_bins"))
+    approx = F.struct(F.when(near, stats.median(F.sort_array("_cross"))).alias("rate"), F.col("_not").alias("reason"), F.when(near, F.size("_cross")).alias("n_crossings"), F.when(near, F.when(F.size("_cross") == 1, "approximate").otherwise("low")).alias("confidence"))
+    return d.select(*KEY, strict.alias("strict"), approx.alias("approx"))
+
+
 def alpha_by_zone(windows: DataFrame, low: float = 144, high: float = 161) -> DataFrame:
     """Medians of alpha up to low, above low up to high, and from high on; the upper edge counts in both."""
     ok, hr = yes(F.col("usable")) & F.col("hr").isNotNull(), F.col("hr")
@@ -97,16 +156,20 @@ def duration_check(beats_min, reference_min) -> Column:
     return F.struct(state.alias("state"), F.when(state != "UNKNOWN", stats.round_even(gap, 3)).alias("abs_diff_min"), F.when(state != "UNKNOWN", stats.round_even(gap / F.greatest(b, F.lit(1e-9)), 4)).alias("rel_diff"))
 
 
-def context(gate: Column, crossing_ok: Column, crossing_reason: Column, rmssd_ok: Column, alpha_z2: Column, alpha_z3: Column, duration: Column) -> Column:
-    """struct(modifier, evidence): whether the beats confirm, soften or question the session's reading."""
+def context(gate: Column, strict: Column, approx: Column, rmssd_ok: Column, alpha_z2: Column, alpha_z3: Column, duration: Column) -> Column:
+    """struct(modifier, evidence): whether the beats confirm, soften or question the session's reading. strict and approx are those of
+    levels(). The texts are fixed values."""
     good = gate["state"] == "DFA_OK"
+    found, near = yes(strict["reason"] == "ok"), yes(approx["reason"] == "ok")
     uphill = yes(alpha_z3 >= alpha_z2)
-    first = F.when(yes(crossing_ok), "confirm").otherwise("soften")
+    first = F.when(found, "confirm").otherwise("soften")
     second = F.when(uphill, "question").otherwise(first)
     third = F.when(duration["state"] == "MISMATCH", "question").when((duration["state"] == "WARN") & (second == "confirm"), "soften").otherwise(second)
+    missing = F.coalesce(strict["reason"], F.lit(""))
     said = evidence(
         F.concat(F.lit("dfa_gate = "), gate["state"]), F.when(~good, F.when(yes(rmssd_ok), "rmssd_1min usable").otherwise("rmssd_1min no usable")),
-        F.when(good & yes(crossing_ok), "HR@0.75 usable"), F.when(good & ~yes(crossing_ok), F.concat(F.lit("HR@0.75 no usable: "), F.coalesce(crossing_reason, F.lit("")))),
+        F.when(good & found, "HR@0.75 usable"), F.when(good & ~found & near, F.concat(F.lit("HR@0.75 no usable (strict): "), missing)),
+        F.when(good & ~found & near, F.format_string("HR@0.75 crossing approx: %.1f lpm (confidence=%s)", approx["rate"], approx["confidence"])), F.when(good & ~found & ~near, F.concat(F.lit("HR@0.75 no usable: "), missing)),
         F.when(good & alpha_z2.isNotNull(), F.format_string("alpha1_med_z2_hr = %.3f", alpha_z2)), F.when(good & alpha_z3.isNotNull(), F.format_string("alpha1_med_z3_hr = %.3f", alpha_z3)),
         F.when(good & uphill, "gradiente alpha1 por zonas no coherente"),
         F.when(good & (duration["state"] == "WARN"), F.concat(F.lit("coherencia temporal RR-sesion en advertencia: diff "), duration["abs_diff_min"].cast("string"), F.lit(" min"))),
@@ -144,26 +207,31 @@ def time_windows(beats: DataFrame, seconds: int = 120, step: int = 5, min_beats:
     return held.join(a, [*KEY, "window"], "left").withColumn("start_sec", (F.col("window") * step).cast("double"))
 
 
-def analyse(raw: DataFrame, hr: DataFrame, sessions: DataFrame, beat: BeatConfig = BeatConfig(), cfg: DfaConfig = DfaConfig(), low: float = 144, high: float = 161, cost: DataFrame | None = None, cost_columns: tuple[str, ...] = ()) -> DataFrame:
+def analyse(raw: DataFrame, hr: DataFrame, sessions: DataFrame, beat: BeatConfig = BeatConfig(), cfg: DfaConfig = DfaConfig(), low: float = 144, high: float = 161, cost: DataFrame | None = None, cost_columns: tuple[str, ...] = (), level: LevelConfig = LevelConfig()) -> DataFrame:
     """One row for each of sessions (entity, session_id, duration_min, dominant): windows, exponents by zone, gate,
     context, note and, where cost is given, its columns; a session without beats is unavailable.
 
-    raw: entity, session_id, beat_idx, duration_ms, offline. hr: entity, session_id, sec, hr."""
-    b = layers(raw, beat, cfg)
-    w = dfa_windows(b, hr, cfg)
+    raw: entity, session_id, beat_idx, duration_ms, offline. hr: entity, session_id, sec, hr. A beat whose duration is missing
+    shifts all after it, so the time axis of its session is not trusted: a good gate is limited, and what is read by heart rate at a
+    time is left out. Beats and windows are written once, as several figures are taken of each.
+    """
+    b = written(layers(raw, beat, cfg))
+    w = written(dfa_windows(b, hr, cfg))
+    axis = raw.groupBy(*KEY).agg((F.count_if(stats.missing_to_null("duration_ms").isNull()) == 0).alias("axis_ok"))
     whole = b.groupBy(*KEY).agg((F.max("t_end") / 60).alias("beats_min"), F.avg(F.col("strict").cast("int")).alias("strict_share"))
     rmssd = B.tumbling_rmssd(b, KEY, cfg).groupBy(*KEY).agg(F.max("usable").alias("rmssd_ok"))
     cover = w.groupBy(*KEY).agg(F.avg(F.col("hr").isNotNull().cast("int")).alias("coverage"))
-    level = hr_at_level(w).select(*KEY, "rate_at_target")
+    trusted = w.join(axis, KEY).withColumn("hr", F.when(F.col("axis_ok"), F.col("hr"))).drop("axis_ok")
     d = sessions
-    for part in (whole, rmssd, D.alpha_summary(w, KEY), cover, alpha_by_zone(w, low, high), level):
+    for part in (axis, whole, rmssd, D.alpha_summary(w, KEY), cover, alpha_by_zone(trusted, low, high)):
         d = d.join(part, KEY, "left")
     gate = dfa_gate(F.col("strict_share"), F.col("coverage"), F.col("coverage") > 0, F.col("n_usable"))
-    d = d.withColumns({"gate": gate, "duration": duration_check("beats_min", "duration_min")})
-    said = context(F.col("gate"), F.col("rate_at_target").isNotNull(), F.lit("no_crossing"), F.col("rmssd_ok"), F.col("alpha_z2"), F.col("alpha_z3"), F.col("duration"))
-    d = d.withColumn("context", said)
+    d = d.withColumns({"gate": time_axis_gate(gate, F.coalesce("axis_ok", F.lit(True))), "duration": duration_check("beats_min", "duration_min")})
+    d = d.join(levels(trusted, d.select(*KEY, F.col("gate.state").alias("state")), level), KEY, "left")
+    d = d.withColumn("context", context(F.col("gate"), F.col("strict"), F.col("approx"), F.col("rmssd_ok"), F.col("alpha_z2"), F.col("alpha_z3"), F.col("duration")))
     d = d.select(
-        *KEY, "n", "n_usable", F.col("median").alias("alpha_median"), "alpha_z1", "alpha_z2", "alpha_z3", F.col("rate_at_target").alias("hr_at_level"), F.col("gate.state").alias("gate"), F.col("gate.reason").alias("gate_reason"),
+        *KEY, "n", "n_usable", F.col("median").alias("alpha_median"), "alpha_z1", "alpha_z2", "alpha_z3", F.coalesce("axis_ok", F.lit(True)).alias("axis_ok"), F.col("strict.rate").alias("hr_at_level"), F.col("strict.reason").alias("level_reason"),
+        F.col("approx.rate").alias("hr_at_crossing"), F.col("approx.confidence").alias("crossing_confidence"), F.col("gate.state").alias("gate"), F.col("gate.reason").alias("gate_reason"),
         F.col("duration.state").alias("duration_state"), F.col("context.modifier").alias("modifier"), F.col("context.evidence").alias("evidence"), final_note("dominant", F.col("context.modifier")).alias("note"))
     if cost is not None:
         from .contracts import attach_cost

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig, SessionConfig
+from ..config import AuditConfig, BeatConfig, DfaConfig, GateConfig, LevelConfig, SessionConfig
 from ..plans import analysis, final, sessions, sleep
 from ..plans import audit as A
 from ..plans import core as C
@@ -221,19 +221,52 @@ def c10(spark, sf_dir):
     return rounded(analysis.dfa_windows(analysis.layers(b, BeatConfig(), _DFA), samples_of(spark, sf_dir).select("entity", "session_id", "sec", "hr"), _DFA))
 
 
-@query("c10_session_analysis", f"""WITH RECURSIVE {_DFA_SQL}, st AS (SELECT entity, max(t_end) / 60 AS mins, avg(strict::INTEGER) AS share FROM gr GROUP BY 1),
+_LEVEL = LevelConfig(min_windows=8, min_r2=0.02, min_bins=2, min_per_bin=1, min_span=0.05, near=0.2, min_near=2, min_side=1)
+
+
+def _bad_beat(entity: str, at: str) -> str:
+    """Every fifth recording lacks the duration of one beat, an offline one or not."""
+    return f"({entity} % 5 = 4 AND {at} = 40)"
+
+
+# the beats of the analysis: those whose duration is missing are left out of the axis
+_BEATS_TOLD = BEATS.replace("FROM events WHERE value IS NOT NULL),\ntimed", f"FROM events WHERE value IS NOT NULL),\nbroken AS (SELECT * FROM beats WHERE {_bad_beat('entity', 'beat_idx')}),\ntimed", 1)
+_TOLD_SQL = _DFA_SQL.replace(BEATS, _BEATS_TOLD, 1)
+
+
+@query("c10_session_analysis", f"""WITH RECURSIVE {_TOLD_SQL}, st AS (SELECT entity, max(t_end) / 60 AS mins, avg(strict::INTEGER) AS share FROM gr GROUP BY 1),
 tk AS (SELECT *, greatest(ceil(t_end / 60) - 1, 0) AS k FROM acc), tw AS (SELECT entity, k, count(*) AS n, count(*) FILTER (accepted) AS c FROM tk GROUP BY 1, 2), ro AS (SELECT entity, bool_or(c >= 20 AND c / n >= 0.8) AS ok FROM tw GROUP BY 1),
-su AS (SELECT entity, count(*) AS n, count(alpha) FILTER (usable) AS nu, median(alpha) FILTER (usable) AS med, avg((hr IS NOT NULL)::INTEGER) AS cover, median(alpha) FILTER (usable AND hr <= 120) AS z1, median(alpha) FILTER (usable AND hr > 120 AND hr <= 150) AS z2, median(alpha) FILTER (usable AND hr >= 150) AS z3 FROM dw GROUP BY 1),
-se AS (SELECT entity, count(*) / 60.0 AS dur FROM samples GROUP BY 1), jo AS (SELECT se.entity, dur, mins, share, ok, n, nu, med, cover, z1, z2, z3, abs(mins - dur) AS gap FROM se LEFT JOIN st USING (entity) LEFT JOIN ro USING (entity) LEFT JOIN su USING (entity))
-SELECT entity, 's1' AS session_id, n, nu AS n_usable, round(med, 6) AS alpha_median, round(z1, 6) AS alpha_z1, round(z2, 6) AS alpha_z2, round(z3, 6) AS alpha_z3,
-  CASE WHEN NOT coalesce(nu >= 10, false) THEN 'DFA_NO_INTERPRETABLE' WHEN share >= 0.9 AND (NOT coalesce(cover > 0, false) OR cover >= 0.8) THEN 'DFA_OK' WHEN share >= 0.75 THEN 'DFA_LIMITED' ELSE 'DFA_NO_INTERPRETABLE' END AS gate,
-  CASE WHEN NOT coalesce(mins > 0 AND dur IS NOT NULL, false) THEN 'UNKNOWN' WHEN gap > greatest(8.0, dur * 0.12) THEN 'MISMATCH' WHEN gap > greatest(3.0, dur * 0.05) THEN 'WARN' ELSE 'OK' END AS duration_state FROM jo""")
+tr AS (SELECT dw.* REPLACE (CASE WHEN dw.entity IN (SELECT entity FROM broken) THEN NULL ELSE hr END AS hr) FROM dw), cv AS (SELECT entity, avg((hr IS NOT NULL)::INTEGER) AS cover FROM dw GROUP BY 1),
+su AS (SELECT entity, count(*) AS n, count(alpha) FILTER (usable) AS nu, median(alpha) FILTER (usable) AS med, median(alpha) FILTER (usable AND hr <= 120) AS z1, median(alpha) FILTER (usable AND hr > 120 AND hr <= 150) AS z2, median(alpha) FILTER (usable AND hr >= 150) AS z3 FROM tr GROUP BY 1),
+se AS (SELECT entity, count(*) / 60.0 AS dur FROM samples GROUP BY 1), jo AS (SELECT se.entity, dur, mins, share, ok, n, nu, med, cover, z1, z2, z3, abs(mins - dur) AS gap, se.entity NOT IN (SELECT entity FROM broken) AS axis_ok FROM se LEFT JOIN st USING (entity) LEFT JOIN ro USING (entity) LEFT JOIN su USING (entity) LEFT JOIN cv USING (entity)),
+ga AS (SELECT *, CASE WHEN NOT coalesce(nu >= 10, false) THEN 'DFA_NO_INTERPRETABLE' WHEN share >= 0.9 AND (NOT coalesce(cover > 0, false) OR cover >= 0.8) THEN CASE WHEN axis_ok THEN 'DFA_OK' ELSE 'DFA_LIMITED' END WHEN share >= 0.75 THEN 'DFA_LIMITED' ELSE 'DFA_NO_INTERPRETABLE' END AS gate,
+  CASE WHEN NOT coalesce(mins > 0 AND dur IS NOT NULL, false) THEN 'UNKNOWN' WHEN gap > greatest(8.0, dur * 0.12) THEN 'MISMATCH' WHEN gap > greatest(3.0, dur * 0.05) THEN 'WARN' ELSE 'OK' END AS ds FROM jo),
+u AS (SELECT entity, hr, alpha FROM tr WHERE usable AND alpha IS NOT NULL AND hr IS NOT NULL),
+ag AS (SELECT entity, count(*) AS un, corr(hr, alpha) AS r, regr_slope(alpha, hr) AS sl, count(*) FILTER (alpha BETWEEN 0.55 AND 0.95) AS near, count(*) FILTER (alpha < 0.75) AS below, count(*) FILTER (alpha > 0.75) AS above FROM u GROUP BY 1),
+bi AS (SELECT entity, median(hr) AS x, median(alpha) AS y FROM u GROUP BY entity, floor(hr / 3)), bl AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM bi WINDOW w AS (PARTITION BY entity ORDER BY x)),
+bg AS (SELECT entity, count(*) AS nb, max(y) - min(y) AS span, count(*) FILTER (y2 < y) AS falls FROM bl GROUP BY 1), hi AS (SELECT *, abs(y - 0.75) + abs(y2 - 0.75) AS s, x + (0.75 - y) * (x2 - x) / (y2 - y) AS pt FROM bl WHERE (y - 0.75) * (y2 - 0.75) <= 0 AND y <> y2),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s, x) AS i FROM hi) WHERE i = 1), cr AS (SELECT entity, median(pt) AS pt, count(*) AS nc FROM hi GROUP BY 1),
+le AS (SELECT ga.*, be.pt AS rate, cr.pt AS crs, nc, r, CASE WHEN gate <> 'DFA_OK' THEN 'dfa_gate_' || lower(gate) WHEN coalesce(un, 0) < 8 THEN 'too_few_dfa_windows_with_hr' WHEN r IS NULL OR isnan(r) THEN 'non_finite_hr_alpha1_correlation' WHEN sl >= 0 THEN 'alpha1_does_not_decrease_with_hr'
+    WHEN r * r < 0.02 THEN 'weak_raw_hr_alpha1_relation_r2_' || printf('%.2f', r * r) WHEN nb < 2 THEN 'too_few_hr_bins' WHEN span < 0.05 THEN 'alpha1_too_flat_across_hr' WHEN falls < greatest(1, nb - 2) THEN 'binned_alpha1_not_monotonic_enough' WHEN be.pt IS NULL THEN 'no_local_alpha1_075_bracketing_bins'
+    WHEN near < 2 THEN 'too_few_raw_windows_near_075' ELSE 'ok' END AS why, CASE WHEN gate <> 'DFA_OK' OR coalesce(un, 0) < 8 OR below < 1 OR above < 1 OR cr.pt IS NULL THEN NULL WHEN nc = 1 THEN 'approximate' ELSE 'low' END AS conf
+  FROM ga LEFT JOIN ag USING (entity) LEFT JOIN bg USING (entity) LEFT JOIN be USING (entity) LEFT JOIN cr USING (entity)),
+mo AS (SELECT *, CASE WHEN gate <> 'DFA_OK' THEN CASE WHEN coalesce(ok, false) THEN 'soften' ELSE 'unavailable' END WHEN ds = 'MISMATCH' OR coalesce(z3 >= z2, false) THEN 'question' WHEN why = 'ok' AND ds <> 'WARN' THEN 'confirm' ELSE 'soften' END AS modifier FROM le)
+SELECT entity, 's1' AS session_id, n, nu AS n_usable, round(med, 6) AS alpha_median, round(z1, 6) AS alpha_z1, round(z2, 6) AS alpha_z2, round(z3, 6) AS alpha_z3, axis_ok, gate, ds AS duration_state,
+  CASE WHEN why = 'ok' THEN round(rate, 4) END AS hr_at_level, why AS level_reason, CASE WHEN conf IS NOT NULL THEN round(crs, 4) END AS hr_at_crossing, conf AS crossing_confidence, modifier,
+  array_to_string(list_filter(CASE WHEN gate <> 'DFA_OK' THEN ['dfa_gate = ' || gate, CASE WHEN coalesce(ok, false) THEN 'rmssd_1min usable' ELSE 'rmssd_1min no usable' END]
+    ELSE ['dfa_gate = DFA_OK', CASE WHEN why = 'ok' THEN 'HR@0.75 usable' WHEN conf IS NOT NULL THEN 'HR@0.75 no usable (strict): ' || why ELSE 'HR@0.75 no usable: ' || why END, CASE WHEN why <> 'ok' AND conf IS NOT NULL THEN printf('HR@0.75 crossing approx: %.1f lpm (confidence=%s)', crs, conf) END,
+      CASE WHEN z2 IS NOT NULL THEN printf('alpha1_med_z2_hr = %.3f', z2) END, CASE WHEN z3 IS NOT NULL THEN printf('alpha1_med_z3_hr = %.3f', z3) END, CASE WHEN z3 >= z2 THEN 'gradiente alpha1 por zonas no coherente' END,
+      CASE ds WHEN 'WARN' THEN 'coherencia temporal RR-sesion en advertencia: diff ' || round_even(gap, 3) || ' min' WHEN 'MISMATCH' THEN 'coherencia temporal RR-sesion no valida: diff ' || round_even(gap, 3) || ' min' END] END, lambda x: x IS NOT NULL), ' / ') AS evidence,
+  'Sessions sugiere `cardio' || CASE modifier WHEN 'confirm' THEN '` y RR lo confirma' WHEN 'soften' THEN '`; RR anade contexto pero con prudencia' WHEN 'question' THEN '`, pero RR cuestiona la lectura fina' ELSE '`; RR no fue interpretable' END AS note FROM mo""")
 def c10_whole(spark, sf_dir):
     b = beats_of(spark, sf_dir).withColumn("session_id", F.lit("s1")).drop("day")
+    # a beat without a duration, as an input may have it, behind one that is there
+    broken = b.where(_bad_beat("entity", "beat_idx")).withColumns({"beat_idx": F.col("beat_idx") + 10**9, "duration_ms": F.lit(None).cast("double")})
     s = samples_of(spark, sf_dir)
     whole = s.groupBy("entity", "session_id").agg((F.count("*") / 60).alias("duration_min"), F.lit("cardio").alias("dominant"))
-    got = analysis.analyse(b, s.select("entity", "session_id", "sec", "hr"), whole, BeatConfig(), _DFA, 120, 150)
-    return rounded(got.select("entity", "session_id", "n", "n_usable", "alpha_median", "alpha_z1", "alpha_z2", "alpha_z3", "gate", "duration_state"))
+    got = analysis.analyse(b.unionByName(broken), s.select("entity", "session_id", "sec", "hr"), whole, BeatConfig(), _DFA, 120, 150, level=_LEVEL)
+    got = got.withColumns({"evidence": F.array_join("evidence", " / "), "hr_at_level": F.round("hr_at_level", 4), "hr_at_crossing": F.round("hr_at_crossing", 4)})
+    return rounded(got.drop("gate_reason"))
 
 
 @query("x11_time_windows", f"""WITH RECURSIVE {BEATS}, {ACCEPTED}, acc AS (SELECT b.entity, b.beat_idx, b.duration_ms, b.t_end, f.reason = '' AS ok FROM filtered b JOIN f ON f.entity = b.entity AND f.beat_idx = b.beat_idx),

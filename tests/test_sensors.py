@@ -92,3 +92,40 @@ def test_older_sleep_exports(spark):
     first, other, few = got["e", "2024-01-01"], got["e", "2024-01-02"], got["few", "2024-01-01"]
     assert first.polar_sleep_duration_min is None and other.polar_sleep_duration_min == 450 and other.polar_sleep_score == 82 and other.polar_efficiency_pct == 2.0
     assert other.sleep_dur_p10 == 450 and other.sleep_int_p90 is None and few.sleep_dur_p10 is None and few.polar_sleep_duration_min == 480
+
+
+def test_why_there_is_no_heart_rate_at_the_level(spark):
+    from pulsegrid.config import LevelConfig
+    from pulsegrid.plans import analysis
+
+    r = random.Random(4)
+    line = lambda slope, noise, n=60: [(120 + i % 20 * 2.0, 0.75 - slope * (120 + i % 20 * 2.0 - 140) + r.uniform(-noise, noise)) for i in range(n)]
+    cases = {
+        "ok": line(0.02, 0.01), "few": line(0.02, 0.01, 10), "constant": [(140.0, 0.7 + i % 5 / 10) for i in range(30)], "rising": line(-0.02, 0.01), "weak": line(0.002, 0.5), "bins": [(120.0 + i % 3 * 3, 1 - i % 3 * 0.2) for i in range(30)],
+        "flat": line(0.002, 0.001), "above": [(h, a + 0.5) for h, a in line(0.02, 0.01)], "gate": line(0.02, 0.01), "none": []}
+    rows = [("e", name, h, a, True) for name, own in cases.items() for h, a in own] + [("e", "ok", None, 0.1, True), ("e", "ok", 90.0, 9.0, False)]
+    windows = spark.createDataFrame(rows, "entity string, session_id string, hr double, alpha double, usable boolean")
+    gates = spark.createDataFrame([("e", name, "DFA_LIMITED" if name == "gate" else "DFA_OK") for name in cases], "entity string, session_id string, state string")
+    got = {x.session_id: x for x in analysis.levels(windows, gates, LevelConfig()).collect()}
+    want = {"ok": "ok", "few": "too_few_dfa_windows_with_hr", "constant": "non_finite_hr_alpha1_correlation", "rising": "alpha1_does_not_decrease_with_hr", "bins": "too_few_hr_bins", "flat": "alpha1_too_flat_across_hr",
+            "above": "no_local_alpha1_075_bracketing_bins", "gate": "dfa_gate_dfa_limited", "none": "too_few_dfa_windows_with_hr"}
+    assert {k: got[k].strict.reason for k in want} == want
+    assert got["weak"].strict.reason.startswith("weak_raw_hr_alpha1_relation_r2_0.")
+    assert got["ok"].strict.rate == pytest.approx(140, abs=1.5) and got["ok"].strict.r2 > 0.9 and got["ok"].strict.slope < 0
+    assert got["ok"].approx.confidence in ("approximate", "low") and got["ok"].approx.rate == pytest.approx(140, abs=2)
+    assert got["above"].approx.reason == "insufficient_windows_bracketing_075" and got["few"].strict.rate is None and got["gate"].approx.rate is None
+
+
+def test_a_missing_duration_makes_the_time_axis_untrusted(spark):
+    from pulsegrid.plans import analysis
+
+    beats = [("e", s, i, 800.0 + (i * 7919 % 13), False) for s in ("good", "bad") for i in range(1, 1500)] + [("e", "bad", 1500, None, False)]
+    hr = [("e", s, t, 100.0 + t % 60) for s in ("good", "bad") for t in range(1300)]
+    sessions_ = [("e", s, 20.0, "cardio") for s in ("good", "bad", "none")]
+    got = {x.session_id: x for x in analysis.analyse(
+        spark.createDataFrame(beats, "entity string, session_id string, beat_idx long, duration_ms double, offline boolean"), spark.createDataFrame(hr, "entity string, session_id string, sec long, hr double"),
+        spark.createDataFrame(sessions_, "entity string, session_id string, duration_min double, dominant string")).collect()}
+    assert got["good"].axis_ok and got["good"].gate == "DFA_OK" and got["good"].alpha_z1 is not None
+    assert not got["bad"].axis_ok and got["bad"].gate == "DFA_LIMITED" and got["bad"].gate_reason.startswith("time_axis_compromised") and got["bad"].alpha_z1 is None
+    assert got["bad"].evidence == ["dfa_gate = DFA_LIMITED", "rmssd_1min usable"] and got["bad"].modifier == "soften" and got["bad"].alpha_median == got["good"].alpha_median
+    assert got["none"].modifier == "unavailable" and got["none"].note == "Sessions sugiere `cardio`; RR no fue interpretable"
