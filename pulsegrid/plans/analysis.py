@@ -79,7 +79,7 @@ def levels(windows: DataFrame, gates: DataFrame, cfg: LevelConfig = LevelConfig(
     used = windows.where("usable AND alpha IS NOT NULL AND hr IS NOT NULL").select(*KEY, F.col("hr").cast("double").alias("hr"), "alpha")
     a = F.col("alpha")
     whole = used.groupBy(*KEY).agg(
-        F.count("*").alias("_n"), F.corr("hr", "alpha").alias("_r"), F.regr_slope("alpha", "hr").alias("_slope"), F.count_if(a.between(cfg.target - cfg.near, cfg.target + cfg.near)).alias("_near"),
+        F.count("*").alias("_n"), F.covar_pop("hr", "alpha").alias("_c"), (F.stddev_pop("hr") * F.stddev_pop("alpha")).alias("_s"), F.regr_slope("alpha", "hr").alias("_slope"), F.count_if(a.between(cfg.target - cfg.near, cfg.target + cfg.near)).alias("_near"),
         F.count_if(a < cfg.target).alias("_below"), F.count_if(a > cfg.target).alias("_above"))
     bins = used.groupBy(*KEY, F.floor(F.col("hr") / cfg.bin_bpm)).agg(F.percentile("hr", 0.5).alias("x"), F.percentile("alpha", 0.5).alias("y"), F.count("*").alias("n"))
     bins = bins.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("_all"))
@@ -97,7 +97,7 @@ def levels(windows: DataFrame, gates: DataFrame, cfg: LevelConfig = LevelConfig(
     crossings = F.transform(F.filter("_ap", lambda p: (p["y1"] != p["y2"]) & (off(p["y1"]) * off(p["y2"]) <= 0)), at)
     y = F.transform("_some", lambda b: b["y"])
     d = d.withColumns({
-        "_best": best, "_cross": crossings, "_r": F.when(~F.isnan("_r"), F.col("_r")), "_bins": F.coalesce(F.when(F.size("_some") >= 0, F.size("_some")), F.lit(0)), "_span": F.array_max(y) - F.array_min(y),
+        "_best": best, "_cross": crossings, "_r": F.when(F.col("_s") > 0, F.col("_c") / F.col("_s")), "_bins": F.coalesce(F.when(F.size("_some") >= 0, F.size("_some")), F.lit(0)), "_span": F.array_max(y) - F.array_min(y),
         "_falls": F.size(F.filter("_sp", lambda p: p["y2"] < p["y1"]))})
     r2, flat = F.pow("_r", 2), (F.col("_best.x1") == F.col("_best.x2")) | (F.col("_best.y1") == F.col("_best.y2"))
     rate = F.when(~flat, at(F.col("_best")))
