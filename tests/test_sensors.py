@@ -101,7 +101,7 @@ def test_why_there_is_no_heart_rate_at_the_level(spark):
     r = random.Random(4)
     line = lambda slope, noise, n=60: [(120 + i % 20 * 2.0, 0.75 - slope * (120 + i % 20 * 2.0 - 140) + r.uniform(-noise, noise)) for i in range(n)]
     cases = {
-        "ok": line(0.02, 0.01), "few": line(0.02, 0.01, 10), "constant": [(140.0, 0.7 + i % 5 / 10) for i in range(30)], "rising": line(-0.02, 0.01), "weak": line(0.002, 0.5), "bins": [(120.0 + i % 3 * 3, 1 - i % 3 * 0.2) for i in range(30)],
+        "ok": line(0.02, 0.01), "few": line(0.02, 0.01, 10), "constant": [(140.0, 0.7 + i % 5 / 10) for i in range(30)], "rising": line(-0.02, 0.01), "weak": line(0.006, 0.25), "bins": [(120.0 + i % 3 * 3, 1 - i % 3 * 0.2) for i in range(30)],
         "flat": line(0.002, 0.001), "above": [(h, a + 0.5) for h, a in line(0.02, 0.01)], "gate": line(0.02, 0.01), "none": []}
     rows = [("e", name, h, a, True) for name, own in cases.items() for h, a in own] + [("e", "ok", None, 0.1, True), ("e", "ok", 90.0, 9.0, False)]
     windows = spark.createDataFrame(rows, "entity string, session_id string, hr double, alpha double, usable boolean")
