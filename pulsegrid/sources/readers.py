@@ -59,11 +59,13 @@ def packets(spark: SparkSession, path: str, fields: list[str], least: int) -> Da
     return each.join(enough, "rec")
 
 
-def activities(spark: SparkSession, path: str, entity: str = "file") -> DataFrame:
-    """entity and activity fields of JSON files: lists, or objects that hold one under a usual name."""
+def activities(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
+    """entity and activity fields of JSON files: lists, or objects that hold one under a usual name. The entity is the folder
+    a file lies in, if none is given."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     body = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in ("activities", "data", "results", "items")], F.when(F.trim("value").startswith("["), F.col("value")), F.concat(F.lit("["), "value", F.lit("]")))
-    return raw.select(F.lit(entity).alias("entity"), F.inline(F.from_json(body, f"array<struct<{', '.join(':'.join(p.split(' ', 1)) for p in _fields())}>>")))
+    whose = parent_folder(F.col("_metadata.file_path")) if entity is None else F.lit(entity)
+    return raw.select(whose.alias("entity"), F.inline(F.from_json(body, f"array<struct<{', '.join(':'.join(p.split(' ', 1)) for p in _fields())}>>")))
 
 
 def _fields() -> list[str]:
@@ -81,7 +83,7 @@ def _fields() -> list[str]:
 def signals(raw: DataFrame, keys: list[str], streams: str, names: list[str]) -> DataFrame:
     """keys, sec and a column for each named signal from array<struct<type, data:array<double>>>; shorter signals end
     in nulls."""
-    one = lambda n: F.coalesce(F.filter(streams, lambda s: s["type"] == n)[0]["data"], F.array().cast("array<double>"))
+    one = lambda n: F.coalesce(F.get(F.filter(streams, lambda s: s["type"] == n), F.lit(0))["data"], F.array().cast("array<double>"))
     zipped = F.arrays_zip(*[one(n).alias(n) for n in names])
     return raw.select(*keys, F.posexplode(zipped).alias("sec", "_z")).select(*keys, "sec", *[F.col("_z")[n].alias(n) for n in names])
 
