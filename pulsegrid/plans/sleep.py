@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import parse
+from ..functions import parse, stats
 from ..operators.joins import same_or_previous
 from ..operators.upsert import in_contract, replace_keys
 
@@ -36,11 +36,6 @@ def _plain(key: str) -> str:
     return key.strip().lower().replace("-", "_")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _members(text: Column) -> Column:
     """array<struct<k,v,t>>: an object's or array's members in the document's order, with plain keys, values as text, and what
     those are that look as if they held others. A variant tells values apart but sorts an object's keys, so the order comes from the text."""
@@ -49,7 +44,7 @@ def _members(text: Column) -> Column:
     def told(members: Column, kinds: Column, value: Callable, key: Callable) -> Column:
         plain = lambda m, t: F.struct(key(m).alias("k"), value(m).alias("v"), t.alias("t"))
         kind = lambda x: F.substring(F.schema_of_variant(x), 1, 5)
-        return _let(members, lambda own: F.when(F.exists(own, lambda m: holds(value(m))), F.zip_with(own, kinds, lambda m, x: plain(m, kind(x)))).otherwise(F.transform(own, lambda m: plain(m, F.lit("")))))
+        return stats.let(members, lambda own: F.when(F.exists(own, lambda m: holds(value(m))), F.zip_with(own, kinds, lambda m, x: plain(m, kind(x)))).otherwise(F.transform(own, lambda m: plain(m, F.lit("")))))
 
     of_object = told(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), lambda m: m["value"], lambda m: F.translate(F.lower(F.trim(m["key"])), "-", "_"))
     of_array = told(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda m: m, lambda m: F.lit(None).cast("string"))
@@ -78,20 +73,20 @@ def first_values(doc, names: list[str]) -> Column:
         def opened(own: Column) -> Column:
             todo = F.concat(below, F.transform(F.filter(own, lambda e: e["t"].isin("OBJEC", "ARRAY")), lambda e: e["v"])).alias("todo")
             found = lambda some: F.when(F.size(some) > 0, F.struct(todo, *[F.coalesce(s[n], F.get(F.filter(some, wanted(n)), F.lit(0))["v"]).alias(n) for n in names])).otherwise(F.struct(todo, *[s[n].alias(n) for n in names]))
-            return _let(F.filter(own, lambda e: F.coalesce(e["k"].isin(every), F.lit(False))), found)
+            return stats.let(F.filter(own, lambda e: F.coalesce(e["k"].isin(every), F.lit(False))), found)
 
-        return F.when(F.size(s["todo"]) == 0, s).otherwise(_let(_members(F.element_at(s["todo"], -1)), opened))
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(stats.let(_members(F.element_at(s["todo"], -1)), opened))
 
     # as many steps as there are objects and arrays, at most
     steps = F.length(doc) - F.length(F.translate(doc, "{[", ""))
     start = F.struct(F.array(doc).alias("todo"), *[F.lit(None).cast("string").alias(n) for n in names])
     walk = F.aggregate(F.when(doc.startswith("{"), F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step)
-    return _let(walk, lambda s: F.struct(*[s[n].alias(n) for n in names]))
+    return stats.let(walk, lambda s: F.struct(*[s[n].alias(n) for n in names]))
 
 
 def _named(text: Column, spellings: list[str]) -> Column:
     """The first member of an object that is there under one of the spellings, as they are."""
-    return _let(F.from_json(F.when(F.trim(text).startswith("{"), text), "map<string,string>"), lambda m: F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in spellings]))
+    return stats.let(F.from_json(F.when(F.trim(text).startswith("{"), text), "map<string,string>"), lambda m: F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in spellings]))
 
 
 def interruptions(doc: Column, found: Column) -> Column:
@@ -101,13 +96,13 @@ def interruptions(doc: Column, found: Column) -> Column:
 
     def is_long(item: Column) -> Column:
         by = lambda s: F.coalesce(F.lower(s["item_kind"]).contains("long"), F.lit(False)) | F.coalesce(parse.minutes(s["item_duration"]) >= 5, F.lit(False))
-        return _let(first_values(item["v"], ["item_kind", "item_duration"]), by)
+        return stats.let(first_values(item["v"], ["item_kind", "item_duration"]), by)
 
     items = F.filter(_members(F.when(told.startswith("["), told)), lambda e: e["t"] == "OBJEC")
-    counts = _let(F.struct(told.alias("told"), items.alias("items")), lambda x: F.struct(
+    counts = stats.let(F.struct(told.alias("told"), items.alias("items")), lambda x: F.struct(
         F.coalesce(parse.number(_named(x["told"], LONG_COUNT)), F.when(F.size(x["items"]) > 0, F.size(F.filter(x["items"], is_long)).cast("double"))).alias("long"),
         F.coalesce(parse.number(_named(x["told"], TOTAL_COUNT)), F.when(F.size(x["items"]) > 0, F.size(x["items"]).cast("double"))).alias("total")))
-    return _let(counts, lambda c: F.struct(F.coalesce(c["long"], parse.number(found["long"])).alias("long"), F.coalesce(c["total"], parse.number(found["total"])).alias("total")))
+    return stats.let(counts, lambda c: F.struct(F.coalesce(c["long"], parse.number(found["long"])).alias("long"), F.coalesce(c["total"], parse.number(found["total"])).alias("total")))
 
 
 def fields(raw: DataFrame) -> DataFrame:
