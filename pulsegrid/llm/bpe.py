@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_column
+
 #: Fixed value: the pattern that splits text before merges, as published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -254,27 +256,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _append(docs: DataFrame, out: str, kind: pa.DataType, ddl: str, values) -> DataFrame:
-    """docs with one more column: values maps an iterator of Arrow batches to one of lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column(out, pa.array(values(batch), kind))
-
-    docs = docs.drop(out)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kept, f"`{out}` {ddl}"]))
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with the ids of its text column as array<int>. Null and empty texts give an empty array;
     a column that is already called `out` is replaced, all others stay."""
-    return _append(docs, out, pa.list_(pa.int32()), "array<int>", lambda batch: list(codec(ranks_path).encode(batch.column(text).to_pylist())))
+    return append_column(docs, text, out, pa.list_(pa.int32()), "array<int>", lambda: lambda texts: list(codec(ranks_path).encode(texts)))
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes of its id column as binary; null ids give null."""
-    return _append(docs, out, pa.binary(), "binary", lambda batch: [None if x is None else codec(ranks_path).decode(x) for x in batch.column(ids).to_pylist()])
+    return append_column(docs, ids, out, pa.binary(), "binary", lambda: lambda rows: [None if x is None else codec(ranks_path).decode(x) for x in rows])
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -33,10 +36,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of a name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def set_aside(docs: DataFrame, **own: Column) -> DataFrame:
     """doc_id (long), text and the given columns, with all else that docs has in one struct, _row: whatever its
     columns are called, none can clash with those that an operator adds. taken_back() undoes it."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = [quoted(c) for c in docs.columns if c != "text"]
     return docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[v.alias(k) for k, v in own.items()])
 
 
@@ -45,6 +53,21 @@ def taken_back(columns: list[str], **instead: Column) -> list[Column]:
     return [(instead[c] if c in instead else F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in columns]
 
 
+def append_column(docs: DataFrame, source: str, out: str, kind: pa.DataType, ddl: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """docs with one more column made of `source` by an Arrow map; one that is already called `out` is replaced. All else
+    travels in one struct, so names may be odd. make() is called once a task and maps lists of values."""
+    docs = docs.drop(out)
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), quoted(source).alias("_in"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(values(batch.column("_in").to_pylist()), kind)], ["_row", "_out"])
+
+    got = own.mapInArrow(run, StructType([own.schema["_row"], StructField("_out", DataType.fromDDL(ddl))]))
+    return got.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.col("_out").alias(out))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it back.
 

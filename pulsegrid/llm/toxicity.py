@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, words
+from .common import append_column, discard, fresh, materialize, words
 
 #: Bound of the fit: labelled documents of a class.
 SAMPLE = 3000
@@ -306,17 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFrame:
     """docs with `out`, 0 to 1, of each whole text; null texts are scored as empty ones, and all are 0 without
     a model. A column of that name is replaced; rows and other columns stay."""
-    docs = docs.drop(out)
     if model is None:
-        return docs.withColumn(out, F.lit(0.0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.scorer()
-        for batch in batches:
-            yield batch.append_column(out, pa.array(own(batch.column("text").to_pylist()), pa.float64()))
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kept, f"`{out}` double"]))
+        return docs.drop(out).withColumn(out, F.lit(0.0))
+    return append_column(docs, "text", out, pa.float64(), "double", model.scorer)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def test_merge_tree_and_forest_agree():
 
 
 def test_bpe_columns_nulls_and_clashes(spark):
-    df = spark.createDataFrame([(1, "hello world", "x"), (None, None, "y"), (2, "", None)], "doc_id long, text string, token_ids string")
+    df = spark.createDataFrame([(1, "hello world", "x"), (None, None, "y"), (2, "", None)], "doc_id long, text string, token_ids string").withColumn("odd`name", F.struct(F.lit(1).alias("a b")))
     out = bpe.decode_documents(bpe.encode_documents(df, RANKS), RANKS).collect()
     assert sorted((r.decoded.decode(), len(r.token_ids)) for r in out) == [("", 0), ("", 0), ("hello world", 2)]
     rows = bpe.round_trip(df, RANKS).collect()

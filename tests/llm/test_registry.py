@@ -42,7 +42,7 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     own = lambda d: " ".join(f"o{d}x{j}" for j in range(120))
     rows = [(i, f"own text {i} " + " ".join(f"{'vileword' if i % 3 == 0 else 'quiet'} x{i}y{j}" for j in range(12)), "en", "a", 0, i) for i in range(60)]
     rows += [(100, None, None, None, None, 1), (101, "", "en", "a", 0, 2), (102, block + "\n" + own(102), "en", "a", 0, 3), (103, own(103) + "\n" + block, "en", "a", 0, 4), (104, words + " " + own(104), "en", "a", 0, 5), (105, own(105) + " " + words, "en", "a", 0, 6), (105, own(105) + " " + words, "en", "a", 0, 6), (None, "no id", "en", "a", 0, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, starts int").withColumn("_row", F.lit(1)).withColumn("toxicity", F.lit("t"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, starts int").withColumn("_row", F.lit(1)).withColumn("toxicity", F.lit("t")).withColumn("odd`name", F.struct(F.lit(1).alias("a b")))
     spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
