@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import line_dedup, ngram_join, packing, substrings, toxicity
-from pulsegrid.llm.common import checkpoint_dir, table
+from pulsegrid.llm.common import checkpoint_dir, remove, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +50,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents; what each stage returns is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for documents; what each stage returns is written as Parquet and read again, and removed once
+    the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{base}/{i}-{name}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
