@@ -178,6 +178,7 @@ def context(gate: Column, strict: Column, approx: Column, rmssd_ok: Column, alph
 
 
 def final_note(dominant, modifier) -> Column:
+    """The session's reading in a sentence; the texts are fixed values."""
     d, m = stats.col(dominant), stats.col(modifier)
     text = lambda tail: F.concat(F.lit("Sessions sugiere `"), d, F.lit(tail))
     return (

@@ -1,4 +1,7 @@
-"""Session cost: scores of cardiovascular and mechanical cost by thresholds, with the evidence for them."""
+"""Session cost: scores of cardiovascular and mechanical cost by thresholds, with the evidence for them.
+
+Thresholds and texts are fixed values.
+"""
 
 from __future__ import annotations
 

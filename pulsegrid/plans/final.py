@@ -1,6 +1,6 @@
 """Daily decision table: smoothed signals against calendar baselines, shadows, persistence, actions and reasons.
 
-Everything is partitioned by entity and ordered by day, so one exchange serves all windows.
+Everything is partitioned by entity and ordered by day, so one exchange serves all windows. Actions and reasons are fixed texts.
 """
 
 from __future__ import annotations
