@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, clustering, collocations, embedding_dedup, html_template, line_dedup, ngram_join, packing, simhash, substrings, topk, toxicity
-from .common import table
+from .common import materialize, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return simhash.near_counts(materialize(simhash.edited_fingerprints(table(spark, sf_dir, "documents"))))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

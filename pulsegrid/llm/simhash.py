@@ -7,7 +7,8 @@ summed at a time, which keeps a lane below 2^15; chunks then add up unpacked, so
 
 `near` finds all pairs of fingerprints within a Hamming radius r from permuted block tables: 128 bits are cut
 into BLOCKS blocks, and two fingerprints that differ in at most r bits agree on BLOCKS - r blocks at least, so
-there is a table for each choice of that many blocks, keyed by their bits.
+there is a table for each choice of that many blocks, keyed by their bits. The query counts by it the near
+documents of every document whose id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, words
+from .common import materialize, shuffle_partitions, words
 
 BITS, CHUNK, BLOCKS, RADIUS = 128, 4000, 8, 6
 LANES = 0x0001000100010001
+#: Fingerprints of one key and table from which on they are dealt to cells.
+BUCKET = 1024
 
 
 def weight(word: Column) -> Column:
@@ -132,21 +135,55 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tables(df: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """_hi, _lo of each distinct fingerprint with _table and _key, once for each choice of blocks."""
+    width = BITS // blocks
+    mask = (1 << width) - 1
+    part = lambda i: F.shiftrightunsigned("_hi" if i < blocks // 2 else "_lo", width * (blocks // 2 - 1 - i % (blocks // 2))).bitwiseAND(F.lit(mask))
+    keys = F.array(*[F.xxhash64(*map(part, c)) for c in combinations(range(blocks), blocks - radius)])
+    own = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+    return own.select(_half(F.col("fingerprint"), 0).alias("_hi"), _half(F.col("fingerprint"), 1).alias("_lo")).select("_hi", "_lo", F.posexplode(keys).alias("_table", "_key"))
+
+
 def near(found: DataFrame, queries: DataFrame | None = None, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (fingerprint, near_fingerprint, distance) of distinct fingerprints within the radius: all unordered
     pairs of `found`, or those of a stated query set against all of `found`.
 
-    Radius is less than `blocks`, and blocks divide 128. Equal fingerprints are one; null ones take no part.
+    Radius is less than `blocks`, which is 4, 8 or 16. Equal fingerprints are one; null ones take no part.
+
+    Fingerprints that share no key with a query are left out before anything is paired. A key that more than BUCKET
+    of the others have is dealt to cells of about that many, which its queries are sent to, so a large group of near
+    copies is no task's alone. A pair that several tables find is given by the first of them.
     """
-    width = BITS // blocks // 4
-    choices = list(combinations(range(blocks), blocks - radius))
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        part = lambda i: F.substring("fingerprint", i * width + 1, width)
-        keys = F.array(*[F.concat(*[part(i) for i in c]) for c in choices])
-        return df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct().select(F.col("fingerprint").alias(name), F.posexplode(keys).alias("_table", "_key"))
-
-    a, b = tables(found if queries is None else queries, "fingerprint"), tables(found, "near_fingerprint")
-    apart = F.col("fingerprint") < F.col("near_fingerprint") if queries is None else F.col("fingerprint") != F.col("near_fingerprint")
-    pairs = a.join(b, ["_table", "_key"]).where(apart).withColumn("distance", distance(F.col("fingerprint"), F.col("near_fingerprint")))
-    return pairs.where(F.col("distance") <= radius).select("fingerprint", "near_fingerprint", "distance").distinct()
+    width, need = BITS // blocks, blocks - radius
+    asked, key = _tables(found if queries is None else queries, radius, blocks), ["_table", "_key"]
+    met = _tables(found, radius, blocks)
+    if queries is not None:
+        met = met.join(asked.select(*key), key, "left_semi")
+    met = materialize(met)
+    cells = met.groupBy(*key).agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_cells"))
+    dealt = met.join(cells.where("_cells > 1"), key, "left").withColumn("_cell", F.coalesce(F.pmod(F.xxhash64("_hi", "_lo"), F.col("_cells")), F.lit(0)).cast("int"))
+    sent = asked.join(cells, key).select(*key, F.col("_hi").alias("_qhi"), F.col("_lo").alias("_qlo"), F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_cell"))
+    high, low = F.col("_hi").bitwiseXOR(F.col("_qhi")), F.col("_lo").bitwiseXOR(F.col("_qlo"))
+    whole = lambda a, b: F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
+    pairs = sent.join(dealt.drop("_cells"), [*key, "_cell"]).withColumn("distance", F.bit_count(high) + F.bit_count(low)).where(F.col("distance").between(1, radius))
+    agree = [F.shiftrightunsigned(x, width * i).bitwiseAND(F.lit((1 << width) - 1)) == 0 for x in (high, low) for i in reversed(range(blocks // 2))]
+    first = F.slice(F.filter(F.array(*[F.when(a, F.lit(i)) for i, a in enumerate(agree)]), F.isnotnull), 1, need)
+    choice = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(blocks), need)]), F.col("_table") + 1)
+    pairs = pairs.where(first == choice).select(whole("_qhi", "_qlo").alias("fingerprint"), whole("_hi", "_lo").alias("near_fingerprint"), "distance")
+    return pairs if queries is not None else pairs.where("fingerprint < near_fingerprint")
+
+
+def near_counts(found: DataFrame, every: int = 20, radius: int = RADIUS) -> DataFrame:
+    """found with n_near: for rows whose doc_id is divisible by `every`, the number of other rows whose fingerprint is
+    within the radius, equal ones among them; null for the others. found has doc_id and fingerprint, and is read often."""
+    asked = (F.col("doc_id") % every == 0) & F.col("fingerprint").isNotNull()
+    queries = found.where(asked).select("fingerprint")
+    times = found.groupBy("fingerprint").agg(F.count("*").alias("_times"))
+    links = near(found, queries, radius).join(times.withColumnRenamed("fingerprint", "near_fingerprint"), "near_fingerprint")
+    links = links.groupBy("fingerprint").agg(F.sum("_times").alias("_links"))
+    counted = times.join(queries.distinct(), "fingerprint").join(links, "fingerprint", "left")
+    counted = counted.select("fingerprint", (F.col("_times") - 1 + F.coalesce("_links", F.lit(0))).alias("n_near"))
+    wanted = F.when(asked, F.col("fingerprint"))  # rows that ask nothing meet nothing
+    own = found.withColumn("_asked", wanted).join(counted.withColumnRenamed("fingerprint", "_asked"), "_asked", "left")
+    return own.select(*found.columns, "n_near")

@@ -526,6 +526,32 @@ def test_near_fingerprints_equal_brute_force(spark):
     assert got == {(a, b, d(a, b)) for a in all_ for b in all_ if a < b and d(a, b) <= 6}
 
 
+@pytest.mark.parametrize("blocks, radius", [(8, 6), (8, 3), (4, 3)])
+def test_near_of_a_hot_key_equals_brute_force(spark, monkeypatch, blocks, radius):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    r = random.Random(9)
+    base = r.getrandbits(128) | 1 << 127
+    # a third of all share 96 bits, so that one key of each table is hot
+    all_ = {f"{base ^ r.getrandbits(5) ^ r.getrandbits(2) << 20:032x}" for _ in range(400)} | {f"{r.getrandbits(128):032x}" for _ in range(200)} | {"0" * 32, "f" * 32}
+    asked = sorted(all_)[::7] + ["0" * 31 + "1", None]
+    df, queries = (spark.createDataFrame([(x,) for x in xs], "fingerprint string") for xs in ([*all_, *sorted(all_)[:9], None], asked))
+    found = [(a.fingerprint, a.near_fingerprint, a.distance) for a in simhash.near(df, queries, radius, blocks).collect()]
+    d = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = {(a, b, d(a, b)) for a in asked if a for b in all_ if a != b and d(a, b) <= radius}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
+
+
+def test_near_counts_equal_brute_force(spark):
+    r = random.Random(10)
+    base = [r.getrandbits(128) for _ in range(40)]
+    rows = [(i, f"{r.choice(base) ^ sum(1 << k for k in r.sample(range(128), r.choice((0, 0, 1, 3, 4)))):032x}", "x") for i in range(600)] + [(None, f"{base[0]:032x}", "y"), (20, f"{base[1]:032x}", "z"), (40, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string, _cells string")
+    d = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = sorted(((i, f, c, sum(d(f, g) <= 6 for _, g, _ in rows if g) - 1 if i is not None and i % 20 == 0 and f else None) for i, f, c in rows), key=str)
+    assert sorted(map(tuple, simhash.near_counts(df).collect()), key=str) == want
+    assert simhash.near_counts(df.limit(0)).count() == 0
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------------
 
 
