@@ -1,9 +1,10 @@
 """Line dedup by content-defined line chunks, with DataFrame functions only.
 
 A text is a list of lines. A rolling hash over the hashes of two neighbouring lines ends a chunk where it is
-divisible by SPREAD, so chunks have SPREAD lines on average, and lines that are put in or taken out upstream
-shift no later boundary. A chunk of two lines or more that occurs more than once in the corpus keeps its first
-place, by (doc_id, line); elsewhere its lines go, but only after the bytes have been compared.
+divisible by SPREAD, unless a chunk of one line would come of it, and lines that are put in or taken out upstream
+shift no later boundary but the next. A chunk that occurs more than once in the corpus keeps its first
+place, by (doc_id, line); elsewhere its lines go, but only after the bytes have been compared. A text of one line
+has no chunk.
 
 Chunk hashes, not texts, are what is counted. Texts move twice: to their repeated chunks, and to the verdicts.
 Counts are summed before the shuffle, and the joins on a chunk's hash are plain equi-joins between shuffled
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, set_aside, taken_back
 
-SPREAD, BASE, MODULUS = 4, 1_000_003, 2_147_483_647
-#: Where chunks are two lines at least: SPREAD counts boundaries before those that follow another are skipped.
-PAIRED_SPREAD = 2
+#: SPREAD counts boundaries before those that follow another are skipped.
+SPREAD, BASE, MODULUS = 2, 1_000_003, 2_147_483_647
 
 
 def lines(text: Column) -> Column:
@@ -32,20 +32,18 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunk_starts(ls: str, hs: str, paired: bool = False, spread: int = SPREAD) -> Column:
+def chunk_starts(ls: str, hs: str) -> Column:
     """Indexes, from 1, of the lines of column ls that start a chunk; hs holds their hashes.
 
-    Paired: no chunk of a text of two lines or more is a single line, as a boundary right behind another or
+    No chunk of a text of two lines or more is a single line, as a boundary right behind another or
     before the last line is none. That looks at no line but the four around it.
     """
     before = lambda i: F.element_at(hs, i)
     rolled = lambda i: F.pmod(F.pmod(before(i - 2) * BASE, F.lit(MODULUS)) + before(i - 1), F.lit(MODULUS))
-    ends = lambda i: F.when(i == 1, F.lit(True)).when(i == 2, F.lit(False)).otherwise(rolled(i) % spread == 0)
-    if paired:
-        # i - 1 is 2 at least where ends(i - 1) matters
-        apart = lambda i: (i == 1) | (ends(i) & (i < F.size(ls)) & ((i == 3) | ~ends(F.greatest(i - 1, F.lit(1)))))
-        return F.filter(F.sequence(F.lit(1), F.size(ls)), apart)
-    return F.filter(F.sequence(F.lit(1), F.size(ls)), ends)
+    ends = lambda i: F.when(i == 1, F.lit(True)).when(i == 2, F.lit(False)).otherwise(rolled(i) % SPREAD == 0)
+    # i - 1 is 2 at least where ends(i - 1) matters
+    apart = lambda i: (i == 1) | (ends(i) & (i < F.size(ls)) & ((i == 3) | ~ends(F.greatest(i - 1, F.lit(1)))))
+    return F.filter(F.sequence(F.lit(1), F.size(ls)), apart)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -64,10 +62,10 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def chunks(docs: DataFrame, paired: bool = False) -> DataFrame:
+def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, _key, _start (line, from 1), _n (lines), _hash of every chunk of two lines or more."""
     own = keyed(docs).where(F.size("_ls") > 1)
-    own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs", paired, PAIRED_SPREAD if paired else SPREAD))
+    own = own.withColumn("_hs", F.transform("_ls", line_hash)).withColumn("_at", chunk_starts("_ls", "_hs"))
     own = own.withColumn("_end", F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_ls") + 1)))
     # digests are taken before chunks become rows, so that no row holds more than its own chunk's
     place = lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"), digest(said(s, e - s)).alias("h"))
@@ -75,9 +73,9 @@ def chunks(docs: DataFrame, paired: bool = False) -> DataFrame:
     return each.select("doc_id", "_key", F.col("_c.s").alias("_start"), F.col("_c.n").alias("_n"), F.col("_c.h").alias("_hash"))
 
 
-def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, _key and _gone, array of (start, n): the lines that go from each document that loses any."""
-    found = chunks(docs, paired)
+    found = chunks(docs)
     counted = found.groupBy("_hash").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_key", "_start")).alias("_first")).where("_times > 1").drop("_times")
     counted = materialize(counted)
     places = found.join(counted, "_hash").withColumn("_own", F.struct("doc_id", "_key", "_start").eqNullSafe(F.col("_first")))
@@ -91,9 +89,9 @@ def repeated_lines(docs: DataFrame, paired: bool = False) -> DataFrame:
     return again.groupBy("doc_id", "_key").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("_gone"))
 
 
-def _left(docs: DataFrame, paired: bool) -> DataFrame:
+def _left(docs: DataFrame) -> DataFrame:
     """set_aside(docs) with text less its repeated chunks, n_lines and n_removed."""
-    gone = repeated_lines(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), paired)
+    gone = repeated_lines(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
     own = set_aside(docs, _key=F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "_key"], "left").withColumn("_ls", lines(F.col("text")))
     # what lies before, between and behind the chunks that go; they don't overlap
     ends = F.concat(F.array(F.struct(F.lit(1).alias("start"), F.lit(0).alias("n"))), F.array_sort("_gone"))
@@ -106,18 +104,16 @@ def _left(docs: DataFrame, paired: bool) -> DataFrame:
         F.size("_ls").cast("long").alias("n_lines"), F.when(changed, removed).otherwise(F.lit(0)).cast("long").alias("n_removed"))
 
 
-def dedup_lines(docs: DataFrame, paired: bool = False, length: str | None = None) -> DataFrame:
-    """docs with text less its repeated chunks.
-
-    Paired: chunks of two lines at least (chunk_starts), which finds more; else the rule of ORACLE. A column
-    `length` is set to the code points of those texts that lose lines.
+def dedup_lines(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """docs with text less its repeated chunks. A column `length` is set to the code points of those texts that lose
+    lines.
 
     Rows keep their other columns, whatever these are called. Texts that lose nothing, null ones among them, stay
     as they are; one that loses all is empty. Rows with a null doc_id take no part and stay. Rows that share a
     doc_id and a text are one document: what it keeps, each of them keeps. Texts that share a doc_id only are
     documents of their own.
     """
-    kept = _left(docs, paired)
+    kept = _left(docs)
     kind = docs.schema[length].dataType if length else None
     instead = {length: F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("_row").getField(length))} if length else {}
     return kept.select(*taken_back(docs.columns, **instead))
@@ -126,7 +122,7 @@ def dedup_lines(docs: DataFrame, paired: bool = False, length: str | None = None
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and kept_sha256 of each document's kept text (null: empty)."""
     kept = F.coalesce("text", F.lit(""))
-    return _left(docs.select("doc_id", "text"), False).select(
+    return _left(docs.select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
@@ -135,10 +131,12 @@ WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FR
 line AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM split),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM line),
 rolled AS (
-  SELECT *, CASE WHEN i = 1 THEN 1 WHEN i = 2 THEN 0
-    WHEN (((lag(h, 2) OVER w * {BASE}) % {MODULUS} + lag(h, 1) OVER w) % {MODULUS}) % {SPREAD} = 0 THEN 1 ELSE 0 END AS starts
+  SELECT *, i > 2 AND (((lag(h, 2) OVER w * {BASE}) % {MODULUS} + lag(h, 1) OVER w) % {MODULUS}) % {SPREAD} = 0 AS ends
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM rolled),
+), apart AS (
+  SELECT *, CASE WHEN i = 1 OR ends AND NOT lag(ends) OVER w AND lead(i) OVER w IS NOT NULL THEN 1 ELSE 0 END AS starts
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM apart),
 chunk AS (SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS bytes FROM numbered GROUP BY doc_id, c),
 verdict AS (SELECT doc_id, c, n > 1 AND row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) > 1 AS gone FROM chunk WHERE n > 1),
 kept AS (SELECT a.doc_id, a.line, a.i, coalesce(v.gone, false) AS gone FROM numbered a LEFT JOIN verdict v ON a.doc_id = v.doc_id AND a.c = v.c),
