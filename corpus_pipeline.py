@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line chunks that repeat are taken out of texts; n_chars follows. All documents stay."""
-    return line_dedup.dedup_lines(docs, paired=True, length="n_chars")
+    return line_dedup.dedup_lines(docs, length="n_chars")
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
