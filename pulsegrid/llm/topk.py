@@ -8,14 +8,16 @@ otherwise only vectors shorter than s / |q| are skipped. What is left is verifie
 
 The work is a grid: slots of about QUERIES queries meet lanes of LANE buckets that are neighbours in the order
 of length. Before anything is copied, every query is scored against the bucket of the longest vectors, which
-gives it a first threshold, and a slot meets only the lanes whose longest vector can reach the threshold of one
-of its queries. A cell holds one slot and one lane whatever the table's size, keeps k rows for each of its
+gives it a first threshold and a reach, the length that a vector needs to matter to it. Queries are put into slots in the order of
+their reach, so one that needs short vectors opens their lanes for its own slot alone, and a slot meets only the lanes whose
+longest vector comes up to its least reach. A cell holds one slot and one lane whatever the table's size, keeps k rows for each of its
 queries, and the k best of those over all lanes are the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import discard, materialize, shuffle_partitions
 
 BUCKET, LANE, QUERIES = 1024, 16, 1024
 #: Local cosine thresholds from here on use coordinate pruning.
@@ -51,30 +53,31 @@ def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 PACKED = "ids binary, width int, vectors binary, longest double, part int, place int"
 
 
-def _pack(size: int):
+ASKED = "ids binary, width int, vectors binary, known binary, floor double, part int, place int"
+
+
+def _pack(size: int, asked: bool = False):
     """Rows in their order to PACKED blocks of at most `size`: ids, vectors as bytes, the greatest length, and the
-    block's place in its partition."""
+    block's place in its partition. Asked: to ASKED blocks, with each query's known score and their least reach."""
 
-    def block(ids: list[int], rows: list[np.ndarray], place: int) -> dict:
+    def block(ids: list[int], rows: list[np.ndarray], known: list[int], reach: list[float], place: int) -> dict:
         m = np.zeros((len(rows), max(map(len, rows))), np.int64)
         for i, r in enumerate(rows):
             m[i, : len(r)] = r
-        longest = float(_lengths(m).max())
-        return {"ids": np.array(ids, np.int64).tobytes(), "width": m.shape[1], "vectors": m.tobytes(), "longest": longest, "part": TaskContext.get().partitionId(), "place": place}
+        own = {"known": np.array(known, np.int64).tobytes(), "floor": min(reach)} if asked else {"longest": float(_lengths(m).max())}
+        return {"ids": np.array(ids, np.int64).tobytes(), "width": m.shape[1], "vectors": m.tobytes(), **own, "part": TaskContext.get().partitionId(), "place": place}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        rows: list[np.ndarray] = []
+        held: list[tuple] = []
         place = 0
         for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"]):
-                ids.append(i)
-                rows.append(v)
-                if len(ids) == size:
-                    yield pd.DataFrame([block(ids, rows, place)])
-                    ids, rows, place = [], [], place + 1
-        if ids:
-            yield pd.DataFrame([block(ids, rows, place)])
+            for row in zip(batch["vec_id"], batch["v"], batch["known"] if asked else repeat(0), batch["reach"] if asked else repeat(0.0)):
+                held.append(row)
+                if len(held) == size:
+                    yield pd.DataFrame([block(*map(list, zip(*held)), place)])
+                    held, place = [], place + 1
+        if held:
+            yield pd.DataFrame([block(*map(list, zip(*held)), place)])
 
     return run
 
@@ -186,30 +189,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     by_norm = vectors.withColumn("_n", norm2).repartitionByRange(parts, F.desc("_n"), "vec_id").sortWithinPartitions(F.desc("_n"), "vec_id")
     buckets = materialize(by_norm.select("vec_id", "v").mapInPandas(_pack(BUCKET), PACKED))
     seed = buckets.orderBy(F.desc("longest"), "ids").first()  # BUCKET vectors at most
-    asked = queries.select("vec_id", "v").distinct().repartitionByRange(parts, "vec_id").select("vec_id", "v").mapInPandas(_pack(QUERIES), PACKED)
     first = None if seed is None else _matrix(seed)
 
     def sow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known, floors = [], []
-            for ids, q in map(_matrix, batch.to_dict("records")):
+            for at in range(0, len(batch), QUERIES):
+                part = batch.iloc[at : at + QUERIES]
+                ids, q = _matrix(next(_pack(len(part))(iter([part]))).iloc[0])
                 best, norms = _Best(len(ids), k), _lengths(q)
                 if first is not None:
                     width = max(q.shape[1], first[1].shape[1])
                     search_bucket(_widen(q, width), ids, norms, _widen(first[1], width), first[0], best)
-                known.append(best.threshold().tobytes())
                 with np.errstate(divide="ignore", invalid="ignore"):
                     reach = np.where(best.threshold() > 0, best.threshold() / norms, -1.0)
-                floors.append(float(reach.min()))
-            yield batch.drop(columns=["longest", "part", "place"]).assign(known=known, floor=floors)
-
-    blocks = materialize(asked.mapInPandas(sow, "ids binary, width int, vectors binary, known binary, floor double"))
-    # Only counts, of buckets in a partition and of queries, are looked at here.
-    deepest = buckets.agg(F.max("place")).first()[0]
+                yield part.assign(known=best.threshold(), reach=reach)
+
+    sown = materialize(queries.select("vec_id", "v").distinct().mapInPandas(sow, "vec_id long, v array<long>, known long, reach double"))
+    # Only counts, of buckets and blocks in a partition and of queries, are looked at here.
+    slots = max(1, min(parts, -(-sown.count() // QUERIES)))
+    by_reach = sown.repartitionByRange(slots, "reach", "vec_id").sortWithinPartitions("reach", "vec_id")
+    blocks = materialize(by_reach.mapInPandas(_pack(QUERIES, True), ASKED))
+    discard(sown)
+    deepest, most = buckets.agg(F.max("place")).first()[0], blocks.agg(F.max("place")).first()[0]
     lanes = 1 + (deepest or 0) // LANE
-    slots = max(1, -(-int(blocks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]) // (8 * QUERIES)))
     buckets = buckets.withColumn("lane", F.col("part").cast("long") * lanes + F.floor(F.col("place") / LANE))
-    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
+    blocks = blocks.withColumn("slot", F.col("part").cast("long") * (1 + (most or 0)) + F.col("place")).drop("part", "place")
     longest = buckets.groupBy("lane").agg(F.max("longest").alias("longest"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts * lanes - 1).cast("long"))).alias("lane")
     meets = blocks.groupBy("slot").agg(F.min("floor").alias("floor")).select("slot", "floor", every).join(longest, "lane")

@@ -222,6 +222,29 @@ def test_top_k_skips_short_lanes(spark, monkeypatch):
     assert {q: [m[i + 1] for i in range(len(m))] for q, m in got.items()} == want
 
 
+def test_top_k_of_equal_lengths_and_of_unequal_reach(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LANE", 1)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "BUCKET", 128)
+    r = np.random.default_rng(7)
+    unit = r.normal(size=(4000, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    # the second table's longest vectors all lie on one side, so that queries of the other side reach far down
+    tall = np.concatenate([np.abs(r.normal(size=(200, 16))) * 9, r.normal(size=(3800, 16))])
+    for m in (unit, tall):
+        rows = [(i, v.tolist()) for i, v in enumerate(m)]
+        v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        whole = np.floor(256 * m).astype(np.int64)
+        got = {}
+        for x in topk.top_k(v, v.where("vec_id % 20 = 0"), 5).collect():
+            got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
+        assert len(got) == 200
+        for q, best in got.items():
+            scores = whole @ whole[q]
+            order = [i for i in np.lexsort((np.arange(len(m)), -scores)) if i != q][:5]
+            assert [best[i + 1] for i in range(5)] == [(i, scores[i]) for i in order]
+
+
 # -- 5 -------------------------------------------------------------------------------------------------------------
 
 
