@@ -177,13 +177,13 @@ def near(found: DataFrame, queries: DataFrame | None = None, radius: int = RADIU
 def near_counts(found: DataFrame, every: int = 20, radius: int = RADIUS) -> DataFrame:
     """found with n_near: for rows whose doc_id is divisible by `every`, the number of other rows whose fingerprint is
     within the radius, equal ones among them; null for the others. found has doc_id and fingerprint, and is read often."""
-    asked = (F.col("doc_id") % every == 0) & F.col("fingerprint").isNotNull()
+    asked = F.coalesce((F.col("doc_id") % every == 0) & F.col("fingerprint").isNotNull(), F.lit(False))
     queries = found.where(asked).select("fingerprint")
     times = found.groupBy("fingerprint").agg(F.count("*").alias("_times"))
     links = near(found, queries, radius).join(times.withColumnRenamed("fingerprint", "near_fingerprint"), "near_fingerprint")
     links = links.groupBy("fingerprint").agg(F.sum("_times").alias("_links"))
     counted = times.join(queries.distinct(), "fingerprint").join(links, "fingerprint", "left")
     counted = counted.select("fingerprint", (F.col("_times") - 1 + F.coalesce("_links", F.lit(0))).alias("n_near"))
-    wanted = F.when(asked, F.col("fingerprint"))  # rows that ask nothing meet nothing
-    own = found.withColumn("_asked", wanted).join(counted.withColumnRenamed("fingerprint", "_asked"), "_asked", "left")
-    return own.select(*found.columns, "n_near")
+    # rows that ask nothing meet nothing: as null keys they would all be one task's
+    own = found.where(asked).join(counted, "fingerprint", "left").select(*found.columns, "n_near")
+    return own.unionByName(found.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
