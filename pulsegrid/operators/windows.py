@@ -96,7 +96,7 @@ def coverage_sums(df: DataFrame, keys: Sequence[str], day: str, sums: Sequence[t
     first = F.min(number).over(Window.partitionBy(*keys))
     for x, days, total, seen in sums:
         w = day_frame(keys, day, days)
-        df = df.withColumn(total, F.bround(F.sum(F.coalesce(F.col(x), F.lit(0)).cast("double")).over(w), 1))
+        df = df.withColumn(total, stats.round_even(F.sum(F.coalesce(F.col(x), F.lit(0)).cast("double")).over(w), 1))
         if seen:
             df = df.withColumn(seen, F.when(number >= first, F.count(x).over(w)).cast("int"))
     return df
