@@ -127,12 +127,19 @@ def rolling_class(df: DataFrame, keys: Sequence[str], day: str, tie: Sequence[st
 def anchor_class(df: DataFrame, keys: Sequence[str], day: str, x: str, start: str, end: str, min_n: int = 5, out: str = "effort") -> DataFrame:
     """df with a class of x against the quartiles of a fixed period of the same keys."""
     w = Window.partitionBy(*keys)
-    v = F.when((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")), F.col(x))
-    df = df.withColumns({"_n": F.count(v).over(w), "_q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).over(w)}).withColumn("_q", F.when(F.col("_n") >= min_n, F.col("_q")))
-    known = F.col("_q").isNotNull()
+    v = F.when((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")), stats.missing_to_null(x))
+    df = df.withColumn("_v", v).withColumns({"_n": F.count("_v").over(w), "_i": F.row_number().over(w.orderBy(F.col("_v").asc_nulls_last())) - 1})
+    # the values on both sides of a quantile by their rank, its line from the lower one: percentile() weighs the two, which leaves
+    # a quartile that equals a value a bit above it
+    last = F.col("_n") - 1
+    ends = {f"_{k}{end}": F.max(F.when((F.col("_n") > 0) & (F.col("_i") == F.least(F.floor(last * q) + end, last)), F.col("_v"))).over(w) for k, q in (("l", 0.25), ("h", 0.75)) for end in (0, 1)}
+    df = df.withColumns(ends)
+    at = lambda k, q: F.when(F.col("_n") >= min_n, F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (last * q - F.floor(last * q)))
+    df = df.withColumns({"_low": at("l", 0.25), "_high": at("h", 0.75)})
+    known = F.col("_low").isNotNull()
     for k in keys:
         known &= F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
-    return df.withColumn(out, rules.versus(x, F.col("_q")[0], F.col("_q")[1], known)).drop("_n", "_q")
+    return df.withColumn(out, rules.versus(x, "_low", "_high", known)).drop("_v", "_n", "_i", "_low", "_high", *ends)
 
 
 def streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], bad: Column, rows: int = 7) -> DataFrame:
