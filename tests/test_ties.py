@@ -36,3 +36,12 @@ def test_effort_against_the_anchor_meets_its_quartile(spark):
     df = spark.createDataFrame(rows, "entity string, session_group string, Fecha date, start_time string, session_id string, load double")
     got = {r.session_id: r.effort_vs_anchor for r in sessions.effort(df, SessionConfig(anchor_start="1996-01-01", anchor_end="1996-12-31")).collect()}
     assert got["6"] == "typical"
+
+
+def test_durations_of_large_keys_equal_the_sql(spark, tmp_path):
+    import oracle
+    from pulsegrid.queries import ORACLES, QUERIES
+
+    keys = [0, 999, 1000, 170_799, 170_800, 170_801, 899_999, 5_399_999]
+    spark.createDataFrame([(4 * i + k, c) for i, c in enumerate(keys) for k in range(4)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert oracle.compare(QUERIES["p27_durations"](spark, str(tmp_path)), ORACLES["p27_durations"], str(tmp_path)) == ""
