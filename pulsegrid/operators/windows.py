@@ -6,10 +6,14 @@ Frames are calendar ranges that end the day before, unless a docstring says rows
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import rules, stats
 
@@ -106,22 +110,54 @@ def rolling_class(df: DataFrame, keys: Sequence[str], day: str, tie: Sequence[st
     """df with a class of x against the quartiles of earlier rows within `days`: above, typical, below, unknown.
 
     Earlier is by (day, tie), so rows of the same day count if they come first. A missing value among the earlier
-    ones leaves no quartiles and the class typical. Rows with a missing key or x are unknown. The frame is a
-    bounded range over day * 2^20 plus the row's place in its day.
+    ones leaves no quartiles and the class typical. Rows with a missing key or x are unknown. Rows are dealt by key
+    and block of `days` days, to their own block and, as history alone, to the next one, and each block keeps its window's values
+    in order: a task never holds more than two blocks of a key.
     """
-    df = df.repartition(*keys)  # serves the places in a day and the frames alike
-    place = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*tie)) - 1
-    at = day_number(day).cast("long") * (1 << 20) + place
-    df = df.withColumn("_at", at)
-    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-((days + 1) * (1 << 20) - 1), -1)
-    past = F.filter(F.collect_list(F.struct(day_number(day).alias("d"), F.col(x).alias("v"))).over(w), lambda p: p["d"] >= day_number(day) - days)
-    df = df.withColumn("_past", F.transform(past, lambda p: p["v"]))
-    whole = ~F.exists("_past", lambda v: v.isNull())
-    low, high = F.when(whole, stats.quantile(F.col("_past"), 0.25)), F.when(whole, stats.quantile(F.col("_past"), 0.75))
-    known = F.size("_past") >= min_prev
+    at, n = day_number(day), len(keys)
+    own = F.floor(at / days).cast("long")
+    alone = F.struct((-1 - F.pmod(F.xxhash64(*tie), F.lit(64)) - (1 << 40)).alias("b"), F.lit(True).alias("own"))  # no day: no past, and nobody's
+    both = F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))
+    group, order = [*[f"_k{i}" for i in range(n)], "_b"], ["_d", *[f"_t{i}" for i in range(len(tie))]]
+    d = df.select(
+        *[F.col(k).alias(g) for k, g in zip(keys, group)], at.alias("_d"), *[F.col(t).alias(o) for t, o in zip(tie, order[1:])], F.col(x).cast("double").alias("_x"), F.struct(*df.columns).alias("_row"),
+        F.explode(F.when(at.isNull(), F.array(alone)).otherwise(both)).alias("_c"))
+    d = d.withColumns({"_b": F.col("_c.b"), "_own": F.col("_c.own"), "_row": F.when(F.col("_c.own"), F.col("_row"))}).drop("_c").repartition(*group)
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).select(*group, "_i", "_d", "_x", "_own", "_row")
+    shape = StructType([d.schema["_row"], StructField("_n", LongType()), StructField("_low", DoubleType()), StructField("_high", DoubleType())])
+    d = d.groupBy(*group).applyInArrow(lambda t: _past_quartiles(t, days), shape).select("_row.*", "_n", "_low", "_high")
+    known = F.col("_n") >= min_prev
     for k in keys:
         known &= F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
-    return df.withColumn(out, rules.versus(x, low, high, known)).drop("_at", "_past")
+    return d.withColumn(out, rules.versus(x, "_low", "_high", known)).drop("_n", "_low", "_high")
+
+
+def _past_quartiles(t: pa.Table, days: int) -> pa.Table:
+    """The own rows of a block, with the number of rows before them within `days` and, where none of those lacks x, their quartiles."""
+    t = t.take(pc.sort_indices(t, [("_i", "ascending")]))
+    day, x, own = (t[c].to_pylist() for c in ("_d", "_x", "_own"))
+    held, first, lacking, got = [], 0, 0, []
+    quantile = lambda h: held[int(h)] + (held[min(int(h) + 1, len(held) - 1)] - held[int(h)]) * (h - int(h))
+    for i, (now, v) in enumerate(zip(day, x)):
+        if now is None:
+            got.append((0, None, None))
+            continue
+        while first < i and day[first] < now - days:
+            gone = x[first]
+            if gone is None:
+                lacking -= 1
+            elif gone == gone:
+                del held[bisect_left(held, gone)]
+            first += 1
+        if own[i]:
+            last = len(held) - 1
+            got.append((i - first, quantile(last * 0.25), quantile(last * 0.75)) if last >= 0 and not lacking else (i - first, None, None))
+        if v is None:
+            lacking += 1
+        elif v == v:
+            insort(held, v)
+    n, low, high = zip(*got) if got else ((), (), ())
+    return pa.table({"_row": t.filter(t["_own"])["_row"], "_n": pa.array(n, pa.int64()), "_low": pa.array(low, pa.float64()), "_high": pa.array(high, pa.float64())})
 
 
 def anchor_class(df: DataFrame, keys: Sequence[str], day: str, x: str, start: str, end: str, min_n: int = 5, out: str = "effort") -> DataFrame:
