@@ -197,14 +197,14 @@ def blocks(windows: DataFrame, samples: DataFrame, block_s: int = 600, offset_s:
 
 def time_windows(beats: DataFrame, seconds: int = 120, step: int = 5, min_beats: int = 200, min_valid: float = 0.95, cfg: DfaConfig = DfaConfig()) -> DataFrame:
     """The other mode: windows (k step, k step + seconds] of the time axis with alpha over their accepted beats, where at
-    least min_beats are and their share is min_valid. beats have t_end and accepted."""
+    least min_beats are and their share is min_valid. beats have t_end and accepted. alpha is not rounded."""
     last = F.ceil(F.col("t_end") / step).cast("long") - 1
     each = beats.withColumn("window", F.explode(F.sequence(F.greatest(last - seconds // step + 1, F.lit(0)), last)))
     n = Window.partitionBy(*KEY, "window")
     each = each.withColumn("_n", F.count("*").over(n)).withColumn("_k", F.count_if("accepted").over(n)).where("accepted")
     held = each.groupBy(*KEY, "window").agg(F.max("_k").alias("beats"), stats.round_even(F.max("_k") / F.max("_n"), 6).alias("valid"))
     placed = each.withColumn("pos", F.row_number().over(n.orderBy("beat_idx")) - 1).where((F.col("_k") >= min_beats) & (F.col("_k") >= min_valid * F.col("_n")))
-    a = D.alpha(placed, KEY, "duration_ms", cfg).select(*KEY, "window", stats.round_even("alpha", 6).alias("alpha"))
+    a = D.alpha(placed, KEY, "duration_ms", cfg).select(*KEY, "window", "alpha")
     return held.join(a, [*KEY, "window"], "left").withColumn("start_sec", (F.col("window") * step).cast("double"))
 
 

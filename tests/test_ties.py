@@ -45,3 +45,13 @@ def test_durations_of_large_keys_equal_the_sql(spark, tmp_path):
     keys = [0, 999, 1000, 170_799, 170_800, 170_801, 899_999, 5_399_999]
     spark.createDataFrame([(4 * i + k, c) for i, c in enumerate(keys) for k in range(4)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert oracle.compare(QUERIES["p27_durations"](spark, str(tmp_path)), ORACLES["p27_durations"], str(tmp_path)) == ""
+
+
+def test_time_windows_round_once(spark, monkeypatch):
+    from pulsegrid.plans import analysis
+
+    beats = spark.createDataFrame([("e", "s", i, 1000.0, float(i + 1), True) for i in range(5)], "entity string, session_id string, beat_idx long, duration_ms double, t_end double, accepted boolean")
+    one = spark.createDataFrame([("e", "s", 0, 0.5094996)], "entity string, session_id string, window long, alpha double")
+    monkeypatch.setattr(analysis.D, "alpha", lambda *_: one)
+    got = analysis.time_windows(beats, min_beats=1, min_valid=0.0).where("window = 0").first()
+    assert got.alpha == 0.5094996 and round(got.alpha, 3) == 0.509
