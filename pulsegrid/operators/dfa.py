@@ -1,9 +1,11 @@
-"""Short-term fractal scaling of beat series as plain aggregation."""
+"""Short-term fractal scaling of beat series."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +28,44 @@ def alpha(windows: DataFrame, keys: Sequence[str], x: str, cfg: DfaConfig = DfaC
     """keys, window, alpha and n_scales: slope of log fluctuation on log box size.
 
     The profile (running sum of x less its mean) is cut into boxes of each size from the start and, for both_ends,
-    from the end; a box's mean squared residual around its own line is (syy - sxy^2 / sxx) / n, so there is a row
-    for each box and no array. Sizes with fewer than four boxes are left out; at least five sizes are needed.
+    from the end; a box's mean squared residual around its own line is (syy - sxy^2 / sxx) / n. Sizes with fewer than four
+    boxes are left out; at least five sizes are needed. A window is one row with its few hundred values, so a task's memory
+    does not grow with the number of boxes. x has no nulls.
     """
-    key = [*keys, "window"]
-    w = Window.partitionBy(*key)
-    centred = windows.withColumn("_c", F.col(x) - F.avg(x).over(w)).withColumn("_len", F.count("*").over(w))
-    profile = centred.withColumn("_y", F.sum("_c").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    profile = profile.where(F.col("_len") >= cfg.scale_max * 4)
-    sized = profile.select(*key, "pos", "_y", "_len", F.explode(F.sequence(F.lit(cfg.scale_min), F.lit(cfg.scale_max))).alias("_s"))
-    sized = sized.withColumn("_k", F.floor(F.col("_len") / F.col("_s"))).where("_k >= 4")
-    ends = [F.struct(F.lit(0).alias("end"), F.col("pos").alias("at"))]
-    if both_ends:
-        ends.append(F.struct(F.lit(1).alias("end"), (F.col("_len") - 1 - F.col("pos")).alias("at")))
-    placed = sized.select(*key, "_y", "_s", "_k", F.explode(F.array(*ends)).alias("_e"))
-    placed = placed.select(*key, "_y", "_s", "_k", F.col("_e.end").alias("_end"), F.floor(F.col("_e.at") / F.col("_s")).alias("_box"), F.pmod(F.col("_e.at"), F.col("_s")).cast("double").alias("_t")).where("_box < _k")
-    boxes = placed.groupBy(*key, "_s", "_end", "_box").agg(F.regr_syy("_y", "_t").alias("_yy"), F.regr_sxy("_y", "_t").alias("_xy"), F.regr_sxx("_y", "_t").alias("_xx"))
-    left = F.greatest((F.col("_yy") - F.pow("_xy", 2) / F.col("_xx")) / F.col("_s"), F.lit(0.0))
-    sizes = boxes.withColumn("_m", left).groupBy(*key, "_s").agg(F.sqrt(F.avg("_m")).alias("_f")).where("_f > 0")
-    fit = sizes.groupBy(*key).agg(F.count("*").alias("n_scales"), F.regr_slope(F.log("_f"), F.log("_s")).alias("_a"))
-    return fit.select(*key, F.when(F.col("n_scales") >= 5, F.col("_a")).alias("alpha"), "n_scales")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(x).cast("double").alias("x")))), lambda v: v["x"])
+    each = windows.groupBy(*keys, "window").agg(values.alias("_v")).where(F.size("_v") >= cfg.scale_max * 4)
+
+    @F.pandas_udf("a double, n long")
+    def slopes(v: pd.Series) -> pd.DataFrame:
+        return _slopes(v, cfg.scale_min, cfg.scale_max, both_ends)
+
+    fit = each.select(*keys, "window", slopes("_v").alias("_f")).where("_f.n > 0")
+    return fit.select(*keys, "window", F.when(F.col("_f.n") >= 5, F.col("_f.a")).alias("alpha"), F.col("_f.n").alias("n_scales"))
+
+
+def _slopes(values: pd.Series, low: int, high: int, both_ends: bool) -> pd.DataFrame:
+    """The slope and the number of sizes with a fluctuation for each of many windows, those of one length at a time."""
+    length, got = values.map(len).to_numpy(), np.full((len(values), 2), np.nan)
+    for n in np.unique(length):
+        of = np.flatnonzero(length == n)
+        for rows in np.array_split(of, -(-len(of) // 1024)):
+            x = np.stack(values.iloc[rows].to_list())
+            y = np.cumsum(x - x.mean(1, keepdims=True), 1)
+            sizes = [s for s in range(max(low, 2), high + 1) if n // s >= 4]
+            f = np.zeros((len(rows), len(sizes)))
+            for i, s in enumerate(sizes):
+                t = np.arange(s) - (s - 1) / 2
+                boxes = np.concatenate([side[:, : n // s * s].reshape(len(rows), -1, s) for side in ((y, y[:, ::-1]) if both_ends else (y,))], 1)
+                boxes = boxes - boxes.mean(2, keepdims=True)
+                left = ((boxes**2).sum(2) - (boxes @ t) ** 2 / (t @ t)) / s
+                f[:, i] = np.sqrt(np.maximum(left, 0).mean(1))
+            there = f > 0
+            m = there.sum(1)
+            lx, ly = np.where(there, np.log(sizes), 0.0), np.log(np.where(there, f, 1.0))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dx = np.where(there, lx - (lx.sum(1) / m)[:, None], 0.0)
+                got[rows] = np.column_stack([(dx * ly).sum(1) / (dx**2).sum(1), m])
+    return pd.DataFrame({"a": got[:, 0], "n": got[:, 1].astype("int64")})
 
 
 def alpha_summary(found: DataFrame, keys: Sequence[str], usable: str = "usable") -> DataFrame:

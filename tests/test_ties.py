@@ -55,3 +55,11 @@ def test_time_windows_round_once(spark, monkeypatch):
     monkeypatch.setattr(analysis.D, "alpha", lambda *_: one)
     got = analysis.time_windows(beats, min_beats=1, min_valid=0.0).where("window = 0").first()
     assert got.alpha == 0.5094996 and round(got.alpha, 3) == 0.509
+
+
+def test_an_exponent_holds_no_row_for_each_box(spark):
+    from pulsegrid.operators import dfa
+
+    df = spark.createDataFrame([("e", 0, i, 800.0 + i % 7) for i in range(80)], "entity string, window long, pos long, x double")
+    plan = dfa.alpha(df, ["entity"], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regr_s" not in plan
