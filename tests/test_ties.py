@@ -63,3 +63,10 @@ def test_an_exponent_holds_no_row_for_each_box(spark):
     df = spark.createDataFrame([("e", 0, i, 800.0 + i % 7) for i in range(80)], "entity string, window long, pos long, x double")
     plan = dfa.alpha(df, ["entity"], "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "regr_s" not in plan
+
+
+def test_suppliers_are_dealt_before_they_are_counted(spark):
+    from pulsegrid.queries import QUERIES
+
+    plan = QUERIES["a40_grouping_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_suppkey" in plan and plan.index("Expand") < plan.index("RepartitionByExpression")
