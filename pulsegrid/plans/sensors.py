@@ -6,11 +6,14 @@ bits are not.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..config import BeatConfig
 from ..functions import stats
@@ -83,41 +86,82 @@ def gate_by_motion(beats: DataFrame, windows: DataFrame, width: float = 5.0) ->
     return in_any_interval(beats, windows.where("high"), KEY, "beat_idx", "center", "start", "stop", width)
 
 
-def dominant_frequency(samples: DataFrame, axes: list[str], low: float = 0.08, high: float = 0.60, step: float = 0.02, window_s: int = 30, hop_s: int = 5) -> DataFrame:
+def dominant_frequency(samples: DataFrame, axes: list[str], low: float = 0.08, high: float = 0.60, step: float = 0.02, window_s: int = 30, hop_s: int = 5, block: int = 60) -> DataFrame:
     """For each window the axis and frequency of greatest power in the band, and peak over median power.
 
-    The transform is sums of x cos and x sin about the window's mean over a fixed grid of frequencies. They are taken once
-    for each hop, as columns of one aggregate, and a window adds up the hops that it spans.
+    The transform is sums of c cos and c sin over a fixed grid of frequencies, c being a sample less its window's mean: taken from
+    sums of x afterwards, the mean would leave rounding errors that decide between axes of equal power. Samples are dealt by blocks of so many
+    windows, those of a window that begins in the block before once more, and go through Arrow in order of time, so a task holds one block at a time.
     """
     n = window_s // hop_s
     grid = [round(low + i * step, 6) for i in range(int(round((high - low) / step)) + 1)]
-    wave = lambda i, fn: fn(2 * math.pi * F.lit(grid[i]) * F.col("t"))
-    value = lambda a: F.col(a).cast("double")
-    sums = {}
-    for a in axes:
-        there = F.col(a).isNotNull()
-        sums |= {f"_n_{a}": F.count(a), f"_x_{a}": F.sum(value(a))}
-        for i in range(len(grid)):
-            for name, fn in (("c", F.cos), ("s", F.sin)):
-                sums |= {f"_{name}{i}_{a}": F.sum(value(a) * wave(i, fn)), f"_{name}{i}_1{a}": F.sum(F.when(there, wave(i, fn)))}
-    hops = samples.groupBy(*KEY, F.floor(F.col("t") / hop_s).cast("long").alias("_h")).agg(*[v.alias(k) for k, v in sums.items()])
-    w = hops.withColumn("k", F.explode(F.sequence(F.col("_h") - n + 1, F.col("_h")))).groupBy(*KEY, "k").agg(*[F.sum(k).alias(k) for k in sums])
-
-    def power(a: str, i: int) -> Column:
-        part = lambda name: F.col(f"_{name}{i}_{a}") - F.col(f"_x_{a}") / F.col(f"_n_{a}") * F.col(f"_{name}{i}_1{a}")
-        return F.struct((F.pow(part("c"), 2) + F.pow(part("s"), 2)).alias("p"), F.lit(-grid[i]).alias("f"))
-
-    each = []
-    for a in axes:
-        p = F.array(*[power(a, i) for i in range(len(grid))])
-        each.append(F.when(F.col(f"_n_{a}") > 0, F.struct(F.lit(a).alias("axis"), p.alias("p"))))
-    # of equal powers the lower frequency; of equal bands the first axis by name
-    band = w.select(*KEY, "k", F.explode(F.array_compact(F.array(*each))).alias("_a")).select(*KEY, "k", "_a.*")
-    band = band.withColumns({"_band": F.aggregate("p", F.lit(0.0), lambda s, x: s + x["p"]), "_top": F.array_max("p"), "_mid": stats.median(F.transform("p", lambda x: x["p"]))})
-    best = Window.partitionBy(*KEY, "k").orderBy(F.desc("_band"), "axis")
-    top = band.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    f = -F.col("_top.f")
-    return top.select(*KEY, "k", "axis", f.alias("frequency"), (60 * f).alias("per_minute"), F.when(F.col("_mid") > 0, F.col("_top.p") / F.col("_mid")).alias("confidence"))
+    hop = F.floor(F.col("t") / hop_s).cast("long")
+    dealt = samples.where("t IS NOT NULL").select(*KEY, F.col("t").cast("double").alias("t"), *[F.col(a).cast("double").alias(a) for a in axes], hop.alias("_h"))
+    dealt = dealt.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_h") - n + 1) / block), F.floor(F.col("_h") / block))))
+    dealt = dealt.repartition(*KEY, "_b").sortWithinPartitions(*KEY, "_b", "t")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = _starts(rows)
+            held = rows.slice(starts[-1]) if len(starts) else rows  # may go on in the next batch
+            if len(starts) > 1:
+                yield from _spectra(rows.slice(0, starts[-1]), starts[:-1], sorted(axes), grid, n, block).to_batches()
+        if held is not None and len(held):
+            yield from _spectra(held, _starts(held), sorted(axes), grid, n, block).to_batches()
+
+    kinds = [samples.schema[c] for c in KEY]
+    told = StructType([*kinds, StructField("k", LongType()), StructField("axis", StringType()), StructField("frequency", DoubleType()), StructField("confidence", DoubleType())])
+    return dealt.mapInArrow(found, told).select(*KEY, "k", "axis", "frequency", (60 * F.col("frequency")).alias("per_minute"), "confidence")
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a recording's block begins, in rows that are in order of both."""
+    if not len(rows):
+        return np.zeros(0, int)
+    new = np.ones(len(rows), bool)
+    codes = [rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (*KEY, "_b")]
+    new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    return np.flatnonzero(new)
+
+
+def _spectra(rows: pa.Table, starts: np.ndarray, axes: list[str], grid: list[float], n: int, block: int) -> pa.Table:
+    """The rows of dominant_frequency() of whole blocks; of equal powers the lower frequency, of equal bands the first axis."""
+    t, b = rows["t"].to_numpy(), rows["_b"].to_numpy()
+    of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(t)]))
+    wide = block + 2 * n
+    place = of * wide + rows["_h"].to_numpy() - b * block
+    first = (np.arange(len(starts))[:, None] * wide + np.arange(block)).ravel()
+    lo, hi = np.searchsorted(place, first), np.searchsorted(place, first + n)
+    there = hi > lo
+    lo, size = lo[there], (hi - lo)[there]
+    row = np.repeat(starts, block)[there]
+    k = (b[starts][:, None] * block + np.arange(block)).ravel()[there]
+    # a window's samples one behind the other; where each window begins there
+    begin = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(lo - begin, size)
+    wave = 2 * np.pi * np.array(grid) * t[:, None]
+    wave = np.hstack([np.cos(wave), np.sin(wave)])[at]
+    power, band = np.zeros((len(axes), len(k), len(grid))), np.full((len(axes), len(k)), -1.0)
+    for i, a in enumerate(axes):
+        have = rows[a].is_valid().to_numpy()[at]
+        x = np.where(have, rows[a].to_numpy()[at], 0.0)
+        m = np.add.reduceat(have.astype(float), begin)
+        c = np.where(have, x - np.repeat(np.add.reduceat(x, begin) / np.maximum(m, 1), size), 0.0)
+        sums = np.add.reduceat(c[:, None] * wave, begin)
+        power[i] = sums[:, : len(grid)] ** 2 + sums[:, len(grid) :] ** 2
+        band[i] = np.where(m > 0, np.add.reduce(power[i].T), -1.0)
+    # bands that are equal but for rounding are equal: short windows of axes that go up and down together
+    some, band = band.max(0) != -1, np.where(np.isnan(band), np.inf, band)
+    best = np.argmax(band >= band.max(0) * (1 - 1e-12), 0)
+    p = power[best, np.arange(len(k))]
+    top, mid = np.argmax(p, 1), np.median(p, 1)
+    flat = mid <= 0
+    confidence = pa.array(p[np.arange(len(k)), top] / np.where(flat, 1.0, mid), mask=flat)
+    got = pa.table({**{c: rows[c].take(pa.array(row)) for c in KEY}, "k": pa.array(k, pa.int64()), "axis": pa.array(axes).take(pa.array(best)), "frequency": pa.array(np.array(grid)[top]), "confidence": confidence})
+    return got.filter(pa.array(some))
 
 
 def clock(packets: DataFrame, rounds: int = 2) -> DataFrame:

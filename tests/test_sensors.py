@@ -54,6 +54,38 @@ def test_a_pair_of_recordings_on_one_axis(spark):
     assert [(x.rec, x.rows, x.ok, round(x.fs_ecg), round(x.fs_acc)) for x in s] == [("r", len(beats), True, 50, 50)]
 
 
+def test_axes_of_equal_power_in_short_windows(spark):
+    """Of axes that move by the same amount, up or down, the first one by name counts, whatever rounding says."""
+    rows = [("e", str(i), 35.0 * i + j + 0.5, 0.1, y / 2, 6.0 - y / 2) for i in range(60) for j, y in enumerate((i % 7, i % 5 + 7, i % 3)[: 2 + i % 2])]
+    got = sensors.dominant_frequency(spark.createDataFrame(rows, "entity string, rec string, t double, x double, y double, z double"), ["x", "y", "z"]).collect()
+    assert len(got) == 60 * 6 and {r.axis for r in got} == {"y"}
+
+
+def test_spectra_of_windows_are_those_of_a_loop(spark):
+    """Recordings over several blocks of windows, with gaps and nulls, against the sums taken window by window."""
+    r = random.Random(8)
+    own = {(e, t / 4): [r.gauss(100, 3), None if r.random() < 0.2 else r.gauss(0, 3), 7.0] for e in "ab" for t in range(4000) if t % 900 < 700 and r.random() < 0.5}
+    rows = [(e, "r", t, *v) for (e, t), v in own.items()]
+    r.shuffle(rows)
+    found = sensors.dominant_frequency(spark.createDataFrame(rows, "entity string, rec string, t double, x double, y double, z double"), ["x", "y", "z"], 0.08, 0.30, block=7)
+    got = {(x.entity, x.k): x for x in found.collect()}
+    grid = np.round(0.08 + 0.02 * np.arange(12), 6)
+    for e in "ab":
+        for k in range(-5, 200):
+            told = []
+            for i, axis in enumerate("xyz"):
+                at = [(t, v[i]) for (o, t), v in own.items() if o == e and 5 * k <= t < 5 * k + 30 and v[i] is not None]
+                if at:
+                    t, x = np.array(at).T
+                    p = abs((x - x.mean()) @ np.exp(2j * np.pi * t[:, None] * grid)) ** 2
+                    told.append((p.sum(), axis, grid[p.argmax()], p.max() / np.median(p)))
+            if told:
+                _, axis, f, c = max(told)
+                x = got.pop((e, k))
+                assert (x.axis, x.frequency) == (axis, f) and x.confidence == pytest.approx(c) and x.per_minute == pytest.approx(60 * f)
+    assert not got
+
+
 def test_validation_names_what_is_wrong(spark):
     rows = [("good", "800", "0"), ("good", "2500", "1"), ("bad", "x", "2"), ("bad", "-1", None)]
     got = {x.k: x for x in B.validate(spark.createDataFrame(rows, "k string, duration string, offline string"), ["k"]).collect()}
