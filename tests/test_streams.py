@@ -60,6 +60,17 @@ def test_beats_behind_the_watermark_are_left_out(stateful, tmp_path):
     assert show(got) == show(want)
 
 
+def test_windows_are_groups_of_a_stream_and_need_no_python(spark, tmp_path):
+    """Any state store will do; beats are added up and put in order without Python workers."""
+    rows = recording("a", 200, 5) + [(None, 1, 10.0, 800.0), (None, 2, None, 800.0)]
+    got = run(spark, [rows[::-2], rows[-2::-2], [("end", 1, 1e7, 800.0)]], str(tmp_path), 1000)
+    want = B.sliding_rmssd(spark.createDataFrame(rows[:-1], BEAT), ["entity"])
+    show = lambda df: sorted((x.entity or "", x.k, x.rmssd and round(x.rmssd, 9)) for x in df.where("entity IS NULL OR entity <> 'end'").collect())
+    assert show(got) == show(want) and got.count() > 5
+    stream = spark.readStream.schema(BEAT).parquet(f"{tmp_path}/in/*")
+    assert "Pandas" not in windows.sliding_rmssd(stream, ["entity"], 1000)._jdf.queryExecution().analyzed().toString()
+
+
 ROW = "k long, day date, v long, x string"
 
 
