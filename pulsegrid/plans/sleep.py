@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -134,10 +134,10 @@ NIGHT_FIELDS = [c for c in schema.SLEEP if "night" in c]
 
 def with_percentiles(sleep: DataFrame) -> DataFrame:
     """sleep with each entity's percentiles of duration and long interruptions, the same on all its rows."""
-    p = sleep.groupBy("entity").agg(
-        F.percentile("polar_sleep_duration_min", F.array(F.lit(0.1), F.lit(0.9))).alias("_d"), F.percentile("polar_interruptions_long", 0.9).alias("sleep_int_p90"))
-    p = p.select("entity", F.col("_d")[0].alias("sleep_dur_p10"), F.col("_d")[1].alias("sleep_dur_p90"), "sleep_int_p90")
-    return sleep.drop("sleep_dur_p10", "sleep_dur_p90", "sleep_int_p90").join(p, "entity", "left").select("entity", *schema.SLEEP)
+    each = Window.partitionBy("entity")  # not a join, which would read every document twice
+    of = lambda c, *q: F.when(F.col("entity").isNotNull(), F.percentile(c, F.array(*map(F.lit, q))).over(each))
+    p = sleep.withColumns({"_d": of("polar_sleep_duration_min", 0.1, 0.9), "_i": of("polar_interruptions_long", 0.9)})
+    return p.withColumns({"sleep_dur_p10": F.col("_d")[0], "sleep_dur_p90": F.col("_d")[1], "sleep_int_p90": F.col("_i")[0]}).select("entity", *schema.SLEEP)
 
 
 def for_days(days: DataFrame, found: DataFrame) -> DataFrame:

@@ -86,6 +86,21 @@ def test_spectra_of_windows_are_those_of_a_loop(spark):
     assert not got
 
 
+def test_percentiles_of_nights_read_a_document_once(spark):
+    cols = "entity string, " + ", ".join(f"{c} double" for c in sleep.SLEEP_FIELDS + sleep.NIGHT_FIELDS) + ", Fecha int"
+    none = [None] * (len(sleep.SLEEP_FIELDS + sleep.NIGHT_FIELDS))
+    at = [(sleep.SLEEP_FIELDS + sleep.NIGHT_FIELDS).index(c) for c in ("polar_sleep_duration_min", "polar_interruptions_long")]
+    rows = []
+    for i, (e, d, n) in enumerate([("a", 400.0, 1.0), ("a", 500.0, None), ("a", None, 3.0), ("b", None, None), (None, 300.0, 1.0)]):
+        own = none[:]
+        own[at[0]], own[at[1]] = d, n
+        rows.append((e, *own, i))
+    got = sleep.with_percentiles(spark.createDataFrame(rows, cols))
+    told = {x.Fecha: (x.sleep_dur_p10, x.sleep_dur_p90, x.sleep_int_p90) for x in got.collect()}
+    assert told == {0: (410.0, 490.0, 2.8), 1: (410.0, 490.0, 2.8), 2: (410.0, 490.0, 2.8), 3: (None, None, None), 4: (None, None, None)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_validation_names_what_is_wrong(spark):
     rows = [("good", "800", "0"), ("good", "2500", "1"), ("bad", "x", "2"), ("bad", "-1", None)]
     got = {x.k: x for x in B.validate(spark.createDataFrame(rows, "k string, duration string, offline string"), ["k"]).collect()}
