@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..config import BeatConfig
-from ..functions import stats
 from ..functions.rules import yes
 from ..operators import beats as B
 from ..operators.joins import in_any_interval
@@ -28,11 +27,19 @@ def _w():
     return Window.partitionBy(*KEY).orderBy("t")
 
 
+def _each():
+    """A recording as a whole: what is told of it stands beside its samples without a join, which would make them anew."""
+    return Window.partitionBy(*KEY)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.where(" AND ".join(f"{c} IS NOT NULL" for c in KEY))
+
+
 def unit_seconds(samples: DataFrame, ts: str) -> DataFrame:
-    """samples with t in seconds; whether stamps are in s, ms, us or ns is told by a recording's median."""
-    mid = samples.groupBy(*KEY).agg(F.percentile(ts, 0.5).alias("_m"))
+    """samples with t in seconds; whether stamps are in s, ms, us or ns is told by a recording's median. Samples of no recording are left out."""
     scale = F.when(F.col("_m") > 1e17, 1e9).when(F.col("_m") > 1e14, 1e6).when(F.col("_m") > 1e11, 1e3).otherwise(1.0)
-    return samples.join(mid, KEY).withColumn("t", F.col(ts) / scale).drop("_m")
+    return _keyed(samples).withColumn("_m", F.percentile(ts, 0.5).over(_each())).withColumn("t", F.col(ts) / scale).drop("_m")
 
 
 def increasing(samples: DataFrame, tie: str) -> DataFrame:
@@ -49,11 +56,10 @@ def peaks(samples: DataFrame, x: str, half: int = 8, mult: float = 3.0, apart_s:
     """Times and strengths of peaks: energy of the detrended signal, local maxima over a robust threshold, and of
     those nearer than apart_s to the one before the strongest. Recordings with fewer than `least` are left out."""
     near = _w().rowsBetween(-half, half)
-    s = samples.withColumn("_d", F.col(x) - F.avg(x).over(_w().rowsBetween(-4 * half, 4 * half)))
+    s = _keyed(samples).withColumn("_d", F.col(x) - F.avg(x).over(_w().rowsBetween(-4 * half, 4 * half)))
     s = s.withColumn("e", F.avg(F.pow("_d", 2)).over(near))
-    mid = s.groupBy(*KEY).agg(F.percentile("e", 0.5).alias("_m"))
-    spread = s.join(mid, KEY).groupBy(*KEY).agg(F.percentile(F.abs(F.col("e") - F.col("_m")), 0.5).alias("_s"), F.first("_m").alias("_m"))
-    top = s.withColumn("_a", F.lag("e").over(_w())).withColumn("_b", F.lead("e").over(_w())).join(spread, KEY)
+    s = s.withColumns({"_m": F.percentile("e", 0.5).over(_each()), "_a": F.lag("e").over(_w()), "_b": F.lead("e").over(_w())})
+    top = s.withColumn("_s", F.percentile(F.abs(F.col("e") - F.col("_m")), 0.5).over(_each()))
     top = top.where((F.col("e") > F.col("_a")) & (F.col("e") >= F.col("_b")) & (F.col("e") > F.col("_m") + mult * 1.4826 * F.col("_s")))
     g = top.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(_w()) >= apart_s).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
     best = g.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY, "_g").orderBy(F.desc("e"), "t"))).where("_r = 1")
@@ -70,15 +76,16 @@ def intervals(found: DataFrame) -> DataFrame:
 def motion(samples: DataFrame, x: str, y: str, z: str, window_s: int = 5, mult: float = 3.0) -> DataFrame:
     """Windows of window_s, one a second, with the root mean square of dynamic acceleration and whether it is high:
     above median plus mult robust spreads of the recording's windows."""
-    s = samples
+    s = _keyed(samples)
     for c in (x, y, z):
         s = s.withColumn(f"_{c}", F.col(c) - F.avg(c).over(_w().rowsBetween(-50, 50)))
     s = s.withColumn("_e", sum((F.pow(F.col(f"_{c}"), 2) for c in (x, y, z)), F.lit(0.0)))
     k = F.floor("t").cast("long")
     each = s.withColumn("k", F.explode(F.sequence(k - window_s + 1, k)))
     w = each.groupBy(*KEY, "k").agg(F.sqrt(F.avg("_e")).alias("rms"), F.count("*").alias("n"))
-    bound = w.groupBy(*KEY).agg(F.collect_list("rms").alias("_a")).select(*KEY, (stats.median(F.col("_a")) + mult * stats.robust_sd(F.col("_a"))).alias("_b"))
-    return w.join(bound, KEY).select(*KEY, "k", F.col("k").cast("double").alias("start"), (F.col("k") + window_s).cast("double").alias("stop"), "rms", (F.col("rms") > F.col("_b")).alias("high"))
+    w = w.withColumn("_m", F.percentile("rms", 0.5).over(_each())).withColumn("_s", F.percentile(F.abs(F.col("rms") - F.col("_m")), 0.5).over(_each()))
+    bound = F.col("_m") + mult * 1.4826 * F.col("_s")
+    return w.select(*KEY, "k", F.col("k").cast("double").alias("start"), (F.col("k") + window_s).cast("double").alias("stop"), "rms", (F.col("rms") > bound).alias("high"))
 
 
 def gate_by_motion(beats: DataFrame, windows: DataFrame, width: float = 5.0) -> DataFrame:
@@ -171,17 +178,16 @@ def clock(packets: DataFrame, rounds: int = 2) -> DataFrame:
     third of the packets by device time, first beside a scale of one and then beside the line before, so packets that the phone was late to stamp do not
     bend it. Fewer than three packets, or packets of one device time, give a scale of one.
     """
-    known = packets.where("phone IS NOT NULL AND device IS NOT NULL").select(*KEY, F.col("phone").cast("double").alias("phone"), F.col("device").cast("double").alias("device"))
+    known = _keyed(packets).where("phone IS NOT NULL AND device IS NOT NULL").select(*KEY, F.col("phone").cast("double").alias("phone"), F.col("device").cast("double").alias("device"))
     order = Window.partitionBy(*KEY).orderBy("device", "phone")
     thirds = known.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*KEY)), "scale": F.lit(1.0)})
     first, last = F.col("_i") * 3 < F.col("_n"), F.col("_i") * 3 >= 2 * F.col("_n")
-    mid = lambda cond, c: F.percentile(F.when(cond, c), 0.5)
+    mid = lambda cond, c: F.percentile(F.when(cond, c), 0.5).over(_each())
     for _ in range(rounds):
         rest = F.col("phone") - F.col("scale") * F.col("device")
-        ends = thirds.groupBy(*KEY, "scale").agg(F.count("*").alias("_m"), *[mid(cond, c).alias(f"_{name}{k}") for k, cond in enumerate((first, last)) for name, c in (("r", rest), ("d", F.col("device")))])
+        thirds = thirds.withColumns({f"_{name}{k}": mid(cond, c) for k, cond in enumerate((first, last)) for name, c in (("r", rest), ("d", F.col("device")))})
         span = F.col("_d1") - F.col("_d0")
-        ends = ends.select(*KEY, (F.col("scale") + F.when((F.col("_m") >= 3) & (span > 0), (F.col("_r1") - F.col("_r0")) / span).otherwise(0.0)).alias("scale"))
-        thirds = thirds.drop("scale").join(ends, KEY)
+        thirds = thirds.withColumn("scale", F.col("scale") + F.when((F.col("_n") >= 3) & (span > 0), (F.col("_r1") - F.col("_r0")) / span).otherwise(0.0))
     return thirds.groupBy(*KEY, "scale").agg(F.percentile(F.col("phone") - F.col("scale") * F.col("device"), 0.5).alias("offset"))
 
 

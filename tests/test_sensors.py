@@ -101,6 +101,14 @@ def test_percentiles_of_nights_read_a_document_once(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_what_is_told_of_a_recording_needs_no_join(spark):
+    """Medians stand beside the samples by windows; a join would make the samples anew on each side."""
+    s = spark.createDataFrame([("e", "r", 1.0, 2.0)], "entity string, rec string, t double, x double")
+    packets = s.select("entity", "rec", F.col("t").alias("phone"), F.col("x").alias("device"))
+    for got in (sensors.unit_seconds(s.withColumnRenamed("t", "ts"), "ts"), sensors.peaks(s, "x"), sensors.motion(s, "x", "x", "x"), sensors.clock(packets)):
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_validation_names_what_is_wrong(spark):
     rows = [("good", "800", "0"), ("good", "2500", "1"), ("bad", "x", "2"), ("bad", "-1", None)]
     got = {x.k: x for x in B.validate(spark.createDataFrame(rows, "k string, duration string, offline string"), ["k"]).collect()}
