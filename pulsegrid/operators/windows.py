@@ -124,23 +124,33 @@ def rolling_class(df: DataFrame, keys: Sequence[str], day: str, tie: Sequence[st
         F.explode(F.when(at.isNull(), F.array(alone)).otherwise(both)).alias("_c"))
     d = d.withColumns({"_b": F.col("_c.b"), "_own": F.col("_c.own"), "_row": F.when(F.col("_c.own"), F.col("_row"))}).drop("_c").repartition(*group)
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).select(*group, "_i", "_d", "_x", "_own", "_row")
-    shape = StructType([d.schema["_row"], StructField("_n", LongType()), StructField("_low", DoubleType()), StructField("_high", DoubleType())])
-    d = d.groupBy(*group).applyInArrow(lambda t: _past_quartiles(t, days), shape).select("_row.*", "_n", "_low", "_high")
+    ends = ["_l0", "_l1", "_h0", "_h1"]
+    shape = StructType([d.schema["_row"], StructField("_n", LongType()), StructField("_last", LongType()), *[StructField(c, DoubleType()) for c in ends]])
+    d = d.groupBy(*group).applyInArrow(lambda t: _past_quartiles(t, days), shape).select("_row.*", "_n", "_last", *ends)
+    d = d.withColumns(_quartiles(F.col("_last"))).drop("_last", *ends)
     known = F.col("_n") >= min_prev
     for k in keys:
         known &= F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
     return d.withColumn(out, rules.versus(x, "_low", "_high", known)).drop("_n", "_low", "_high")
 
 
+def _quartiles(last: Column) -> dict[str, Column]:
+    """_low and _high, from the values on both sides of them; last is the rank of the greatest value, from 0."""
+    share = lambda q: last * q - F.floor(last * q)
+    return {"_low": stats.between("_l0", "_l1", share(0.25)), "_high": stats.between("_h0", "_h1", share(0.75))}
+
+
 def _past_quartiles(t: pa.Table, days: int) -> pa.Table:
-    """The own rows of a block, with the number of rows before them within `days` and, where none of those lacks x, their quartiles."""
+    """The own rows of a block, with the number of rows before them within `days` and, where none of those lacks x, the rank of the
+    greatest value and the values on both sides of the quartiles."""
     t = t.take(pc.sort_indices(t, [("_i", "ascending")]))
     day, x, own = (t[c].to_pylist() for c in ("_d", "_x", "_own"))
     held, first, lacking, got = [], 0, 0, []
-    quantile = lambda h: held[int(h)] + (held[min(int(h) + 1, len(held) - 1)] - held[int(h)]) * (h - int(h))
+    sides = lambda h: (held[int(h)], held[min(int(h) + 1, len(held) - 1)])
+    none = (None,) * 5
     for i, (now, v) in enumerate(zip(day, x)):
         if now is None:
-            got.append((0, None, None))
+            got.append((0, *none))
             continue
         while first < i and day[first] < now - days:
             gone = x[first]
@@ -151,13 +161,13 @@ def _past_quartiles(t: pa.Table, days: int) -> pa.Table:
             first += 1
         if own[i]:
             last = len(held) - 1
-            got.append((i - first, quantile(last * 0.25), quantile(last * 0.75)) if last >= 0 and not lacking else (i - first, None, None))
+            got.append((i - first, last, *sides(last * 0.25), *sides(last * 0.75)) if last >= 0 and not lacking else (i - first, *none))
         if v is None:
             lacking += 1
         elif v == v:
             insort(held, v)
-    n, low, high = zip(*got) if got else ((), (), ())
-    return pa.table({"_row": t.filter(t["_own"])["_row"], "_n": pa.array(n, pa.int64()), "_low": pa.array(low, pa.float64()), "_high": pa.array(high, pa.float64())})
+    n, top, *ends = zip(*got) if got else [()] * 6
+    return pa.table({"_row": t.filter(t["_own"])["_row"], "_n": pa.array(n, pa.int64()), "_last": pa.array(top, pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in zip(("_l0", "_l1", "_h0", "_h1"), ends)}})
 
 
 def anchor_class(df: DataFrame, keys: Sequence[str], day: str, x: str, start: str, end: str, min_n: int = 5, out: str = "effort") -> DataFrame:
@@ -165,13 +175,12 @@ def anchor_class(df: DataFrame, keys: Sequence[str], day: str, x: str, start: st
     w = Window.partitionBy(*keys)
     v = F.when((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")), stats.missing_to_null(x))
     df = df.withColumn("_v", v).withColumns({"_n": F.count("_v").over(w), "_i": F.row_number().over(w.orderBy(F.col("_v").asc_nulls_last())) - 1})
-    # the values on both sides of a quantile by their rank, its line from the lower one: percentile() weighs the two, which leaves
-    # a quartile that equals a value a bit above it
+    # the values on both sides of a quartile by their rank; percentile() rounds their line in another way, which leaves a quartile that
+    # equals a value a bit above it
     last = F.col("_n") - 1
     ends = {f"_{k}{end}": F.max(F.when((F.col("_n") > 0) & (F.col("_i") == F.least(F.floor(last * q) + end, last)), F.col("_v"))).over(w) for k, q in (("l", 0.25), ("h", 0.75)) for end in (0, 1)}
     df = df.withColumns(ends)
-    at = lambda k, q: F.when(F.col("_n") >= min_n, F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (last * q - F.floor(last * q)))
-    df = df.withColumns({"_low": at("l", 0.25), "_high": at("h", 0.75)})
+    df = df.withColumns({k: F.when(F.col("_n") >= min_n, v) for k, v in _quartiles(last).items()})
     known = F.col("_low").isNotNull()
     for k in keys:
         known &= F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")

@@ -70,3 +70,38 @@ def test_suppliers_are_dealt_before_they_are_counted(spark):
 
     plan = QUERIES["a40_grouping_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [l_suppkey" in plan and plan.index("Expand") < plan.index("RepartitionByExpression")
+
+
+def test_loads_at_a_quartile_take_the_class_of_the_sql(spark, tmp_path):
+    import oracle
+    from pulsegrid.queries import ORACLES, QUERIES
+
+    # 111.2 + (120.8 - 111.2) * 0.75 is 118.4 and 276.4 + (286.8 - 276.4) * 0.75 is 284.2; the SQL's quartiles lie a bit beside them
+    cases = {"a": ([90.0, 100.0, 110.0, 111.2, 120.8, 130.0], 118.4), "b": ([270.0, 276.4, 286.8, 290.0, 300.0, 310.0, 320.0, 330.0], 284.2)}
+    orders, key = [], 0
+    for grp, (loads, x) in cases.items():
+        for i, v in enumerate([*loads, x, x]):
+            key += 2 if key % 17 == 16 else 1
+            day = datetime.datetime(1996, 12, 20) + datetime.timedelta(30 if i == len(loads) else 400 if i > len(loads) else i)
+            orders.append((key, 1, v * 1000, day, grp))
+    write = lambda name, rows, shape: spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("orders", orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
+    write("customer", [(1, 1)], "c_custkey long, c_nationkey int")
+    write("lineitem", [(o[0], 1.0) for o in orders], "l_orderkey long, l_quantity double")
+    got = QUERIES["c8_effort_classes"](spark, str(tmp_path))
+    assert oracle.compare(got, ORACLES["c8_effort_classes"], str(tmp_path)) == ""
+    assert {(r.effort_vs_recent, r.effort_vs_anchor) for r in got.collect()} >= {("above", "above"), ("below", "below"), ("unknown", "above"), ("unknown", "below")}
+
+
+def test_a_line_is_rounded_as_a_fused_sum(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    rows = [(r.uniform(-500, 500), r.uniform(-500, 500), r.choice([0.0, 0.1, 0.25, 0.5, 0.75, r.random()])) for _ in range(3000)]
+    rows += [(round(a, 1), round(b, 1), d) for a, b, d in rows]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a double, b double, d double")
+    got = [x.v for x in df.select("i", stats.between("a", "b", "d").alias("v")).orderBy("i").collect()]
+    assert got == [math.fma(a, 1 - d, b * d) if d else a for a, b, d in rows]
+    odd = spark.createDataFrame([(1.0, math.inf, 0.0), (1.0, math.inf, 0.25), (-math.inf, 1.0, 0.5), (None, 1.0, 0.5)], "a double, b double, d double")
+    assert [x.v for x in odd.select(stats.between("a", "b", "d").alias("v")).collect()] == [1.0, math.inf, -math.inf, None]
