@@ -18,10 +18,16 @@ def _order(keys: Sequence[str]):
 
 
 def time_axis(beats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Beats with a duration, with t_end in seconds: the running sum of raw durations, which no filter compresses."""
-    beats = beats.withColumn("duration_ms", stats.missing_to_null("duration_ms")).where("duration_ms IS NOT NULL")
-    return beats.withColumn("offline", F.coalesce(F.col("offline").cast("boolean"), F.lit(False))).withColumn(
-        "t_end", F.sum("duration_ms").over(_order(keys).rowsBetween(Window.unboundedPreceding, 0)) / 1000)
+    """Beats with a duration, with t_end in seconds: the running sum of raw durations, which no filter compresses.
+
+    What rounding takes from the sum at each beat is summed too and put back, so a beat that ends on a window's edge is on it.
+    """
+    w = _order(keys)
+    so_far = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    beats = beats.withColumn("duration_ms", stats.missing_to_null("duration_ms")).where("duration_ms IS NOT NULL").withColumn("offline", F.coalesce(F.col("offline").cast("boolean"), F.lit(False)))
+    beats = beats.withColumn("_t", so_far("duration_ms")).withColumn("_p", F.lag("_t", 1, 0.0).over(w))
+    beats = beats.withColumn("_l", stats.lost(F.col("_p"), F.col("duration_ms"), F.col("_t")))
+    return beats.withColumn("t_end", (F.col("_t") + F.nanvl(so_far("_l"), F.lit(0.0))) / 1000).drop("_t", "_p", "_l")
 
 
 def jump_from_base(beats: DataFrame, keys: Sequence[str], cfg: BeatConfig = BeatConfig()) -> DataFrame:

@@ -105,3 +105,24 @@ def test_a_line_is_rounded_as_a_fused_sum(spark):
     assert got == [math.fma(a, 1 - d, b * d) if d else a for a, b, d in rows]
     odd = spark.createDataFrame([(1.0, math.inf, 0.0), (1.0, math.inf, 0.25), (-math.inf, 1.0, 0.5), (None, 1.0, 0.5)], "a double, b double, d double")
     assert [x.v for x in odd.select(stats.between("a", "b", "d").alias("v")).collect()] == [1.0, math.inf, -math.inf, None]
+
+
+def test_a_beat_that_ends_on_an_edge_is_on_it(spark):
+    import math
+    import random
+
+    from pulsegrid.operators import beats as B
+    from pulsegrid.plans import analysis
+
+    r = random.Random(1)
+    # 75 beats of 733 1/3 ms end at 55 s; their running sum goes to 55.00000000000005 s
+    given = {"even": [2200 / 3] * 75, "mixed": [r.uniform(300, 2000) for _ in range(500)] + [1e9, 1e-9, 5e11], "odd": [800.0, math.inf, 800.0]}
+    rows = [(e, "s", i, x, False) for e, d in given.items() for i, x in enumerate(d, 1)] + [("even", "s", 0, None, False), ("even", "s", 76, math.nan, False)]
+    beats = spark.createDataFrame(rows, "entity string, session_id string, beat_idx long, duration_ms double, offline boolean")
+    timed = B.time_axis(beats, ["entity", "session_id"])
+    assert timed.columns == [*beats.columns, "t_end"]
+    got = {(x.entity, x.beat_idx): x.t_end for x in timed.collect()}
+    want = {(e, i): math.fsum(d[:i]) / 1000 for e, d in given.items() for i in range(1, len(d) + 1)}
+    assert got == want and got["even", 75] == 55.0
+    windows = analysis.time_windows(timed.where("entity = 'even'").withColumn("accepted", timed.duration_ms > 0), min_beats=1, min_valid=0.0)
+    assert windows.agg({"window": "max"}).first()[0] == 10
